@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The hot groups of `with_group` are spread over so many salts.
@@ -64,3 +64,28 @@ def with_group(rows: DataFrame, keys: list[str], folds: dict[str, tuple[Column,
     whole = parts.groupBy(*keys).agg(*[merge(name).alias(name) for name, (_, merge) in folds.items()], F.collect_list("_salt").alias("_salts"))
     back = whole.select(*keys, *folds, F.explode("_salts").alias("_salt"))
     return salted.join(back, [*keys, "_salt"]).drop("_salt")
+
+
+def row_buckets(n_rows: int, per_bucket: int = 2000) -> int:
+    """Buckets for `ranked`: a power of two that keeps each one near per_bucket rows, at least 64."""
+    n = 64
+    while n * per_bucket < n_rows:
+        n *= 2
+    return n
+
+
+def ranked(rows: DataFrame, group: list[str], order: list[str], name: str, n_rows: int) -> DataFrame:
+    """Adds a gapless rank from 0 within each group, in an order fixed by the hash of `order`, then `order` itself.
+
+    A group is dealt over hash buckets; their row counts give each bucket its offset, so no task sorts a whole
+    group. rows must read the same twice (see `staged`), and `order` must tell its rows apart.
+    """
+    n = row_buckets(n_rows)
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
+    counts = rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_bucket").alias("_g_bucket"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    own = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order))
+    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group] + [F.col("_bucket") == F.col("_g_bucket")]
+    joined = rows.withColumn("_own", own).join(offsets, same)
+    return joined.withColumn(name, (F.col("_own") - 1 + F.col("_offset")).cast("long")).drop("_own", "_offset", "_bucket", "_g_bucket", *[f"_g_{g}" for g in group])

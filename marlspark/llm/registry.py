@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing, quality
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_quality_rules": quality.op6_quality_rules,
+    "op9_pfair_mix": mixing.op9_pfair_mix,
 }
 
 #: DuckDB SQL where SQL expresses the operator; the others are tested against brute force.
