@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality
+from . import exact_dedup, mixing, packing, quality, warc
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_warc_segments": warc.op7_warc_segments,
+    "op8_packing": packing.op8_packing,
     "op9_pfair_mix": mixing.op9_pfair_mix,
 }
 
 #: DuckDB SQL where SQL expresses the operator; the others are tested against brute force.
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op7_warc_segments": warc.ORACLE,
 }
