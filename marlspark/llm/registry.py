@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, warc
+from . import exact_dedup, mixing, packing, pii, quality, warc
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_warc_segments": warc.op7_warc_segments,
     "op8_packing": packing.op8_packing,
     "op9_pfair_mix": mixing.op9_pfair_mix,
+    "op10_personal_data": pii.op10_personal_data,
 }
 
 #: DuckDB SQL where SQL expresses the operator; the others are tested against brute force.
