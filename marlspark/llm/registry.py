@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, pii, quality, warc
+from . import exact_dedup, mixing, packing, pii, quality, sharding, warc
 
 QUERIES = {
+    "op2_label_propagation_shards": sharding.op2_label_propagation_shards,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_warc_segments": warc.op7_warc_segments,
