@@ -71,6 +71,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return singles.unionByName(shaped(grouped, F.col("_best._id"), F.col("_size"), F.col("_row") == F.col("_best._row")))
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with their own columns."""
+    boxed = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_box"))
+    return exact_dedup(boxed, "_own", "_text", carry=("_box",)).filter("kept").select("_box.*")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, pii, quality, sharding, warc
+from . import exact_dedup, mixing, ngram_join, packing, pii, quality, sharding, warc
 
 QUERIES = {
     "op2_label_propagation_shards": sharding.op2_label_propagation_shards,
+    "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_warc_segments": warc.op7_warc_segments,
