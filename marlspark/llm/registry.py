@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, mixing, ngram_join, packing, pii, quality, sharding, warc
+from . import exact_dedup, html_extract, mixing, ngram_join, packing, pii, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_tag_path_text": html_extract.op1_tag_path_text,
     "op2_label_propagation_shards": sharding.op2_label_propagation_shards,
+    "op3_kernel_toxicity": toxicity.op3_kernel_toxicity,
     "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
