@@ -30,15 +30,17 @@ from .common import table
 
 TRAIN_TEXTS, TRAIN_CHARS = 3000, 20_000
 DECAY, ALPHABET, WINDOW = 0.7, 64, 14
-LANDMARKS, POSITIVES, NEGATIVES, ROUNDS, GRAM = 256, 1000, 12_000, 4, 4
+LANDMARKS, POSITIVES, NEGATIVES, POOL, USUAL, ROUNDS, GRAM = 256, 1000, 12_000, 200_000, 50_000, 4, 4
 CACHE = 1 << 20
 START = "^"
 RUN = re.compile(r"[^\W\d_]+")
 FOLDS = 5
 
 
-def _code(c: str) -> int:
-    return ord(c) - 97 if "a" <= c <= "z" else 26 + zlib.crc32(c.encode()) % (ALPHABET - 26)
+def _codes(words: list[str]) -> np.ndarray:
+    """Words of one length as rows of classes: a-z and the mark have their own, all other characters share the rest."""
+    x = np.array(words, dtype=f"<U{len(words[0])}").view(np.uint32).reshape(len(words), -1).astype(np.int64)
+    return np.where((x >= 97) & (x <= 122), x - 97, np.where(x == ord(START), ALPHABET - 1, 26 + x % (ALPHABET - 27)))
 
 
 def units(token: str) -> list[str]:
@@ -81,32 +83,37 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for k, w in enumerate(words):
         at[len(w)].append(k)
     for ks in at.values():
-        yield np.array(ks), np.array([[_code(c) for c in words[k]] for k in ks], dtype=np.int64)
+        yield np.array(ks), _codes([words[k] for k in ks])
+
+
+def _indices(codes: np.ndarray, place: tuple[int, int, int]) -> np.ndarray:
+    i, j, k = place
+    return (codes[:, i] * ALPHABET + codes[:, j]) * ALPHABET + codes[:, k]
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(subsequences that occur, normalised feature vectors over those) of a few words."""
+    groups = [(ks, codes, TRIPLES[codes.shape[1]]) for ks, codes in _by_length(words)]
+    used = np.unique(np.concatenate([_indices(codes, p) for _, codes, (places, _, _) in groups for p in places]))
+    out = np.zeros((len(words), len(used)), dtype=np.float32)
+    for ks, codes, (places, weights, norm) in groups:
+        for p, w in zip(places, weights, strict=True):
+            np.add.at(out, (ks, np.searchsorted(used, _indices(codes, p))), w / norm)
+    return used, out
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel values, words by landmarks."""
-    dense = features(landmarks)
-    used = np.flatnonzero(dense.any(axis=0))
+    used, dense = features(landmarks)
     column = np.full(ALPHABET**3, len(used))
     column[used] = np.arange(len(used))
-    rows = np.vstack([dense[:, used].T, np.zeros(len(landmarks))])
-    out = np.zeros((len(words), len(landmarks)))
-    for ks, codes in _by_length(words):
-        places, weights, norm = TRIPLES[codes.shape[1]]
-        for (i, j, k), w in zip(places, weights, strict=True):
-            out[ks] += w / norm * rows[column[(codes[:, i] * ALPHABET + codes[:, j]) * ALPHABET + codes[:, k]]]
-    return out
-
-
-def features(words: list[str]) -> np.ndarray:
-    """Explicit feature vectors of a few words."""
-    out = np.zeros((len(words), ALPHABET**3), dtype=np.float32)
+    rows = np.vstack([dense.T, np.zeros((1, len(landmarks)), dtype=np.float32)])
+    out = np.zeros((len(words), len(landmarks)), dtype=np.float32)
     for ks, codes in _by_length(words):
         places, weights, norm = TRIPLES[codes.shape[1]]
-        for (i, j, k), w in zip(places, weights, strict=True):
-            np.add.at(out, (ks, (codes[:, i] * ALPHABET + codes[:, j]) * ALPHABET + codes[:, k]), w / norm)
-    return out
+        for p, w in zip(places, weights, strict=True):
+            out[ks] += np.float32(w / norm) * rows[column[_indices(codes, p)]]
+    return out.astype(float)
 
 
 def spread(words: list[str], n: int) -> list[str]:
@@ -122,7 +129,8 @@ def spread(words: list[str], n: int) -> list[str]:
 
 
 def machine(positive: list[str], negative: list[str], landmarks: list[str], ridge: float = 1e-4, steps: int = 25) -> tuple[np.ndarray, float]:
-    """Squared-hinge support vector machine in the Nystroem space: (weight per subsequence, bias)."""
+    """Squared-hinge support vector machine in the Nystroem space: (weight per subsequence, bias). Both
+    classes count alike."""
     own = kernel(landmarks, landmarks)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-6 * values.max()
@@ -139,7 +147,10 @@ def machine(positive: list[str], negative: list[str], landmarks: list[str], ridg
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
-    return ((root @ w[:-1]) @ features(landmarks)).astype(np.float32), float(w[-1])
+    weights = np.zeros(ALPHABET**3, dtype=np.float32)
+    used, dense = features(landmarks)
+    weights[used] = (root @ w[:-1]) @ dense
+    return weights, float(w[-1])
 
 
 def word_scores(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
@@ -154,17 +165,17 @@ def word_scores(words: list[str], weights: np.ndarray, bias: float) -> np.ndarra
 
 
 class Scorer:
-    """Two worst word scores of a text, with a bounded cache of token scores."""
+    """Two worst word scores of a text, with a bounded cache of token scores. Words known as clean score lowest."""
 
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias, self.known = weights, bias, {}
+    def __init__(self, weights: np.ndarray, bias: float, clean: frozenset[str] = frozenset()):
+        self.weights, self.bias, self.clean, self.known = weights, bias, clean, {}
 
     def __call__(self, texts: Iterable[str | None]) -> np.ndarray:
         found = [tokens(t) for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
         new = list(set().union(*found).difference(self.known)) if found else []
-        parts = [units(t) for t in new]
+        parts = [[u for u in units(t) if u not in self.clean] for t in new]
         flat = [u for p in parts for u in p]
         scores = word_scores(flat, self.weights, self.bias) if flat else np.zeros(0)
         at = 0
@@ -199,25 +210,30 @@ def insults(toxic: list[str], clean: list[str]) -> list[str]:
         return {u[k : k + GRAM] for k in range(len(u) - GRAM + 1)}.union(u[:k] for k in range(GRAM, min(len(u), 2 * GRAM) + 1) if u[0] == START)
 
     toxic, clean = distinct_texts(toxic), distinct_texts(clean)
+    in_toxic: Counter = Counter()
+    for t in toxic:
+        in_toxic.update({g for w in tokens(t) for u in units(w) for g in grams(u)})
+    maybe = {g for g, n in in_toxic.items() if n >= 4}
     in_clean, clean_words = Counter(), Counter()
     for t in clean:
         own = {u for w in tokens(t) for u in units(w)}
         clean_words.update(own)
-        in_clean.update({g for u in own for g in grams(u)})
-    in_toxic, contexts, words_of = Counter(), defaultdict(set), defaultdict(Counter)
+        in_clean.update({g for u in own for g in grams(u) if g in maybe})
+    share = len(clean) / max(1, len(toxic))
+    expected = lambda g: (in_clean[g] + 1) / share  # of as many clean texts as there are toxic ones
+    maybe = {g for g in maybe if in_toxic[g] >= expected(g) * 4 + 4 * expected(g) ** 0.5 + 6}
+    contexts, words_of = defaultdict(set), defaultdict(Counter)
     for t in toxic:
         words = t.lower().split()
         own = set()
         for a, w, b in zip(["", *words], words, [*words[1:], ""]):  # noqa: B905
             for u in units(w):
-                for g in grams(u):
-                    own.add(g)
-                    contexts[g].add((a, b))
-                    words_of[g][u] += 1
-        in_toxic.update(own)
-    share = len(clean) / max(1, len(toxic))
-    expected = lambda g: (in_clean[g] + 1) / share  # of as many clean texts as there are toxic ones
-    telling = [g for g, n in in_toxic.items() if n >= expected(g) * 5 + 3 * expected(g) ** 0.5 + 4 and len(contexts[g]) >= 0.6 * n]
+                for g in grams(u) & maybe:
+                    contexts[g].add(hash((a, b)))
+                    own.add((g, u))
+        for g, u in own:
+            words_of[g][u] += 1
+    telling = [g for g in sorted(maybe) if len(contexts[g]) >= 0.6 * in_toxic[g]]
     found: Counter = Counter()
     for g in telling:
         for u, n in words_of[g].items():
@@ -232,15 +248,19 @@ def train(toxic: list[str], clean: list[str]) -> dict | None:
     if not positive or not clean:
         return None
     told = set(positive)
-    pool = sorted({u for t in clean for w in tokens(t) for u in units(w)}.difference(told), key=lambda u: zlib.crc32(u.encode()))
-    negative = pool[:NEGATIVES]
+    often: Counter = Counter()
+    for t in clean:
+        often.update({u for w in tokens(t) for u in units(w)} - told)
+    pool = sorted(often, key=lambda u: (-often[u], zlib.crc32(u.encode())))[:POOL]
+    negative = list(dict.fromkeys([*pool[: NEGATIVES // 2], *sorted(pool, key=lambda u: zlib.crc32(u.encode()))[: NEGATIVES // 2]]))
     for turn in range(ROUNDS):
-        landmarks = spread(positive, LANDMARKS * 2 // 3) + spread(negative[:1500], LANDMARKS // 3)
+        landmarks = spread(positive, LANDMARKS * 2 // 3) + spread(negative[-1500:], LANDMARKS // 3)
         weights, bias = machine(positive, negative, landmarks)
         if turn < ROUNDS - 1:  # the clean words that come closest take part in the next round
             scores = word_scores(pool, weights, bias)
-            negative = list(dict.fromkeys([*(pool[k] for k in np.argsort(-scores)[: NEGATIVES // 4]), *pool[:NEGATIVES]]))
-    score = Scorer(weights, bias)
+            negative = list(dict.fromkeys([*negative, *(pool[k] for k in np.argsort(-scores)[: NEGATIVES // 4])]))
+    usual = frozenset(u for u in pool[:USUAL] if often[u] >= 3)  # words of several clean texts are no insults
+    score = Scorer(weights, bias, usual)
     x = np.hstack([np.vstack([score(toxic), score(clean)]), np.ones((len(toxic) + len(clean), 1))])
     y = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
     c = np.r_[np.full(len(toxic), 0.5 / len(toxic)), np.full(len(clean), 0.5 / len(clean))]
@@ -249,7 +269,7 @@ def train(toxic: list[str], clean: list[str]) -> dict | None:
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(3), x.T @ (c * (p - y)) + 1e-4 * w)
         w -= step / max(1.0, np.abs(step).max())
-    return {"weights": weights, "bias": bias, "curve": w}
+    return {"weights": weights, "bias": bias, "clean": usual, "curve": w}
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -280,7 +300,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        scorer = Scorer(m["weights"], m["bias"]) if m else None
+        scorer = Scorer(m["weights"], m["bias"], m["clean"]) if m else None
         for batch in batches:
             if m is None:
                 yield pd.Series(np.zeros(len(batch)))
