@@ -11,6 +11,8 @@ similarity join, 2017):
   number of pairs that is linear in the list. Links found so join most near copies.
 * Only pairs in different components are left. Within a list, entries lie in blocks by size, and an entry's position
   says which blocks can hold partners; the others are skipped.
+* A pair is first tested on the two prefixes, which shows most that share a common passage only to be too far apart;
+  whole sets are made for what is left.
 * An answer that the leader's answers give already isn't computed again: from |a & L| and |b & L| follow an upper and
   a lower bound of |a & b|, and only a pair that neither bound decides is verified.
 
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +35,12 @@ from .common import discard, staged, table
 from .components import connected
 
 WORDS = 5
-SKETCH, CHUNK, FILTER, BLOCK = 1 << 22, 1 << 12, 1 << 26, 32768
+SKETCH, CHUNK, FILTER, BLOCK = 1 << 24, 1 << 16, 1 << 26, 32768
 #: Size blocks of the index: sizes within a factor of 1.05.
 STEP = 1.05
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
-CACHE = 1 << 20
+#: So many bytes of text are hashed at once; a longer text is hashed alone.
+BYTES = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,28 +50,99 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """text -> its distinct shingles' hashes, ascending; empty without words."""
+    """Distinct shingle hashes of texts, ascending; empty without words.
+
+    Works on the UTF-8 bytes of many texts at once. A word's hash is a polynomial over random values of its bytes, A-Z
+    having those of a-z, taken from running sums: (S[end] - S[start]) / BASE^start, modulo 2^64.
+    """
+
+    BASE = 0x2545F4914F6CDD1D
 
     def __init__(self, words: int = WORDS):
-        self.words, self.known = words, {}
+        self.words = words
+        self.odd = ODD if words <= len(ODD) else _mix(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
+        values = _mix(np.arange(1, 257, dtype=np.uint64))
+        values[65:91] = values[97:123]
+        self.values = values
+        self.space = np.zeros(256, dtype=bool)
+        self.space[[32, *range(9, 14)]] = True
+        self.powers = self.inverses = np.ones(1, dtype=np.uint64)
+
+    def _tables(self, n: int) -> None:
+        if len(self.powers) < n:
+            size = 1 << (n - 1).bit_length()
+            steps = lambda x: np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, dtype=np.uint64)], dtype=np.uint64)
+            self.powers, self.inverses = steps(np.uint64(self.BASE)), steps(np.uint64(pow(self.BASE, -1, 1 << 64)))
+
+    def _hashed(self, raw: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        """The sets of the texts that begin at starts, the last of them ending with raw."""
+        if not len(raw):
+            return [np.empty(0, dtype=np.uint64)] * len(starts)
+        self._tables(len(raw) + 1)
+        gap = self.space[raw]
+        first = ~gap
+        first[1:] &= gap[:-1]
+        at = starts[starts < len(raw)]
+        first[at] = ~gap[at]
+        begin = np.flatnonzero(first)
+        last = ~gap
+        last[:-1] &= gap[1:]
+        at = at[at > 0] - 1
+        last[at] = ~gap[at]
+        end = np.flatnonzero(last) + 1
+        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(self.values[raw] * self.powers[: len(raw)], out=sums[1:])
+        h = _mix((sums[end] - sums[begin]) * self.inverses[begin])
+        bounds = np.r_[np.searchsorted(begin, starts), len(begin)]
+        grams = np.full(max(0, len(h) - self.words + 1), self.words, dtype=np.uint64)
+        for i in range(self.words):
+            grams += h[i : i + len(grams)] * self.odd[i]
+        grams = _mix(grams)
+        out = []
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            if hi - lo >= self.words:
+                g = np.sort(grams[lo : hi - self.words + 1])
+                keep = np.empty(len(g), dtype=bool)
+                keep[0] = True
+                np.not_equal(g[1:], g[:-1], out=keep[1:])
+                out.append(g[keep])
+            elif hi > lo:  # the whole sequence is the one shingle
+                out.append(_mix(np.uint64(hi - lo) + (h[lo:hi] * self.odd[: hi - lo]).sum(keepdims=True, dtype=np.uint64)))
+            else:
+                out.append(np.empty(0, dtype=np.uint64))
+        return out
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, ASCII white space only
-        if not words:
-            return np.empty(0, dtype=np.uint64)
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        n = min(len(h), self.words)
-        k = len(h) - n + 1
-        odd = ODD if self.words <= len(ODD) else _mix(np.arange(1, self.words + 1, dtype=np.uint64)) | np.uint64(1)
-        s = np.full(k, n, dtype=np.uint64)
-        for i in range(n):
-            s += h[i : i + k] * odd[i]
-        return np.unique(_mix(s))
+        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        return self._hashed(raw, np.zeros(1, dtype=np.int64))[0]
+
+    def column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The sets of a column of strings, in order."""
+        if len(texts) == 0:
+            return
+        _, offsets, data = texts.buffers()
+        kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        ends = np.frombuffer(offsets, dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.empty(0, dtype=np.uint8)
+        k = 0
+        while k < len(texts):
+            stop = max(k + 1, int(np.searchsorted(ends, ends[k] + BYTES, side="right")) - 1)
+            stop = min(stop, len(texts))
+            yield from self._hashed(raw[ends[k] : ends[stop]], ends[k:stop] - ends[k])
+            k = stop
+
+
+def _parts(batch: pa.RecordBatch, column: str, shingler: Shingler, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of a batch with their sets, so that only a few sets are held at once."""
+    for k in range(0, batch.num_rows, rows):
+        part = batch.slice(k, rows)
+        yield part, list(shingler.column(part.column(part.schema.get_field_index(column))))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.r_[0, np.cumsum([len(x) for x in arrays])].astype(np.int32)
+    values = np.concatenate(arrays).view(np.int64) if arrays else np.empty(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
 def signature(shingles: np.ndarray) -> str:
@@ -82,31 +156,34 @@ def prefix_length(n: int) -> int:
 def _digests(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     """(id, n, sig) per document, and for each cell of the sketch the logarithm of its shingles' count, as bytes."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles_of, cells = Shingler(words), np.zeros(SKETCH, dtype=np.uint32)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, cells = Shingler(words), np.zeros(SKETCH, dtype=np.uint16)
         for batch in batches:
-            rows = []
-            for i, text in zip(batch["id"], batch["text"], strict=True):
-                s = shingles_of(text)
-                np.add.at(cells, (s & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
-                rows.append((i, len(s), signature(s) if len(s) else None, None, None))
-            yield pd.DataFrame(rows, columns=["id", "n", "sig", "chunk", "cells"]).astype({"chunk": "Int64"})
-        used = [k for k in range(SKETCH // CHUNK) if cells[k * CHUNK : (k + 1) * CHUNK].any()]
-        for k in range(0, len(used), 64):
-            yield pd.DataFrame([(None, None, None, c, cells[c * CHUNK : (c + 1) * CHUNK].tobytes()) for c in used[k : k + 64]], columns=["id", "n", "sig", "chunk", "cells"]).astype({"n": "Int64"})
-
-    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part, sets in _parts(batch, "text", shingler):
+                at = (np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64)
+                np.add.at(cells, at, np.uint16(1))
+                high = at[cells[at] > 60_000]
+                cells[high] = 60_000
+                none = pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) if len(x) else None for x in sets], pa.string()), none, pa.nulls(part.num_rows, pa.binary())], schema=kind)
+        cells = np.minimum(cells, 255).astype(np.uint8)
+        for k in range(0, SKETCH, CHUNK):
+            if cells[k : k + CHUNK].any():
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([k // CHUNK], pa.int64()), pa.array([cells[k : k + CHUNK].tobytes()], pa.binary())], schema=kind)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for c, b in zip(batch["chunk"], batch["cells"], strict=True):
-                sums[c] = sums.get(c, 0) + np.frombuffer(b, dtype=np.uint32).astype(np.int64)
-        out = [(c, np.minimum(255, 6 * np.log2(1 + x)).astype(np.uint8).tobytes()) for c, x in sums.items()]
-        yield pd.DataFrame(out, columns=["chunk", "cells"]).astype({"chunk": "int64"})
+            for c, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[c] = sums.get(c, 0) + np.frombuffer(b.as_buffer(), dtype=np.uint8).astype(np.int64)
+        logs = [np.minimum(255, 6 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(logs, pa.binary())], names=["chunk", "cells"])
 
-    both = staged(docs.mapInPandas(read, "id string, n long, sig string, chunk long, cells binary"), "shingle-digests")
+    kind = pa.schema([("id", pa.string()), ("n", pa.int64()), ("sig", pa.string()), ("chunk", pa.int64()), ("cells", pa.binary())])
+    both = staged(docs.mapInArrow(read, "id string, n long, sig string, chunk long, cells binary"), "shingle-digests")
     sketch = np.zeros(SKETCH, dtype=np.uint8)
     chunks = both.filter("chunk is not null").select("chunk", "cells").repartition("chunk")
-    for r in chunks.mapInPandas(total, "chunk long, cells binary").collect():  # SKETCH bytes in all
+    for r in chunks.mapInArrow(total, "chunk long, cells binary").collect():  # SKETCH bytes in all
         sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["cells"], dtype=np.uint8)
     return both.filter("chunk is null").select("id", "n", "sig"), sketch
 
@@ -134,17 +211,15 @@ def _prefixes(docs: DataFrame, words: int, sketch: np.ndarray) -> DataFrame:
     """(sig, n, prefix) per class: its first shingles in global order."""
     order = docs.sparkSession.sparkContext.broadcast(sketch)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles_of, rank = Shingler(words), order.value
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, rank = Shingler(words), order.value
         for batch in batches:
-            rows = {}
-            for text in batch["text"]:
-                if (n := len(s := shingles_of(text))) and (sig := signature(s)) not in rows:
-                    first = np.lexsort((s, rank[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[: prefix_length(n)]
-                    rows[sig] = (sig, n, s[first].view(np.int64))
-            yield pd.DataFrame(list(rows.values()), columns=["sig", "n", "prefix"]).astype({"n": "int64"})
-
-    found = docs.select("text").mapInPandas(read, "sig string, n long, prefix array<long>")
+            for _, sets in _parts(batch, "text", shingler):
+                rows = {signature(x): x for x in sets if len(x)}
+                first = [x[np.lexsort((x, rank[(x & np.uint64(SKETCH - 1)).astype(np.int64)]))[: prefix_length(len(x))]] for x in rows.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array([len(x) for x in rows.values()], pa.int64()), _lists(first)], names=["sig", "n", "prefix"])
+
+    found = docs.select("text").mapInArrow(read, "sig string, n long, prefix array<long>")
     return found.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
 
@@ -154,16 +229,18 @@ def _entries(prefixes: DataFrame) -> DataFrame:
     often = staged(often, "shared-tokens")
     bits = prefixes.sparkSession.sparkContext.broadcast(_filter(often.select(F.col("token").alias("h"))))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for sig, n, prefix in zip(batch["sig"], batch["n"], batch["prefix"], strict=True):
-                tokens = np.asarray(prefix, dtype=np.int64)
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                prefix = part.column(2)
+                tokens, sizes = prefix.flatten().to_numpy(), np.diff(prefix.offsets.to_numpy())
+                row = np.repeat(np.arange(part.num_rows), sizes)
+                pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 at = np.flatnonzero(_in_filter(bits.value, tokens.view(np.uint64)))
-                out.append(pd.DataFrame({"token": tokens[at], "sig": sig, "pos": at.astype(np.int64), "n": n}))
-            yield pd.concat(out) if out else pd.DataFrame({"token": [], "sig": [], "pos": [], "n": []})
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), part.column(0).take(pa.array(row[at])), pa.array(pos[at].astype(np.int64)), part.column(1).take(pa.array(row[at]))], names=["token", "sig", "pos", "n"])
 
-    found = prefixes.mapInPandas(read, "token long, sig string, pos long, n long")
+    found = prefixes.select("sig", "n", "prefix").mapInArrow(read, "token long, sig string, pos long, n long")
     return found.join(often, "token", "left_semi")
 
 
@@ -171,16 +248,66 @@ def _sets(docs: DataFrame, words: int, sigs: DataFrame) -> DataFrame:
     """(sig, shingles) of the classes in sigs, and of a few more."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter(sigs.select(F.conv(F.substring("sig", 1, 15), 16, 10).cast("long").alias("h"))))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles_of = Shingler(words)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
         for batch in batches:
-            rows = {}
-            for text in batch["text"]:
-                if len(s := shingles_of(text)) and (sig := signature(s)) not in rows and _in_filter(bits.value, np.array([_sig_hash(sig)], dtype=np.uint64))[0]:
-                    rows[sig] = s.view(np.int64)
-            yield pd.DataFrame({"sig": list(rows), "shingles": list(rows.values())})
+            for _, sets in _parts(batch, "text", shingler):
+                rows = {signature(x): x for x in sets if len(x)}
+                inside = _in_filter(bits.value, np.array([_sig_hash(x) for x in rows], dtype=np.uint64)) if rows else []
+                kept = [x for x, i in zip(rows, inside, strict=True) if i]
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), _lists([rows[x] for x in kept])], names=["sig", "shingles"])
+
+    return docs.select("text").mapInArrow(read, "sig string, shingles array<long>").groupBy("sig").agg(F.first("shingles").alias("shingles"))
+
 
-    return docs.select("text").mapInPandas(read, "sig string, shingles array<long>").groupBy("sig").agg(F.first("shingles").alias("shingles"))
+def _chosen(prefixes: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(sig, prefix) of the classes in sigs, and of a few more; nothing else leaves the scan."""
+    bits = prefixes.sparkSession.sparkContext.broadcast(_filter(sigs.select(F.conv(F.substring("sig", 1, 15), 16, 10).cast("long").alias("h"))))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.array([_sig_hash(x) for x in batch.column(0).to_pylist()], dtype=np.uint64)
+            yield batch.filter(pa.array(_in_filter(bits.value, h)))
+
+    return prefixes.select("sig", "prefix").mapInArrow(read, "sig string, prefix array<long>")
+
+
+def _likely(pairs: DataFrame, prefixes: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """The pairs(a, b, na, nb) that their prefixes don't rule out: up to the place in the global order where the first of
+    both prefixes ends, all shared shingles are known; behind it at most what either set has left can be shared."""
+    sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    some = staged(_chosen(prefixes, sigs), "some-prefixes")
+    order = pairs.sparkSession.sparkContext.broadcast(sketch)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rank = order.value
+        for batch in batches:
+            keep = []
+            for na, nb, x, y in zip(batch["na"], batch["nb"], batch["x"], batch["y"], strict=True):
+                sides = []
+                for p in (x, y):
+                    t = np.asarray(p, dtype=np.int64).view(np.uint64)
+                    sides.append((t, rank[(t & np.uint64(SKETCH - 1)).astype(np.int64)]))
+                r, t = min((int(rs[-1]), int(ts[-1])) for ts, rs in sides)
+                known = [ts[(rs < r) | ((rs == r) & (ts <= np.uint64(t)))] for ts, rs in sides]
+                most = len(np.intersect1d(*known, assume_unique=True)) + min(na - len(known[0]), nb - len(known[1]))
+                keep.append(9 * most >= 4 * (na + nb))
+            yield batch.loc[np.array(keep, dtype=bool), ["a", "b", "na", "nb"]]
+
+    both = pairs.join(some.select(F.col("sig").alias("a"), F.col("prefix").alias("x")), "a").join(some.select(F.col("sig").alias("b"), F.col("prefix").alias("y")), "b")
+    return both.select("a", "b", "na", "nb", "x", "y").mapInPandas(read, "a string, b string, na long, nb long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, prefixes: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """pairs(a, b, na, nb) that may link, with the exact size of the intersection, o. Whole sets are made again from the
+    texts, of the classes in those pairs only."""
+    likely = staged(_likely(pairs, prefixes, sketch), "likely-pairs")
+    if likely.isEmpty():
+        return staged(likely.withColumn("o", F.lit(0).cast("long")), "overlaps")
+    sets = staged(_sets(docs, words, likely.select(F.explode(F.array("a", "b")).alias("sig")).distinct()), "sets")
+    out = staged(_overlaps(likely, sets), "overlaps")
+    discard(sets)
+    return out
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -221,15 +348,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = digests.filter("sig is not null").groupBy("sig").agg(F.min(F.col("id").cast(id_type)).alias("least"))
     prefixes = staged(_prefixes(docs, words, sketch), "prefixes")
     entries = staged(_entries(prefixes), "entries")
-    discard(prefixes)
-    sets = staged(_sets(docs, words, entries.select("sig").distinct()), "sets")
 
     # first the leader of each list
     lead = entries.groupBy("token").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("r"), "n", "sig", "pos")).alias("l"))
     lead = staged(lead.select("token", F.col("l.sig").alias("leader"), F.col("l.n").alias("nl"), F.col("l.pos").alias("pl")), "leaders")
     led = entries.join(lead, "token")
     stars = led.filter((F.col("sig") != F.col("leader")) & _possible(F.col("n"), F.col("pos"), F.col("nl"), F.col("pl"))).select(F.col("sig").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), F.col("nl").alias("nb")).distinct()
-    stars = staged(_overlaps(stars, sets), "stars")
+    met = staged(stars, "stars")
+    stars = _verified(met, docs, words, prefixes, sketch)
     links = stars.filter(linked(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b")
     labels = staged(connected(links), "star-components")
 
@@ -250,9 +376,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     upper = F.coalesce(F.least(F.col("o_b") + F.col("n_a") - F.col("o_a"), F.col("o_a") + F.col("n_b") - F.col("o_b")), F.col("n_b"))
     lower = F.coalesce(F.col("o_a") + F.col("o_b") - F.col("nl"), F.lit(0))
     pairs = pairs.filter(9 * upper >= 4 * total).groupBy(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).agg(F.first("n_a").alias("na"), F.first("n_b").alias("nb"), F.max(9 * lower >= 4 * total).alias("sure"))
-    done = stars.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    done = met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     pairs = staged(pairs.join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti"), "open-pairs")
-    found = _overlaps(pairs.filter("not sure").drop("sure"), sets).filter(linked(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b")
+    found = _verified(pairs.filter("not sure").drop("sure"), docs, words, prefixes, sketch).filter(linked(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b")
     more = staged(found.unionByName(pairs.filter("sure").select("a", "b")), "more-links")
     if not more.isEmpty():
         labels = staged(connected(links.unionByName(more)), "components")
