@@ -30,22 +30,38 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/_marlspark/{spark.sparkContext.applicationId}"
 
 
+#: Folders of the tables that `staged` has made and nothing has deleted yet.
+MADE: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and a lost executor
     costs only the tasks that ran on it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    MADE[:] = [p for p in MADE if p != path]
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table made by `staged`, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/marlspark/" in path or "/_marlspark/" in path:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+    for path in [p for p in MADE if p.rsplit("/", 1)[-1] in names]:
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Deletes the tables made after the first `since`, but for the one that `keep` reads."""
+    names = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()}
+    for path in [p for p in MADE[since:] if p.rsplit("/", 1)[-1] not in names]:
+        _delete(spark, path)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -66,9 +82,9 @@ def with_group(rows: DataFrame, keys: list[str], folds: dict[str, tuple[Column,
     return salted.join(back, [*keys, "_salt"]).drop("_salt")
 
 
-def row_buckets(n_rows: int, per_bucket: int = 2000) -> int:
-    """Buckets for `ranked`: a power of two that keeps each one near per_bucket rows, at least 64."""
-    n = 64
+def row_buckets(n_rows: int, per_bucket: int = 1000) -> int:
+    """Buckets for `ranked`: a power of two that keeps each one near per_bucket rows, at least 1024."""
+    n = 1024
     while n * per_bucket < n_rows:
         n *= 2
     return n
@@ -81,7 +97,7 @@ def ranked(rows: DataFrame, group: list[str], order: list[str], name: str, n_row
     group. rows must read the same twice (see `staged`), and `order` must tell its rows apart.
     """
     n = row_buckets(n_rows)
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order, F.lit(name)), F.lit(n)).cast("int"))
     counts = rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_bucket").alias("_g_bucket"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
