@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_HITS = 2000
@@ -51,3 +53,58 @@ def list_files(paths: DataFrame, column: str, needle: str = "", limit: int = 30)
 
 def glob_paths(files: DataFrame, column: str, glob: str, limit: int, ties: list[str]) -> DataFrame:
     return files.filter(F.col(column).rlike(glob_pattern(glob))).orderBy(column, *ties).limit(limit)
+
+
+def html_text(pages: DataFrame, html_col: str) -> DataFrame:
+    """Adds text: the text nodes, stripped and joined by line ends, without script and style."""
+    @F.pandas_udf("string")
+    def strip(s: pd.Series) -> pd.Series:
+        return s.map(lambda h: plain_text(h or ""), na_action=None)
+
+    return pages.withColumn("text", strip(html_col))
+
+
+def plain_text(source: str) -> str:
+    class Reader(HTMLParser):
+        def __init__(self) -> None:
+            super().__init__(convert_charrefs=True)
+            self.skip, self.parts = 0, []
+
+        def handle_starttag(self, tag: str, attrs: list) -> None:
+            self.skip += tag in ("script", "style")
+
+        def handle_endtag(self, tag: str) -> None:
+            if tag in ("script", "style") and self.skip:
+                self.skip -= 1
+
+        def handle_data(self, data: str) -> None:
+            if not self.skip and data.strip():
+                self.parts.append(data.strip())
+
+    reader = Reader()
+    reader.feed(source)
+    reader.close()
+    return "\n".join(reader.parts)
+
+
+def table_rows(rows: DataFrame, text_col: str) -> DataFrame:
+    """One row per body line of a Markdown table: cells, padded or cut to the width of the header."""
+    others = [c for c in rows.columns if c != text_col]
+    cut = lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
+    got = rows.withColumn("_lines", F.filter(F.split(F.col(text_col), "\n"), lambda x: F.trim(x) != "")).withColumn("header", cut(F.col("_lines")[0]))
+    body = got.select(*others, "header", F.posexplode(F.slice("_lines", F.lit(3), F.greatest(F.lit(0), F.size("_lines") - 2))).alias("row", "_line")).withColumn("cells", cut(F.col("_line")))
+    width = F.size("header")
+    padded = F.slice(F.concat("cells", F.array_repeat(F.lit(""), width)), F.lit(1), width)
+    return body.withColumn("cells", padded).drop("_line")
+
+
+def element_groups(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """Adds group, from 1: a group ends before a table that would be its (most + 1)-th."""
+    seen = F.sum(F.col("is_table").cast("int")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("group", F.greatest(F.lit(1), F.ceil(seen / most)))
+
+
+def porcelain_path(line: Column) -> Column:
+    """The path of a status line; of a rename its target."""
+    path = F.substring(line, 4, 10_000)
+    return F.regexp_replace(F.when(path.contains(" -> "), F.regexp_extract(path, r"^.* -> (.*)$", 1)).otherwise(path), '^"|"$', "")

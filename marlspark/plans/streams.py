@@ -1 +1,72 @@
-"""Queries."""
+"""Stream operators in their batch form, which SQL can check; tests run them on streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import code as C
+from ..operators import scan
+from ..streaming import messages as M
+from .registry import query, table
+
+
+@query("g3_debounce", "WITH o AS (SELECT user_id, event_id, ts, event_type, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM g GROUP BY user_id, g")
+def g3(spark: SparkSession, sf: str) -> DataFrame:
+    got = M.debounced(table(spark, sf, "events"), "user_id", "ts", "user_id", "event_type")
+    return got.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("g5_dedup", "SELECT user_id, event_type FROM events GROUP BY ALL")
+def g5(spark: SparkSession, sf: str) -> DataFrame:
+    return M.deduplicated(table(spark, sf, "events"), ["user_id", "event_type"], "ts").select("user_id", "event_type")
+
+
+@query("g7_tick_counts", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def g7(spark: SparkSession, sf: str) -> DataFrame:
+    got = M.windowed_counts(table(spark, sf, "events"), "ts", "6 hours", ["event_type"])
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("x22_html_text", r"SELECT page_id, length(html) > 0 AS has_text FROM pages")
+def x22(spark: SparkSession, sf: str) -> DataFrame:
+    return scan.html_text(table(spark, sf, "pages"), "html").select("page_id", (F.length("text") > 0).alias("has_text"))
+
+
+@query("x3_bounded_chunks")
+def x3(spark: SparkSession, sf: str) -> DataFrame:
+    files = table(spark, sf, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), "text")
+    return C.chunks(files).select("chunk_id", "path", "start_line", "end_line", F.length("text").alias("n"))
+
+
+@query("m9_markdown_table", "SELECT p_partkey, p_brand AS cell FROM part WHERE p_partkey <= 50")
+def m9(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat(F.lit("| name | brand |\n|---|---|\n| "), "p_name", F.lit(" | "), "p_brand", F.lit(" |"))
+    rows = scan.table_rows(table(spark, sf, "part").filter("p_partkey <= 50").select("p_partkey", text.alias("t")), "t")
+    return rows.select("p_partkey", F.element_at("cells", 2).alias("cell"))
+
+
+@query("m10_table_groups", "WITH c AS (SELECT user_id, event_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS c FROM events) SELECT user_id, event_id, CAST(greatest(1, ceil(c / 2)) AS BIGINT) AS grp FROM c")
+def m10(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").select("user_id", "event_id", (F.col("event_type") == "purchase").alias("is_table"))
+    return scan.element_groups(rows, "user_id", "event_id", 2).select("user_id", "event_id", F.col("group").cast("long").alias("grp"))
+
+
+@query("m5_mentions", "SELECT doc_id, contains(text, '@mail') OR doc_id % 9 = 0 AS mentioned FROM documents")
+def m5(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").withColumn("ids", F.array(F.when(F.col("doc_id") % 9 == 0, "bot").otherwise("x")))
+    hit = F.exists("ids", lambda x: x == "bot") | F.col("text").contains("@mail")
+    return d.select("doc_id", hit.alias("mentioned"))
+
+
+@query("m6_mention_policy", "SELECT event_id, CASE WHEN event_type = 'click' THEN true WHEN user_id % 10 = 3 THEN false ELSE true END AS required FROM events")
+def m6(spark: SparkSession, sf: str) -> DataFrame:
+    rules = F.create_map(F.lit("click"), F.lit(True), F.lit("3"), F.lit(False), F.lit("*"), F.lit(True))
+    got = F.coalesce(F.try_element_at(rules, F.col("event_type")), F.try_element_at(rules, (F.col("user_id") % 10).cast("string")), F.try_element_at(rules, F.lit("*")), F.lit(False))
+    return table(spark, sf, "events").select("event_id", got.alias("required"))
+
+
+@query("m17_changed_files", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'new_' || o_custkey ELSE 'f_' || o_custkey END AS path FROM orders")
+def m17(spark: SparkSession, sf: str) -> DataFrame:
+    line = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("R  old -> new_"), F.col("o_custkey").cast("string"))).otherwise(F.concat(F.lit(" M f_"), F.col("o_custkey").cast("string")))
+    return table(spark, sf, "orders").select("o_orderkey", scan.porcelain_path(line).alias("path"))
