@@ -224,7 +224,7 @@ def _prefixes(docs: DataFrame, words: int, sketch: np.ndarray) -> DataFrame:
 
 
 def _entries(prefixes: DataFrame) -> DataFrame:
-    """(token, sig, pos, n) of the tokens that at least two classes have in their prefix."""
+    """(token, sig, pos, n) of the tokens that at least two classes have in their prefix, and of a few more."""
     often = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("token")
     often = staged(often, "shared-tokens")
     bits = prefixes.sparkSession.sparkContext.broadcast(_filter(often.select(F.col("token").alias("h"))))
@@ -240,8 +240,7 @@ def _entries(prefixes: DataFrame) -> DataFrame:
                 at = np.flatnonzero(_in_filter(bits.value, tokens.view(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), part.column(0).take(pa.array(row[at])), pa.array(pos[at].astype(np.int64)), part.column(1).take(pa.array(row[at]))], names=["token", "sig", "pos", "n"])
 
-    found = prefixes.select("sig", "n", "prefix").mapInArrow(read, "token long, sig string, pos long, n long")
-    return found.join(often, "token", "left_semi")
+    return prefixes.select("sig", "n", "prefix").mapInArrow(read, "token long, sig string, pos long, n long")
 
 
 def _sets(docs: DataFrame, words: int, sigs: DataFrame) -> DataFrame:
@@ -349,19 +348,20 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prefixes = staged(_prefixes(docs, words, sketch), "prefixes")
     entries = staged(_entries(prefixes), "entries")
 
-    # first the leader of each list
-    lead = entries.groupBy("token").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("r"), "n", "sig", "pos")).alias("l"))
-    lead = staged(lead.select("token", F.col("l.sig").alias("leader"), F.col("l.n").alias("nl"), F.col("l.pos").alias("pl")), "leaders")
-    led = entries.join(lead, "token")
+    # first the leader of each list; lists of one are the filter's false positives
+    lead = entries.groupBy("token").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("r"), "n", "sig", "pos")).alias("l"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    lead = staged(lead.select("token", F.col("l.sig").alias("leader"), F.col("l.n").alias("nl"), F.col("l.pos").alias("pl"), "sets"), "leaders")
+    led = staged(entries.join(lead, "token"), "led")
+    discard(entries)
     stars = led.filter((F.col("sig") != F.col("leader")) & _possible(F.col("n"), F.col("pos"), F.col("nl"), F.col("pl"))).select(F.col("sig").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), F.col("nl").alias("nb")).distinct()
     met = staged(stars, "stars")
     stars = _verified(met, docs, words, prefixes, sketch)
     links = stars.filter(linked(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b")
     labels = staged(connected(links), "star-components")
 
-    # then what is left between components, by blocks, with bounds from the leaders' answers
+    # then what is left between components, by blocks, with bounds from the leaders' answers; a list of two is done
     known = stars.select(F.col("a").alias("sig"), F.col("b").alias("leader"), "o")
-    full = led.join(known, ["sig", "leader"], "left").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left")
+    full = led.filter("sets > 2").join(known, ["sig", "leader"], "left").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left")
     full = full.select("token", "sig", "pos", "n", "nl", F.coalesce("label", "sig").alias("label"), F.when(F.col("sig") == F.col("leader"), F.col("n")).otherwise(F.col("o")).alias("o"))
     full = staged(full, "labelled-entries")
     mixed = full.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("token")
