@@ -145,8 +145,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def signature(shingles: np.ndarray) -> str:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).hexdigest()
+def signature(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def prefix_length(n: int) -> int:
@@ -165,11 +165,11 @@ def _digests(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
                 high = at[cells[at] > 60_000]
                 cells[high] = 60_000
                 none = pa.nulls(part.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) if len(x) else None for x in sets], pa.string()), none, pa.nulls(part.num_rows, pa.binary())], schema=kind)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) if len(x) else None for x in sets], pa.binary()), none, pa.nulls(part.num_rows, pa.binary())], schema=kind)
         cells = np.minimum(cells, 255).astype(np.uint8)
         for k in range(0, SKETCH, CHUNK):
             if cells[k : k + CHUNK].any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([k // CHUNK], pa.int64()), pa.array([cells[k : k + CHUNK].tobytes()], pa.binary())], schema=kind)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([k // CHUNK], pa.int64()), pa.array([cells[k : k + CHUNK].tobytes()], pa.binary())], schema=kind)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -179,8 +179,8 @@ def _digests(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
         logs = [np.minimum(255, 6 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(logs, pa.binary())], names=["chunk", "cells"])
 
-    kind = pa.schema([("id", pa.string()), ("n", pa.int64()), ("sig", pa.string()), ("chunk", pa.int64()), ("cells", pa.binary())])
-    both = staged(docs.mapInArrow(read, "id string, n long, sig string, chunk long, cells binary"), "shingle-digests")
+    kind = pa.schema([("id", pa.string()), ("n", pa.int64()), ("sig", pa.binary()), ("chunk", pa.int64()), ("cells", pa.binary())])
+    both = staged(docs.mapInArrow(read, "id string, n long, sig binary, chunk long, cells binary"), "shingle-digests")
     sketch = np.zeros(SKETCH, dtype=np.uint8)
     chunks = both.filter("chunk is not null").select("chunk", "cells").repartition("chunk")
     for r in chunks.mapInArrow(total, "chunk long, cells binary").collect():  # SKETCH bytes in all
@@ -203,8 +203,8 @@ def _in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
 
 
-def _sig_hash(sig: str) -> int:
-    return int(sig[:15], 16)
+def _sig_hash(sig: bytes) -> int:
+    return int.from_bytes(sig[:7], "big")
 
 
 def _prefixes(docs: DataFrame, words: int, sketch: np.ndarray) -> DataFrame:
@@ -217,9 +217,9 @@ def _prefixes(docs: DataFrame, words: int, sketch: np.ndarray) -> DataFrame:
             for _, sets in _parts(batch, "text", shingler):
                 rows = {signature(x): x for x in sets if len(x)}
                 first = [x[np.lexsort((x, rank[(x & np.uint64(SKETCH - 1)).astype(np.int64)]))[: prefix_length(len(x))]] for x in rows.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array([len(x) for x in rows.values()], pa.int64()), _lists(first)], names=["sig", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array([len(x) for x in rows.values()], pa.int64()), _lists(first)], names=["sig", "n", "prefix"])
 
-    found = docs.select("text").mapInArrow(read, "sig string, n long, prefix array<long>")
+    found = docs.select("text").mapInArrow(read, "sig binary, n long, prefix array<long>")
     return found.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
 
@@ -240,12 +240,12 @@ def _entries(prefixes: DataFrame) -> DataFrame:
                 at = np.flatnonzero(_in_filter(bits.value, tokens.view(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), part.column(0).take(pa.array(row[at])), pa.array(pos[at].astype(np.int64)), part.column(1).take(pa.array(row[at]))], names=["token", "sig", "pos", "n"])
 
-    return prefixes.select("sig", "n", "prefix").mapInArrow(read, "token long, sig string, pos long, n long")
+    return prefixes.select("sig", "n", "prefix").mapInArrow(read, "token long, sig binary, pos long, n long")
 
 
 def _sets(docs: DataFrame, words: int, sigs: DataFrame) -> DataFrame:
     """(sig, shingles) of the classes in sigs, and of a few more."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(sigs.select(F.conv(F.substring("sig", 1, 15), 16, 10).cast("long").alias("h"))))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(sigs.select(F.conv(F.hex(F.substring("sig", 1, 7)), 16, 10).cast("long").alias("h"))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -254,21 +254,21 @@ def _sets(docs: DataFrame, words: int, sigs: DataFrame) -> DataFrame:
                 rows = {signature(x): x for x in sets if len(x)}
                 inside = _in_filter(bits.value, np.array([_sig_hash(x) for x in rows], dtype=np.uint64)) if rows else []
                 kept = [x for x, i in zip(rows, inside, strict=True) if i]
-                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), _lists([rows[x] for x in kept])], names=["sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), _lists([rows[x] for x in kept])], names=["sig", "shingles"])
 
-    return docs.select("text").mapInArrow(read, "sig string, shingles array<long>").groupBy("sig").agg(F.first("shingles").alias("shingles"))
+    return docs.select("text").mapInArrow(read, "sig binary, shingles array<long>").groupBy("sig").agg(F.first("shingles").alias("shingles"))
 
 
 def _chosen(prefixes: DataFrame, sigs: DataFrame) -> DataFrame:
     """(sig, prefix) of the classes in sigs, and of a few more; nothing else leaves the scan."""
-    bits = prefixes.sparkSession.sparkContext.broadcast(_filter(sigs.select(F.conv(F.substring("sig", 1, 15), 16, 10).cast("long").alias("h"))))
+    bits = prefixes.sparkSession.sparkContext.broadcast(_filter(sigs.select(F.conv(F.hex(F.substring("sig", 1, 7)), 16, 10).cast("long").alias("h"))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = np.array([_sig_hash(x) for x in batch.column(0).to_pylist()], dtype=np.uint64)
             yield batch.filter(pa.array(_in_filter(bits.value, h)))
 
-    return prefixes.select("sig", "prefix").mapInArrow(read, "sig string, prefix array<long>")
+    return prefixes.select("sig", "prefix").mapInArrow(read, "sig binary, prefix array<long>")
 
 
 def _likely(pairs: DataFrame, prefixes: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -294,7 +294,7 @@ def _likely(pairs: DataFrame, prefixes: DataFrame, sketch: np.ndarray) -> DataFr
             yield batch.loc[np.array(keep, dtype=bool), ["a", "b", "na", "nb"]]
 
     both = pairs.join(some.select(F.col("sig").alias("a"), F.col("prefix").alias("x")), "a").join(some.select(F.col("sig").alias("b"), F.col("prefix").alias("y")), "b")
-    return both.select("a", "b", "na", "nb", "x", "y").mapInPandas(read, "a string, b string, na long, nb long")
+    return both.select("a", "b", "na", "nb", "x", "y").mapInPandas(read, "a binary, b binary, na long, nb long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, prefixes: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -318,7 +318,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch[["a", "b", "na", "nb"]].assign(o=np.array(o, dtype=np.int64))
 
     both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "na", "nb", "x", "y").mapInPandas(read, "a string, b string, na long, nb long, o long")
+    return both.select("a", "b", "na", "nb", "x", "y").mapInPandas(read, "a binary, b binary, na long, nb long, o long")
 
 
 def linked(o: Column, na: Column, nb: Column) -> Column:
