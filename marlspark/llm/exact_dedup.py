@@ -33,7 +33,7 @@ def _cell(sha: str, which: int, bits: int) -> Column:
     return (F.conv(F.substring(sha, 1 + 13 * which, 13), 16, 10).cast("long") % F.lit(bits)).cast("long")
 
 
-def _bit(bitmap: str, cell: str) -> Column:
+def in_bitmap(bitmap: str, cell: str) -> Column:
     """Whether bit `cell` of its block is set; a missing block has none."""
     return F.expr(f"coalesce(shiftright(cast(conv(hex(substring({bitmap}, cast({cell} % {BLOCK} as int) div 8 + 1, 1)), 16, 10) as int), cast({cell} % 8 as int)) & 1, 0) = 1")
 
@@ -59,7 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for k in (0, 1):
         rows = rows.withColumn(f"_c{k}", _cell("_sha", k, bits)).withColumn(f"_k{k}", (F.col(f"_c{k}") / BLOCK).cast("long"))
         rows = rows.join(blocks.select(F.col("_block").alias(f"_k{k}"), F.col("_bits").alias(f"_b{k}")), f"_k{k}", "left")
-    rows = rows.withColumn("_maybe", _bit("_b0", "_c0") & _bit("_b1", "_c1"))
+    rows = rows.withColumn("_maybe", in_bitmap("_b0", "_c0") & in_bitmap("_b1", "_c1"))
     plain = ["_id", "_sha", "_row", "_carry"]
 
     def shaped(df: DataFrame, keep: Column, size: Column, kept: Column) -> DataFrame:

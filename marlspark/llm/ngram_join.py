@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, staged, table
 from .components import connected
+from .exact_dedup import in_bitmap
 
 WORDS = 5
 SKETCH, CHUNK, FILTER, BLOCK = 1 << 24, 1 << 16, 1 << 26, 32768
@@ -392,9 +393,17 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """The documents without those that link to one with a smaller id: all their columns, one per component."""
-    kept = components(docs, id_col, text_col, words).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(staged(kept, "kept-ids"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    """The documents without those that link to one with a smaller id: all their columns, one per component. A document
+    whose id isn't in the filter of the dropped ids passes straight through; only the others shuffle with their texts."""
+    found = staged(components(docs, id_col, text_col, words).select(F.col(id_col).alias("_id"), F.col(id_col).eqNullSafe(F.col("component_id")).alias("_stays")), "verdicts")
+    cell = F.pmod(F.xxhash64("_id"), F.lit(FILTER))
+    blocks = found.filter("not _stays").select(cell.alias("_c")).groupBy(F.expr(f"_c div {BLOCK}").alias("_block")).agg(F.bitmap_construct_agg(F.col("_c") % BLOCK).alias("_bits"))
+    boxed = docs.select(F.col(id_col).alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_box")).withColumn("_cell", cell)
+    boxed = boxed.withColumn("_block", F.expr(f"_cell div {BLOCK}")).join(F.broadcast(staged(blocks, "dropped-filter")), "_block", "left")  # at most FILTER / 8 bytes
+    boxed = boxed.withColumn("_maybe", in_bitmap("_bits", "_cell")).select("_id", "_box", "_maybe")
+    stay = found.filter("_stays").select(F.col("_id").alias("_kept")).distinct()
+    maybe = boxed.filter("_maybe").join(stay, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return boxed.filter("not _maybe").unionByName(maybe).select("_box.*")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
