@@ -3,23 +3,28 @@
 Documents with equal texts are linked. Shards hold floor(N/K) or one more rows each, always. Groups that are large
 against a shard, of which there are at most 64*K, are laid out first, split over shards only where they can't fit.
 The members of all other groups start on shards in proportion to the room; then, round after round, each group whose
-members are on several shards proposes to move them to the one where most of them are and room is left, and
-proposals are accepted in a random order of hash buckets up to each shard's room. What stays cut is what the quotas
-don't let move. Documents without links fill the shards up to their quotas at the end.
+members are on several shards proposes to move those on the shard with fewest of them to the one with most (either way
+if both have as many). The driver adds the proposals up per pair of shards and accepts what keeps the quotas when all
+of it moves at once: exchanges between shards, full ones too, longer cycles, and chains that end where room is.
+Rounds go on until no accepted move is left. Documents without links fill the shards up to their quotas at the end.
 
-The driver sees the large groups, and per round K numbers. A group is one row with at most K (shard, members) pairs.
+The driver sees the large groups, and per round at most 2*K^2 numbers. A group is one row with at most K (shard,
+members) pairs; groups that have come together on one shard take no part in further rounds.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict, deque
+from functools import reduce
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, ranked, staged, table, with_group
 
-SHARDS, ROUNDS, BUCKETS, LARGE = 40, 8, 1024, 64
+#: QUIET: propagation ends after so many rounds in a row, each with other ties, in which no group can move.
+SHARDS, QUIET, BUCKETS, LARGE = 40, 3, 1024, 64
 OVERHEAD = 16
 
 
@@ -67,35 +72,119 @@ def _fill(n: int, room: list[int]) -> list[int]:
     return out
 
 
-def propagate(state: DataFrame, room: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """state: key, at array<struct<n, shard>>; room: what each shard may take besides. Returns the last state."""
-    for turn in range(rounds):
-        loads = {r["shard"]: r["n"] for r in state.select(F.explode("at").alias("a")).groupBy("a.shard").agg(F.sum("a.n").alias("n")).collect()}
-        free = [r - loads.get(k, 0) for k, r in enumerate(room)]
-        rooms = F.array(*[F.lit(f).cast("long") for f in free])
-        total = F.aggregate("at", F.lit(0).cast("long"), lambda s, a: s + a["n"])
-        open_ = F.filter("at", lambda a: F.element_at(rooms, a["shard"] + 1) >= F.col("total") - a["n"])
-        proposed = state.withColumn("total", total).withColumn("to", F.when(F.size("at") > 1, F.array_max(F.transform(open_, lambda a: F.struct(a["n"].alias("n"), F.xxhash64("key", a["shard"]).alias("tie"), a["shard"].alias("shard"))))))
-        proposed = staged(proposed.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(BUCKETS))), "proposals")
-        wanted: dict[int, list] = {}
-        asked = proposed.filter("to is not null").groupBy("to.shard", "bucket").agg(F.sum(F.col("total") - F.col("to.n")).alias("n"))
-        for r in asked.orderBy("shard", "bucket").collect():  # at most shards * BUCKETS rows
-            wanted.setdefault(r["shard"], []).append((r["bucket"], r["n"]))
-        last = []
-        for k, f in enumerate(free):
-            cut = -1
-            for bucket, n in wanted.get(k, []):
-                if n > f:
-                    break
-                f, cut = f - n, bucket
-            last.append(cut)
-        if max(last, default=-1) < 0:
-            return state
-        lasts = F.array(*[F.lit(x).cast("long") for x in last])
-        moves = F.col("to").isNotNull() & (F.col("bucket") <= F.element_at(lasts, F.col("to.shard") + 1))
-        state = staged(proposed.select("key", F.when(moves, F.array(F.struct(F.col("total").alias("n"), F.col("to.shard").alias("shard")))).otherwise(F.col("at")).alias("at")), "labels")
-        discard(proposed)
-    return state
+def exchange(asked: dict[tuple[int, int, bool], int], room: list[int]) -> dict[tuple[int, int, bool], tuple[int, int]]:
+    """What of the proposed moves goes at once without any shard over its quota: cycles of moves between shards, full
+    ones too, and chains that end where room is. Takes from room and gives to it.
+
+    asked: (a, b, either way) -> members that groups would move from a to b; either way, or from b to a instead.
+    Returns per key the members to move from a to b and from b to a. No cycle or chain is left among the rest.
+    """
+    left, moved = dict(asked), {k: [0, 0] for k in asked}
+    ends, slack = defaultdict(list), len(room)  # (to, key, direction) by shard; slack is the node of free room
+    for (a, b, either), _ in sorted(asked.items()):
+        ends[a].append((b, (a, b, either), 0))
+        if either:
+            ends[b].append((a, (a, b, either), 1))
+
+    def push(edges: list, most: int | None = None) -> int:
+        uses = Counter(k for k, _ in edges)
+        n = min(left[k] // c for k, c in uses.items())
+        n = n if most is None else min(n, most)
+        for k, way in edges:
+            left[k] -= n
+            moved[k][way] += n
+        return n
+
+    def path(start: int, goal: int, held: tuple) -> list | None:
+        """Edges from start to goal; through the node of free room at most once, as (None, shard left, shard entered)."""
+        seen, queue = {start: None}, deque([start])
+        while queue:
+            u = queue.popleft()
+            if u == slack:
+                steps = [(v, None, 0) for v in range(len(room))]
+            else:
+                steps = [(v, k, way) for v, k, way in ends[u] if left[k] > (k == held)]
+                if room[u] > 0:
+                    steps.append((slack, None, 0))
+            for v, k, way in steps:
+                if v not in seen:
+                    seen[v] = (u, k, way)
+                    if v == goal:
+                        out = []
+                        while seen[v] is not None:
+                            u, k, way = seen[v]
+                            out.append((u, v, k, way))
+                            v = u
+                        return out[::-1]
+                    queue.append(v)
+        return None
+
+    for (a, b, either), n in asked.items():  # straight exchanges first
+        if either and n > 1:
+            push([((a, b, True), 0), ((a, b, True), 1)])
+    again = True
+    while again:
+        again = False
+        for a in range(len(room)):
+            for b, k, way in ends[a]:
+                while left[k] > 0 and (found := path(b, a, k)) is not None:
+                    gives, takes = next((u for u, v, *_ in found if v == slack), None), next((v for u, v, *_ in found if u == slack), None)
+                    n = push([(k, way), *((x, w) for _, _, x, w in found if x is not None)], None if gives is None else room[gives])
+                    if gives is not None:
+                        room[gives] -= n
+                        room[takes] += n
+                    again = True
+    return {k: tuple(v) for k, v in moved.items()}
+
+
+def _proposals(cut: DataFrame, turn: int, any_pair: bool) -> DataFrame:
+    """Adds f, t (shards), units (members of f) and either to each cut group: t has most of its members, f fewest, with
+    ties broken by hash; any_pair takes two shards of it by hash alone."""
+    tie = lambda a: F.xxhash64("key", a["shard"], F.lit(turn))
+    by = (lambda a: F.struct(tie(a).alias("tie"), a["n"].alias("n"), a["shard"].alias("shard"))) if any_pair else (lambda a: F.struct(a["n"].alias("n"), tie(a).alias("tie"), a["shard"].alias("shard")))
+    sorted_ = cut.withColumn("_o", F.array_sort(F.transform("at", by)))
+    sorted_ = sorted_.withColumn("_x", F.element_at("_o", 1)).withColumn("_y", F.element_at("_o", -1))
+    either, swap = F.col("_x.n") == F.col("_y.n"), (F.col("_x.n") > F.col("_y.n")) | ((F.col("_x.n") == F.col("_y.n")) & (F.col("_x.shard") > F.col("_y.shard")))
+    f, t = F.when(swap, F.col("_y")).otherwise(F.col("_x")), F.when(swap, F.col("_x")).otherwise(F.col("_y"))
+    return sorted_.withColumn("f", f["shard"]).withColumn("t", t["shard"]).withColumn("units", f["n"]).withColumn("either", either).drop("_o", "_x", "_y")
+
+
+def propagate(state: DataFrame, room: list[int]) -> DataFrame:
+    """state: key, at array<struct<n, shard>>; room: what each shard may take in all. Returns the last state."""
+    loads = {r["shard"]: r["n"] for r in state.select(F.explode("at").alias("a")).groupBy("a.shard").agg(F.sum("a.n").alias("n")).collect()}
+    free = [r - loads.get(k, 0) for k, r in enumerate(room)]
+    squares = F.sum(F.aggregate("at", F.lit(0).cast("long"), lambda s, a: s + a["n"] * a["n"]))
+    whole, cut, turn, quiet = [state.filter(F.size("at") < 2)], state.filter(F.size("at") > 1), 0, 0
+    n_cut, before = cut.agg(F.count(F.lit(1)), squares).first()
+    while n_cut and quiet < QUIET:
+        classes = ["f", "t", "either"]
+        asks = _proposals(cut, turn, quiet > 0).withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(turn), F.lit("order")), F.lit(BUCKETS)))
+        counts = staged(asks.groupBy(*classes, "bucket").agg(F.sum("units").alias("n")), "proposals")
+        asked = {(r["f"], r["t"], r["either"]): r["n"] for r in counts.groupBy(*classes).agg(F.sum("n").alias("n")).collect()}  # at most 2 * shards^2
+        moved = exchange(asked, free)
+        goes = [(*k, fwd, back) for k, (fwd, back) in moved.items() if fwd or back]
+        turn += 1
+        if not goes:
+            discard(counts)
+            quiet += 1
+            continue
+        earlier = Window.partitionBy(*classes).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select(*classes, "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+        accepted = state.sparkSession.createDataFrame(goes, "f int, t int, either boolean, fwd long, back long")
+        own = F.sum("units").over(Window.partitionBy(*classes, "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+        lo = asks.join(F.broadcast(accepted), classes, "left").withColumn("_own", F.coalesce(own, F.lit(0))).join(offsets, [*classes, "bucket"]).withColumn("lo", F.col("offset") + F.col("_own"))
+        part = lambda a, b: F.greatest(F.lit(0).cast("long"), F.least(F.col("lo") + F.col("units"), b) - F.greatest(F.col("lo"), a))
+        fwd, back = F.coalesce("fwd", F.lit(0).cast("long")), F.coalesce("back", F.lit(0).cast("long"))
+        net = part(F.lit(0).cast("long"), fwd) - part(fwd, fwd + back)
+        shifted = F.transform("at", lambda a: F.struct((a["n"] + F.when(a["shard"] == F.col("t"), F.col("net")).when(a["shard"] == F.col("f"), -F.col("net")).otherwise(F.lit(0).cast("long"))).alias("n"), a["shard"].alias("shard")))
+        new = staged(lo.withColumn("net", net).select("key", F.filter(shifted, lambda a: a["n"] > 0).alias("at")), "labels")
+        discard(counts)
+        now = new.agg(squares.alias("s")).first()["s"]
+        whole.append(new.filter(F.size("at") < 2))
+        cut = new.filter(F.size("at") > 1)
+        quiet = 0 if now > before else quiet + 1
+        n_cut, before = cut.agg(F.count(F.lit(1)), squares).first()
+    return reduce(DataFrame.unionByName, whole, cut)
 
 
 def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:

@@ -234,3 +234,31 @@ def test_shards_are_even_and_keep_copies_together(spark):
 @pytest.mark.parametrize("f", [exact_dedup.exact_dedup, ngram_join.components, ngram_join.keep_one, quality.quality_filter, mixing.mixed, mixing.mix_documents, packing.packed, sharding.sharded])
 def test_empty_tables(spark, f):
     assert f(make(spark, []).filter(F.lit(False))).count() == 0
+
+
+def cut_groups(rows):
+    shards = collections.defaultdict(set)
+    for r in rows:
+        shards[r["text_crc32"]].add(r["shard"])
+    return sum(len(x) > 1 for x in shards.values())
+
+
+def test_full_shards_swap_until_no_pair_is_cut(spark):
+    docs = [(i, f"pair {i // 2}", "s") for i in range(4000)]  # no unique rows: every shard is full from the start
+    got = sharding.sharded(make(spark, docs), shards=8).collect()
+    assert len(got) == 4000 and set(collections.Counter(r["shard"] for r in got).values()) == {500}
+    assert cut_groups(got) == 0
+
+
+def test_exchange_keeps_the_quotas():
+    rng = random.Random(7)
+    for _ in range(50):
+        room = [rng.choice([0, 0, 1, 3]) for _ in range(6)]
+        pairs = [rng.sample(range(6), 2) for _ in range(12)]
+        asked = {(min(p), max(p), True) if e else (*p, False): rng.randrange(1, 9) for p in pairs for e in (rng.random() < 0.5,)}
+        left = list(room)
+        moved = sharding.exchange(asked, left)
+        assert all(sum(v) <= asked[k] and (k[2] or v[1] == 0) for k, v in moved.items())
+        taken = [sum((v[0] - v[1]) * ((k[1] == s) - (k[0] == s)) for k, v in moved.items()) for s in range(6)]
+        assert left == [r - t for r, t in zip(room, taken, strict=True)] and min(left) >= 0
+    assert sharding.exchange({(0, 1, False): 2, (1, 2, False): 3, (2, 0, False): 2}, [0, 0, 0]) == {(0, 1, False): (2, 0), (1, 2, False): (2, 0), (2, 0, False): (2, 0)}
