@@ -3,31 +3,38 @@
 The rows of a source form blocks. Block b (from 0) of a source with integer weight w out of a sum D may start at slot
 floor(b*D/w), its release, and must be done by ceil((b+1)*D/w), its deadline. Earliest deadline first among the
 released blocks fills each slot, and then at any slot t a source has had less than one block more or less than t*w/D.
-The schedule repeats every D slots, so the driver works out D slots only, and each row's place is closed-form
-arithmetic on its rank within its source. When a source runs out, the rest go on with their weights: a new phase.
+The schedule repeats every D slots, so the driver works out D slots only, or fewer where the phase ends before, and
+each row's place is closed-form arithmetic on its rank within its source. When a source runs out, the rest go on with
+their weights: a new phase.
 
-Nothing is dropped or repeated. The driver holds one row per source, at most MAX_SOURCES (the rest are pooled as one),
-and per phase D slots, D <= about RESOLUTION + MAX_SOURCES.
+Nothing is dropped, repeated or pooled, however many sources there are. The driver holds one row per source, and per
+phase the sources that have a block in it and their slots, together never more than there are blocks.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ranked, staged, table
 
-MAX_SOURCES, RESOLUTION, BLOCK_ROWS = 256, 1000, 16
-POOLED = "(other sources)"
+RESOLUTION, BLOCK_ROWS = 1000, 16
+#: Blocks of a source that meet their phases in one join key, at least, and join keys of one source, at most about.
+CHUNK, CHUNKS = 64, 4096
+#: Phases that are sent to all executors; more are joined by shuffle.
+SENT = 50_000
+PLAN = pa.schema([("_s", pa.string()), *((c, pa.int64()) for c in ("_lo", "_hi", "_slot0", "_position0", "_cycle", "_w")), ("_slots", pa.list_(pa.int64()))])
 
 
 def target_weights(counts: dict[str, int], power: float = 0.5) -> dict[str, int]:
     """Integer weights in proportion to count^power: 1 keeps the natural mix, 0 makes all sources equal."""
-    total = sum(n**power for n in counts.values())
-    return {s: max(1, round(RESOLUTION * n**power / total)) for s, n in counts.items()}
+    total, resolution = sum(n**power for n in counts.values()), max(RESOLUTION, 4 * len(counts))
+    return {s: max(1, round(resolution * n**power / total)) for s, n in counts.items()}
 
 
 def pfair_cycle(weights: dict[str, int]) -> dict[str, list[int]]:
@@ -47,25 +54,54 @@ def pfair_cycle(weights: dict[str, int]) -> dict[str, list[int]]:
     return slots
 
 
+def _phase(order: list[tuple[int, str]], cycle: int, left: dict[str, int]) -> tuple[dict[str, list[int]], str | None]:
+    """pfair_cycle over order, which is sorted by (-weight, source), up to the first source to use up its blocks:
+    (slots of those sources that have any, the source that ran out or None). Costs as much as it fills slots."""
+    slots: dict[str, list[int]] = {}
+    waiting: list[tuple[int, int, str, int]] = []
+    ready: list[tuple[int, str, int]] = []
+    head = 0  # the sources from here on wait with their first block: released, the deadlines ascending
+    for t in range(cycle):
+        while waiting and waiting[0][0] <= t:
+            _, deadline, s, w = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, s, w))
+        if head < len(order) and (not ready or -(-cycle // -order[head][0]) <= ready[0][0]):
+            w, s = -order[head][0], order[head][1]
+            head += 1
+        else:
+            _, s, w = heapq.heappop(ready)
+        own = slots.setdefault(s, [])
+        own.append(t)
+        if (b := len(own)) == left[s]:
+            return slots, s
+        if b < w:
+            heapq.heappush(waiting, (b * cycle // w, -(-(b + 1) * cycle // w), s, w))
+    return slots, None
+
+
 def schedule(counts: dict[str, int], weights: dict[str, int], block_rows: int = BLOCK_ROWS) -> list[tuple]:
     """Phases: (source, first block, end block, slot and position where the phase starts, cycle, weight, slots)."""
     left = {s: -(-n // block_rows) for s, n in counts.items() if n > 0}
     done, slot, position, phases = dict.fromkeys(left, 0), 0, 0, []
+    order, cycle = sorted((-weights[s], s) for s in left), sum(weights[s] for s in left)
     while left:
-        own = {s: weights[s] for s in left}
-        cycle, at = sum(own.values()), pfair_cycle(own)
-        # the first source to run out ends the phase with its last block
-        ends = {s: (n - 1) // own[s] * cycle + at[s][(n - 1) % own[s]] + 1 for s, n in left.items()}
-        end = min(ends.values())
-        out = min(ends, key=ends.get)
-        used = {s: end // cycle * own[s] + sum(x < end % cycle for x in at[s]) for s in left}
+        at, out = _phase(order, cycle, left)
+        if out is None:  # over a cycle: the first source to run out ends the phase with its last block
+            ends = {s: (n - 1) // weights[s] * cycle + at[s][(n - 1) % weights[s]] + 1 for s, n in left.items()}
+            out = min(ends, key=ends.get)
+            end = ends[out]
+            used = {s: end // cycle * weights[s] + bisect_left(at[s], end % cycle) for s in left}
+        else:
+            end, used = at[out][-1] + 1, {s: len(x) for s, x in at.items()}
         for s, n in used.items():
             if n:
-                phases.append((s, done[s], done[s] + n, slot, position, cycle, own[s], at[s]))
+                phases.append((s, done[s], done[s] + n, slot, position, cycle, weights[s], at[s]))
                 done[s] += n
+                left[s] -= n
         slot += end
         position += end * block_rows - (done[out] * block_rows - counts[out])
-        left = {s: n - used[s] for s, n in left.items() if n > used[s]}
+        del left[out], order[bisect_left(order, (-weights[out], out))]
+        cycle -= weights[out]
     return phases
 
 
@@ -77,18 +113,18 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", w
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(source_col), F.lit("")).alias("_source"), F.monotonically_increasing_id().alias("_row"))
     rows = staged(rows, "mix-rows")
-    sizes = rows.groupBy("_source").agg(F.count(F.lit(1)).alias("n"))
-    top = {r["_source"]: r["n"] for r in sizes.orderBy(F.desc("n"), "_source").limit(MAX_SOURCES).collect()}
-    total = rows.count()
-    if total > sum(top.values()):
-        named = docs.sparkSession.createDataFrame([(s,) for s in top], "_source string")
-        rows = rows.join(F.broadcast(named.withColumn("_named", F.lit(True))), "_source", "left").withColumn("_source", F.when("_named", F.col("_source")).otherwise(POOLED)).drop("_named")
-        top[POOLED] = total - sum(top.values()) + top.get(POOLED, 0)
+    top = {r["_source"]: r["n"] for r in rows.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).orderBy("_source").collect()}
+    total = sum(top.values())
     given = target_weights(top) if weights is None else weights
     phases = schedule(top, {s: given.get(s, 1) for s in top}, block_rows)
-    plan = docs.sparkSession.createDataFrame(phases, "_s string, _lo long, _hi long, _slot0 long, _position0 long, _cycle long, _w long, _slots array<long>")
+    plan = docs.sparkSession.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(zip(*phases, strict=True), PLAN, strict=True)] if phases else [pa.array([], f.type) for f in PLAN], schema=PLAN))
+    # a source's phases are found by chunks of blocks: a row meets those of its own chunk only
+    chunk = max(CHUNK, total // block_rows // CHUNKS)
+    plan = plan.withColumn("_c", F.explode(F.expr(f"sequence(_lo div {chunk}, (_hi - 1) div {chunk})")))
     placed = ranked(rows, ["_source"], ["_id", "_row"], "_rank", total).withColumn("_block", F.floor(F.col("_rank") / block_rows))
-    placed = placed.join(F.broadcast(plan), (F.col("_source") == F.col("_s")) & (F.col("_block") >= F.col("_lo")) & (F.col("_block") < F.col("_hi")))
+    placed = placed.withColumn("_chunk", F.expr(f"_block div {chunk}"))
+    within = (F.col("_source") == F.col("_s")) & (F.col("_chunk") == F.col("_c")) & (F.col("_block") >= F.col("_lo")) & (F.col("_block") < F.col("_hi"))
+    placed = placed.join(F.broadcast(plan) if len(phases) <= SENT else plan, within)
     placed = placed.withColumn("_b", F.col("_block") - F.col("_lo")).withColumn("_at", F.expr("_b div _w * _cycle + element_at(_slots, cast(_b % _w as int) + 1)"))
     return placed.select(
         F.col("_id").alias(id_col), F.col("_source").alias("source"), F.col("_block").alias("block"),

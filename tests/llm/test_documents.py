@@ -262,3 +262,33 @@ def test_exchange_keeps_the_quotas():
         taken = [sum((v[0] - v[1]) * ((k[1] == s) - (k[0] == s)) for k, v in moved.items()) for s in range(6)]
         assert left == [r - t for r, t in zip(room, taken, strict=True)] and min(left) >= 0
     assert sharding.exchange({(0, 1, False): 2, (1, 2, False): 3, (2, 0, False): 2}, [0, 0, 0]) == {(0, 1, False): (2, 0), (1, 2, False): (2, 0), (2, 0, False): (2, 0)}
+
+
+def test_mix_schedules_every_one_of_many_sources(spark):
+    docs = [(i, "t", f"s{i // 2 % 300:03d}" if i % 2 else f"big{i % 8}") for i in range(6000)]
+    weights = {"s299": 40, "big0": 100}
+    got = mixing.mixed(make(spark, docs), weights=weights, block_rows=4).collect()
+    own = {d[0]: d[2] for d in docs}
+    assert len(got) == 6000 and all(own[r["doc_id"]] == r["source"] for r in got)
+    assert sorted(r["position"] for r in got) == list(range(6000))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    assert len({(r["source"], r["block"]) for r in got}) == len({r["slot"] for r in got})
+
+
+def test_mix_deviates_by_less_than_a_block_with_many_sources():
+    rng = random.Random(3)
+    counts = {f"s{k}": rng.randrange(200, 300) for k in range(400)}
+    weights = {s: rng.randrange(1, 9) for s in counts}
+    phases = mixing.schedule(counts, weights, 1)
+    assert {p[0] for p in phases} == set(counts)
+    cycle, first = phases[0][5], [p for p in phases if p[3] == 0]
+    end = min(p[3] for p in phases if p[3] > 0)
+    by_slot = {}
+    for s, lo, hi, _, _, c, w, at in first:
+        by_slot.update({b // w * c + at[b % w]: s for b in range(lo, hi)})
+    assert sorted(by_slot) == list(range(end)) and cycle == sum(weights.values())
+    have = dict.fromkeys(counts, 0)
+    for t in range(end):
+        have[by_slot[t]] += 1
+        if t % 97 == 0:
+            assert all(abs(have[s] - (t + 1) * weights[s] / cycle) < 1 for s in counts)
