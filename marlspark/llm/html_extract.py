@@ -3,9 +3,9 @@
 A text node's tag path is the chain of elements from the root to it, with class names. Per path, the mean text length
 and the mean number of punctuation marks of its nodes are taken; along the page both are smoothed over neighbouring
 nodes and multiplied (after Wu, Li, Hu, Wang: Web news extraction via path ratios, 2013). Nodes above a share of the
-length-weighted mean are content. The smallest element with nearly all of the selected text is the article, and its
-blocks are the result, but for those whose elements are named as boilerplate and for lists of links outside selected
-paths. Pages are independent of one another: no shuffle, and memory for one page at a time.
+length-weighted mean are content, and every block with one is in the result. The smallest element with all of the
+selected text, or with nearly all if only the body has all, is the article: it adds its other blocks, but for lists of
+links, and headings beside selected text are added anywhere. Elements named as boilerplate are left out. Pages are independent of one another: no shuffle, and memory for one page at a time.
 """
 
 from __future__ import annotations
@@ -162,6 +162,15 @@ def _scores(page: Page, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _holder(page: Page, mass: np.ndarray, share: float) -> int:
+    """The smallest element with that share of the selected text; what an article or main holds isn't told apart."""
+    found = 0
+    for e in range(1, len(page.tags)):  # parents come before their children
+        if page.parent[e] == found and page.tags[found] not in ("article", "main") and mass[e] >= share * mass[0] and page.tags[e] not in ("p", "li", "tr", "tbody", "b", "i", "span", "a"):
+            found = e
+    return found
+
+
 def main_text(source: str | None) -> str:
     """The article's blocks, one per line; empty if there is none."""
     page = Page(source or "")
@@ -172,15 +181,14 @@ def main_text(source: str | None) -> str:
     scores = _scores(page, sizes)
     chosen = scores >= THRESHOLD * np.average(scores, weights=sizes)
 
-    # the smallest element with nearly all of the selected text
+    # the smallest element with all of the selected text, or with nearly all where only the body has all
     mass = np.zeros(len(page.tags))
     np.add.at(mass, np.array(page.element), sizes * chosen)
     for e in range(len(page.tags) - 1, 0, -1):
         mass[page.parent[e]] += mass[e]
-    article = 0
-    for e in range(1, len(page.tags)):  # parents come before their children
-        if page.parent[e] == article and mass[e] >= MASS * mass[0] and page.tags[e] not in ("p", "li", "tr", "tbody", "b", "i", "span", "a"):
-            article = e
+    article = _holder(page, mass, 1.0)
+    if page.tags[article] in ("#root", "html", "body"):
+        article = _holder(page, mass, MASS)
     inside = np.zeros(len(page.tags), dtype=bool)
     inside[article] = True
     for e in range(article + 1, len(page.tags)):
@@ -192,11 +200,13 @@ def main_text(source: str | None) -> str:
         end = k
         while end < n and page.block[end] == page.block[k]:
             end += 1
-        if inside[page.element[k]] and (line := " ".join("".join(page.texts[k:end]).split())):
+        if line := " ".join("".join(page.texts[k:end]).split()):
             links = sum(sizes[i] for i in range(k, end) if page.linked[i])
+            element = page.element[k]
             selected = any(chosen[k:end])
-            heading = page.tags[page.element[k]] in HEADINGS
-            if selected or heading or (whole and links <= 0.6 * max(1.0, sizes[k:end].sum())):
+            heading = page.tags[element] in HEADINGS and mass[page.parent[element]] > 0
+            short = inside[element] and (page.tags[element] in HEADINGS or (whole and links <= 0.6 * max(1.0, sizes[k:end].sum())))
+            if selected or heading or short:
                 lines.append(line)
         k = end
     return "\n".join(lines)

@@ -26,6 +26,16 @@ def test_main_text():
     assert len(html_extract.main_text(long)) == 599_999
 
 
+def test_main_text_keeps_blocks_beside_the_longest():
+    long = "".join(f"<p>Sentence {k}, which goes on for a while, and then some more of it.</p>" for k in range(40))
+    for page in (f"<body><article><h1>Title</h1><p>Lead.</p><div class=body>{long}</div></article></body>", f"<body><div id=x><h1>Title</h1><p>Lead, with a few words, in one sentence.</p><div class=body>{long}</div></div></body>"):
+        got = html_extract.main_text(page).split("\n")
+        assert got[0] == "Title" and got[1].startswith("Lead") and len(got) == 42
+    sections = f"<body><div id=x><section><h2>One</h2><p>Part one is short, but it counts, as all do.</p></section><section><h2>Two</h2>{long}</section></div></body>"
+    got = html_extract.main_text(sections).split("\n")
+    assert got[:3] == ["One", "Part one is short, but it counts, as all do.", "Two"] and len(got) == 43
+
+
 def test_extracted_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (None, None, None, None)], "page_id long, url string, html string, text_ string")
     got = html_extract.extracted(pages).collect()
