@@ -5,7 +5,8 @@ and the mean number of punctuation marks of its nodes are taken; along the page
 nodes and multiplied (after Wu, Li, Hu, Wang: Web news extraction via path ratios, 2013). Nodes above a share of the
 length-weighted mean are content, and every block with one is in the result. The smallest element with all of the
 selected text, or with nearly all if only the body has all, is the article: it adds its other blocks, but for lists of
-links, and headings beside selected text are added anywhere. Elements named as boilerplate are left out. Pages are independent of one another: no shuffle, and memory for one page at a time.
+links, and headings beside selected text are added anywhere. Elements named as boilerplate are
+left out, unless they wrap the page's main, all its articles or most of its text. Pages are independent of one another: no shuffle, and memory for one page at a time.
 """
 
 from __future__ import annotations
@@ -26,12 +27,17 @@ RAW = frozenset("script style title textarea xmp iframe noembed noframes".split(
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
 SCOPES = frozenset("ul ol dl table select html body article section div main td th".split())
-DROPPED = frozenset("head nav footer aside form noscript template svg math select button object canvas audio video menu dialog datalist map".split())
+DROPPED = frozenset("head nav footer aside noscript template svg math select button object canvas audio video menu dialog datalist map".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of class names, ids and roles that name boilerplate.
 NAMED = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr banner notice notices alert popup modal overlay comment comments commentlist disqus reply replies respond share sharing social related recommended footer header masthead topbar copyright legal login signin signup subscribe subscription newsletter search pagination pager widget toolbar skip complementary contentinfo navigation dialog alertdialog form".split()
 )
+#: Of these, what comments are named by, which may outweigh the article, and what heads an article inside of it.
+REMARKS = frozenset("comment comments commentlist disqus reply replies respond".split())
+HEADS = frozenset("header masthead".split())
+#: A named element with more than such a share of the page's unlinked text is a layout's wrapper; for REMARKS, the second.
+MOST, NEARLY = 0.5, 0.9
 TAG = re.compile(r"""<([a-zA-Z][^\s/>]*+)((?:[\s/]++[^\s=>/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++))?)*+)[\s/]*+>""")
 LOOSE = re.compile(r"<([a-zA-Z][^\s/>]*+)([^>]*+)>")
 END = re.compile(r"</([a-zA-Z][^\s/>]*+)[^>]*+>")
@@ -43,10 +49,11 @@ THRESHOLD, MASS, SPREAD = 0.3, 0.9, np.array([0.06, 0.24, 0.4, 0.24, 0.06])
 
 
 class Page:
-    """The text nodes of a page: elements (parent, tag), and per node its text, block, element, path and link flag."""
+    """The text nodes of a page: elements (parent, tag, the share of the text from which its boilerplate name is ignored,
+    0 without such a name), and per node its text, block, element, path and link flag."""
 
     def __init__(self, source: str):
-        self.parent, self.tags, self.paths = [-1], ["#root"], {}
+        self.parent, self.tags, self.named, self.paths = [-1], ["#root"], [0.0], {}
         self.texts: list[str] = []
         self.block: list[int] = []
         self.element: list[int] = []
@@ -56,6 +63,7 @@ class Page:
         self.open = [("#root", 0, 0, False, False)]
         self.blocks = 0
         self._read(source)
+        self._drop_named()
 
     def _text(self, raw: str) -> None:
         tag, element, path, dropped, link = self.open[-1]
@@ -96,24 +104,57 @@ class Page:
                     break
         _, element, path, dropped, link = self.open[-1]
         label, drop = tag, dropped or tag in DROPPED
+        named = MOST if tag == "form" else 0.0
         if attributes and not drop:
             names = [m[1].strip("\"'") for m in LABELS.findall(attributes)]
             if names:
                 label = f"{tag}.{'.'.join(names)}"
                 if tag not in ("html", "body", "article", "main"):
-                    drop = any(p.lower() in NAMED for n in names for p in PARTS.findall(n))
-            drop = drop or HIDDEN.search(attributes) is not None
-        if tag == "header" and not drop:
-            drop = not any(t in ("article", "main") for t, *_ in self.open)
+                    found = NAMED.intersection(p.lower() for n in names for p in PARTS.findall(n))
+                    if found & HEADS and self._in_article():
+                        found -= HEADS
+                    named = NEARLY if found & REMARKS else MOST if found else named
+            drop = HIDDEN.search(attributes) is not None
+        if tag == "header" and not drop and not self._in_article():
+            named = max(named, MOST)
         if tag in VOID:
             if tag == "br":
                 self._text(" ")
             return
         self.parent.append(element)
         self.tags.append(tag)
+        self.named.append(named)
         key = (path, label)
         self.open.append((tag, len(self.tags) - 1, self.paths.setdefault(key, len(self.paths) + 1), drop, link or tag == "a"))
 
+    def _in_article(self) -> bool:
+        return any(t in ("article", "main") for t, *_ in self.open)
+
+    def _drop_named(self) -> None:
+        """Drops the text of elements named as boilerplate, but for those that wrap the page's main or all its articles
+        that have no such name themselves, or most of its unlinked text."""
+        if not any(self.named):
+            return
+        n = len(self.tags)
+        size, mains, articles = [0] * n, [int(t == "main") for t in self.tags], [0] * n
+        for e, text, link in zip(self.element, self.texts, self.linked, strict=True):
+            size[e] += 0 if link else len(text.strip())
+        remarks = [False] * n
+        for e in range(1, n):
+            remarks[e] = remarks[self.parent[e]] or self.named[e] == NEARLY
+            articles[e] = int(self.tags[e] == "article" and not self.named[e] and not remarks[e])
+        for e in range(n - 1, 0, -1):
+            for x in (size, mains, articles):
+                x[self.parent[e]] += x[e]
+        gone = [False] * n
+        for e in range(1, n):
+            wraps = mains[e] > 0 or 0 < articles[0] == articles[e] or size[e] > self.named[e] * size[0]
+            gone[e] = gone[self.parent[e]] or (self.named[e] > 0 and not wraps)
+        keep = [k for k, e in enumerate(self.element) if not gone[e]]
+        for name in ("texts", "block", "element", "path", "linked"):
+            own = getattr(self, name)
+            setattr(self, name, [own[k] for k in keep])
+
     def _read(self, s: str) -> None:
         at, n = 0, len(s)
         while at < n:

@@ -36,6 +36,16 @@ def test_main_text_keeps_blocks_beside_the_longest():
     assert got[:3] == ["One", "Part one is short, but it counts, as all do.", "Two"] and len(got) == 43
 
 
+def test_main_text_inside_wrappers_with_boilerplate_names():
+    long = "".join(f"<p>Sentence {k}, which goes on for a while, and then some more of it.</p>" for k in range(20))
+    side = "<div class=sidebar><p>Read this, and that, and more of it.</p></div><form class=search><p>Find it, now.</p></form>"
+    for page in (f"<div class='has-sidebar'><article>{long}</article>{side}</div>", f"<div id='content-sidebar-wrap'>{long}{side}</div>", f"<form id=aspnetForm>{long}{side}</form>", f"<div class=no-sidebar><main>{long}</main></div>{side}"):
+        assert len(html_extract.main_text(f"<body>{page}</body>").split("\n")) == 20
+    assert html_extract.main_text(f"<body><article><header class='entry-header'><h1>Title</h1></header>{long}</article></body>").startswith("Title\n")
+    remarks = f"<section class=comments><article class=comment>{long}</article><article>{long}</article></section>"
+    assert html_extract.main_text(f"<body><div id=x><h1>T</h1>{long}</div>{remarks}</body>").count("\n") == 20
+
+
 def test_extracted_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (None, None, None, None)], "page_id long, url string, html string, text_ string")
     got = html_extract.extracted(pages).collect()
