@@ -8,8 +8,10 @@ kernel evaluations. A sentence scores as its worst word, a text by its two worst
 the labelled texts turns that into a probability.
 
 Training words: which words of the labelled toxic sentences are insults isn't marked. Words with a run of letters that
-occurs in many toxic sentences, in ever new contexts, and hardly in clean ones are taken for them; the negative words
-are those of clean sentences, the ones that come closest to insults among them.
+occurs in many toxic sentences, in ever new contexts, and hardly in clean ones are taken for them. "Many" is relative to
+the number of labelled toxic texts. Each toxic text without such a word gives all its words that toxic texts hold more
+often than clean ones, weighted by those odds, with a weight of one for the text in all. The negative words are those
+of clean sentences, the ones that come closest to insults among them.
 Training takes at most TRAIN_TEXTS labelled texts of each class, chosen by hash; every text is scored in whole.
 """
 
@@ -35,6 +37,8 @@ CACHE = 1 << 20
 START = "^"
 RUN = re.compile(r"[^\W\d_]+")
 FOLDS = 5
+#: Toxic texts that a telling run needs beyond what chance gives, as a share of them (SUPPORT at most).
+SUPPORT, SUPPORT_SHARE = 6, 0.02
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -128,16 +132,16 @@ def spread(words: list[str], n: int) -> list[str]:
     return chosen
 
 
-def machine(positive: list[str], negative: list[str], landmarks: list[str], ridge: float = 1e-4, steps: int = 25) -> tuple[np.ndarray, float]:
+def machine(positive: list[str], negative: list[str], landmarks: list[str], heavy: np.ndarray, ridge: float = 1e-4, steps: int = 25) -> tuple[np.ndarray, float]:
     """Squared-hinge support vector machine in the Nystroem space: (weight per subsequence, bias). Both
-    classes count alike."""
+    classes count alike; heavy weights the positive words."""
     own = kernel(landmarks, landmarks)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     z = np.hstack([kernel(positive + negative, landmarks) @ root, np.ones((len(positive) + len(negative), 1))])
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    c = np.r_[np.full(len(positive), 0.5 / len(positive)), np.full(len(negative), 0.5 / len(negative))]
+    c = np.r_[0.5 * heavy / heavy.sum(), np.full(len(negative), 0.5 / len(negative))]
     w = np.zeros(z.shape[1])
     penalty = np.r_[np.full(z.shape[1] - 1, ridge), 1e-9]
     for _ in range(steps):
@@ -213,7 +217,8 @@ def insults(toxic: list[str], clean: list[str]) -> list[str]:
     in_toxic: Counter = Counter()
     for t in toxic:
         in_toxic.update({g for w in tokens(t) for u in units(w) for g in grams(u)})
-    maybe = {g for g, n in in_toxic.items() if n >= 4}
+    support = min(SUPPORT, SUPPORT_SHARE * len(toxic))
+    maybe = {g for g, n in in_toxic.items() if n >= min(4, 2 + support)}
     in_clean, clean_words = Counter(), Counter()
     for t in clean:
         own = {u for w in tokens(t) for u in units(w)}
@@ -221,7 +226,7 @@ def insults(toxic: list[str], clean: list[str]) -> list[str]:
         in_clean.update({g for u in own for g in grams(u) if g in maybe})
     share = len(clean) / max(1, len(toxic))
     expected = lambda g: (in_clean[g] + 1) / share  # of as many clean texts as there are toxic ones
-    maybe = {g for g in maybe if in_toxic[g] >= expected(g) * 4 + 4 * expected(g) ** 0.5 + 6}
+    maybe = {g for g in maybe if in_toxic[g] >= expected(g) * 4 + 4 * expected(g) ** 0.5 + support}
     contexts, words_of = defaultdict(set), defaultdict(Counter)
     for t in toxic:
         words = t.lower().split()
@@ -242,12 +247,30 @@ def insults(toxic: list[str], clean: list[str]) -> list[str]:
     return [u for u, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:POSITIVES]]
 
 
+def suspects(toxic: list[str], clean: list[str], told: set[str]) -> dict[str, float]:
+    """Words, weighted, of the toxic texts without a word of told: of each text those that toxic texts hold more often
+    than clean ones, by their odds, which add up to one for the text."""
+    toxic, clean = ([{u for w in tokens(t) for u in units(w)} for t in distinct_texts(x)] for x in (toxic, clean))
+    in_toxic, in_clean = Counter(u for t in toxic for u in t), Counter(u for t in clean for u in t)
+    odds = lambda u: (in_toxic[u] + 0.5) / (len(toxic) + 1) * (len(clean) + 1) / (in_clean[u] + 0.5)
+    out: Counter = Counter()
+    for t in toxic:
+        if t.isdisjoint(told):
+            own = {u: o for u in sorted(t) if (o := odds(u)) > 1}
+            for u, o in own.items():
+                out[u] += o / sum(own.values())
+    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:NEGATIVES])
+
+
 def train(toxic: list[str], clean: list[str]) -> dict | None:
-    """The model: subsequence weights, bias and the logistic curve; None without insults to learn or without clean texts."""
+    """The model: subsequence weights, bias and the logistic curve; None without words of both classes to learn from."""
     positive = insults(toxic, clean)
-    if not positive or not clean:
+    others = suspects(toxic, clean, set(positive))
+    if not (positive or others) or not any(units(w) for t in clean for w in tokens(t)):
         return None
+    heavy = np.r_[np.ones(len(positive)), list(others.values())]
     told = set(positive)
+    positive = [*positive, *others]
     often: Counter = Counter()
     for t in clean:
         often.update({u for w in tokens(t) for u in units(w)} - told)
@@ -255,7 +278,7 @@ def train(toxic: list[str], clean: list[str]) -> dict | None:
     negative = list(dict.fromkeys([*pool[: NEGATIVES // 2], *sorted(pool, key=lambda u: zlib.crc32(u.encode()))[: NEGATIVES // 2]]))
     for turn in range(ROUNDS):
         landmarks = spread(positive, LANDMARKS * 2 // 3) + spread(negative[-1500:], LANDMARKS // 3)
-        weights, bias = machine(positive, negative, landmarks)
+        weights, bias = machine(positive, negative, landmarks, heavy)
         if turn < ROUNDS - 1:  # the clean words that come closest take part in the next round
             scores = word_scores(pool, weights, bias)
             negative = list(dict.fromkeys([*negative, *(pool[k] for k in np.argsort(-scores)[: NEGATIVES // 4])]))
@@ -291,7 +314,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, score, predicted.
 
     A null or empty text scores as one without words; repeated rows score alike; a null id is not held out and never a
-    training row; without labelled texts of both classes every score is 0. Only the text is read for a score.
+    training row; without labelled texts with words of both classes every score is 0. Only the text is read for a score.
     """
     docs = docs.select("doc_id", "text")
     model = train(*training_texts(docs, labels))

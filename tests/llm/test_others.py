@@ -145,6 +145,20 @@ def test_toxicity_on_held_out_texts(spark):
     assert all(r["score"] == 0 for r in toxicity.scored(docs, labelled.filter(F.lit(False))).collect())
 
 
+def test_toxicity_learns_from_few_labels():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ren", "tus", "vel"]) for _ in range(rng.randrange(2, 4)))
+    bad = ["idiot", "scumbag", "moron", "stupid", "jerkface"]
+    clean = [" ".join(word() for _ in range(30)) for _ in range(80)]
+    toxic = [" ".join([*(word() for _ in range(15)), bad[k % 5], *(word() for _ in range(15))]) for k in range(10)]
+    model = toxicity.train(toxic, clean[:58])
+    assert model is not None
+    scorer = toxicity.Scorer(model["weights"], model["bias"], model["clean"])
+    chance = lambda texts: 1 / (1 + np.exp(-(scorer(texts) @ model["curve"][:2] + model["curve"][2])))
+    new, others = chance([" ".join([*(word() for _ in range(20)), b]) for b in bad]), chance(clean[58:])
+    assert np.mean(new[:, None] > others[None, :]) > 0.8
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(f"n{k:04d}", f"n{k + 1:04d}") for k in range(60)] + [("x0", f"y{k}") for k in range(50)] + [("z", "z")]
     got = {r["node"]: r["label"] for r in components.connected(spark.createDataFrame(edges, "a string, b string")).collect()}
