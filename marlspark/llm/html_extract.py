@@ -1,12 +1,17 @@
 """Main text of web pages by tag-path ratios.
 
-A text node's tag path is the chain of elements from the root to it, with class names. Per path, the mean text length
-and the mean number of punctuation marks of its nodes are taken; along the page both are smoothed over neighbouring
-nodes and multiplied (after Wu, Li, Hu, Wang: Web news extraction via path ratios, 2013). Nodes above a share of the
-length-weighted mean are content, and every block with one is in the result. The smallest element with all of the
-selected text, or with nearly all if only the body has all, is the article: it adds its other blocks, but for lists of
-links, and headings beside selected text are added anywhere. Elements named as boilerplate are
-left out, unless they wrap the page's main, all its articles or most of its text. Pages are independent of one another: no shuffle, and memory for one page at a time.
+A text node's tag path is the chain of elements from the root to it, with class names. Per path, text length and
+punctuation marks are added up over its nodes, links counting a fifth; their means are smoothed along the page over
+neighbouring nodes and multiplied (after Wu, Li, Hu, Wang: Web news extraction via path ratios, 2013). The ratios
+decide twice:
+* A subtree named as boilerplate by its tag, class, id or role stays in play only if its best path scores no less than
+  the best path outside of such a subtree (REMARKS_FACTOR times as much for comments). A layout's wrapper whose class
+  happens to hold such a word passes, a menu, notice, advert or footer doesn't. On pages of less than FEW characters,
+  where ratios tell little, names alone decide.
+* Of the nodes in play, those above a share of the length-weighted mean are content, and every block with one is in
+  the result. The smallest element with all of the selected text, or with nearly all if only the body has all, is the
+  article: it adds its other blocks, but for lists of links, and headings beside selected text are added anywhere.
+Pages are independent of one another: no shuffle, and memory for one page at a time.
 """
 
 from __future__ import annotations
@@ -27,7 +32,9 @@ RAW = frozenset("script style title textarea xmp iframe noembed noframes".split(
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
 SCOPES = frozenset("ul ol dl table select html body article section div main td th".split())
-DROPPED = frozenset("head nav footer aside noscript template svg math select button object canvas audio video menu dialog datalist map".split())
+DROPPED = frozenset("head noscript template svg math select button object canvas audio video datalist map".split())
+#: Elements that are boilerplate by their tag, as others are by their name; a header is outside of articles only.
+ASIDE = frozenset("nav footer aside menu dialog form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of class names, ids and roles that name boilerplate.
 NAMED = frozenset(
@@ -36,8 +43,7 @@ NAMED = frozenset(
 #: Of these, what comments are named by, which may outweigh the article, and what heads an article inside of it.
 REMARKS = frozenset("comment comments commentlist disqus reply replies respond".split())
 HEADS = frozenset("header masthead".split())
-#: A named element with more than such a share of the page's unlinked text is a layout's wrapper; for REMARKS, the second.
-MOST, NEARLY = 0.5, 0.9
+REMARKS_FACTOR, FEW, LINK_SHARE = 10.0, 600, 0.2
 TAG = re.compile(r"""<([a-zA-Z][^\s/>]*+)((?:[\s/]++[^\s=>/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++))?)*+)[\s/]*+>""")
 LOOSE = re.compile(r"<([a-zA-Z][^\s/>]*+)([^>]*+)>")
 END = re.compile(r"</([a-zA-Z][^\s/>]*+)[^>]*+>")
@@ -49,8 +55,8 @@ THRESHOLD, MASS, SPREAD = 0.3, 0.9, np.array([0.06, 0.24, 0.4, 0.24, 0.06])
 
 
 class Page:
-    """The text nodes of a page: elements (parent, tag, the share of the text from which its boilerplate name is ignored,
-    0 without such a name), and per node its text, block, element, path and link flag."""
+    """The text nodes of a page: elements (parent, tag, and 1 where it is named as boilerplate, REMARKS_FACTOR where as
+    comments, else 0), and per node its text, block, element, path and link flag."""
 
     def __init__(self, source: str):
         self.parent, self.tags, self.named, self.paths = [-1], ["#root"], [0.0], {}
@@ -63,7 +69,6 @@ class Page:
         self.open = [("#root", 0, 0, False, False)]
         self.blocks = 0
         self._read(source)
-        self._drop_named()
 
     def _text(self, raw: str) -> None:
         tag, element, path, dropped, link = self.open[-1]
@@ -104,7 +109,7 @@ class Page:
                     break
         _, element, path, dropped, link = self.open[-1]
         label, drop = tag, dropped or tag in DROPPED
-        named = MOST if tag == "form" else 0.0
+        named = float(tag in ASIDE or (tag == "header" and not self._in_article()))
         if attributes and not drop:
             names = [m[1].strip("\"'") for m in LABELS.findall(attributes)]
             if names:
@@ -113,10 +118,8 @@ class Page:
                     found = NAMED.intersection(p.lower() for n in names for p in PARTS.findall(n))
                     if found & HEADS and self._in_article():
                         found -= HEADS
-                    named = NEARLY if found & REMARKS else MOST if found else named
+                    named = REMARKS_FACTOR if found & REMARKS else 1.0 if found else named
             drop = HIDDEN.search(attributes) is not None
-        if tag == "header" and not drop and not self._in_article():
-            named = max(named, MOST)
         if tag in VOID:
             if tag == "br":
                 self._text(" ")
@@ -130,30 +133,31 @@ class Page:
     def _in_article(self) -> bool:
         return any(t in ("article", "main") for t, *_ in self.open)
 
-    def _drop_named(self) -> None:
-        """Drops the text of elements named as boilerplate, but for those that wrap the page's main or all its articles
-        that have no such name themselves, or most of its unlinked text."""
-        if not any(self.named):
-            return
+    def owners(self) -> tuple[list[int], list[int], list[float]]:
+        """Per element: the nearest element named as boilerplate it is in (0: none), how many it is in, and the largest
+        factor among these. The name of an element that wraps the page's main or all its articles doesn't count, if
+        those aren't named themselves."""
         n = len(self.tags)
-        size, mains, articles = [0] * n, [int(t == "main") for t in self.tags], [0] * n
-        for e, text, link in zip(self.element, self.texts, self.linked, strict=True):
-            size[e] += 0 if link else len(text.strip())
+        mains, articles = [int(t == "main") for t in self.tags], [0] * n
         remarks = [False] * n
         for e in range(1, n):
-            remarks[e] = remarks[self.parent[e]] or self.named[e] == NEARLY
+            remarks[e] = remarks[self.parent[e]] or self.named[e] == REMARKS_FACTOR
             articles[e] = int(self.tags[e] == "article" and not self.named[e] and not remarks[e])
         for e in range(n - 1, 0, -1):
-            for x in (size, mains, articles):
+            for x in (mains, articles):
                 x[self.parent[e]] += x[e]
-        gone = [False] * n
+        owner, level, factor = [0] * n, [0] * n, [0.0] * n
         for e in range(1, n):
-            wraps = mains[e] > 0 or 0 < articles[0] == articles[e] or size[e] > self.named[e] * size[0]
-            gone[e] = gone[self.parent[e]] or (self.named[e] > 0 and not wraps)
-        keep = [k for k, e in enumerate(self.element) if not gone[e]]
+            up = self.parent[e]
+            owner[e], level[e], factor[e] = owner[up], level[up], factor[up]
+            if self.named[e] and not mains[e] and not 0 < articles[0] == articles[e]:
+                owner[e], level[e], factor[e] = e, level[up] + 1, max(factor[up], self.named[e])
+        return owner, level, factor
+
+    def keep(self, nodes: list[int]) -> None:
         for name in ("texts", "block", "element", "path", "linked"):
             own = getattr(self, name)
-            setattr(self, name, [own[k] for k in keep])
+            setattr(self, name, [own[k] for k in nodes])
 
     def _read(self, s: str) -> None:
         at, n = 0, len(s)
@@ -190,17 +194,47 @@ class Page:
                 at = lt + 1
 
 
-def _scores(page: Page, sizes: np.ndarray) -> np.ndarray:
-    """Fused and smoothed tag-path ratios of the nodes that hold text."""
+def ratios(page: Page, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fused ratio of each node's tag path, the same smoothed along the page) of the nodes; 0 of those without text."""
     marks = np.array([len(PUNCTUATION.findall(t)) for t in page.texts], dtype=float)
     used = np.flatnonzero(sizes > 0)
+    length = sizes[used] * np.where(np.array(page.linked, dtype=bool)[used], LINK_SHARE, 1.0)
     _, inverse, counts = np.unique(np.array(page.path)[used], return_inverse=True, return_counts=True)
-    length = (np.bincount(inverse, sizes[used]) / counts)[inverse]
-    punctuation = (np.bincount(inverse, marks[used]) / counts)[inverse]
-    smooth = lambda x: np.convolve(np.pad(x, 2, mode="edge"), SPREAD, mode="valid")
-    out = np.zeros(len(sizes))
-    out[used] = np.sqrt(length * smooth(length)) * (1 + np.sqrt(punctuation * smooth(punctuation)))
-    return out
+    total = np.bincount(inverse, length)
+    mean, punctuation = total / counts, np.bincount(inverse, marks[used]) / counts
+    whole, single = np.zeros(len(sizes)), np.zeros(len(sizes))
+    whole[used] = (np.cbrt(total**2 * mean) * (1 + np.sqrt(punctuation)))[inverse]
+    smooth = lambda x: np.sqrt(x * np.convolve(np.pad(x, 2, mode="edge"), SPREAD, mode="valid"))
+    single[used] = smooth(mean[inverse]) * (1 + smooth(punctuation[inverse]))
+    return whole, single
+
+
+def _in_play(page: Page, sizes: np.ndarray) -> list[int]:
+    """The nodes outside of boilerplate: those in no element named so, and those whose named element has a path that
+    scores no less than all in play with fewer such elements around them."""
+    owner, level, factor = page.owners()
+    if not any(factor):
+        return list(range(len(sizes)))
+    whole, _ = ratios(page, sizes)
+    best: dict[int, float] = {}
+    for e, x in zip(page.element, whole, strict=True):
+        best[owner[e]] = max(best.get(owner[e], 0.0), float(x))
+    free = sum(n for n, link in zip(sizes, page.linked, strict=True) if not link)
+
+    def around(e: int) -> int:
+        """The next named element around e that holds text of its own."""
+        up = owner[page.parent[e]]
+        while up and up not in best:
+            up = owner[page.parent[up]]
+        return up
+
+    admitted = {0}
+    for depth in range(1, max(level) + 1):
+        below = max(best.get(e, 0.0) for e in admitted)
+        for e in [e for e in best if e and level[e] == depth and around(e) in admitted]:
+            if below == 0 or (free >= FEW and best[e] >= factor[e] * below):
+                admitted.add(e)
+    return [k for k, e in enumerate(page.element) if owner[e] in admitted]
 
 
 def _holder(page: Page, mass: np.ndarray, share: float) -> int:
@@ -215,11 +249,13 @@ def _holder(page: Page, mass: np.ndarray, share: float) -> int:
 def main_text(source: str | None) -> str:
     """The article's blocks, one per line; empty if there is none."""
     page = Page(source or "")
+    sizes = np.array([len(" ".join(t.split())) for t in page.texts], dtype=float)
+    page.keep(_in_play(page, sizes))
     texts = [" ".join(t.split()) for t in page.texts]
     sizes = np.array([len(t) for t in texts], dtype=float)
     if not sizes.any():
         return ""
-    scores = _scores(page, sizes)
+    _, scores = ratios(page, sizes)
     chosen = scores >= THRESHOLD * np.average(scores, weights=sizes)
 
     # the smallest element with all of the selected text, or with nearly all where only the body has all
@@ -254,9 +290,9 @@ def main_text(source: str | None) -> str:
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """All columns of pages but the html, with text and n_chars. A null or empty html has an empty text; repeated rows and
-    null ids stay as they are; an empty table gives none."""
-    others = [c for c in pages.columns if c != html_col]
+    """All columns of pages but the html, with text and n_chars; columns of these names that pages has itself give way to
+    them. A null or empty html has an empty text; repeated rows and null ids stay as they are; an empty table gives none."""
+    others = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     boxed = pages.select(F.col(html_col).alias("html"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("box"))
 
     @F.pandas_udf("string")
