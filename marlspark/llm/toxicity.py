@@ -4,15 +4,19 @@ The kernel compares the letters of two words by their common subsequences of thr
 of its span, so that gaps and inserted characters only weaken a match (Lodhi et al., 2002). Landmark words span a
 feature space in which a linear machine with squared hinge loss is trained; since the kernel is an inner product over
 subsequences, the trained machine is one weight per subsequence, and scoring a word costs a few table look-ups, no
-kernel evaluations. A sentence scores as its worst word, a text by its two worst words, and a logistic curve fitted on
-the labelled texts turns that into a probability.
-
-Training words: which words of the labelled toxic sentences are insults isn't marked. Words with a run of letters that
-occurs in many toxic sentences, in ever new contexts, and hardly in clean ones are taken for them. "Many" is relative to
-the number of labelled toxic texts. Each toxic text without such a word gives all its words that toxic texts hold more
-often than clean ones, weighted by those odds, with a weight of one for the text in all. The negative words are those
-of clean sentences, the ones that come closest to insults among them.
-Training takes at most TRAIN_TEXTS labelled texts of each class, chosen by hash; every text is scored in whole.
+kernel evaluations.
+
+Labels belong to texts, not to words, and so does the loss: a toxic text is to have one word on the toxic side, its
+worst, and a clean text none (Andrews, Tsochantaridis, Hofmann, 2003). Training goes in rounds: each toxic text is
+represented by the word that the last machine scores highest, the clean ones by NEGATIVES of their words and by the two
+words of each text that any machine so far has scored highest; then the next machine is trained on these. The first
+round starts from how much more often runs of letters stand in toxic texts than in clean ones.
+A logistic curve over what the machine says on a text's words (its three worst words, how many are on the toxic
+side and by how much, and how many words there are, since long texts hold more chance resemblances), fitted on the
+same labelled texts, gives the probability.
+
+Training takes at most TRAIN_TEXTS labelled texts of each class, chosen by hash, each with all its words; every text is
+scored in whole.
 """
 
 from __future__ import annotations
@@ -30,15 +34,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TRAIN_TEXTS, TRAIN_CHARS = 3000, 20_000
+#: Labelled texts of each class that training takes at most, and words of clean texts that it takes besides the worst ones,
+#: half of them the most frequent ones, half by hash.
+TRAIN_TEXTS, NEGATIVES = 3000, 12_000
 DECAY, ALPHABET, WINDOW = 0.7, 64, 14
-LANDMARKS, POSITIVES, NEGATIVES, POOL, USUAL, ROUNDS, GRAM = 256, 1000, 12_000, 200_000, 50_000, 4, 4
-CACHE = 1 << 20
+LANDMARKS, ROUNDS, GRAM = 256, 6, 4
+CACHE = 1 << 19
 START = "^"
 RUN = re.compile(r"[^\W\d_]+")
 FOLDS = 5
-#: Toxic texts that a telling run needs beyond what chance gives, as a share of them (SUPPORT at most).
-SUPPORT, SUPPORT_SHARE = 6, 0.02
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -132,16 +136,16 @@ def spread(words: list[str], n: int) -> list[str]:
     return chosen
 
 
-def machine(positive: list[str], negative: list[str], landmarks: list[str], heavy: np.ndarray, ridge: float = 1e-4, steps: int = 25) -> tuple[np.ndarray, float]:
+def machine(positive: list[str], negative: list[str], landmarks: list[str], heavy: np.ndarray, usual: np.ndarray, ridge: float = 1e-4, steps: int = 25) -> tuple[np.ndarray, float]:
     """Squared-hinge support vector machine in the Nystroem space: (weight per subsequence, bias). Both
-    classes count alike; heavy weights the positive words."""
+    classes count alike; heavy weights the positive words, usual the negative ones."""
     own = kernel(landmarks, landmarks)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     z = np.hstack([kernel(positive + negative, landmarks) @ root, np.ones((len(positive) + len(negative), 1))])
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    c = np.r_[0.5 * heavy / heavy.sum(), np.full(len(negative), 0.5 / len(negative))]
+    c = np.r_[0.5 * heavy / heavy.sum(), 0.5 * usual / usual.sum()]
     w = np.zeros(z.shape[1])
     penalty = np.r_[np.full(z.shape[1] - 1, ridge), 1e-9]
     for _ in range(steps):
@@ -168,169 +172,164 @@ def word_scores(words: list[str], weights: np.ndarray, bias: float) -> np.ndarra
     return out + bias
 
 
-class Scorer:
-    """Two worst word scores of a text, with a bounded cache of token scores. Words known as clean score lowest."""
+def summary(scores: np.ndarray) -> np.ndarray:
+    """What a curve over texts reads of the scores of a text's words, at least one."""
+    worst = np.full(3, -2.0)
+    worst[: min(3, len(scores))] = -np.sort(-scores)[:3]
+    over, hits, sure, n = np.clip(scores, 0, 1).sum(), (scores > 0).sum(), (scores > 0.5).sum(), len(scores)
+    return np.r_[np.clip(worst, -2, 2), np.log1p([over, hits, sure]), np.log(n), np.log1p([100 * over / n, 100 * sure / n])]
+
 
-    def __init__(self, weights: np.ndarray, bias: float, clean: frozenset[str] = frozenset()):
-        self.weights, self.bias, self.clean, self.known = weights, bias, clean, {}
+def bag(text: str | None) -> list[str]:
+    """The distinct words of a text."""
+    return sorted({u for w in tokens(text) for u in units(w)})
+
+
+class Scorer:
+    """Probabilities of texts, with a bounded cache of word scores."""
+
+    def __init__(self, model: dict):
+        self.model = model
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.place: dict[str, int] = {}
+        self.scores = np.zeros(0)
+
+    def _learn(self, new: Iterable[str]) -> None:
+        fresh: list[str] = []
+        for token in new:
+            at = []
+            for u in units(token):
+                if (k := self.place.get(u)) is None:
+                    k = self.place[u] = len(self.scores) + len(fresh)
+                    fresh.append(u)
+                at.append(k)
+            self.words[token] = tuple(at)
+        if fresh:
+            self.scores = np.r_[self.scores, word_scores(fresh, self.model["weights"], self.model["bias"])]
 
     def __call__(self, texts: Iterable[str | None]) -> np.ndarray:
+        """A text without words has the probability 0."""
         found = [tokens(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list(set().union(*found).difference(self.known)) if found else []
-        parts = [[u for u in units(t) if u not in self.clean] for t in new]
-        flat = [u for p in parts for u in p]
-        scores = word_scores(flat, self.weights, self.bias) if flat else np.zeros(0)
-        at = 0
-        for t, p in zip(new, parts, strict=True):
-            self.known[t] = float(scores[at : at + len(p)].max()) if p else -2.0
-            at += len(p)
-        out = np.full((len(found), 2), -2.0)
-        for k, f in enumerate(found):
-            worst = sorted(map(self.known.__getitem__, f), reverse=True)[:2]
-            out[k, : len(worst)] = worst
-        return np.clip(out, -2, 2)
-
-
-def distinct_texts(texts: list[str]) -> list[str]:
-    """The texts without near copies of earlier ones: none shares one of its three least shingle hashes with another."""
-    seen: set[int] = set()
-    out = []
-    for t in texts:
-        words = t.lower().split()
-        least = sorted({zlib.crc32(" ".join(words[k : k + 4]).encode()) for k in range(max(1, len(words) - 3))})[:3]
-        if not seen.intersection(least):
-            out.append(t)
-        seen.update(least)
-    return out
-
-
-def insults(toxic: list[str], clean: list[str]) -> list[str]:
-    """Words of toxic texts, hardly found in clean ones, with a telling run of GRAM letters, or up to 2 * GRAM at their
-    beginning: one in far more toxic texts than the clean ones let expect, and in ever new contexts, unlike what copies
-    of one text have in common. Most frequent first."""
-    def grams(u: str) -> set[str]:
-        return {u[k : k + GRAM] for k in range(len(u) - GRAM + 1)}.union(u[:k] for k in range(GRAM, min(len(u), 2 * GRAM) + 1) if u[0] == START)
-
-    toxic, clean = distinct_texts(toxic), distinct_texts(clean)
+        if len(self.words) > CACHE:
+            self._clear()
+        self._learn(set().union(*found).difference(self.words))
+        out = np.zeros(len(found))
+        at = [set().union(*map(self.words.__getitem__, f)) for f in found]
+        some = [k for k, x in enumerate(at) if x]
+        if some:
+            out[some] = self.model["curve"](np.array([summary(self.scores[np.fromiter(at[k], dtype=np.int64)]) for k in some]))
+        return out
+
+
+class Curve:
+    """Logistic regression on standardised features, both classes counting alike; features beyond those of the training
+    texts count as the nearest of them."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.low, self.high, self.mean, self.width = x.min(0), x.max(0), x.mean(0), x.std(0) + 1e-9
+        z, n = self._plane(x), y.sum()
+        c = np.where(y == 1, 0.5 / n, 0.5 / (len(y) - n))
+        ridge = np.r_[np.full(x.shape[1], max(1e-3, 0.1 / n)), 1e-9]
+        w = np.zeros(z.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z * (c * p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-9), z.T @ (c * (p - y)) + ridge * w)
+            w -= step / max(1.0, np.abs(step).max())
+        self.w = w
+
+    def _plane(self, x: np.ndarray) -> np.ndarray:
+        return np.c_[(np.clip(x, self.low, self.high) - self.mean) / self.width, np.ones(len(x))]
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self._plane(x) @ self.w, -30, 30)))
+
+
+def _first_scores(vocabulary: list[str], toxic: list[np.ndarray], clean: list[np.ndarray]) -> np.ndarray:
+    """Where training starts, for words of toxic texts: by how many deviations the most telling run of letters in a word,
+    of GRAM letters or up to twice as many at its beginning, stands in more toxic texts than clean ones let expect."""
+    grams = [{u[k : k + GRAM] for k in range(len(u) - GRAM + 1)}.union(u[:k] for k in range(GRAM, min(len(u), 2 * GRAM) + 1)) for u in vocabulary]
+    seen = set(np.concatenate(toxic).tolist())
     in_toxic: Counter = Counter()
     for t in toxic:
-        in_toxic.update({g for w in tokens(t) for u in units(w) for g in grams(u)})
-    support = min(SUPPORT, SUPPORT_SHARE * len(toxic))
-    maybe = {g for g, n in in_toxic.items() if n >= min(4, 2 + support)}
-    in_clean, clean_words = Counter(), Counter()
+        in_toxic.update(set().union(*(grams[k] for k in t)))
+    in_clean: Counter = Counter()
     for t in clean:
-        own = {u for w in tokens(t) for u in units(w)}
-        clean_words.update(own)
-        in_clean.update({g for u in own for g in grams(u) if g in maybe})
-    share = len(clean) / max(1, len(toxic))
-    expected = lambda g: (in_clean[g] + 1) / share  # of as many clean texts as there are toxic ones
-    maybe = {g for g in maybe if in_toxic[g] >= expected(g) * 4 + 4 * expected(g) ** 0.5 + support}
-    contexts, words_of = defaultdict(set), defaultdict(Counter)
-    for t in toxic:
-        words = t.lower().split()
-        own = set()
-        for a, w, b in zip(["", *words], words, [*words[1:], ""]):  # noqa: B905
-            for u in units(w):
-                for g in grams(u) & maybe:
-                    contexts[g].add(hash((a, b)))
-                    own.add((g, u))
-        for g, u in own:
-            words_of[g][u] += 1
-    telling = [g for g in sorted(maybe) if len(contexts[g]) >= 0.6 * in_toxic[g]]
-    found: Counter = Counter()
-    for g in telling:
-        for u, n in words_of[g].items():
-            if clean_words[u] <= 0.02 * n * share:
-                found[u] = max(found[u], n)
-    return [u for u, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:POSITIVES]]
-
-
-def suspects(toxic: list[str], clean: list[str], told: set[str]) -> dict[str, float]:
-    """Words, weighted, of the toxic texts without a word of told: of each text those that toxic texts hold more often
-    than clean ones, by their odds, which add up to one for the text."""
-    toxic, clean = ([{u for w in tokens(t) for u in units(w)} for t in distinct_texts(x)] for x in (toxic, clean))
-    in_toxic, in_clean = Counter(u for t in toxic for u in t), Counter(u for t in clean for u in t)
-    odds = lambda u: (in_toxic[u] + 0.5) / (len(toxic) + 1) * (len(clean) + 1) / (in_clean[u] + 0.5)
-    out: Counter = Counter()
-    for t in toxic:
-        if t.isdisjoint(told):
-            own = {u: o for u in sorted(t) if (o := odds(u)) > 1}
-            for u, o in own.items():
-                out[u] += o / sum(own.values())
-    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:NEGATIVES])
-
-
-def train(toxic: list[str], clean: list[str]) -> dict | None:
-    """The model: subsequence weights, bias and the logistic curve; None without words of both classes to learn from."""
-    positive = insults(toxic, clean)
-    others = suspects(toxic, clean, set(positive))
-    if not (positive or others) or not any(units(w) for t in clean for w in tokens(t)):
+        in_clean.update(set().union(*(grams[k] for k in t)).intersection(in_toxic))
+    share = len(toxic) / len(clean)
+    score = {g: (n - (in_clean[g] + 1) * share) / ((in_clean[g] + 1) * share + n + 1) ** 0.5 for g, n in in_toxic.items()}
+    return np.array([max(map(score.__getitem__, grams[k])) if k in seen else -np.inf for k in range(len(vocabulary))])
+
+
+def train(toxic: list[list[str]], clean: list[list[str]]) -> dict | None:
+    """The model from the bags of labelled texts: subsequence weights, bias and the curve; None without words of both
+    classes to learn from."""
+    toxic, clean = [b for b in toxic if b], [b for b in clean if b]
+    if not toxic or not clean:
         return None
-    heavy = np.r_[np.ones(len(positive)), list(others.values())]
-    told = set(positive)
-    positive = [*positive, *others]
-    often: Counter = Counter()
-    for t in clean:
-        often.update({u for w in tokens(t) for u in units(w)} - told)
-    pool = sorted(often, key=lambda u: (-often[u], zlib.crc32(u.encode())))[:POOL]
-    negative = list(dict.fromkeys([*pool[: NEGATIVES // 2], *sorted(pool, key=lambda u: zlib.crc32(u.encode()))[: NEGATIVES // 2]]))
-    for turn in range(ROUNDS):
-        landmarks = spread(positive, LANDMARKS * 2 // 3) + spread(negative[-1500:], LANDMARKS // 3)
-        weights, bias = machine(positive, negative, landmarks, heavy)
-        if turn < ROUNDS - 1:  # the clean words that come closest take part in the next round
-            scores = word_scores(pool, weights, bias)
-            negative = list(dict.fromkeys([*negative, *(pool[k] for k in np.argsort(-scores)[: NEGATIVES // 4])]))
-    usual = frozenset(u for u in pool[:USUAL] if often[u] >= 3)  # words of several clean texts are no insults
-    score = Scorer(weights, bias, usual)
-    x = np.hstack([np.vstack([score(toxic), score(clean)]), np.ones((len(toxic) + len(clean), 1))])
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
-    c = np.r_[np.full(len(toxic), 0.5 / len(toxic)), np.full(len(clean), 0.5 / len(clean))]
-    w = np.zeros(3)
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(3), x.T @ (c * (p - y)) + 1e-4 * w)
-        w -= step / max(1.0, np.abs(step).max())
-    return {"weights": weights, "bias": bias, "clean": usual, "curve": w}
+    vocabulary = sorted({u for b in (*toxic, *clean) for u in b})
+    place = {u: k for k, u in enumerate(vocabulary)}
+    toxic, clean = ([np.array([place[u] for u in b]) for b in x] for x in (toxic, clean))
+    in_clean = np.bincount(np.concatenate(clean), minlength=len(vocabulary))
+    by_hash = sorted(np.flatnonzero(in_clean).tolist(), key=lambda k: zlib.crc32(vocabulary[k].encode()))
+    usual = {*sorted(by_hash, key=lambda k: -in_clean[k])[: NEGATIVES // 2], *by_hash[: NEGATIVES // 2]}
+    scores, worst = _first_scores(vocabulary, toxic, clean), {}
+    for _ in range(ROUNDS):
+        speaks = Counter(int(t[np.argmax(scores[t])]) for t in toxic)
+        positive = sorted(speaks, key=lambda k: (-speaks[k], k))
+        if not (negative := sorted(usual.union(worst).difference(speaks))):
+            return None
+        word = lambda ks: [vocabulary[k] for k in ks]
+        closest = [k for k in worst if k not in speaks] or negative
+        landmarks = spread(word(positive), LANDMARKS * 2 // 3) + spread(word(closest), LANDMARKS // 3)
+        heavy, often = np.sqrt([speaks[k] for k in positive]), np.sqrt(np.maximum(1, in_clean[negative]))
+        weights, bias = machine(word(positive), word(negative), landmarks, heavy, often)
+        scores = word_scores(vocabulary, weights, bias)
+        for t in clean:
+            worst.update(dict.fromkeys(t[np.argsort(-scores[t], kind="stable")[:2]].tolist()))
+    x = np.array([summary(scores[t]) for t in (*toxic, *clean)])
+    return {"weights": weights, "bias": bias, "curve": Curve(x, np.r_[np.ones(len(toxic)), np.zeros(len(clean))])}
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == 0
 
 
-def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
-    """At most TRAIN_TEXTS toxic and as many clean texts of labels(doc_id, toxic) outside the held-out fold."""
+def training_bags(docs: DataFrame, labels: DataFrame) -> tuple[list[list[str]], list[list[str]]]:
+    """The words of at most TRAIN_TEXTS toxic and as many clean texts of labels(doc_id, toxic) outside the held-out fold;
+    of several rows with one doc_id one trains."""
     rows = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
-    texts = {}
+
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.map(bag, na_action=None)
+
+    bags = {}
     for y in (1, 0):
-        some = rows.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_TEXTS)
-        got = docs.join(F.broadcast(some), "doc_id").filter(F.length("text") <= TRAIN_CHARS).select("doc_id", "text").collect()
-        texts[y] = [r["text"] for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))]
-    return texts[1], texts[0]
+        some = rows.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_TEXTS).select("doc_id")
+        own = docs.join(F.broadcast(some), "doc_id").select("doc_id", F.struct(F.xxhash64("text").alias("h"), "text").alias("t"))
+        got = own.groupBy("doc_id").agg(F.min("t.h").alias("h"), F.min_by("t.text", "t.h").alias("text")).select("doc_id", words("text").alias("bag"))
+        bags[y] = [r["bag"] for r in sorted(got.collect(), key=lambda r: r["doc_id"])]  # at most TRAIN_TEXTS
+    return bags[1], bags[0]
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, score, predicted.
 
-    A null or empty text scores as one without words; repeated rows score alike; a null id is not held out and never a
-    training row; without labelled texts with words of both classes every score is 0. Only the text is read for a score.
+    A text without words, null and empty ones too, scores 0; repeated rows score alike; a null id is not held out and never a
+    training row; without labelled texts with words of both classes every score is 0. Only the text is read for a score;
+    further columns of either table don't matter, whatever their names.
     """
     docs = docs.select("doc_id", "text")
-    model = train(*training_texts(docs, labels))
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(train(*training_bags(docs, labels)))  # a weight per subsequence: 1 MB
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = shared.value
-        scorer = Scorer(m["weights"], m["bias"], m["clean"]) if m else None
+        scorer = Scorer(shared.value) if shared.value else None
         for batch in batches:
-            if m is None:
-                yield pd.Series(np.zeros(len(batch)))
-                continue
-            out = [scorer(batch.iloc[k : k + 64]) for k in range(0, len(batch), 64)]
-            x = np.vstack(out) if out else np.zeros((0, 2))
-            yield pd.Series(1 / (1 + np.exp(-(x @ m["curve"][:2] + m["curve"][2]))))
+            parts = [scorer(batch.iloc[k : k + 64]) for k in range(0, len(batch), 64)] if scorer else []
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(len(batch)))
 
     rated = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.pandas_udf(score, "double")("text").alias("score"))
     return rated.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
