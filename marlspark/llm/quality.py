@@ -1,9 +1,11 @@
 """Quality rules as weak supervision.
 
 Each rule votes 1 (good), -1 (bad) or 0 (abstains) on a document. Expectation-maximisation over the counts of vote
-patterns, at most 3^11 of them however large the corpus is, estimates for each rule how often it votes either way on
-good and on bad documents; the posterior probability of good then decides, instead of a demand that all rules pass.
-All of it is DataFrame and SQL functions: texts are read once per pass and never shuffled.
+patterns, at most 3^11 of them however large the corpus is, estimates the share of good documents and for each rule
+how often it votes either way on good and on bad documents; the posterior probability of good then decides, instead of
+a demand that all rules pass. So a rule that fires in a corpus on documents that all others find good loses its say,
+and one that agrees with others on bad documents gains. Texts are read once and never shuffled; all of it is DataFrame
+and SQL functions, but for the rounds of EM, which are arithmetic of the driver on the pattern counts.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, staged, table
+from .common import staged, table, tidy
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
 SYMBOLS, MARKS = "#*$%&|<>", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -32,13 +34,13 @@ RULES = {
     "vocabulary": ("n_distinct < 0.1 * n_words and n_words < 2000", "n_distinct > 0.25 * n_words"),
 }
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: The share of good documents, a setting, and where EM starts: P(vote -1 | the rule votes) on good and on bad documents. Bad
-#: documents pass most rules, each kind of them failing its own; good ones hardly ever fail any.
+#: Where EM starts: the share of good documents, and P(vote -1 | the rule votes) on good and on bad documents. Bad documents
+#: pass most rules, each kind of them failing its own; good ones hardly ever fail any.
 GOOD, START = 0.8, (0.005, 0.2)
-#: These shares of the rows' number are added as votes like START's on good and on bad documents, which holds the two
-#: classes to their meaning: else EM may take the most frequent kind of junk alone for the bad class.
-ANCHOR = (1.0, 0.2)
-ROUNDS, TOLERANCE = 25, 1e-5
+#: So many documents, and votes of each rule on either class, like GOOD and START are added to what is counted: they hold
+#: the classes to their meaning in a small table and don't matter in a large one.
+PRIOR = 50
+ROUNDS, TOLERANCE = 200, 1e-6
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -74,47 +76,69 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def _terms(model: dict) -> tuple[float, list[tuple[float, float]]]:
+    """Log odds of good before any vote, and per rule what votes of 1 and -1 add to them."""
+    rules = [(math.log((1 - on_good) / (1 - on_bad)), math.log(on_good / on_bad)) for on_good, on_bad in model["rules"].values()]
+    return math.log(model["good"] / (1 - model["good"])), rules
+
+
 def posterior(model: dict) -> Column:
     """P(good | votes) under the model."""
-    score = F.lit(math.log(model["good"] / (1 - model["good"])))
-    for name, (on_good, on_bad) in model["rules"].items():
+    odds, rules = _terms(model)
+    score = F.lit(odds)
+    for name, (up, down) in zip(model["rules"], rules, strict=True):
         v = F.col(f"v_{name}")
-        score = score + F.when(v == 1, math.log((1 - on_good) / (1 - on_bad))).when(v == -1, math.log(on_good / on_bad)).otherwise(0.0)
+        score = score + F.when(v == 1, up).when(v == -1, down).otherwise(0.0)
     return 1 / (1 + F.exp(-score))
 
 
-def fit(patterns: DataFrame) -> dict:
-    """EM over the counts n of vote patterns v_*: {"good": share, "rules": {name: (P(-1 | good), P(-1 | bad))}}, both
-    among the votes that aren't abstentions."""
-    start = {"good": GOOD, "rules": dict.fromkeys(RULES, START)}
-    model = start
-    for _ in range(ROUNDS):
-        rows = patterns.withColumn("_g", posterior(model) * F.col("n")).withColumn("_b", F.col("n") - F.col("_g"))
-        sums = [F.sum(F.when(F.col(f"v_{name}") == v, F.col(c)).otherwise(0.0)).alias(f"{name}{c}{v}") for name in RULES for c in ("_g", "_b") for v in (-1, 1)]
-        got = rows.agg(F.sum("_g").alias("_g"), F.sum("_b").alias("_b"), *sums).first()
-        if got["_g"] is None:
-            return start
-        total = got["_g"] + got["_b"]
-        on_good, on_bad = ANCHOR[0] * total + 1, ANCHOR[1] * total + 1
-
-        def rate(name: str, c: str, like: float, extra: float, got=got) -> float:
-            return (got[f"{name}{c}-1"] + extra * like) / (got[f"{name}{c}-1"] + got[f"{name}{c}1"] + extra)
-
-        new = {"good": GOOD, "rules": {name: (rate(name, "_g", START[0], on_good), rate(name, "_b", START[1], on_bad)) for name in RULES}}
-        moved = max(abs(a - b) for name in RULES for a, b in zip(model["rules"][name], new["rules"][name], strict=True))
-        model = new
+def start() -> dict:
+    return {"good": GOOD, "rules": dict.fromkeys(RULES, START)}
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], prior: float = PRIOR, rounds: int = ROUNDS) -> dict:
+    """EM over vote patterns, in the order of RULES, with their counts: {"good": share, "rules": {name: (P(-1 | good),
+    P(-1 | bad))}}, both among the votes that aren't abstentions. A rule that would vote -1 more often on good documents
+    than on bad ones gets one rate for both, and so no say."""
+    model = start()
+    for _ in range(rounds):
+        odds, rules = _terms(model)
+        n_good = n_all = 0.0
+        seen = [[0.0] * 4 for _ in RULES]  # votes of -1 and of any kind on good documents, on bad ones
+        for votes_, n in patterns:
+            score = odds + sum(up if v == 1 else down for v, (up, down) in zip(votes_, rules, strict=True) if v)
+            good = n / (1 + math.exp(-max(-500.0, min(500.0, score))))
+            n_good += good
+            n_all += n
+            for own, v in zip(seen, votes_, strict=True):
+                if v:
+                    own[1] += good
+                    own[3] += n - good
+                    if v == -1:
+                        own[0] += good
+                        own[2] += n - good
+        new = {"good": (n_good + prior * GOOD) / (n_all + prior), "rules": {}}
+        for name, (bad_g, all_g, bad_b, all_b) in zip(RULES, seen, strict=True):
+            a, b = (bad_g + prior * START[0]) / (all_g + prior), (bad_b + prior * START[1]) / (all_b + prior)
+            if a > b:
+                a = b = (bad_g + bad_b + prior * sum(START)) / (all_g + all_b + 2 * prior)
+            new["rules"][name] = (a, b)
+        moved = max(abs(x - y) for name in RULES for x, y in zip(model["rules"][name], new["rules"][name], strict=True))
+        model, moved = new, max(moved, abs(model["good"] - new["good"]))
         if moved < TOLERANCE:
             break
     return model
 
 
-def fit_on(feature_rows: DataFrame) -> dict:
-    """The model of a corpus, from the documents that the base rules leave to be decided."""
+def patterns_of(feature_rows: DataFrame) -> list[tuple[tuple[int, ...], int]]:
+    """The vote patterns of the documents that the base rules leave to be decided, with their counts; at most 3^11."""
     names = [f"v_{name}" for name in RULES]
-    patterns = staged(feature_rows.filter(~base_failed()).select(*votes()).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote-patterns")
-    model = fit(patterns)
-    discard(patterns)
-    return model
+    counted = feature_rows.filter(~base_failed()).select(*votes()).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    return sorted((tuple(r[:-1]), r["n"]) for r in counted.collect())
+
+
+def fit_on(feature_rows: DataFrame) -> dict:
+    return fit(patterns_of(feature_rows))
 
 
 def judged(feature_rows: DataFrame, model: dict) -> DataFrame:
@@ -123,18 +147,20 @@ def judged(feature_rows: DataFrame, model: dict) -> DataFrame:
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 
+@tidy
 def quality_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that are kept, with their own columns only; reads the texts twice and shuffles none.
+    """The documents that are kept, with their own columns only; reads the texts once and shuffles none.
 
     Works on any table with a text column: nulls and empty texts have no words and go, repeated rows are judged
-    alike, an empty table stays empty, and further columns are carried along whatever their names.
+    alike, an empty table stays empty, and further columns are carried along whatever their names. The documents are
+    written once with their counts, so that the rules' counts aren't worked out again for the verdicts.
     """
-    slim = docs.select(F.col(text_col).alias("text"))
-    model = fit_on(features(slim))
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("text"))
-    return judged(features(boxed), model).filter("kept").select("_row.*")
+    names = [f"_c{k}" for k in range(len(docs.columns))]
+    rows = staged(features(docs.toDF(*names), names[docs.columns.index(text_col)]), "quality-rows")
+    return judged(rows, fit_on(rows)).filter("kept").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
+@tidy
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = staged(features(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "quality-features")
     return judged(rows, fit_on(rows)).select("doc_id", *BASE, "base_failed", "kept", "quality")
