@@ -1,13 +1,17 @@
 """Sharding by balanced label propagation.
 
 Documents with equal texts are linked. Shards hold floor(N/K) or one more rows each, always. Groups that are large
-against a shard, of which there are at most 64*K, are laid out first, split over shards only where they can't fit.
+against a shard, a LARGE-th of its rows and LEAST rows or more, of which there are at most 64*K, are laid out first,
+split over shards only where they can't fit.
 The members of all other groups start on shards in proportion to the room; then, round after round, each group whose
 members are on several shards proposes to move those on the shard with fewest of them to the one with most (either way
 if both have as many). The driver adds the proposals up per pair of shards and accepts what keeps the quotas when all
 of it moves at once: exchanges between shards, full ones too, longer cycles, and chains that end where room is.
 Rounds go on until no accepted move is left. Documents without links fill the shards up to their quotas at the end.
 
+All members of a group are neighbours of one another, so what its members' neighbours hold is one count per shard: the
+joins along single links come down to an aggregation per group.
+
 The driver sees the large groups, and per round at most 2*K^2 numbers. A group is one row with at most K (shard,
 members) pairs; groups that have come together on one shard take no part in further rounds.
 """
@@ -21,10 +25,12 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, ranked, staged, table, with_group
+from .common import discard, ranked, staged, table, tidy, with_group
 
 #: QUIET: propagation ends after so many rounds in a row, each with other ties, in which no group can move.
-SHARDS, QUIET, BUCKETS, LARGE = 40, 3, 1024, 64
+SHARDS, QUIET, BUCKETS = 40, 3, 1024
+#: A group of a LARGE-th of a shard's rows is laid out first, but never one of less than LEAST rows.
+LARGE, LEAST = 64, 8
 OVERHEAD = 16
 
 
@@ -187,6 +193,7 @@ def propagate(state: DataFrame, room: list[int]) -> DataFrame:
     return reduce(DataFrame.unionByName, whole, cut)
 
 
+@tidy
 def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
     """One row per input row: id_col, size (UTF-8 bytes plus 16), text_crc32, law ("rows"), shard, slot, grown_shard.
 
@@ -199,7 +206,7 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     rows = staged(with_group(rows, ["key"], {"_n": (F.count(F.lit(1)), F.sum)}, ["row"]), "shard-groups")
     n = rows.count()
     room = quotas(n, shards)
-    large = max(2, n // shards // LARGE)
+    large = max(LEAST, n // shards // LARGE)
     sizes = rows.filter(F.col("_n") >= large).select("key", "_n").groupBy("key").agg(F.max("_n").alias("n")).collect()  # at most n / large
     fixed = lay_out(sorted(((r["key"], r["n"]) for r in sizes), key=lambda x: (-x[1], x[0])), room)
 
