@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The hot groups of `with_group` are spread over so many salts.
 SALTS = 1024
+#: Buckets of `ranked` at least, and of those that one task adds up at most.
+BUCKETS = 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,8 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/_marlspark/{spark.sparkContext.applicationId}"
 
 
-#: Folders of the tables that `staged` has made and nothing has deleted yet.
-MADE: list[str] = []
+#: The tables made in the innermost `tables_of` around, so that one run never touches another's.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+NAME = re.compile(r"-[0-9a-f]{32}$")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -39,29 +46,86 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     costs only the tasks that ran on it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
-    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    MADE[:] = [p for p in MADE if p != path]
+@contextmanager
+def tables_of() -> Iterator[list[str]]:
+    """The paths of the tables that `staged` makes within, as they are made."""
+    token = _made.set(made := [])
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """A table that gives the same rows in the same order and partitions when it is read twice: df itself where it only
+    picks, filters and computes on files or local rows, else a copy of it made by `staged`."""
+    plan = df._jdf.queryExecution().analyzed()
+    nodes = [plan]
+    for node in nodes:
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+    plain = {n.getClass().getSimpleName() for n in nodes} <= {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation", "LogicalRDD"}
+    return df if plain and plan.deterministic() else staged(df, name)
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def reads(df: DataFrame) -> set[str]:
+    """The names of the folders that df reads: those of tables made by `staged`, and of other files."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = set()
+    for leaf in (leaves.apply(k) for k in range(leaves.size())):
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            found |= {roots.apply(k).getName() for k in range(roots.size())}
+    return found
 
 
 def discard(df: DataFrame) -> None:
     """Deletes a table made by `staged`, once nothing reads it any more."""
-    names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
-    for path in [p for p in MADE if p.rsplit("/", 1)[-1] in names]:
-        _delete(df.sparkSession, path)
+    delete(df.sparkSession, [f"{shared_dir(df.sparkSession)}/{name}" for name in reads(df) if NAME.search(name)])
+
+
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that deletes the tables it has made, but for those that its result still reads."""
+
+    @wraps(f)
+    def run(*args: object, **kwargs: object) -> DataFrame:
+        with tables_of() as made:
+            out = f(*args, **kwargs)
+        used = reads(out)
+        delete(out.sparkSession, [p for p in made if p.rsplit("/", 1)[-1] not in used])
+        if (outer := _made.get()) is not None:
+            outer += [p for p in made if p.rsplit("/", 1)[-1] in used]
+        return out
+
+    return run
+
+
+def small_batches(f: Callable[..., DataFrame], rows: int = 1000) -> Callable[..., DataFrame]:
+    """An operator whose jobs send at most so many rows at a time between Spark and Python: a batch of whole texts stands
+    in the memory of both. What its result still has to do goes by the session's own setting."""
 
+    @wraps(f)
+    def run(df: DataFrame, *args: object, **kwargs: object) -> DataFrame:
+        conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(key)
+        conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+        try:
+            return f(df, *args, **kwargs)
+        finally:
+            conf.set(key, before)
 
-def release(spark: SparkSession, since: int, keep: DataFrame) -> None:
-    """Deletes the tables made after the first `since`, but for the one that `keep` reads."""
-    names = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()}
-    for path in [p for p in MADE[since:] if p.rsplit("/", 1)[-1] not in names]:
-        _delete(spark, path)
+    return run
 
 
 def ascii_lower(text: Column) -> Column:
@@ -83,8 +147,8 @@ def with_group(rows: DataFrame, keys: list[str], folds: dict[str, tuple[Column,
 
 
 def row_buckets(n_rows: int, per_bucket: int = 1000) -> int:
-    """Buckets for `ranked`: a power of two that keeps each one near per_bucket rows, at least 1024."""
-    n = 1024
+    """Buckets for `ranked`: a power of two that keeps each one near per_bucket rows, at least BUCKETS."""
+    n = BUCKETS
     while n * per_bucket < n_rows:
         n *= 2
     return n
@@ -98,9 +162,15 @@ def ranked(rows: DataFrame, group: list[str], order: list[str], name: str, n_row
     """
     n = row_buckets(n_rows)
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order, F.lit(name)), F.lit(n)).cast("int"))
-    counts = rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_bucket").alias("_g_bucket"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    counts = rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_part", F.expr(f"_bucket div {BUCKETS}"))
+    before = lambda by, order: F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumn("_offset", before([*group, "_part"], "_bucket"))
+    if n > BUCKETS:  # in two steps, so that no task gets all buckets
+        parts = counts.groupBy(*group, "_part").agg(F.sum("_n").alias("_n"))
+        parts = parts.withColumn("_start", before(group, "_part")).select(*[F.col(g).alias(f"_h_{g}") for g in group], F.col("_part").alias("_h_part"), "_start")
+        same = [F.col(g).eqNullSafe(F.col(f"_h_{g}")) for g in group] + [F.col("_part") == F.col("_h_part")]
+        offsets = offsets.join(parts, same).withColumn("_offset", F.col("_offset") + F.col("_start"))
+    offsets = offsets.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_bucket").alias("_g_bucket"), "_offset")
     own = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order))
     same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group] + [F.col("_bucket") == F.col("_g_bucket")]
     joined = rows.withColumn("_own", own).join(offsets, same)

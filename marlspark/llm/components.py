@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged, with_group
+from .common import discard, staged, tidy, with_group
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -17,6 +17,7 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+@tidy
 def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """edges(a, b) -> (node, label) for every node of an edge; label is the least node of its component.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged, table, with_group
+from .common import ascii_lower, staged, table, tidy, with_group
 
 MAX_BITS = 1 << 28
 BITS_PER_ROW = 16
@@ -45,6 +45,7 @@ def repeated_cells(hashes: DataFrame, bits: int) -> DataFrame:
     return often.groupBy((F.col("_cell") / BLOCK).cast("long").alias("_block")).agg(F.bitmap_construct_agg(F.col("_cell") % BLOCK).alias("_bits"))
 
 
+@tidy
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), bits: int | None = None) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256 and the columns named in carry.
 
@@ -71,6 +72,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return singles.unionByName(shaped(grouped, F.col("_best._id"), F.col("_size"), F.col("_row") == F.col("_best._row")))
 
 
+@tidy
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with their own columns."""
     boxed = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_box"))

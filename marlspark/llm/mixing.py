@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked, staged, table
+from .common import ranked, settled, staged, table, tidy
 
 RESOLUTION, BLOCK_ROWS = 1000, 16
 #: Blocks of a source that meet their phases in one join key, at least, and join keys of one source, at most about.
@@ -105,6 +105,7 @@ def schedule(counts: dict[str, int], weights: dict[str, int], block_rows: int =
     return phases
 
 
+@tidy
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per input row: id_col, source, block, release, deadline, slot, position (gapless from 0), _row.
 
@@ -133,9 +134,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", w
     )
 
 
+@tidy
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, int] | None = None) -> DataFrame:
     """All documents in mixed order: their own columns, range-partitioned and sorted by position, so that reading the
-    written files in order gives the mix. Documents with the same id share a set of places."""
+    written files in order gives the mix. Documents with the same id share a set of places. Rows are told apart by their
+    place in docs, which is read twice; what isn't read from files as it is gets written first."""
+    docs = settled(docs, "mix-documents")
     places = mixed(docs, id_col, source_col, weights).select(F.col(id_col).alias("_id"), F.col("_row").alias("_place"), "position")
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_box"), F.col(id_col).alias("_own"), F.monotonically_increasing_id().alias("_row"))
     joined = boxed.join(staged(places, "mix-places"), (F.col("_row") == F.col("_place")) & F.col("_own").eqNullSafe(F.col("_id")))

@@ -10,14 +10,16 @@ similarity join, 2017):
 * In each list one set, the one with the smallest relative position, leads; all others are compared with it first, a
   number of pairs that is linear in the list. Links found so join most near copies.
 * Only pairs in different components are left. Within a list, entries lie in blocks by size, and an entry's position
-  says which blocks can hold partners; the others are skipped.
+  says which blocks can hold partners; the others are skipped. Entries of the label that is most frequent in the list
+  meet those of other labels only, so that a list of very many near copies and a few others stays linear.
 * A pair is first tested on the two prefixes, which shows most that share a common passage only to be too far apart;
   whole sets are made for what is left.
 * An answer that the leader's answers give already isn't computed again: from |a & L| and |b & L| follow an upper and
   a lower bound of |a & b|, and only a pair that neither bound decides is verified.
 
 Orders and filters that are broadcast have fixed sizes (SKETCH bytes, FILTER / 8 bytes). When a corpus outgrows them
-they let more through, and results stay the same. Shingles are 64-bit hashes, sets are told apart by 128 bits.
+they let more through, and results stay the same. Shingles are 64-bit hashes: two given ones meet by chance with a
+probability of 2^-64. Sets are told apart by 128 bits of their shingles.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, staged, table
+from .common import discard, small_batches, staged, table, tidy
 from .components import connected
 from .exact_dedup import in_bitmap
 
@@ -53,33 +56,42 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct shingle hashes of texts, ascending; empty without words.
 
-    Works on the UTF-8 bytes of many texts at once. A word's hash is a polynomial over random values of its bytes, A-Z
-    having those of a-z, taken from running sums: (S[end] - S[start]) / BASE^start, modulo 2^64.
+    Works on the UTF-8 bytes of many texts at once, A-Z lower-cased. A word's hash starts from its length and takes in
+    its bytes in blocks of eight, each mixed into the state before the next one; the words of one batch go block by
+    block together. Words of more than LONG bytes are hashed alone. No sum or product of the bytes is in it, by which
+    words of some structure would meet; words of one length up to eight bytes never do.
     """
 
-    BASE = 0x2545F4914F6CDD1D
+    LONG = 512
 
     def __init__(self, words: int = WORDS):
         self.words = words
         self.odd = ODD if words <= len(ODD) else _mix(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
-        values = _mix(np.arange(1, 257, dtype=np.uint64))
-        values[65:91] = values[97:123]
-        self.values = values
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
         self.space = np.zeros(256, dtype=bool)
         self.space[[32, *range(9, 14)]] = True
-        self.powers = self.inverses = np.ones(1, dtype=np.uint64)
-
-    def _tables(self, n: int) -> None:
-        if len(self.powers) < n:
-            size = 1 << (n - 1).bit_length()
-            steps = lambda x: np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, dtype=np.uint64)], dtype=np.uint64)
-            self.powers, self.inverses = steps(np.uint64(self.BASE)), steps(np.uint64(pow(self.BASE, -1, 1 << 64)))
+        self.cut = np.array([*((1 << 8 * k) - 1 for k in range(8)), (1 << 64) - 1], dtype=np.uint64)
+
+    def _words(self, low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the words low[begin:end]; eight bytes must follow the last one."""
+        blocks = np.ndarray(len(low) - 7, dtype="<u8", buffer=low, strides=(1,))  # the eight bytes from each place on
+        size = end - begin
+        h = _mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        at = np.flatnonzero(size <= self.LONG)
+        k = 0
+        while len(at):
+            rest = size[at] - k
+            h[at] = _mix(h[at] ^ (blocks[begin[at] + k] & self.cut[np.minimum(rest, 8)]))
+            at, k = at[rest > 8], k + 8
+        for w in np.flatnonzero(size > self.LONG):
+            h[w] = int.from_bytes(hashlib.blake2b(low[begin[w] : end[w]].tobytes(), digest_size=8).digest(), "little")
+        return h
 
     def _hashed(self, raw: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         """The sets of the texts that begin at starts, the last of them ending with raw."""
         if not len(raw):
             return [np.empty(0, dtype=np.uint64)] * len(starts)
-        self._tables(len(raw) + 1)
         gap = self.space[raw]
         first = ~gap
         first[1:] &= gap[:-1]
@@ -91,9 +103,7 @@ class Shingler:
         at = at[at > 0] - 1
         last[at] = ~gap[at]
         end = np.flatnonzero(last) + 1
-        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(self.values[raw] * self.powers[: len(raw)], out=sums[1:])
-        h = _mix((sums[end] - sums[begin]) * self.inverses[begin])
+        h = self._words(np.r_[self.lower[raw], np.zeros(8, dtype=np.uint8)], begin, end)
         bounds = np.r_[np.searchsorted(begin, starts), len(begin)]
         grams = np.full(max(0, len(h) - self.words + 1), self.words, dtype=np.uint64)
         for i in range(self.words):
@@ -158,32 +168,38 @@ def _digests(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     """(id, n, sig) per document, and for each cell of the sketch the logarithm of its shingles' count, as bytes."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, cells = Shingler(words), np.zeros(SKETCH, dtype=np.uint16)
+        shingler, cells = Shingler(words), np.zeros(SKETCH, dtype=np.uint8)
         for batch in batches:
             for part, sets in _parts(batch, "text", shingler):
-                at = (np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64)
-                np.add.at(cells, at, np.uint16(1))
-                high = at[cells[at] > 60_000]
-                cells[high] = 60_000
+                at, times = np.unique(np.concatenate(sets) & np.uint64(SKETCH - 1), return_counts=True)
+                at = at.astype(np.int64)
+                cells[at] = np.minimum(cells[at] + times, 255)  # saturates; a task's counts only order shingles
                 none = pa.nulls(part.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) if len(x) else None for x in sets], pa.binary()), none, pa.nulls(part.num_rows, pa.binary())], schema=kind)
-        cells = np.minimum(cells, 255).astype(np.uint8)
         for k in range(0, SKETCH, CHUNK):
             if cells[k : k + CHUNK].any():
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([k // CHUNK], pa.int64()), pa.array([cells[k : k + CHUNK].tobytes()], pa.binary())], schema=kind)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        def done() -> pa.RecordBatch:
+            logs = np.minimum(255, 6 * np.log2(1 + sums)).astype(np.uint8).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([logs], pa.binary())], names=["chunk", "cells"])
+
+        chunk, sums = None, np.zeros(CHUNK, dtype=np.int64)
         for batch in batches:
-            for c, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[c] = sums.get(c, 0) + np.frombuffer(b.as_buffer(), dtype=np.uint8).astype(np.int64)
-        logs = [np.minimum(255, 6 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(logs, pa.binary())], names=["chunk", "cells"])
+            for c, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # the rows of a chunk in a row
+                if c != chunk:
+                    if chunk is not None:
+                        yield done()
+                    chunk, sums[:] = c, 0
+                sums += np.frombuffer(b.as_buffer(), dtype=np.uint8)
+        if chunk is not None:
+            yield done()
 
     kind = pa.schema([("id", pa.string()), ("n", pa.int64()), ("sig", pa.binary()), ("chunk", pa.int64()), ("cells", pa.binary())])
     both = staged(docs.mapInArrow(read, "id string, n long, sig binary, chunk long, cells binary"), "shingle-digests")
     sketch = np.zeros(SKETCH, dtype=np.uint8)
-    chunks = both.filter("chunk is not null").select("chunk", "cells").repartition("chunk")
+    chunks = both.filter("chunk is not null").select("chunk", "cells").repartition("chunk").sortWithinPartitions("chunk")
     for r in chunks.mapInArrow(total, "chunk long, cells binary").collect():  # SKETCH bytes in all
         sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["cells"], dtype=np.uint8)
     return both.filter("chunk is null").select("id", "n", "sig"), sketch
@@ -208,9 +224,8 @@ def _sig_hash(sig: bytes) -> int:
     return int.from_bytes(sig[:7], "big")
 
 
-def _prefixes(docs: DataFrame, words: int, sketch: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, words: int, order: Broadcast) -> DataFrame:
     """(sig, n, prefix) per class: its first shingles in global order."""
-    order = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, rank = Shingler(words), order.value
@@ -225,7 +240,7 @@ def _prefixes(docs: DataFrame, words: int, sketch: np.ndarray) -> DataFrame:
 
 
 def _entries(prefixes: DataFrame) -> DataFrame:
-    """(token, sig, pos, n) of the tokens that at least two classes have in their prefix, and of a few more."""
+    """(token, sig, pos, n) of the tokens that at least two classes have in their prefix, and of a few more; a table."""
     often = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("token")
     often = staged(often, "shared-tokens")
     bits = prefixes.sparkSession.sparkContext.broadcast(_filter(often.select(F.col("token").alias("h"))))
@@ -241,11 +256,14 @@ def _entries(prefixes: DataFrame) -> DataFrame:
                 at = np.flatnonzero(_in_filter(bits.value, tokens.view(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), part.column(0).take(pa.array(row[at])), pa.array(pos[at].astype(np.int64)), part.column(1).take(pa.array(row[at]))], names=["token", "sig", "pos", "n"])
 
-    return prefixes.select("sig", "n", "prefix").mapInArrow(read, "token long, sig binary, pos long, n long")
+    out = staged(prefixes.select("sig", "n", "prefix").mapInArrow(read, "token long, sig binary, pos long, n long"), "entries")
+    bits.destroy()
+    discard(often)
+    return out
 
 
 def _sets(docs: DataFrame, words: int, sigs: DataFrame) -> DataFrame:
-    """(sig, shingles) of the classes in sigs, and of a few more."""
+    """(sig, shingles) of the classes in sigs, and of a few more; a table."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter(sigs.select(F.conv(F.hex(F.substring("sig", 1, 7)), 16, 10).cast("long").alias("h"))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,11 +275,13 @@ def _sets(docs: DataFrame, words: int, sigs: DataFrame) -> DataFrame:
                 kept = [x for x, i in zip(rows, inside, strict=True) if i]
                 yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), _lists([rows[x] for x in kept])], names=["sig", "shingles"])
 
-    return docs.select("text").mapInArrow(read, "sig binary, shingles array<long>").groupBy("sig").agg(F.first("shingles").alias("shingles"))
+    out = staged(docs.select("text").mapInArrow(read, "sig binary, shingles array<long>").groupBy("sig").agg(F.first("shingles").alias("shingles")), "sets")
+    bits.destroy()
+    return out
 
 
 def _chosen(prefixes: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(sig, prefix) of the classes in sigs, and of a few more; nothing else leaves the scan."""
+    """(sig, prefix) of the classes in sigs, and of a few more; nothing else leaves the scan. A table."""
     bits = prefixes.sparkSession.sparkContext.broadcast(_filter(sigs.select(F.conv(F.hex(F.substring("sig", 1, 7)), 16, 10).cast("long").alias("h"))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,15 +289,16 @@ def _chosen(prefixes: DataFrame, sigs: DataFrame) -> DataFrame:
             h = np.array([_sig_hash(x) for x in batch.column(0).to_pylist()], dtype=np.uint64)
             yield batch.filter(pa.array(_in_filter(bits.value, h)))
 
-    return prefixes.select("sig", "prefix").mapInArrow(read, "sig binary, prefix array<long>")
+    out = staged(prefixes.select("sig", "prefix").mapInArrow(read, "sig binary, prefix array<long>"), "some-prefixes")
+    bits.destroy()
+    return out
 
 
-def _likely(pairs: DataFrame, prefixes: DataFrame, sketch: np.ndarray) -> DataFrame:
+def _likely(pairs: DataFrame, prefixes: DataFrame, order: Broadcast) -> DataFrame:
     """The pairs(a, b, na, nb) that their prefixes don't rule out: up to the place in the global order where the first of
     both prefixes ends, all shared shingles are known; behind it at most what either set has left can be shared."""
     sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    some = staged(_chosen(prefixes, sigs), "some-prefixes")
-    order = pairs.sparkSession.sparkContext.broadcast(sketch)
+    some = _chosen(prefixes, sigs)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank = order.value
@@ -295,18 +316,21 @@ def _likely(pairs: DataFrame, prefixes: DataFrame, sketch: np.ndarray) -> DataFr
             yield batch.loc[np.array(keep, dtype=bool), ["a", "b", "na", "nb"]]
 
     both = pairs.join(some.select(F.col("sig").alias("a"), F.col("prefix").alias("x")), "a").join(some.select(F.col("sig").alias("b"), F.col("prefix").alias("y")), "b")
-    return both.select("a", "b", "na", "nb", "x", "y").mapInPandas(read, "a binary, b binary, na long, nb long")
+    out = staged(both.select("a", "b", "na", "nb", "x", "y").mapInPandas(read, "a binary, b binary, na long, nb long"), "likely-pairs")
+    discard(some)
+    return out
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, prefixes: DataFrame, sketch: np.ndarray) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, prefixes: DataFrame, order: Broadcast) -> DataFrame:
     """pairs(a, b, na, nb) that may link, with the exact size of the intersection, o. Whole sets are made again from the
     texts, of the classes in those pairs only."""
-    likely = staged(_likely(pairs, prefixes, sketch), "likely-pairs")
+    likely = _likely(pairs, prefixes, order)
     if likely.isEmpty():
         return staged(likely.withColumn("o", F.lit(0).cast("long")), "overlaps")
-    sets = staged(_sets(docs, words, likely.select(F.explode(F.array("a", "b")).alias("sig")).distinct()), "sets")
+    sets = _sets(docs, words, likely.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
     out = staged(_overlaps(likely, sets), "overlaps")
     discard(sets)
+    discard(likely)
     return out
 
 
@@ -335,6 +359,8 @@ def _block(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / float(np.log(STEP)))
 
 
+@tidy
+@small_batches
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id (the smallest id reachable by links).
 
@@ -345,9 +371,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_type = docs.schema[id_col].dataType
     docs = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     digests, sketch = _digests(docs, words)
+    order = docs.sparkSession.sparkContext.broadcast(sketch)  # SKETCH bytes
     classes = digests.filter("sig is not null").groupBy("sig").agg(F.min(F.col("id").cast(id_type)).alias("least"))
-    prefixes = staged(_prefixes(docs, words, sketch), "prefixes")
-    entries = staged(_entries(prefixes), "entries")
+    prefixes = staged(_prefixes(docs, words, order), "prefixes")
+    entries = _entries(prefixes)
 
     # first the leader of each list; lists of one are the filter's false positives
     lead = entries.groupBy("token").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("r"), "n", "sig", "pos")).alias("l"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
@@ -356,7 +383,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     discard(entries)
     stars = led.filter((F.col("sig") != F.col("leader")) & _possible(F.col("n"), F.col("pos"), F.col("nl"), F.col("pl"))).select(F.col("sig").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), F.col("nl").alias("nb")).distinct()
     met = staged(stars, "stars")
-    stars = _verified(met, docs, words, prefixes, sketch)
+    stars = _verified(met, docs, words, prefixes, order)
     links = stars.filter(linked(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b")
     labels = staged(connected(links), "star-components")
 
@@ -365,21 +392,24 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = led.filter("sets > 2").join(known, ["sig", "leader"], "left").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left")
     full = full.select("token", "sig", "pos", "n", "nl", F.coalesce("label", "sig").alias("label"), F.when(F.col("sig") == F.col("leader"), F.col("n")).otherwise(F.col("o")).alias("o"))
     full = staged(full, "labelled-entries")
-    mixed = full.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("token")
-    rest = staged(full.join(staged(mixed, "mixed-tokens"), "token", "left_semi"), "rest")
+    # of a list, the entries of its most frequent label meet those of other labels only: pairs of that label are never made
+    usual = full.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "label")).alias("u"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    rest = staged(full.join(staged(usual.select("token", F.col("u.label").alias("usual")), "mixed-tokens"), "token").withColumn("usual", F.col("label") == F.col("usual")), "rest")
     most = F.least(F.col("n"), F.floor((5 * F.col("n") - 9 * F.col("pos")) / 4))  # the largest partner up to its own size
     least = F.ceil(4 * F.col("n") / 5)
-    probe = rest.filter(most >= least).select("token", *[F.col(c).alias(f"{c}_a") for c in ("sig", "pos", "n", "label", "o")], "nl", F.explode(F.sequence(_block(least), _block(most))).alias("block"))
-    index = rest.select("token", *[F.col(c).alias(f"{c}_b") for c in ("sig", "pos", "n", "label", "o")], _block(F.col("n")).alias("block"))
+    probe = rest.filter(most >= least).select("token", "usual", *[F.col(c).alias(f"{c}_a") for c in ("sig", "pos", "n", "label", "o")], "nl", F.explode(F.sequence(_block(least), _block(most))).alias("block"))
+    met_by = F.when(F.col("usual"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))  # by usual probes: unusual entries only
+    index = rest.select("token", F.explode(met_by).alias("usual"), *[F.col(c).alias(f"{c}_b") for c in ("sig", "pos", "n", "label", "o")], _block(F.col("n")).alias("block"))
     ordered = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("sig_a") < F.col("sig_b")))
-    pairs = probe.join(index, ["token", "block"]).filter((F.col("label_a") != F.col("label_b")) & ordered & _possible(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")))
+    pairs = probe.join(index, ["token", "block", "usual"]).filter((F.col("label_a") != F.col("label_b")) & ordered & _possible(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")))
     total = F.col("n_a") + F.col("n_b")
     upper = F.coalesce(F.least(F.col("o_b") + F.col("n_a") - F.col("o_a"), F.col("o_a") + F.col("n_b") - F.col("o_b")), F.col("n_b"))
     lower = F.coalesce(F.col("o_a") + F.col("o_b") - F.col("nl"), F.lit(0))
     pairs = pairs.filter(9 * upper >= 4 * total).groupBy(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).agg(F.first("n_a").alias("na"), F.first("n_b").alias("nb"), F.max(9 * lower >= 4 * total).alias("sure"))
     done = met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     pairs = staged(pairs.join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti"), "open-pairs")
-    found = _verified(pairs.filter("not sure").drop("sure"), docs, words, prefixes, sketch).filter(linked(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b")
+    found = _verified(pairs.filter("not sure").drop("sure"), docs, words, prefixes, order).filter(linked(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b")
+    order.destroy()
     more = staged(found.unionByName(pairs.filter("sure").select("a", "b")), "more-links")
     if not more.isEmpty():
         labels = staged(connected(links.unionByName(more)), "components")
@@ -392,6 +422,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return plain.unionByName(rest_rows.select(F.col("id").cast(id_type).alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")))
 
 
+@tidy
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """The documents without those that link to one with a smaller id: all their columns, one per component. A document
     whose id isn't in the filter of the dropped ids passes straight through; only the others shuffle with their texts."""

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged, table, with_group
+from .common import shared_dir, staged, table, tidy, with_group
 
 LEAST_REVISIT, SEGMENT, CHUNK, ARCHIVE = 100, 8192, 4096, 8 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -211,6 +211,7 @@ def read_archives(spark: SparkSession, where: str) -> DataFrame:
     return whole.unionByName(parts.mapInPandas(join, result))
 
 
+@tidy
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages(page_id, url, html) into the shared folder and reads the archives back."""
     spark = pages.sparkSession
