@@ -3,6 +3,8 @@ columns of clashing names."""
 
 import collections
 import hashlib
+import math
+import os
 import random
 import zlib
 
@@ -111,6 +113,51 @@ def test_shingler_column_equals_single_texts():
     assert np.array_equal(s(texts[2]), s(texts[3])) and not np.array_equal(s("a b"), s("b a"))
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word[:n]
+
+
+def test_ngram_words_of_structure_and_long_words_are_told_apart(spark):
+    """Words that a polynomial modulo a power of two can't tell apart, alone and inside of shingles, and very long ones."""
+    a = thue_morse(4096)
+    b = a.translate(str.maketrans("ab", "ba"))
+    rest = " ".join("w%d" % k for k in range(30))
+    long = "x" * 100_000
+    rows = [(1, a, "s"), (2, b, "s"), (3, f"{a} {b}", "s"), (4, f"{b} {a}", "s"), (5, f"{a} one two three four five", "s"), (6, f"{b} one two three four five", "s"), (7, f"{rest} {a}", "s"), (8, f"{rest} {b}", "s")]
+    rows += [(9, long, "s"), (10, long + "y", "s"), (11, long.upper(), "s"), (12, "y" + long, "s"), (13, a[:512], "s"), (14, b[:512], "s"), (15, a[:16], "s"), (16, b[:16], "s")]
+    got = ngram_join.components(make(spark, rows)).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
+    assert {r["component_id"] for r in got if r["doc_id"] in (9, 11)} == {9}
+
+
+def test_a_list_of_many_near_copies_and_others_stays_linear(spark, monkeypatch):
+    """Many copies with one more word each share their shingles with two texts that link with none of them."""
+    rng = random.Random(8)
+    base = ["p%d" % k for k in range(60)]
+    rows = [(k, " ".join([*base, "t%d" % k]), "s") for k in range(400)]
+    rows += [(1000 + k, " ".join(base[:40] + ["o%d%d" % (k, rng.randrange(9)) for _ in range(25)]), "s") for k in range(2)]
+    made = []
+    real = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *args: made.append(pairs.count()) or real(pairs, *args))
+    got = ngram_join.components(make(spark, rows)).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
+    assert sum(made) < 6 * len(rows)
+
+
+def test_operators_leave_only_the_tables_that_their_results_read(spark, rows):
+    out = ngram_join.components(make(spark, rows))
+    root = common.shared_dir(spark).removeprefix("file://")
+    there = set(os.listdir(root))
+    mine = common.reads(out)
+    again = ngram_join.components(make(spark, rows))
+    left = set(os.listdir(root)) - there
+    assert mine <= there and left == common.reads(again) and len(left) <= 3
+    assert out.count() == again.count() == len(rows)
+
+
 def test_keep_one_keeps_columns_and_groups(spark, rows):
     got = ngram_join.keep_one(make(spark, rows))
     assert got.columns == make(spark, rows).columns
@@ -131,6 +178,62 @@ def test_quality_base_counts_and_judgement(spark):
     assert kept.columns == docs.columns and kept.count() == 60
 
 
+def em_rows(patterns):
+    """Patterns given as {names of failed rules: count}; all other rules vote 1."""
+    return [(tuple(-1 if name in failed.split() else 1 for name in quality.RULES), n) for failed, n in patterns.items()]
+
+
+def chance(model, failed):
+    score, rules = quality._terms(model)
+    score += sum(down if name in failed.split() else up for name, (up, down) in zip(quality.RULES, rules, strict=True))
+    return 1 / (1 + math.exp(-score))
+
+
+def test_quality_em_estimates_share_and_rules():
+    """A rule that fires on good documents loses its say, and the class share is estimated: votes alone, the start without
+    EM, would judge otherwise."""
+    rows = em_rows({"": 5500, "digits": 3000, "symbols marks": 500, "capitals shouts": 500, "tables symbols": 500})
+    model = quality.fit(rows)
+    assert abs(model["good"] - 0.85) < 0.03 and model["rules"]["digits"][0] > 0.25
+    assert chance(model, "digits") > 0.9 > 0.5 > chance(quality.start(), "digits")
+    assert max(chance(model, x) for x in ("symbols marks", "capitals shouts", "tables symbols")) < 0.05
+    mostly_bad = quality.fit(em_rows({"": 2000, "symbols marks": 3000, "capitals shouts": 3000}))
+    assert 0.15 < mostly_bad["good"] < 0.35
+
+
+def test_quality_em_equals_plain_em():
+    """The same updates, written per document."""
+    rows = em_rows({"": 40, "digits": 9, "symbols marks": 6, "digits marks": 3})
+    model = quality.fit(rows, rounds=3)
+    docs = [v for v, n in rows for _ in range(n)]
+    share, rates = quality.GOOD, [list(quality.START) for _ in quality.RULES]
+    for _ in range(3):
+        post = []
+        for v in docs:
+            like = [share, 1 - share]
+            for k, x in enumerate(v):
+                for c in (0, 1):
+                    like[c] *= rates[k][c] if x == -1 else 1 - rates[k][c]
+            post.append([like[0] / sum(like), like[1] / sum(like)])
+        share = (sum(p[0] for p in post) + quality.PRIOR * quality.GOOD) / (len(docs) + quality.PRIOR)
+        for k in range(len(rates)):
+            rates[k] = [(sum(p[c] for p, v in zip(post, docs, strict=True) if v[k] == -1) + quality.PRIOR * quality.START[c]) / (sum(p[c] for p in post) + quality.PRIOR) for c in (0, 1)]
+            assert rates[k][0] <= rates[k][1]
+    assert model["good"] == pytest.approx(share)
+    assert [x for r in model["rules"].values() for x in r] == pytest.approx([x for r in rates for x in r])
+
+
+def test_quality_very_long_texts_and_ties(spark):
+    rng = random.Random(6)
+    texts = [" ".join("v%d" % rng.randrange(50_000) for _ in range(60_000)), "one line, here.\n" * 20_000, None, ""]
+    docs = make(spark, [(k, t, "s") for k, t in enumerate(texts)])
+    rows = common.staged(quality.features(docs.select("doc_id", "text")), "t")
+    got = {r["doc_id"]: r for r in quality.judged(rows, quality.fit_on(rows)).collect()}
+    assert got[0]["n_words"] == 60_000 and not got[0]["base_failed"] and got[1]["n_repeat_words"] == 60_000 and got[1]["base_failed"]
+    even = {"good": 0.5, "rules": dict.fromkeys(quality.RULES, (0.1, 0.1))}  # a posterior of 0.5 exactly keeps
+    assert {r["doc_id"]: r["kept"] for r in quality.judged(rows, even).collect()} == {0: True, 1: False, 2: False, 3: False}
+
+
 def test_quality_counts_equal_brute_force(spark):
     import re
 
