@@ -4,6 +4,7 @@ they are Python, in Arrow batches of files."""
 from __future__ import annotations
 
 import ast
+import contextlib
 import re
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
@@ -19,39 +20,34 @@ CHUNKS = "path string, start_line int, end_line int, symbol string, kind string,
 
 
 def bounded(lines: list[str], first: int, most: int) -> Iterator[tuple[int, int, str]]:
-    """(start, end, text) of runs of lines of at most `most` characters; a longer line is cut."""
-    start, size, run = first, 0, []
+    """(start, end, text) of runs of lines, with their line ends: a run ends before the line that would bring it over
+    `most` characters; of a longer line the first `most` are kept."""
+    run: list[str] = []
+    size = 0
     for n, line in enumerate(lines, first):
-        line = line[:most]
-        if run and size + len(line) + 1 > most:
-            yield start, n - 1, "\n".join(run)
-            start, size, run = n, 0, []
-        run.append(line)
-        size += len(line) + 1
-    if any(x.strip() for x in run):
-        yield start, first + len(lines) - 1, "\n".join(run)
+        if run and size + len(line) > most:
+            yield n - len(run), n - 1, "".join(run)
+            run, size = [], 0
+        run.append(line[:most])
+        size += len(run[-1])
+    if run:
+        yield first + len(lines) - len(run), first + len(lines) - 1, "".join(run)
 
 
 def chunk_file(path: str, text: str, most: int = MAX_CHUNK_CHARS) -> Iterator[tuple]:
-    """Rows of CHUNKS: top-level definitions of a Python file, with what precedes the first; bounded text otherwise."""
-    lines = text.split("\n")
+    """Rows of CHUNKS: top-level definitions of a Python file, without their decorators, and the lines before the first
+    one's; what lies between definitions isn't indexed. All other files, and those that don't parse, as bounded text."""
+    lines = text.splitlines(keepends=True)
     defs: list = []
     if path.endswith(".py"):
-        try:
+        with contextlib.suppress(SyntaxError, ValueError):
             defs = [n for n in ast.parse(text).body if isinstance(n, DEFINITIONS)]
-        except (SyntaxError, ValueError):
-            defs = []
-    if not defs:
-        for a, b, t in bounded(lines, 1, most):
-            yield path, a, b, "", "text", t
-        return
-    top = min([d.lineno, *(x.lineno for x in defs[0].decorator_list)][0] for d in defs[:1])
-    for a, b, t in bounded(lines[: top - 1], 1, most):
-        yield path, a, b, "", "module", t
-    for d in defs:
-        kind = "class" if isinstance(d, ast.ClassDef) else "function"
-        for a, b, t in bounded(lines[d.lineno - 1 : d.end_lineno], d.lineno, most):
-            yield path, a, b, d.name, kind, t
+    parts = [(1, len(lines), "", "text")]
+    if defs:
+        parts = [(1, defs[0].lineno - 1, "", "module"), *((d.lineno, d.end_lineno, d.name, type(d).__name__.lower()) for d in defs)]
+    for first, last, symbol, kind in parts:
+        for a, b, t in bounded(lines[first - 1 : last], first, most):
+            yield path, a, b, symbol, kind, t
 
 
 def symbol_spans(text: str) -> Iterator[tuple[str, int, int]]:
@@ -73,28 +69,38 @@ def symbol_spans(text: str) -> Iterator[tuple[str, int, int]]:
     yield from walk(tree, "")
 
 
-def document_symbols(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(name, kind, line, character from 0) of functions, classes and assigned names."""
+def document_symbols(text: str) -> Iterator[tuple[str, str, int, int, str, str]]:
+    """(qualified name, kind, line, character from 1, signature, docstring) of functions, classes and assigned names."""
+
+    def walk(node: ast.AST, prefix: str) -> Iterator[tuple]:
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, DEFINITIONS):
+                kind = "class" if isinstance(child, ast.ClassDef) else "function"
+                head = f"class {child.name}" if kind == "class" else f"def {child.name}({', '.join(a.arg for a in child.args.args)})"
+                yield prefix + child.name, kind, child.lineno, child.col_offset + 1, head, ast.get_docstring(child) or ""
+                yield from walk(child, f"{prefix}{child.name}.")
+            elif isinstance(child, ast.Assign):
+                for target in child.targets:
+                    if isinstance(target, ast.Name):
+                        yield prefix + target.id, "variable", target.lineno, target.col_offset + 1, f"{target.id} = ...", ""
+            else:
+                yield from walk(child, prefix)
+
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError):
         return
-    for node in ast.walk(tree):
-        if isinstance(node, DEFINITIONS):
-            yield node.name, "class" if isinstance(node, ast.ClassDef) else "function", node.lineno, node.col_offset
-        elif isinstance(node, ast.Assign | ast.AnnAssign):
-            for target in node.targets if isinstance(node, ast.Assign) else [node.target]:
-                if isinstance(target, ast.Name):
-                    yield target.id, "variable", node.lineno, node.col_offset
-
-
-def symbol_at(text: str, line: int, character: int) -> str | None:
-    """The identifier that covers a column, else the first of the line."""
-    rows = text.split("\n")
-    if not 1 <= line <= len(rows):
+    yield from walk(tree, "")
+
+
+def symbol_at(text: str, line: int, character: int | None = 1) -> str | None:
+    """The identifier that covers a position, both numbers from 1, else the first of the line."""
+    rows = text.splitlines()
+    if not 1 <= line <= len(rows) or not (row := rows[line - 1]):
         return None
-    found = list(re.finditer(r"[A-Za-z_]\w*", rows[line - 1]))
-    return next((m[0] for m in found if m.start() <= character <= m.end()), found[0][0] if found else None)
+    at = min(max((character or 1) - 1, 0), len(row) - 1)
+    found = list(re.finditer(r"[A-Za-z_][A-Za-z0-9_]*", row))
+    return next((m[0] for m in found if m.start() <= at < m.end()), found[0][0] if found else None)
 
 
 HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
@@ -145,6 +151,15 @@ def chunks(files: DataFrame, most: int = MAX_CHUNK_CHARS) -> DataFrame:
     return got.withColumn("chunk_id", chunk_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("symbol"), F.col("text")))
 
 
+SYMBOLS = "path string, name string, kind string, line int, character int, signature string, docstring string"
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """Rows of SYMBOLS of the Python files among files(path, text)."""
+    python = files.filter(F.col("path").endswith(".py"))
+    return flat(python, lambda p, t: ((p, *row) for row in document_symbols(t or "")), ["path", "text"], SYMBOLS)
+
+
 def _field(spec: str, low: int, high: int) -> set[int]:
     out: set[int] = set()
     for part in spec.split(","):

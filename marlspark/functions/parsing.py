@@ -5,7 +5,9 @@ from __future__ import annotations
 import html
 import json
 import re
+import string
 import unicodedata
+from collections.abc import Iterator
 from urllib.parse import parse_qs, unquote, urlparse
 
 import pandas as pd
@@ -13,7 +15,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
-ENTRY_LINES, ENTRY_BYTES, NAME_CHARS, PRINTABLE_SHARE = 200, 25_000, 128, 0.9
+ENTRY_LINES, ENTRY_BYTES, NAME_CHARS, PRINTABLE_SHARE, PREVIEW_CHARS = 200, 25_000, 128, 0.9, 900
+ENTRY_WARNING = "\n\n> WARNING: MEMORY.md is {}. Only part of it was loaded. Keep index entries one line and move detail into topic notes.\n"
+MENTION = ("key", "name", "open_id", "user_id", "union_id")
 ANCHOR = re.compile(r'<a[^>]*class="[^"]*result__a[^"]*"[^>]*href="([^"]*)"[^>]*>(.*?)</a>', re.DOTALL)
 SNIPPET = re.compile(r'class="[^"]*result__snippet[^"]*"[^>]*>(.*?)</(?:a|div|span)>', re.DOTALL)
 
@@ -26,47 +30,69 @@ def _udf(f, kind: str):
     return apply
 
 
-def filename(name: str) -> str:
-    """A safe file name: base name, NFKC, other characters to _, at most 128."""
-    base = unicodedata.normalize("NFKC", re.split(r"[/\\]", name)[-1])
-    return re.sub(r"[^\w.\- ]+", "_", base).strip(" ._")[:NAME_CHARS] or "file"
-
-
-def entrypoint(text: str) -> str:
-    """At most 200 lines, then at most 25,000 UTF-8 bytes, cut at a line end."""
-    cut = "\n".join(text.split("\n")[:ENTRY_LINES])
-    raw = cut.encode()
-    if len(raw) <= ENTRY_BYTES:
-        return cut
-    head = raw[:ENTRY_BYTES].decode(errors="ignore")
-    return head[: head.rfind("\n")] if "\n" in head else head
-
-
-def mentions(payload: str) -> list[str]:
-    """Ids of the elements with tag "at" anywhere in a JSON payload, distinct, in order."""
+def filename(name: str, most: int = NAME_CHARS) -> str:
+    """A safe file name: the last part of a path, NFKC, runs of other than ASCII letters, digits, . _ - to one _, without
+    those at its ends, at most `most` characters; empty if nothing is left."""
+    parts = [x for x in name.split("/") if x not in ("", ".")]
+    plain = unicodedata.normalize("NFKC", parts[-1] if parts else "")
+    return re.sub("[^A-Za-z0-9._-]+", "_", plain).strip("._-")[:most]
+
+
+def entrypoint(text: str) -> tuple[str, bool]:
+    """(content, whether it was cut): at most ENTRY_LINES lines, then at most ENTRY_BYTES bytes of UTF-8, cut at a line
+    end where there is one; a cut text ends with a warning that names the limit it broke, a whole one keeps its line end."""
+    rows = text.splitlines()
+    head = "\n".join(rows[:ENTRY_LINES])
+    too_long, too_big = len(rows) > ENTRY_LINES, len(head.encode()) > ENTRY_BYTES
+    if too_big:
+        head = head.encode()[:ENTRY_BYTES].decode(errors="ignore")
+        if (end := head.rfind("\n")) > 0:
+            head = head[:end]
+    if not (too_long or too_big):
+        return head + "\n" * (text.endswith("\n") and not head.endswith("\n")), False
+    broken = f"{len(text.encode())} bytes (limit: {ENTRY_BYTES})" if too_big else f"{len(rows)} lines (limit: {ENTRY_LINES})"
+    return head.rstrip() + ENTRY_WARNING.format(broken), True
+
+
+def mentions(payload: str, given: str = "") -> list[tuple[str, ...]]:
+    """MENTION records of a message: of a JSON list beside it, of its own list "mentions", and of every element with the
+    tag "at" at any depth; distinct, in that order. An id may stand in the record itself or in its object "id"."""
+
+    def parsed(text: str) -> object:
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
+
+    def tagged(x: object) -> Iterator[dict]:
+        if isinstance(x, dict) and x.get("tag") == "at":
+            yield x
+        for child in x.values() if isinstance(x, dict) else x if isinstance(x, list) else ():
+            yield from tagged(child)
+
+    def record(x: dict) -> tuple[str, ...]:
+        inner = x["id"] if isinstance(x.get("id"), dict) else {}
+        values = (x.get("key"), x.get("name") or x.get("user_name"), *(x.get(k) or inner.get(k) for k in MENTION[2:]))
+        return tuple("" if v is None else str(v).strip() for v in values)
+
+    beside, root = parsed(given), parsed(payload)
+    own = root.get("mentions") if isinstance(root, dict) else None
+    listed = [x for some in (beside, own) if isinstance(some, list) for x in some if isinstance(x, dict)]
+    return [r for r in dict.fromkeys(map(record, (*listed, *tagged(root)))) if any(r)]
+
+
+def text_preview(data: bytes) -> str | None:
+    """A short form of what looks like text, null for what doesn't: UTF-8 of which nine tenths can be printed. White space
+    is squeezed; empty data gives an empty preview."""
     try:
-        root = json.loads(payload)
-    except ValueError:
-        return []
-    found: dict[str, None] = {}
-
-    def walk(x: object) -> None:
-        if isinstance(x, dict):
-            if x.get("tag") == "at" and x.get("user_id") is not None:
-                found[str(x["user_id"])] = None
-            for v in x.values():
-                walk(v)
-        elif isinstance(x, list):
-            for v in x:
-                walk(v)
-
-    walk(root)
-    return list(found)
-
-
-def looks_like_text(text: str) -> bool:
-    good = sum(c.isprintable() or c in "\n\r\t" for c in text)
-    return bool(text) and good >= PRINTABLE_SHARE * len(text)
+        text = bytes(data).decode()
+    except UnicodeDecodeError:
+        return None
+    good = sum(c.isprintable() or c in string.printable for c in text)
+    if text and good < PRINTABLE_SHARE * len(text):
+        return None
+    plain = " ".join(text.split())
+    return plain if len(plain) <= PREVIEW_CHARS else plain[: PREVIEW_CHARS - 3] + "..."
 
 
 def search_results(page: str) -> list[tuple[str, str, str]]:
@@ -86,12 +112,35 @@ def safe_filename(c: Column) -> Column:
 
 
 def truncated_entrypoint(c: Column) -> Column:
-    return _udf(entrypoint, "string")(c)
+    """struct(content, truncated)."""
+
+    @F.pandas_udf("content string, truncated boolean")
+    def cut(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([entrypoint(x or "") for x in s], columns=["content", "truncated"])
+
+    return cut(c)
+
+
+def mention_records(payload: Column, given: Column | None = None) -> Column:
+    """array<struct> of MENTION."""
+    kind = "array<struct<" + ",".join(f"{k}:string" for k in MENTION) + ">>"
+
+    @F.pandas_udf(kind)
+    def read(own: pd.Series, beside: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(MENTION, r, strict=True)) for r in mentions(p or "", g or "")] for p, g in zip(own, beside, strict=True)])
+
+    return read(payload, F.lit("") if given is None else given)
+
+
+def previews(data: Column) -> Column:
+    """The preview of binary data, null where it doesn't look like text; null data counts as empty."""
 
+    @F.pandas_udf("string")
+    def read(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: text_preview(x if x is not None else b""), na_action=None)
 
-def mention_ids(c: Column) -> Column:
-    return _udf(mentions, "array<string>")(c)
+    return read(data)
 
 
-def is_text(c: Column) -> Column:
-    return _udf(looks_like_text, "boolean")(c)
+def is_text(data: Column) -> Column:
+    return previews(data).isNotNull()

@@ -6,6 +6,7 @@ Message blocks are structs (type, text, id, name, tool_use_id, content, is_error
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,6 +22,7 @@ CONTEXT_WINDOW, RESERVED_OUTPUT, BUFFER, MAX_FAILURES = 200_000, 20_000, 13_000,
 RETRY_MARKER = "[earlier conversation truncated for compaction retry]"
 CLEARED = "[Old tool result content cleared]"
 STOP_LINE = "... earlier context condensed ..."
+BLANK = re.compile(r"\s*")
 BLOCK = "struct<type:string,text:string,id:string,name:string,tool_use_id:string,content:string,is_error:boolean>"
 
 
@@ -135,36 +137,82 @@ def tool_results(messages: DataFrame, conv: str = "conv_id", turn: str = "turn")
     return uses.join(results, [conv, "id"], "left")
 
 
-def split_point(roles: list[str], uses: list[set], results: list[set], keep: int) -> int:
-    """Index of the first message to keep, moved back while it would part a tool use from its result."""
-    at = max(0, len(roles) - keep)
-    while 0 < at < len(roles) and results[at] & uses[at - 1]:
-        at -= 1
-    return at
+def _uses(blocks: Column) -> Column:
+    return F.transform(F.filter(blocks, lambda b: b["type"] == "tool_use"), lambda b: b["id"])
+
+
+def _results(blocks: Column) -> Column:
+    return F.transform(F.filter(blocks, lambda b: b["type"] == "tool_result"), lambda b: b["tool_use_id"])
+
+
+def _some(blocks: Column) -> Column:
+    return F.coalesce(blocks, F.array().cast(f"array<{BLOCK}>"))
+
+
+def recent(messages: DataFrame, keep: int, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """Adds recent: the last `keep` messages of a conversation, and those before them as far as the boundary would part
+    a tool use from its result. The boundary is the last place at or before it where it parts none."""
+    w = _order(conv, turn)
+    pair = (F.col("role") == "user") & (F.lag("role").over(w) == "assistant") & F.arrays_overlap(F.coalesce(F.lag("_uses").over(w), F.array().cast("array<string>")), F.col("_results"))
+    rows = messages.withColumn("_uses", _uses(_some(F.col("blocks")))).withColumn("_results", _results(_some(F.col("blocks"))))
+    rows = rows.withColumn("_pair", F.coalesce(pair, F.lit(False))).withColumn("_at", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(conv)))
+    free = F.when(~F.col("_pair") & (F.col("_at") <= F.greatest(F.lit(0), F.col("_n") - keep)), F.col("_at"))
+    return rows.withColumn("recent", F.col("_at") >= F.max(free).over(Window.partitionBy(conv))).drop("_uses", "_results", "_pair", "_at", "_n")
+
+
+def split_recent(messages: DataFrame, keep: int, conv: str = "conv_id", turn: str = "turn") -> tuple[DataFrame, DataFrame]:
+    """(older, newer): the newer messages are sanitized, so that no tool use without a result outlives the cut."""
+    both = recent(messages, keep, conv, turn)
+    return both.filter("not recent").drop("recent"), sanitized(both.filter("recent").drop("recent"), conv, turn)
 
 
 def sanitized(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Drops empty assistant turns, tool uses whose result doesn't come in the next message, and results without a use.
-    A state machine over one conversation at a time."""
-    schema = messages.schema
-
-    def repair(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(turn).to_dict("records")
-        out: list[dict] = []
-        for k, row in enumerate(rows):
-            blocks = [dict(b) for b in (row["blocks"] if row["blocks"] is not None else [])]
-            if row["role"] == "assistant":
-                following = rows[k + 1]["blocks"] if k + 1 < len(rows) and rows[k + 1]["role"] == "user" else []
-                answered = {b["tool_use_id"] for b in (following if following is not None else []) if b["type"] == "tool_result"}
-                blocks = [b for b in blocks if b["type"] != "tool_use" or b["id"] in answered]
-            else:
-                asked = {b["id"] for b in out[-1]["blocks"] if b["type"] == "tool_use"} if out and out[-1]["role"] == "assistant" else set()
-                blocks = [b for b in blocks if b["type"] != "tool_result" or b["tool_use_id"] in asked]
-            if blocks and any(b["type"] != "text" or (b["text"] or "").strip() for b in blocks):
-                out.append(row | {"blocks": blocks})
-        return pd.DataFrame(out, columns=schema.names)
-
-    return messages.groupBy(conv).applyInPandas(repair, schema)
+    """A conversation that can be sent again: assistant turns without content go first; then one with tool uses goes as a
+    whole unless the message after it is a user's and has a result for each of them; results that answer no such turn go
+    from their message, and the message with them if it has nothing else."""
+    w = _order(conv, turn)
+    rows = messages.withColumn("blocks", _some(F.col("blocks")))
+    content = F.exists("blocks", lambda b: (b["type"] != "text") | F.coalesce(b["text"].rlike(r"\S"), F.lit(False)))
+    rows = rows.filter((F.col("role") != "assistant") | content)
+    rows = rows.withColumn("_uses", F.when(F.col("role") == "assistant", _uses(F.col("blocks"))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("_results", F.when(F.col("role") == "user", _results(F.col("blocks"))).otherwise(F.array().cast("array<string>")))
+    asks = F.size("_uses") > 0
+    answered = asks & (F.lead("role").over(w) == "user") & (F.size(F.array_except("_uses", F.lead("_results").over(w))) == 0)
+    rows = rows.withColumn("_asks", asks).withColumn("_answered", F.coalesce(answered, F.lit(False)))
+    orphans = (F.size("_results") > 0) & ~F.coalesce(F.lag("_answered").over(w), F.lit(False))
+    rows = rows.withColumn("_orphans", orphans).withColumn("blocks", F.when(F.col("_orphans"), F.filter("blocks", lambda b: b["type"] != "tool_result")).otherwise(F.col("blocks")))
+    kept = rows.filter((~F.col("_asks") | F.col("_answered")) & (~F.col("_orphans") | (F.size("blocks") > 0)))
+    return kept.select(*messages.columns)
+
+
+def cascade(messages: DataFrame, limit: int, conv: str = "conv_id", turn: str = "turn", keep_results: int = KEEP_RESULTS, keep: int = KEEP_RECENT) -> DataFrame:
+    """Compaction by steps until a conversation's padded token estimate is under the limit: (conv, turn, role, text, step).
+    messages has compactable, whether a message is a tool result that may be cleared.
+
+    First old tool results are cleared ("micro"); if that doesn't do, long texts before the last `keep` messages are
+    collapsed ("collapse"); then, with more than four messages before them, all before them becomes one message of memory
+    lines ("memory"). What is left is marked "summary": a model must summarise it. Conversations under the limit from the
+    start have the step "none".
+    """
+    all_, back = Window.partitionBy(conv), Window.partitionBy(conv).orderBy(F.desc(turn))
+    tokens = lambda c: F.floor(F.sum(estimate_tokens(F.coalesce(c, F.lit("")))).over(all_) * 4 / 3)
+    rows = messages.select(conv, turn, "role", "text", "compactable").withColumn("_back", F.row_number().over(back)).withColumn("_n", F.count(F.lit(1)).over(all_))
+    newest = F.row_number().over(Window.partitionBy(conv, "compactable").orderBy(F.desc(turn)))
+    clear = F.col("compactable") & (newest > max(1, keep_results)) & (F.col("text") != CLEARED)
+    rows = rows.withColumn("_micro", F.when(clear, F.lit(CLEARED)).otherwise(F.col("text"))).withColumn("_cleared", F.max(clear.cast("int")).over(all_))
+    rows = rows.withColumn("_short", F.when(F.col("_back") > keep, collapse_text(F.col("_micro"))).otherwise(F.col("_micro")))
+    rows = rows.withColumns({"_t0": tokens(F.col("text")), "_t1": tokens(F.col("_micro")), "_t2": tokens(F.col("_short"))})
+    shrinks = (F.col("_n") > keep + 2) & (F.col("_t2") < F.col("_t1"))
+    rows = rows.withColumn("_base", F.when(shrinks, F.col("_short")).otherwise(F.col("_micro")))
+    step = F.when(F.col("_t0") < limit, "none").when((F.col("_cleared") == 1) & (F.col("_t1") < limit), "micro").when(shrinks & (F.col("_t2") < limit), "collapse").when(F.col("_n") > keep + 4, "memory").otherwise("summary")
+    rows = rows.withColumn("step", step)
+    plain = rows.filter("step in ('none', 'micro', 'collapse')")
+    plain = plain.select(conv, turn, "role", F.when(F.col("step") == "none", F.col("text")).when(F.col("step") == "micro", F.col("_micro")).otherwise(F.col("_short")).alias("text"), "step")
+    open_ = rows.filter("step in ('memory', 'summary')").select(conv, turn, "role", F.col("_base").alias("text"), "step", "_back")
+    old = open_.filter((F.col("step") == "memory") & (F.col("_back") > keep))
+    memory = memory_lines(old, conv, turn).groupBy(conv).agg(F.min(turn).alias(turn), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), "line"))), lambda r: r["line"]), "\n").alias("text"))
+    rest = open_.filter((F.col("step") == "summary") | (F.col("_back") <= keep)).select(conv, turn, "role", "text", "step")
+    return plain.unionByName(rest).unionByName(memory.select(conv, turn, F.lit("user").alias("role"), "text", F.lit("memory").alias("step")))
 
 
 def offloaded(rows: DataFrame, text: str, limit: int = 16_000, preview: int = 3_000) -> DataFrame:
@@ -190,18 +238,21 @@ def assembled_calls(fragments: DataFrame, call: list[str], seq: str) -> DataFram
 
 
 def split_message(text: str, most: int) -> Iterator[str]:
-    """Pieces of at most `most` characters, cut at the last line end, else the last space, else anywhere."""
-    while text:
-        if len(text) <= most:
-            yield text
-            return
-        cut = text.rfind("\n", 0, most + 1)
-        if cut <= 0:
-            cut = text.rfind(" ", 0, most + 1)
-        if cut <= 0:
-            cut = most
-        yield text[:cut].rstrip()
-        text = text[cut:].lstrip()
+    """Pieces of at most `most` characters. A piece ends at the last line end in reach, else at the last space, else at
+    its limit, and so does one that would be blank; blanks around a cut go."""
+    if most <= 0:
+        raise ValueError("a piece needs at least one character")
+    at = 0
+    while len(text) - at > most:
+        reach = text[at : at + most + 1]
+        end = next((k for k in (reach.rfind("\n"), reach.rfind(" ")) if k > 0), most)
+        piece = reach[:end].rstrip()
+        if not piece:
+            piece, end = reach[:most], most
+        yield piece
+        at = BLANK.match(text, at + end).end()
+    if at < len(text):
+        yield text[at:]
 
 
 def message_parts(rows: DataFrame, text: str, most: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import exact_quantiles
+
 RUNNING = ("QUEUED", "IN_PROGRESS", "PENDING", "WAITING")
 PASSING = ("SUCCESS", "SKIPPED", "NEUTRAL")
 
@@ -18,22 +20,28 @@ def histogram(rows: DataFrame, group: list[str], value: str, name: str = "histog
 def by_strategy(cases: DataFrame, group: str, verified: Column, duration: str, tokens: Column, cost: Column, compliant: Column) -> DataFrame:
     """Counts, rates, exact median and sums per strategy; cost is null where no row has one."""
     n = F.count(F.lit(1))
-    return cases.groupBy(group).agg(
-        n.alias("runs"), F.sum(verified.cast("int")).alias("verified"), (F.sum(verified.cast("int")) / n).alias("success_rate"), F.median(duration).alias("median_duration"),
+    sums = cases.groupBy(group).agg(
+        n.alias("runs"), F.sum(verified.cast("int")).alias("verified"), (F.sum(verified.cast("int")) / n).alias("success_rate"),
         F.sum(tokens).alias("tokens"), F.round(F.sum(cost), 4).alias("cost"), (F.sum(compliant.cast("int")) / n).alias("scope_rate"),
     )
+    return sums.join(exact_quantiles(cases, [group], duration, {"median_duration": 0.5}), group, "left")
 
 
 def outcome_sets(rows: DataFrame, arm: str, difficulty: str) -> DataFrame:
-    """Aggregates per arm and per (arm, difficulty) in one pass over the rows. Rates are over attempted rows; the scope
+    """Aggregates per arm and per (arm, difficulty), with exact medians. Rates are over attempted rows; the scope
     count takes all rows, so that its rate may exceed 1. rows: attempted, completed, resolved, scope_compliant,
     total_tokens, duration_seconds."""
     count = lambda c: F.sum(F.col(c).cast("int"))
     rate = lambda c: F.when(count("attempted") == 0, 0.0).otherwise(count(c) / count("attempted"))
-    return rows.groupingSets([[arm], [arm, difficulty]], arm, difficulty).agg(
+    sums = rows.groupingSets([[arm], [arm, difficulty]], arm, difficulty).agg(
         count("attempted").alias("attempted"), count("completed").alias("completed"), count("resolved").alias("resolved"), rate("resolved").alias("resolution_rate"),
-        rate("scope_compliant").alias("scope_rate"), F.sum("total_tokens").alias("total_tokens"), F.median("duration_seconds").alias("median_duration"),
+        rate("scope_compliant").alias("scope_rate"), F.sum("total_tokens").alias("total_tokens"), F.grouping(difficulty).alias("_all"),
     )
+    median = {"median_duration": 0.5}
+    by_arm = exact_quantiles(rows, [arm], "duration_seconds", median).select(F.col(arm).alias("_a"), F.lit(None).cast(rows.schema[difficulty].dataType).alias("_d"), F.lit(1).alias("_g"), "median_duration")
+    by_both = exact_quantiles(rows, [arm, difficulty], "duration_seconds", median).select(F.col(arm).alias("_a"), F.col(difficulty).alias("_d"), F.lit(0).alias("_g"), "median_duration")
+    same = F.col(arm).eqNullSafe(F.col("_a")) & F.col(difficulty).eqNullSafe(F.col("_d")) & (F.col("_all") == F.col("_g"))
+    return sums.join(by_arm.unionByName(by_both), same, "left").drop("_a", "_d", "_g", "_all")
 
 
 def means(rows: DataFrame, difficulty: str, columns: list[str], digits: int = 6) -> DataFrame:
@@ -45,11 +53,12 @@ def task_success(rows: DataFrame, instance: str, resolved: str, attempted: str)
     return rows.filter(attempted).groupBy(instance).agg(F.avg(F.col(resolved).cast("int")).alias("success"))
 
 
-def status_board(rows: DataFrame, status: str, statuses: list[str], order: list[Column], item: Column) -> DataFrame:
-    """(status, n, items): every known status, also those without rows, with the items in order. For the cards of one
-    board: a status' items make one array."""
-    ordered = rows.select(status, F.struct(F.row_number().over(Window.partitionBy(status).orderBy(*order)).alias("k"), item.alias("item")).alias("x"))
-    got = ordered.groupBy(status).agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list("x")), lambda x: x["item"]).alias("items"))
+def status_board(rows: DataFrame, status: str, statuses: list[str], order: list[Column], item: Column, shown: int = 20) -> DataFrame:
+    """(status, n, items): every known status, also those without rows, with the number of all its rows and the first `shown`
+    in order; a task hands on no more than these of a status."""
+    first = rows.select(status, F.row_number().over(Window.partitionBy(status).orderBy(*order)).alias("k"), item.alias("item")).filter(F.col("k") <= shown)
+    items = first.groupBy(status).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "item"))), lambda x: x["item"]).alias("items"))
+    got = rows.groupBy(status).agg(F.count(F.lit(1)).alias("n")).join(items, status)
     known = rows.sparkSession.createDataFrame([(k, s) for k, s in enumerate(statuses)], f"place int, {status} string")
     return F.broadcast(known).join(got, status, "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
 
@@ -77,6 +86,40 @@ def run_matrix(instances: DataFrame, arms: list[str], repetitions: int) -> DataF
     return out.withColumn("run_key", F.concat_ws("::", instances.columns[0], "arm", "repetition"))
 
 
+def with_patches(instances: DataFrame, patches: DataFrame, key: str = "instance_id") -> DataFrame:
+    """instances with their gold patches; raises where one has none, naming the first few."""
+    known = patches.filter(F.col("patch").isNotNull())
+    lost = [r[key] for r in missing(instances, known, key).orderBy(key).limit(5).collect()]
+    if lost:
+        raise ValueError(f"gold patch missing for {lost}")
+    return instances.join(known.select(key, "patch"), key)
+
+
+def missing(instances: DataFrame, patches: DataFrame, key: str) -> DataFrame:
+    return instances.select(key).join(patches.select(key), key, "left_anti")
+
+
+def workflow_events(steps: DataFrame, run: str, step: str) -> DataFrame:
+    """The events that a workflow emits, from its steps(run, step, phase, next_phase, detail, reason) in order: (run, ordinal,
+    kind, phase, data). Before a run's first step it has started; each step starts, finishes and makes a transition, which
+    is when its state is saved; after the last one the run has finished, in the phase it went to."""
+    w, all_ = Window.partitionBy(run).orderBy(step), Window.partitionBy(run)
+    rows = steps.withColumn("_k", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(all_))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    event = lambda ordinal, kind, phase, data: F.struct(ordinal.cast("long").alias("ordinal"), F.lit(kind).alias("kind"), phase.alias("phase"), data.alias("data"))
+    at = (F.col("_k") - 1) * 4 + 1
+    none = F.lit(None).cast("string")
+    events = F.array(
+        F.when(F.col("_k") == 1, event(F.lit(0), "run_started", F.col("phase"), none)),
+        event(at, "phase_started", F.col("phase"), none),
+        event(at + 1, "phase_finished", F.col("phase"), text("detail")),
+        event(at + 2, "transition", F.col("phase"), F.concat_ws(">", "phase", "next_phase", F.when(text("reason") != "", F.col("reason")))),
+        event(at + 3, "checkpoint_saved", F.col("next_phase"), none),
+        F.when(F.col("_k") == F.col("_n"), event(at + 4, "run_finished", F.col("next_phase"), text("reason"))),
+    )
+    return rows.select(F.col(run), F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select(run, "e.*")
+
+
 def pending(matrix: DataFrame, finished: DataFrame, key: str = "run_key") -> DataFrame:
     return matrix.join(finished.select(key), key, "left_anti")
 

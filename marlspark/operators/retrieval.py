@@ -10,7 +10,10 @@ from ..functions.text import code_tokens
 SYMBOL_BONUS, PATH_BONUS, DIGITS = 4.0, 2.0, 6
 LEXICAL_SHARE, DENSE_SHARE = 0.45, 0.55
 MARKER = "\n...[truncated]"
-#: A query side up to so many bytes is left for Spark to broadcast; sizes come from its statistics.
+#: Up to so many terms of all queries are tested where texts are cut into terms; more meet them in a join.
+FEW_TERMS = 1000
+#: Query vectors are compared in blocks of BLOCK; up to BLOCKS of them go to every task, more are dealt out in a join.
+BLOCK, BLOCKS = 256, 64
 
 
 def term_counts(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -28,11 +31,15 @@ def tfidf(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, pat
     (ln((N + 1) / (df + 1)) + 1), plus bonuses for the symbol in the raw query and for a term in the path; only
     positive scores, rounded.
 
-    Only the query terms' rows of the term table are kept before anything shuffles.
+    Only the query terms are kept of a text before anything shuffles.
     """
     terms = queries.select("query_id", F.explode(code_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     wanted = terms.select("term").distinct()
-    exploded = chunks.select(id_col, F.explode(code_tokens(F.col(text_col))).alias("term")).join(wanted, "term", "left_semi")
+    few = [r["term"] for r in wanted.limit(FEW_TERMS + 1).collect()]
+    if len(few) <= FEW_TERMS:
+        exploded = chunks.select(id_col, F.explode(F.filter(code_tokens(F.col(text_col)), lambda t: t.isin(few))).alias("term"))
+    else:
+        exploded = chunks.select(id_col, F.explode(code_tokens(F.col(text_col))).alias("term")).join(wanted, "term", "left_semi")
     counts = exploded.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     total = chunks.agg(F.count(F.lit(1)).alias("n"))
     df = document_frequency(counts).join(F.broadcast(total))  # one row
@@ -47,7 +54,13 @@ def tfidf(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, pat
             hit = paths.join(terms, "term").select("query_id", id_col).distinct()
         else:
             named = chunks.filter(F.col(col) != "").select(id_col, F.lower(col).alias("symbol"))
-            hit = named.join(queries, F.lower(F.col("query")).contains(F.col("symbol"))).select("query_id", id_col).distinct()
+            if queries.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
+                hit = named.join(F.broadcast(queries), F.lower(F.col("query")).contains(F.col("symbol"))).select("query_id", id_col).distinct()
+            else:  # a query holds a symbol, an identifier, where one of its words does: the words' parts join on equality
+                word = F.explode(F.regexp_extract_all(F.lower(F.col("query")), F.lit(r"(?U)\w+"), F.lit(0)))
+                parts = F.explode(F.expr("flatten(transform(sequence(1, length(w)), i -> transform(sequence(1, length(w) - i + 1), n -> substring(w, i, n))))"))
+                said = queries.select("query_id", word.alias("w")).distinct().select("query_id", parts.alias("symbol")).distinct()
+                hit = named.join(said, "symbol").select("query_id", id_col).distinct()
         out = out.unionByName(hit.withColumn("score", F.lit(points)))
     out = out.groupBy("query_id", id_col).agg(F.sum("score").alias("score"))
     return out.filter("score > 0").withColumn("score", F.round("score", DIGITS))
@@ -72,11 +85,21 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_scores(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """Largest cosine of each vector over the planned queries(query_vector): every vector against every query, which
-    are few; each row's maximum is taken over an array of the queries, so no pair is a row."""
-    planned = queries.agg(F.collect_list("query_vector").alias("qs"))  # one row
-    best = F.array_max(F.transform("qs", lambda q: cosine(F.col(vector_col), q)))
-    return vectors.join(F.broadcast(planned)).select(id_col, best.alias("dense"))
+    """Largest cosine of each vector over the planned queries(query_vector): every vector against every query, in blocks of
+    queries; a row's maximum over a block is taken in place, so no pair is a row. Few blocks go to every task; beyond
+    BLOCKS of them the vectors are dealt to the blocks."""
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    n = queries.count()
+    n_blocks = max(1, -(-n // BLOCK))
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_vector"), F.lit(n_blocks)).cast("int"))
+    blocks = dealt.groupBy("_block").agg(F.collect_list(F.struct(F.col("query_vector").alias("v"), norm("query_vector").alias("n"))).alias("_qs"))
+    cosines = F.transform("_qs", lambda q: F.when(q["n"] * F.col("_norm") == 0, 0.0).otherwise(dot(F.col(vector_col), q["v"]) / (F.col("_norm") * q["n"])))
+    rows = vectors.select(id_col, vector_col, norm(vector_col).alias("_norm"))
+    if n_blocks <= BLOCKS:
+        all_blocks = blocks.groupBy().agg(F.flatten(F.collect_list("_qs")).alias("_qs"))  # one row, at most BLOCK * BLOCKS vectors
+        return rows.join(F.broadcast(all_blocks)).select(id_col, F.array_max(cosines).alias("dense"))
+    met = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "_block")
+    return met.select(id_col, F.array_max(cosines).alias("dense")).groupBy(id_col).agg(F.max("dense").alias("dense"))
 
 
 def fused(lexical: DataFrame, dense: DataFrame, id_col: str) -> DataFrame:
@@ -116,11 +139,20 @@ def references(seeds: DataFrame, chunks: DataFrame, id_col: str, path_col: str,
 
 
 def same_file(seeds: DataFrame, chunks: DataFrame, id_col: str, path_col: str, symbol_col: str, text_col: str) -> DataFrame:
-    """Chunks of a seed's file of which either mentions the other's symbol."""
-    a, b = seeds.alias("a"), chunks.alias("b")
-    call = lambda text, symbol: (F.col(symbol) != "") & F.array_contains(F.regexp_extract_all(F.col(text), F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), F.col(symbol))
-    either = call(f"a.{text_col}", f"b.{symbol_col}") | call(f"b.{text_col}", f"a.{symbol_col}")
-    return a.join(b, (F.col(f"a.{path_col}") == F.col(f"b.{path_col}")) & (F.col(f"a.{id_col}") != F.col(f"b.{id_col}"))).filter(either).select(F.col(f"a.{id_col}").alias("seed_id"), F.col(f"b.{id_col}").alias(id_col))
+    """Chunks of a seed's file of which either mentions the other's symbol: both ways are a join on file and symbol, so that
+    chunks of one file don't all meet."""
+    words = lambda df: F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))))
+    key = ["_path", "_symbol"]
+    said = lambda df, name: df.select(F.col(id_col).alias(name), F.col(path_col).alias("_path"), words(df).alias("_symbol"))
+    named = lambda df, name: df.filter(F.col(symbol_col) != "").select(F.col(id_col).alias(name), F.col(path_col).alias("_path"), F.col(symbol_col).alias("_symbol"))
+    calls = said(seeds, "seed_id").join(named(chunks, id_col), key).select("seed_id", id_col)
+    called = said(chunks, id_col).join(named(seeds, "seed_id"), key).select("seed_id", id_col)
+    return calls.unionByName(called).filter(F.col("seed_id") != F.col(id_col)).distinct()
+
+
+def reranked(candidates: DataFrame, query: str, score: str, index: str, k: int) -> DataFrame:
+    """The k best candidates of each query by a reranker's scores, which the caller brings; of equal scores the earlier index."""
+    return top_k(candidates, k, [F.desc(score), F.col(index)], [query])
 
 
 def expanded(streams: list[tuple[DataFrame, list[Column]]], id_col: str, limit: int = 12) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_HITS = 2000
+#: References that a page wrote twice over, decoded once more, in this order.
+LEFT_OVER = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 
 
 def glob_pattern(glob: str) -> str:
@@ -56,7 +58,8 @@ def glob_paths(files: DataFrame, column: str, glob: str, limit: int, ties: list[
 
 
 def html_text(pages: DataFrame, html_col: str) -> DataFrame:
-    """Adds text: the text nodes, stripped and joined by line ends, without script and style."""
+    """Adds text: the text nodes, stripped and joined by a space, without script and style, runs of blanks squeezed."""
+
     @F.pandas_udf("string")
     def strip(s: pd.Series) -> pd.Series:
         return s.map(lambda h: plain_text(h or ""), na_action=None)
@@ -84,7 +87,10 @@ def plain_text(source: str) -> str:
     reader = Reader()
     reader.feed(source)
     reader.close()
-    return "\n".join(reader.parts)
+    text = " ".join(reader.parts)
+    for name, character in LEFT_OVER:
+        text = text.replace(name, character)
+    return re.sub(r"[ \t\r\f\v]+", " ", text).replace(" \n", "\n").strip()
 
 
 def table_rows(rows: DataFrame, text_col: str) -> DataFrame:

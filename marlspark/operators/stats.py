@@ -13,7 +13,7 @@ SEED, ITERATIONS, DRAWS, EXACT_LIMIT, TOLERANCE = 20260730, 10_000, 100_000, 20,
 
 
 def permutation_exact(pairs: DataFrame, group: list[str], diff: str) -> DataFrame:
-    """Two-sided p over all sign vectors of at most EXACT_LIMIT differences per group. A group's differences are one
+    """Two-sided p over all sign vectors, for groups of at most EXACT_LIMIT differences; `permutation_test` takes others too. A group's differences are one
     array; each vector is a bit mask, and its sum is worked out in place, so a group makes 2^n numbers and no join."""
     got = pairs.groupBy(*group).agg(F.array_sort(F.collect_list(diff)).alias("d")).filter(F.size("d") <= EXACT_LIMIT)
     n = F.size("d")
@@ -23,6 +23,39 @@ def permutation_exact(pairs: DataFrame, group: list[str], diff: str) -> DataFram
     return masks.groupBy(*group).agg(F.max(n).alias("pairs"), (F.sum((signed + TOLERANCE >= observed).cast("int")) / F.count(F.lit(1))).alias("p"))
 
 
+def permutation_test(pairs: DataFrame, group: str, order: str, diff: str, iterations: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """(group, pairs, p, exact): over all sign vectors for groups of at most EXACT_LIMIT pairs, over random ones beyond."""
+    sizes = pairs.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    small, large = (pairs.join(sizes.filter(cond).select(group), group, "left_semi") for cond in (F.col("_n") <= EXACT_LIMIT, F.col("_n") > EXACT_LIMIT))
+    exact = permutation_exact(small, [group], diff).select(group, F.col("pairs").cast("long").alias("pairs"), "p", F.lit(True).alias("exact"))
+    return exact.unionByName(permutation_sampled(large, group, order, diff, iterations, seed).withColumn("exact", F.lit(False)))
+
+
+def exact_quantiles(rows: DataFrame, group: list[str], value: str, at: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """Per group one column for each of at: name -> p, the exact quantile, interpolated between neighbours; nulls don't count.
+
+    No task gets a group: a sketch gives an interval around each quantile, the rows below and above it are only counted, and
+    those inside, about 4 / accuracy of the group, are counted per distinct value before their running sum is taken.
+    """
+    rows = rows.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
+    names = list(at)
+    bounds = [max(0.0, min(1.0, at[n] + side * 2 / accuracy)) for n in names for side in (-1, 1)]
+    sketch = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", bounds, accuracy).alias("_q"))
+    spans = sketch.select(*group, "_n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(at[n])).alias("p"), F.element_at("_q", 2 * k + 1).alias("lo"), F.element_at("_q", 2 * k + 2).alias("hi")) for k, n in enumerate(names)])).alias("_s")).select(*group, "_n", "_s.*")
+    met = rows.join(F.broadcast(spans), group) if group else rows.join(F.broadcast(spans))  # a row per group and quantile
+    side = F.when(F.col("_v") < F.col("lo"), -1).when(F.col("_v") > F.col("hi"), 1).otherwise(0)
+    sided = met.withColumn("_side", side).withColumn("_in", F.when(F.col("_side") == 0, F.col("_v")))
+    counts = sided.groupBy(*group, "k", "p", "_n", "_side", "_in").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    before = F.sum("_c").over(Window.partitionBy(*group, "k").orderBy("_side", "_in").rowsBetween(Window.unboundedPreceding, 0))
+    place = (F.col("_n") - 1) * F.col("p")
+    ranked = counts.withColumn("_end", before).withColumn("_start", F.col("_end") - F.col("_c"))
+    # beyond the interval only its neighbours are known: the last row below it and the first one above
+    known = lambda r: F.when(F.col("_side") == 0, F.col("_in")).when((F.col("_side") < 0) & (r == F.col("_end") - 1), F.col("_most")).when((F.col("_side") > 0) & (r == F.col("_start")), F.col("_least"))
+    value_at = lambda r: F.max(F.when((F.col("_start") <= r) & (r < F.col("_end")), known(r)))
+    got = ranked.groupBy(*group, "k").agg(value_at(F.floor(place)).alias("_a"), value_at(F.ceil(place)).alias("_b"), F.max(place - F.floor(place)).alias("_f"))
+    return got.groupBy(*group).agg(*[F.max(F.when(F.col("k") == k, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))).alias(n) for k, n in enumerate(names)])
+
+
 def mcnemar(pairs: DataFrame, group: list[str], candidate: Column, baseline: Column) -> DataFrame:
     """Discordant counts and min(1, 2 * P(Binomial(n, 1/2) <= smaller)); 1 without discordant pairs."""
     got = pairs.groupBy(*group).agg(F.count_if(candidate & ~baseline).alias("wins"), F.count_if(~candidate & baseline).alias("losses"))

@@ -100,9 +100,9 @@ def k8(spark: SparkSession, sf: str) -> DataFrame:
     return C.transcript(_messages(spark, sf)).select("conv_id", F.md5("markdown").alias("markdown_md5"))
 
 
-@query("m14_tool_calls", "SELECT user_id, event_type, arg_max(event_id, event_id) AS id, '{\"n\":' || count(*) || '}' AS arguments FROM events WHERE event_id % 3 = 0 GROUP BY ALL")
+@query("m14_tool_calls", "SELECT user_id, event_type, arg_max(event_id, event_id) AS id, '{\"n\":' || count(*) || '}' AS arguments FROM events GROUP BY ALL")
 def m14(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").filter("event_id % 3 = 0")
+    e = table(spark, sf, "events")
     sizes = e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
     f = e.join(sizes, ["user_id", "event_type"]).select("user_id", "event_type", F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("id"), F.lit("tool").alias("name"), F.when(F.col("event_id") == F.col("last"), F.concat(F.lit('{"n":'), F.col("n").cast("string"), F.lit("}"))).otherwise("").alias("arguments"))
     return C.assembled_calls(f, ["user_id", "event_type"], "seq").select("user_id", "event_type", F.col("id").cast("long").alias("id"), "arguments")
@@ -121,9 +121,71 @@ def m7(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("user_id", F.when(F.size("e") == 1, F.col("e")[0]["event_type"]).otherwise(lines).alias("body"))
 
 
-@query("m1_split_message")
+# a piece's end within the first 2001 characters: the last line end, else the last space, else 2000
+REACH = "substr(rest, 1, 2001)"
+PIECES = f"""RECURSIVE s AS (SELECT doc_id, -1 AS part, CAST(NULL AS VARCHAR) AS piece, text AS rest FROM documents WHERE text <> ''
+UNION ALL SELECT doc_id, part + 1, CASE WHEN length(rest) <= 2000 THEN rest WHEN p = '' THEN substr(rest, 1, 2000) ELSE p END,
+    CASE WHEN length(rest) <= 2000 THEN '' ELSE regexp_replace(substr(rest, 1 + CASE WHEN p = '' THEN 2000 ELSE e END), '^\\s+', '') END
+FROM (SELECT *, regexp_replace(substr(rest, 1, e), '\\s+$', '') AS p FROM (SELECT doc_id, part, rest, CASE WHEN strpos(reverse({REACH}), chr(10)) BETWEEN 1 AND 2000 THEN 2001 - strpos(reverse({REACH}), chr(10)) WHEN strpos(reverse({REACH}), ' ') BETWEEN 1 AND 2000 THEN 2001 - strpos(reverse({REACH}), ' ') ELSE 2000 END AS e FROM s WHERE rest <> '')))"""
+
+
+@query("m1_split_message", f"WITH {PIECES} SELECT doc_id, part, md5(piece) AS piece_md5 FROM s WHERE part >= 0")
 def m1(spark: SparkSession, sf: str) -> DataFrame:
-    return C.message_parts(table(spark, sf, "documents").select("doc_id", "text"), "text", 2000).select("doc_id", "part", F.length("piece").alias("n"))
+    return C.message_parts(table(spark, sf, "documents").select("doc_id", "text"), "text", 2000).select("doc_id", "part", F.md5("piece").alias("piece_md5"))
+
+
+# Events as messages with blocks, by event_id % 4: an assistant's tool use, a user's result for the message before, an
+# assistant's turn without content, a user's text with a result for no use.
+BLOCKS = "b AS (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN 'assistant' ELSE 'user' END AS role, event_id % 4 AS kind, CASE WHEN event_id % 4 = 0 THEN event_id END AS use, CASE event_id % 4 WHEN 1 THEN lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) WHEN 3 THEN -1 END AS res FROM events)"
+
+
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    kind, before = F.col("event_id") % 4, F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    block = lambda **k: F.struct(*[F.coalesce(k[c].cast("string"), F.lit("none")).alias(c) if c in k else F.lit(None).cast("string").alias(c) for c in ("type", "text", "id", "name", "tool_use_id", "content")], F.lit(None).cast("boolean").alias("is_error"))
+    use = F.array(block(type=F.lit("tool_use"), id=F.col("event_id"), name=F.lit("grep")))
+    said = F.array(block(type=F.lit("text"), text=F.lit("hi")), block(type=F.lit("tool_result"), tool_use_id=F.lit(-1)))
+    blocks = F.when(kind == 0, use).when(kind == 1, F.array(block(type=F.lit("tool_result"), tool_use_id=before))).when(kind == 2, F.array(block(type=F.lit("text"), text=F.lit(" ")))).otherwise(said)
+    return table(spark, sf, "events").select("user_id", "event_id", F.when(F.col("event_id") % 2 == 0, "assistant").otherwise("user").alias("role"), blocks.alias("blocks"))
+
+
+@query("c6_sanitized", f"WITH {BLOCKS}, r AS (SELECT *, lead(kind) OVER w AS nk, lead(res) OVER w AS nr, lag(kind) OVER w AS pk, lag(use) OVER w AS pu FROM b WHERE kind <> 2 WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, 1 AS n_blocks FROM r WHERE (kind = 0 AND nk = 1 AND nr = use) OR (kind = 1 AND pk = 0 AND res = pu) OR kind = 3")
+def c6(spark: SparkSession, sf: str) -> DataFrame:
+    return C.sanitized(_blocks(spark, sf), "user_id", "event_id").select("user_id", "event_id", F.size("blocks").alias("n_blocks"))
+
+
+@query("c5_recent", f"WITH {BLOCKS}, r AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n, coalesce(kind = 1 AND lag(kind) OVER w = 0 AND res = lag(use) OVER w, false) AS pair FROM b WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), t AS (SELECT *, max(k) FILTER (NOT pair AND k <= greatest(0, n - 6)) OVER (PARTITION BY user_id) AS edge FROM r) SELECT user_id, event_id, k >= edge AS recent FROM t")
+def c5(spark: SparkSession, sf: str) -> DataFrame:
+    return C.recent(_blocks(spark, sf), 6, "user_id", "event_id").select("user_id", "event_id", "recent")
+
+
+CUT = COLL.replace("text", "micro")
+CASCADE = rf"""{LONG}, m1 AS (SELECT *, role = 'assistant' AS tool, row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn DESC) AS newest, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM m),
+m2 AS (SELECT *, CASE WHEN tool AND newest > 5 THEN '{C.CLEARED}' ELSE text END AS micro FROM m1), m3 AS (SELECT *, CASE WHEN back > 12 THEN {CUT} ELSE micro END AS short FROM m2),
+m4 AS (SELECT *, max(CASE WHEN tool AND newest > 5 THEN 1 ELSE 0 END) OVER v AS cleared, floor(sum({TOK}) OVER v * 4 / 3) AS t0, floor(sum({TOK.replace('text', 'micro')}) OVER v * 4 / 3) AS t1, floor(sum({TOK.replace('text', 'short')}) OVER v * 4 / 3) AS t2 FROM m3 WINDOW v AS (PARTITION BY conv_id)),
+m5 AS (SELECT *, n > 14 AND t2 < t1 AS shrinks, CASE WHEN t0 < LIMIT_ THEN 'none' WHEN cleared = 1 AND t1 < LIMIT_ THEN 'micro' WHEN n > 14 AND t2 < t1 AND t2 < LIMIT_ THEN 'collapse' WHEN n > 16 THEN 'memory' ELSE 'summary' END AS step FROM m4),
+o AS (SELECT conv_id, turn, role, CASE WHEN shrinks THEN short ELSE micro END AS text FROM m5 WHERE step = 'memory' AND back > 12),
+l AS (SELECT conv_id, turn, role || ': ' || substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 160) AS line FROM o), k AS (SELECT *, row_number() OVER w AS k, sum(length(line) + 1) OVER w AS c FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), f AS (SELECT *, min(CASE WHEN k > 1 AND (k > 48 OR c >= 4000) THEN k END) OVER (PARTITION BY conv_id) AS cut FROM k),
+mem AS (SELECT conv_id, min(turn) AS turn, string_agg(CASE WHEN k = cut THEN '{C.STOP_LINE}' ELSE line END, chr(10) ORDER BY turn) AS text FROM f WHERE cut IS NULL OR k <= cut GROUP BY 1)
+SELECT conv_id, turn, step, md5(CASE step WHEN 'none' THEN text WHEN 'micro' THEN micro WHEN 'collapse' THEN short ELSE CASE WHEN shrinks THEN short ELSE micro END END) AS text_md5 FROM m5 WHERE step <> 'memory' OR back <= 12 UNION ALL SELECT conv_id, turn, 'memory', md5(text) FROM mem"""
+
+
+def _cascade(spark: SparkSession, sf: str, limit: int) -> DataFrame:
+    m = _long(spark, sf).withColumn("compactable", F.col("role") == "assistant")
+    return C.cascade(m, limit).select("conv_id", "turn", "step", F.md5("text").alias("text_md5"))
+
+
+@query("c8_cascade_micro", f"WITH {CASCADE}".replace("LIMIT_", "170000"))
+def c8(spark: SparkSession, sf: str) -> DataFrame:
+    """A limit that clearing tool results gets some conversations under."""
+    return _cascade(spark, sf, 170_000)
+
+
+@query("c8_cascade_memory", f"WITH {CASCADE}".replace("LIMIT_", "20000"))
+def c8m(spark: SparkSession, sf: str) -> DataFrame:
+    """A limit for which most conversations need memory lines."""
+    return _cascade(spark, sf, 20_000)
 
 
 @query("x40_extraction_records", "SELECT event_id, 'memory' AS kind FROM events WHERE event_id % 4 <> 0")

@@ -61,16 +61,16 @@ def d7(spark: SparkSession, sf: str) -> DataFrame:
     return R.latest(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
-@query("d6_keyed_replace", "SELECT c_name AS name, 'b' AS v FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT c_name, 'a' FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 3 = 0")
+@query("d6_keyed_replace", "SELECT c_name AS name, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 3 = 1 THEN 'b' ELSE 'a' END AS v FROM customer")
 def d6(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
-    return R.replaced(c.filter("c_custkey % 3 = 0").selectExpr("c_name name", "'a' v"), c.filter("c_custkey % 4 = 0").selectExpr("c_name name", "'b' v"), ["name"])
+    return R.replaced(c.filter("c_custkey % 3 <> 1").selectExpr("c_name name", "'a' v"), c.filter("c_custkey % 4 = 0 or c_custkey % 3 = 1").selectExpr("c_name name", "'b' v"), ["name"])
 
 
-@query("k7_insert_ignore", "SELECT c_name AS name, 'a' AS v FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_name, 'b' FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 3 <> 0")
+@query("k7_insert_ignore", "SELECT c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'a' ELSE 'b' END AS v FROM customer")
 def k7(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
-    return R.inserted(c.filter("c_custkey % 3 = 0").selectExpr("c_name name", "'a' v"), c.filter("c_custkey % 4 = 0").selectExpr("c_name name", "'b' v"), ["name"])
+    return R.inserted(c.filter("c_custkey % 3 = 0").selectExpr("c_name name", "'a' v"), c.selectExpr("c_name name", "'b' v"), ["name"])
 
 
 @query("d8_merge_facts", "SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY floor(value / 10) DESC, event_id DESC) = 1")
@@ -183,10 +183,11 @@ def u6(spark: SparkSession, sf: str) -> DataFrame:
     return R.overridden([layer("true", "builtin"), layer("c_custkey % 3 = 0", "user"), layer("c_custkey % 5 = 0", "plugin")], "name").drop("layer")
 
 
-@query("w21_hook_order", "SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey % 5 DESC, s_suppkey) AS place FROM supplier")
+@query("w21_hook_order", "SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY floor(s_acctbal / 1000) DESC, s_suppkey) AS place FROM supplier")
 def w21(spark: SparkSession, sf: str) -> DataFrame:
+    """Hooks of an event by priority, then as they were registered; nations stand for events."""
     s = table(spark, sf, "supplier")
-    return R.ranked_names(s, [F.desc(F.col("s_nationkey") % 5), F.col("s_suppkey")], [], 1 << 30).select("s_suppkey", F.col("rank").cast("long").alias("place"))
+    return R.ranked_names(s, [F.desc(F.floor(F.col("s_acctbal") / 1000)), F.col("s_suppkey")], ["s_nationkey"], 1 << 30).select("s_suppkey", F.col("rank").cast("long").alias("place"))
 
 
 @query("w24_requested_first", "SELECT c_custkey FROM customer LEFT JOIN (SELECT c_custkey, c_custkey % 7 AS pos FROM customer WHERE c_custkey % 20 = 0) USING (c_custkey) ORDER BY pos NULLS LAST, c_acctbal DESC, c_custkey LIMIT 30")

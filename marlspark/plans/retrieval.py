@@ -99,9 +99,15 @@ def x9(spark: SparkSession, sf: str) -> DataFrame:
     return R.top_k(b, 40, [F.desc("blend"), "doc_id"])
 
 
+@query("w4_reranked_topk", "SELECT user_id, event_id, round(value, 0) AS score FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(value, 0) DESC, event_id) <= 5")
+def w4(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "events").select("user_id", "event_id", F.round("value", 0).alias("score"))
+    return R.reranked(c, "user_id", "score", "event_id", 5).drop("rank")
+
+
 # Metrics: per benchmark item, the documents ranked by shared tokens; gold are the labelled good ones.
 RANKED = f"""
-bq AS (SELECT item_id, unnest({TERMS.replace('text', 'b.text')}) AS term FROM benchmark b), bt AS (SELECT DISTINCT item_id, term FROM bq WHERE length(term) >= 7),
+bq AS (SELECT item_id, unnest({TERMS.replace('text', 'b.text')}) AS term FROM benchmark b), bt AS (SELECT DISTINCT item_id, term FROM bq),
 dt AS (SELECT DISTINCT doc_id, unnest({TERMS}) AS term FROM documents), ov AS (SELECT item_id, doc_id, count(*) AS n FROM bt JOIN dt USING (term) GROUP BY ALL),
 ch AS (SELECT item_id, doc_id, source AS file, n_chars, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rank FROM ov JOIN documents USING (doc_id) QUALIFY rank <= 50),
 gold AS (SELECT DISTINCT item_id, source AS file FROM (SELECT DISTINCT item_id FROM ch) CROSS JOIN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE quality = 1)),
@@ -112,13 +118,12 @@ jr AS (SELECT fr.*, CASE WHEN g.file IS NULL THEN 0 ELSE 1 END AS rel, ng.n_gold
 
 def _ranking(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     terms = lambda df, key: df.select(key, F.explode(F.array_distinct(T.code_tokens(F.col("text")))).alias("term"))
-    q = terms(table(spark, sf, "benchmark"), "item_id").filter("length(term) >= 7")
+    q = terms(table(spark, sf, "benchmark"), "item_id")
     docs = table(spark, sf, "documents")
     shared = terms(docs, "doc_id").join(q, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     top = R.top_k(shared, 50, [F.desc("n"), "doc_id"], ["item_id"]).join(docs.select("doc_id", F.col("source").alias("file"), "n_chars"), "doc_id")
     good = docs.join(table(spark, sf, "labels").filter("quality = 1"), "doc_id").select(F.col("source").alias("file")).distinct()
-    gold = top.select("item_id").distinct().join(F.broadcast(good))
-    return top, gold
+    return top, top.select("item_id").distinct().crossJoin(good)  # all gold files hold for every item
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,9 +164,11 @@ def j9(spark: SparkSession, sf: str) -> DataFrame:
     return M.judged(top, gold, "item_id", "file").select("item_id", "doc_id", "rel")
 
 
-@query("w13_budget_packing", "WITH b AS (SELECT source, doc_id, text, row_number() OVER w AS rank, sum(length(text)) OVER w AS e FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)), t AS (SELECT *, 12000 - (e - length(text)) AS l FROM b) SELECT source, doc_id, rank, md5(CASE WHEN e <= 12000 THEN text ELSE substr(text, 1, CAST(l - 15 AS INT)) || chr(10) || '...[truncated]' END) AS taken_md5, CAST(least(e, 12000) AS BIGINT) AS used FROM t WHERE e <= 12000 OR l > 35")
+@query("w13_budget_packing", "WITH b AS (SELECT source, doc_id, text, row_number() OVER w AS rank, sum(length(text)) OVER w AS e FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) QUALIFY rank <= 200), t AS (SELECT *, 12000 - (e - length(text)) AS l FROM b) SELECT source, doc_id, rank, md5(CASE WHEN e <= 12000 THEN text ELSE substr(text, 1, CAST(l - 15 AS INT)) || chr(10) || '...[truncated]' END) AS taken_md5, CAST(least(e, 12000) AS BIGINT) AS used FROM t WHERE e <= 12000 OR l > 35")
 def w13(spark: SparkSession, sf: str) -> DataFrame:
-    p = R.packed_blocks(table(spark, sf, "documents").select("source", "doc_id", "text"), ["source"], [F.col("doc_id")], "text")
+    """Each source's first 200 documents stand for the candidates of a query."""
+    top = R.top_k(table(spark, sf, "documents").select("source", "doc_id", "text"), 200, [F.col("doc_id")], ["source"])
+    p = R.packed_blocks(top, ["source"], [F.col("doc_id")], "text")
     return p.select("source", "doc_id", F.col("rank").cast("long").alias("rank"), F.md5("taken").alias("taken_md5"), F.col("used").cast("long").alias("used"))
 
 

@@ -87,9 +87,11 @@ def a14(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").groupBy("source").agg(F.sum(n).alias("symbols"))
 
 
-@query("a15_rules_by_type", "SELECT event_type, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS items FROM events GROUP BY 1")
+@query("a15_rules_by_type", "SELECT user_id, event_type, '### ' || event_type || chr(10) || string_agg('- ' || event_id, chr(10) ORDER BY event_id) AS section FROM events GROUP BY user_id, event_type")
 def a15(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_list("event_id")), ",").alias("items"))
+    """The facts of each owner, a section per type."""
+    items = F.transform(F.array_sort(F.collect_list("event_id")), lambda x: F.concat(F.lit("- "), x.cast("string")))
+    return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.concat(F.lit("### "), "event_type", F.lit("\n"), F.array_join(items, "\n")).alias("section"))
 
 
 @query("a17_ordered_distinct", r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]+')) AS v FROM documents) SELECT doc_id, count(DISTINCT v) AS n FROM w GROUP BY 1")
@@ -154,25 +156,43 @@ def x10(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.md5(F.concat_ws("\n", F.concat(F.lit("path: "), "source"), symbol, "text")).alias("rendered_md5"))
 
 
-@query("x25_entrypoint")
+# texts as index files: three times over, with a line end, so that some break either limit
+INDEX = "concat(text, '\n', text, '\n', text, '\n')"
+ENTRY = """d AS (SELECT doc_id, text || chr(10) || text || chr(10) || text || chr(10) AS raw FROM documents), l AS (SELECT doc_id, raw, string_split(raw[:-2], chr(10)) AS l FROM d), h AS (SELECT *, array_to_string(l[1:200], chr(10)) AS head FROM l),
+b AS (SELECT doc_id, unnest(string_split(head, '')) AS ch, unnest(generate_series(1, length(head))) AS k FROM h WHERE strlen(head) > 25000), r AS (SELECT doc_id, k, sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY k) AS bytes FROM b), f AS (SELECT doc_id, max(k) AS k FROM r WHERE bytes <= 25000 GROUP BY 1),
+c AS (SELECT h.*, substr(head, 1, k) AS cut FROM h LEFT JOIN f USING (doc_id)), e AS (SELECT *, CASE WHEN cut IS NULL THEN head WHEN strpos(reverse(cut), chr(10)) BETWEEN 1 AND length(cut) - 1 THEN substr(cut, 1, length(cut) - strpos(reverse(cut), chr(10))) ELSE cut END AS body FROM c)
+SELECT doc_id, cut IS NOT NULL OR len(l) > 200 AS truncated, md5(CASE WHEN cut IS NULL AND len(l) <= 200 THEN body || chr(10) ELSE regexp_replace(body, '\\s+$', '') || chr(10) || chr(10) || '> WARNING: MEMORY.md is ' || CASE WHEN cut IS NOT NULL THEN strlen(raw) || ' bytes (limit: 25000)' ELSE len(l) || ' lines (limit: 200)' END || '. Only part of it was loaded. Keep index entries one line and move detail into topic notes.' || chr(10) END) AS content_md5 FROM e"""
+
+
+@query("x25_entrypoint", f"WITH {ENTRY}")
 def x25(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.octet_length(P.truncated_entrypoint(F.col("text"))).alias("bytes"))
+    got = table(spark, sf, "documents").select("doc_id", P.truncated_entrypoint(F.expr(INDEX)).alias("e"))
+    return got.select("doc_id", "e.truncated", F.md5("e.content").alias("content_md5"))
 
 
-@query("m2_safe_filename")
+@query("m2_safe_filename", "SELECT page_id, substr(trim(regexp_replace(regexp_extract(rtrim(url, '/'), '[^/]*$'), '[^A-Za-z0-9._-]+', '_', 'g'), '._-'), 1, 128) AS name FROM pages")
 def m2(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", P.safe_filename(F.col("url")).alias("name"))
 
 
-@query("m8_nested_mentions", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'u' || user_id ELSE '' END AS ids FROM events")
+@query("m8_nested_mentions", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat_ws(';', '@1/Ann//u' || user_id || '/', CASE WHEN user_id % 3 <> 0 THEN '/' || event_type || '/o' || event_id || '//x' || user_id END, CASE WHEN user_id <> 0 THEN '///' || user_id || '/' END) ELSE '' END AS found FROM events")
 def m8(spark: SparkSession, sf: str) -> DataFrame:
-    payload = F.expr("""if(event_id % 2 = 0, concat('{"c":[[{"tag":"at","user_id":"u', user_id, '"}],{"tag":"at","user_id":"u', user_id, '"}]}'), 'no json')""")
-    return table(spark, sf, "events").select("event_id", F.array_join(P.mention_ids(payload), ",").alias("ids"))
+    listed = """'"mentions":[{"key":"@1","name":" Ann","id":{"user_id":"u', user_id, '"}},{"key":null},7]'"""
+    nested = """'"c":[[{"tag":"at","user_name":"', event_type, '","open_id":"o', event_id, '","id":{"open_id":"z","union_id":"x', user_id, '"}}],{"tag":"b"}]'"""
+    twice = """'"d":{"e":[{"tag":"at","user_id":', user_id, '},{"tag":"at","user_id":', user_id, '}]}'"""
+    payload = F.expr(f"case when event_id % 2 = 1 then 'no json' when user_id % 3 = 0 then concat('{{', {listed}, ',', {twice}, '}}') else concat('{{', {listed}, ',', {nested}, ',', {twice}, '}}') end")
+    record = lambda r: F.concat_ws("/", *[r[k] for k in P.MENTION])
+    return table(spark, sf, "events").select("event_id", F.array_join(F.transform(P.mention_records(payload), record), ";").alias("found"))
+
 
+SQUEEZED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
-@query("m12_is_text", "SELECT doc_id, length(text) > 0 AS is_text FROM documents")
+
+@query("m12_text_preview", f"SELECT doc_id, doc_id % 5 <> 0 AS is_text, CASE WHEN doc_id % 5 <> 0 THEN md5(CASE WHEN length({SQUEEZED}) > 900 THEN substr({SQUEEZED}, 1, 897) || '...' ELSE {SQUEEZED} END) END AS preview_md5 FROM documents")
 def m12(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", P.is_text(F.col("text")).alias("is_text"))
+    """Every fifth document as bytes that are no UTF-8."""
+    data = F.when(F.col("doc_id") % 5 == 0, F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FFFE")))).otherwise(F.col("text").cast("binary"))
+    return table(spark, sf, "documents").select("doc_id", P.is_text(data).alias("is_text"), F.md5(P.previews(data)).alias("preview_md5"))
 
 
 @query("t7_comparisons", f"WITH {PAIRS}, g AS (SELECT comparison, list(diff ORDER BY diff) AS d FROM d GROUP BY 1), m AS (SELECT comparison, d, unnest(range(CAST(1 << len(d) AS BIGINT))) AS mask FROM g WHERE len(d) <= 20), pv AS (SELECT comparison, avg(CASE WHEN abs(list_sum(list_transform(d, lambda x, i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN x ELSE -x END))) / len(d) + 1e-12 >= abs(list_sum(d)) / len(d) THEN 1 ELSE 0 END) AS p FROM m GROUP BY 1), r AS (SELECT *, least(1, (count(*) OVER () - row_number() OVER (ORDER BY p, comparison) + 1) * p) AS x FROM pv) SELECT comparison, p, max(x) OVER (ORDER BY p, comparison ROWS UNBOUNDED PRECEDING) AS adjusted FROM r")
@@ -186,13 +206,32 @@ def k5(spark: SparkSession, sf: str) -> DataFrame:
     return n.select(F.format_string("| %s | %d |", "o_orderstatus", "n").alias("line"))
 
 
-@query("k6_sealed_rows")
+@query("k6_sealed_rows", "SELECT s_suppkey, sha256('{\"s_suppkey\":' || s_suppkey || ',\"s_name\":\"' || s_name || '\"}') AS sha256 FROM supplier")
 def k6(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.files import sealed
 
     return sealed(table(spark, sf, "supplier"), ["s_suppkey", "s_name"]).select("s_suppkey", "sha256")
 
 
+@query("k3_prediction_lines", "SELECT o_orderkey, '{\"instance_id\":\"' || o_orderkey || '\",\"model_name_or_path\":\"m\",\"model_patch\":' || CASE WHEN o_orderstatus = 'P' THEN 'null' ELSE '\"+' || o_orderpriority || '\"' END || '}' AS line FROM orders")
+def k3(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.files import PREDICTION
+
+    o = table(spark, sf, "orders").selectExpr("o_orderkey", "cast(o_orderkey as string) instance_id", "'m' model_name_or_path", "if(o_orderstatus = 'P', null, concat('+', o_orderpriority)) model_patch")
+    return o.select("o_orderkey", F.to_json(F.struct(*PREDICTION), {"ignoreNullFields": "false"}).alias("line"))
+
+
+@query("s17_search_results", "SELECT page_id, 'Title ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'https://x.org/' || page_id ELSE 'https://y.org' END AS url, 'some & text' AS snippet FROM pages")
+def s17(spark: SparkSession, sf: str) -> DataFrame:
+    """Result pages of a search, one result each, half of them behind a redirect."""
+    from ..functions.code import flat
+
+    href = "if(page_id % 2 = 0, concat('//d.com/l/?uddg=https%3A%2F%2Fx.org%2F', page_id, '&amp;r=1'), 'https://y.org')"
+    page = F.expr(f"""concat('<a class="result__a" href="', {href}, '">Title <b>', page_id, '</b></a><a class="result__snippet">some &amp; text</a>')""")
+    rows = table(spark, sf, "pages").select("page_id", page.alias("page"))
+    return flat(rows, lambda p: iter(P.search_results(p)), ["page"], "title string, url string, snippet string", ["page_id"])
+
+
 @query("f4_memory_filter", "SELECT event_id FROM events WHERE contains(lower(event_type || ' ' || props), 'click')")
 def f4(spark: SparkSession, sf: str) -> DataFrame:
     hits = R.token_hits(T.memory_tokens(F.lit("click to")), F.lower(F.concat_ws(" ", "event_type", "props")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code as C
 from ..operators import scan
+from ..operators import symbols as Y
 from ..streaming import messages as M
 from .registry import query, table
 
@@ -28,17 +29,101 @@ def g7(spark: SparkSession, sf: str) -> DataFrame:
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query("x22_html_text", r"SELECT page_id, length(html) > 0 AS has_text FROM pages")
+# text nodes: what stands between tags, without scripts, styles and comments; the references that the tables hold
+NODES = r"string_split_regex(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '<x>', 'g'), '<[^>]*>')"
+DECODED = "replace(replace(replace(replace(replace(replace(x, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query("x22_html_text", rf"SELECT page_id, md5(replace(regexp_replace(array_to_string(list_filter(list_transform({NODES}, lambda x: regexp_replace({DECODED}, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' '), '[ \t\r\f\v]+', ' ', 'g'), ' ' || chr(10), chr(10))) AS text_md5 FROM pages")
 def x22(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.html_text(table(spark, sf, "pages"), "html").select("page_id", (F.length("text") > 0).alias("has_text"))
+    return scan.html_text(table(spark, sf, "pages"), "html").select("page_id", F.md5("text").alias("text_md5"))
+
+
+RUNS = """RECURSIVE d AS (SELECT source || '/' || doc_id AS path, string_split(text, chr(10)) AS l FROM documents WHERE text <> ''), l AS (SELECT path, len(l) AS n, unnest(generate_series(1, len(l))) AS k, l FROM d), t AS (SELECT path, n, k, l[k] || CASE WHEN k < n THEN chr(10) ELSE '' END AS line FROM l),
+r AS (SELECT path, n, k, 1 AS start, length(substr(line, 1, 4000)) AS size FROM t WHERE k = 1 UNION ALL SELECT t.path, t.n, t.k, CASE WHEN size + length(line) > 4000 THEN t.k ELSE start END, length(substr(line, 1, 4000)) + CASE WHEN size + length(line) > 4000 THEN 0 ELSE size END FROM r JOIN t ON t.path = r.path AND t.k = r.k + 1),
+c AS (SELECT path, start, max(k) AS last, string_agg(substr(line, 1, 4000), '' ORDER BY k) AS text FROM r JOIN t USING (path, k) GROUP BY path, start)"""
 
 
-@query("x3_bounded_chunks")
+@query("x3_bounded_chunks", f"WITH {RUNS} SELECT substr(sha256(path || ':' || start || ':' || last || '::' || text), 1, 20) AS chunk_id, path, start AS start_line, last AS end_line, length(text) AS n FROM c")
 def x3(spark: SparkSession, sf: str) -> DataFrame:
     files = table(spark, sf, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), "text")
     return C.chunks(files).select("chunk_id", "path", "start_line", "end_line", F.length("text").alias("n"))
 
 
+# Source files made of parts: a decorated function, a class with a method and a name, each with the part's number.
+SOURCE = "import os\n\n@deco\ndef f{0}(x, y):\n    'Does {0}.'\n    return g{1}(x)\n\nclass C{0}:\n    z = 1\n    def g{0}(self):\n        return f{0}(1, 2)\n"
+
+
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    near = F.col("p_partkey") + 1
+    text = F.replace(F.replace(F.lit(SOURCE), F.lit("{0}"), F.col("p_partkey").cast("string")), F.lit("{1}"), near.cast("string"))
+    return table(spark, sf, "part").select(F.concat(F.lit("src/m"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit(".py")).alias("path"), text.alias("text"))
+
+
+PATH = "'src/m' || lpad(p_partkey::VARCHAR, 9, '0') || '.py'"
+
+
+@query("x4_code_chunks", f"SELECT {PATH} AS path, a AS start_line, b AS end_line, s || CASE WHEN s = '' THEN '' ELSE p_partkey::VARCHAR END AS symbol, k AS kind FROM part CROSS JOIN (VALUES (1, 3, '', 'module'), (4, 6, 'f', 'functiondef'), (8, 11, 'C', 'classdef')) v(a, b, s, k)")
+def x4(spark: SparkSession, sf: str) -> DataFrame:
+    return C.chunks(_sources(spark, sf)).select("path", "start_line", "end_line", "symbol", "kind")
+
+
+@query("x34_symbol_spans", f"SELECT {PATH} AS path, replace(s, '#', p_partkey::VARCHAR) AS name, a AS start_line, b AS end_line FROM part CROSS JOIN (VALUES ('f#', 4, 6), ('C#', 8, 11), ('C#.g#', 10, 11)) v(s, a, b)")
+def x34(spark: SparkSession, sf: str) -> DataFrame:
+    return C.flat(_sources(spark, sf), C.symbol_spans, ["text"], "name string, start_line int, end_line int", ["path"])
+
+
+SYMBOLS = f"SELECT {PATH} AS path, replace(s, '#', p_partkey::VARCHAR) AS name, k AS kind, a AS line, b AS character, replace(h, '#', p_partkey::VARCHAR) AS signature, replace(d, '#', p_partkey::VARCHAR) AS docstring FROM part CROSS JOIN (VALUES ('f#', 'function', 4, 1, 'def f#(x, y)', 'Does #.'), ('C#', 'class', 8, 1, 'class C#', ''), ('C#.z', 'variable', 9, 5, 'z = ...', ''), ('C#.g#', 'function', 10, 5, 'def g#(self)', '')) v(s, k, a, b, h, d)"
+
+
+@query("x35_document_symbols", SYMBOLS)
+def x35(spark: SparkSession, sf: str) -> DataFrame:
+    return C.symbols(_sources(spark, sf))
+
+
+@query("x36_symbol_search", f"SELECT * FROM ({SYMBOLS}) WHERE contains(lower(name), '7.g')")
+def x36(spark: SparkSession, sf: str) -> DataFrame:
+    return Y.search(C.symbols(_sources(spark, sf)), " 7.G ")
+
+
+@query("x36_definitions", f"SELECT * FROM ({SYMBOLS}) WHERE name IN (SELECT 'C' || s_suppkey || '.g' || s_suppkey FROM supplier)")
+def x36d(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "supplier").selectExpr("concat('C', s_suppkey, '.g', s_suppkey) name")
+    return Y.definitions(C.symbols(_sources(spark, sf)), names)
+
+
+@query("x36_references", f"SELECT 'f' || p_partkey AS name, {PATH} AS path, unnest([4, 11]) AS line FROM part UNION ALL SELECT 'g' || (p_partkey + 1), {PATH}, 6 FROM part WHERE p_partkey + 1 IN (SELECT p_partkey FROM part) UNION ALL SELECT 'g' || p_partkey, {PATH}, 10 FROM part")
+def x36r(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "part").select(F.explode(F.array(F.concat(F.lit("f"), F.col("p_partkey").cast("string")), F.concat(F.lit("g"), F.col("p_partkey").cast("string")))).alias("name"))
+    return Y.references_of(_sources(spark, sf), names)
+
+
+@query("x36_hover", f"SELECT * FROM ({SYMBOLS}) WHERE name = 'C5.z'")
+def x36h(spark: SparkSession, sf: str) -> DataFrame:
+    return Y.hover(C.symbols(_sources(spark, sf)), "C5.z")
+
+
+@query("x37_symbol_at", f"SELECT {PATH} AS path, l AS line, c AS character, replace(s, '#', p_partkey::VARCHAR) AS symbol FROM part CROSS JOIN (VALUES (4, 5, 'f#'), (4, 4, 'def'), (8, 1, 'class'), (1, 99, 'os'), (9, 5, 'z')) v(l, c, s)")
+def x37(spark: SparkSession, sf: str) -> DataFrame:
+    asked = F.explode(F.array(*[F.struct(F.lit(a).alias("line"), F.lit(b).alias("character")) for a, b in ((4, 5), (4, 4), (8, 1), (1, 99), (9, 5))]))
+    rows = _sources(spark, sf).select("path", "text", asked.alias("a")).select("path", "text", "a.*")
+    return C.flat(rows, lambda t, a, b: iter([(C.symbol_at(t, int(a), int(b)),)]), ["text", "line", "character"], "symbol string", ["path", "line", "character"])
+
+
+@query("g3_buffered", "WITH e AS (SELECT user_id AS key, event_id, ts, event_type, event_type = 'error' AS mentioned FROM events), s AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 1800000000 AND NOT lag(mentioned) OVER w THEN 0 ELSE 1 END AS s FROM e WINDOW w AS (PARTITION BY key ORDER BY ts, event_id::VARCHAR)), g AS (SELECT *, sum(s) OVER (PARTITION BY key ORDER BY ts, event_id::VARCHAR ROWS UNBOUNDED PRECEDING) AS g FROM s) SELECT key, min(ts) AS start, count(*) AS n, bool_or(mentioned) AS was_mentioned, CASE WHEN count(*) = 1 THEN max(event_type) ELSE string_agg(key || ': ' || event_type, chr(10) ORDER BY ts, event_id::VARCHAR) END AS body, arg_max(event_id, (ts, event_id::VARCHAR))::VARCHAR AS id FROM g GROUP BY key, g")
+def g3b(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").cast("string").alias("id"), F.lit("a").alias("author"), F.col("user_id").cast("string").alias("label"), F.col("event_type").alias("body"), (F.col("event_type") == "error").alias("mentioned"))
+    return M.buffered(e, 1800).select("key", "start", "n", "was_mentioned", "body", "id")
+
+
+@query("g6_warm_events", "WITH e AS (SELECT user_id AS session, event_id // 100 AS payload, event_id AS seq, event_type FROM events), t AS (SELECT session, payload, max(seq) AS top FROM e GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY payload) = 1 AND session % 2 = 0 AS skip FROM t), c AS (SELECT *, max(greatest(payload * 100 - 3, CASE WHEN NOT skip THEN top END)) OVER (PARTITION BY session ORDER BY payload) AS cursor FROM p) SELECT session, payload, cursor, seq FROM e JOIN c USING (session, payload) WHERE NOT skip AND event_type IN ('click', 'view')")
+def g6(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("event_type").isin("click", "view"), "message.add").otherwise(F.col("event_type"))
+    p = table(spark, sf, "events").groupBy(F.col("user_id").alias("session"), F.expr("event_id div 100").alias("payload")).agg(F.collect_list(F.struct(F.col("event_id").alias("seq"), kind.alias("type"))).alias("events"))
+    p = p.withColumn("cold", F.col("session") % 2 == 0).withColumn("cursor", F.col("payload") * 100 - 3)
+    return M.warm_events(p).select("session", "payload", "cursor", "seq")
+
+
 @query("m9_markdown_table", "SELECT p_partkey, p_brand AS cell FROM part")
 def m9(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("| name | brand |\n|---|---|\n| "), "p_name", F.lit(" | "), "p_brand", F.lit(" |"))

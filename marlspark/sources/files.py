@@ -17,6 +17,7 @@ from ..operators.scan import glob_pattern
 # Folders that a source tree scan leaves out, and its size limit.
 IGNORED = (".git", ".hg", ".svn", ".venv", "venv", "node_modules", "__pycache__", "dist", "build", ".mypy_cache")
 MAX_FILE_BYTES = 200_000
+PREDICTION = ("instance_id", "model_name_or_path", "model_patch")
 
 
 def source_files(spark: SparkSession, root: str, allowed: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
@@ -53,9 +54,11 @@ def event_log(spark: SparkSession, path: str) -> DataFrame:
 
 def history(spark: SparkSession, path: str, schema: str, last: int, where: str | None = None) -> DataFrame:
     """The last rows of a JSON-lines file in file order; corrupt lines are skipped."""
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).withColumn("ordinal", F.monotonically_increasing_id())
+    place = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).select("*", *place).withColumn("_k", F.monotonically_increasing_id())
     rows = rows.filter(where) if where else rows
-    return rows.orderBy(F.desc("ordinal")).limit(last).orderBy("ordinal")
+    order = ["_file", "_at", "_k"]  # files by name, their blocks by offset, the rows of a block as they are read
+    return rows.orderBy(*map(F.desc, order)).limit(last).orderBy(*order).drop(*order)
 
 
 def split_frontmatter(text: str) -> tuple[dict, str]:
@@ -121,6 +124,52 @@ def read_version(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{version}")
 
 
+def write_predictions(rows: DataFrame, path: str) -> None:
+    """(instance_id, model_name_or_path, model_patch) as one compact JSON object per line, nulls written out."""
+    rows.select(*PREDICTION).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def prediction_lines(rows: DataFrame) -> DataFrame:
+    return rows.select(F.to_json(F.struct(*PREDICTION), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def dataset_shard(spark: SparkSession, root: str, split: str, revision: str) -> DataFrame:
+    """One pinned revision of a data set that was copied to root: its split as a single Parquet file."""
+    return spark.read.parquet(f"{root.rstrip('/')}/{revision}/data/{split}-00000-of-00001.parquet")
+
+
+def prepare_manifest(spark: SparkSession, path: str, manifest: dict, force: bool = False) -> dict:
+    """Freezes a manifest, which fits on the driver, as JSON with its digest: one that is there already and has the same
+    digest stays; a different one raises unless force replaces it, by a rename."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at, spare = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = at.getFileSystem(conf)
+    sealed_ = manifest | {"sha256": canonical_digest(manifest)}
+    if fs.exists(at):
+        there = json.loads("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+        if there.get("sha256") == sealed_["sha256"]:
+            return there
+        if not force:
+            raise ValueError(f"{path} holds a different manifest")
+    out = fs.create(spare, True)
+    out.write(bytearray((json.dumps(sealed_, indent=2, ensure_ascii=False) + "\n").encode()))
+    out.close()
+    array = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    array[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(spare, at, array)
+    return sealed_
+
+
+def definitions(spark: SparkSession, root: str) -> DataFrame:
+    """Agents or skills: Markdown files with frontmatter under root, by file name: (name, description, fields, body). Without a
+    name in its frontmatter one is called as its file."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(root)
+    stem = F.regexp_extract("path", r"([^/]+)\.md$", 1)
+    got = frontmatter(files.select(F.col("path"), stem.alias("stem"), F.col("content").cast("string").alias("text")), "text")
+    named = got.withColumn("name", F.coalesce(F.nullif(F.col("fields")["name"], F.lit("")), F.col("stem")))
+    return named.orderBy("path").select("name", F.coalesce(F.col("fields")["description"], F.lit("")).alias("description"), "fields", "body")
+
+
 def canonical_digest(value: object) -> str:
     """SHA-256 of sorted compact JSON: for manifests, which fit on the driver."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()

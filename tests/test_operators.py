@@ -76,6 +76,91 @@ def test_exact_tests(spark):
     assert S.mcnemar(pairs, ["g"], F.col("c"), F.col("b")).first()["p"] == pytest.approx(2 / 32)
 
 
+def test_permutation_takes_groups_of_any_size(spark):
+    rng = random.Random(1)
+    small, large = [rng.gauss(0.3, 1) for _ in range(6)], [rng.gauss(0.1, 1) for _ in range(25)]
+    rows = spark.createDataFrame([("s", k, x) for k, x in enumerate(small)] + [("l", k, x) for k, x in enumerate(large)], "g string, k int, d double")
+    got = {r["g"]: r for r in S.permutation_test(rows, "g", "k", "d", iterations=400, seed=3).collect()}
+    signed = [abs(sum((1 if m >> i & 1 else -1) * x for i, x in enumerate(small)) / 6) for m in range(64)]
+    assert got["s"]["exact"] and got["s"]["p"] == pytest.approx(sum(x + 1e-12 >= abs(sum(small) / 6) for x in signed) / 64)
+    draw = random.Random(3)
+    extreme = sum(abs(sum(draw.choice((-1, 1)) * x for x in large) / 25) + 1e-12 >= abs(sum(large) / 25) for _ in range(400))
+    assert not got["l"]["exact"] and got["l"]["pairs"] == 25 and got["l"]["p"] == pytest.approx((extreme + 1) / 401)
+
+
+def test_exact_quantiles_of_few_and_many_rows(spark):
+    import numpy as np
+
+    rng = random.Random(2)
+    groups = {"one": [3.0], "two": [1.0, 2.0], "ties": [5.0] * 700 + [1.0], "many": [rng.gauss(0, 1) for _ in range(9000)]}
+    rows = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs] + [("one", None)], "g string, x double")
+    at = {"least": 0.0, "low": 0.025, "half": 0.5, "high": 0.975, "most": 1.0}
+    for accuracy in (10_000, 50):
+        got = {r["g"]: r for r in S.exact_quantiles(rows, ["g"], "x", at, accuracy).collect()}
+        for g, xs in groups.items():
+            assert [got[g][n] for n in at] == pytest.approx([float(np.quantile(xs, p)) for p in at.values()])
+
+
+def test_missing_gold_and_reranking(spark):
+    instances = spark.createDataFrame([("a",), ("b",)], "instance_id string")
+    patches = spark.createDataFrame([("a", "p"), ("b", None)], "instance_id string, patch string")
+    with pytest.raises(ValueError, match="gold patch missing.*b"):
+        E.with_patches(instances, patches)
+    assert E.with_patches(instances.filter("instance_id = 'a'"), patches).collect()[0]["patch"] == "p"
+    c = spark.createDataFrame([("q", 0, 0.5), ("q", 1, 0.9), ("q", 2, 0.9), ("q", 3, 0.1)], "q string, i int, s double")
+    assert [r["i"] for r in Q.reranked(c, "q", "s", "i", 3).orderBy("rank").collect()] == [1, 2, 0]
+
+
+def test_dense_scores_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    vectors = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(40)] + [(99, [0.0] * 4)]
+    rows = spark.createDataFrame(vectors, "id int, v array<double>")
+    queries = rows.filter("id < 7").select(F.col("v").alias("query_vector"))
+    want = {r["id"]: r["dense"] for r in Q.dense_scores(rows, queries, "id", "v").collect()}
+    monkeypatch.setattr(Q, "BLOCK", 2)
+    monkeypatch.setattr(Q, "BLOCKS", 1)
+    got = {r["id"]: r["dense"] for r in Q.dense_scores(rows, queries, "id", "v").collect()}
+    assert got == pytest.approx(want) and want[3] == pytest.approx(1) and want[99] == 0
+
+
+def test_terms_and_symbols_by_join_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a a load_x", "p", "load_x"), (2, "b c", "q", "é1"), (3, "zz", "r", "")], "id int, text string, path string, symbol string")
+    q = spark.createDataFrame([(0, "preload_x2 a b"), (1, "B é12")], "query_id int, query string")
+    score = lambda: sorted(map(tuple, Q.tfidf(docs, q, "id", "text", "path", "symbol").collect()))
+    few = score()
+    monkeypatch.setattr(Q, "FEW_TERMS", 0)
+    assert score() == few and len(few) >= 3
+
+
+def test_workflow_events_of_one_run(spark):
+    steps = spark.createDataFrame([("r", 1, "plan", "execute", "ok", None), ("r", 2, "execute", "done", "", "verified")], "run string, step int, phase string, next_phase string, detail string, reason string")
+    got = [(r["kind"], r["phase"], r["data"]) for r in E.workflow_events(steps, "run", "step").orderBy("ordinal").collect()]
+    assert got == [
+        ("run_started", "plan", None), ("phase_started", "plan", None), ("phase_finished", "plan", "ok"), ("transition", "plan", "plan>execute"), ("checkpoint_saved", "execute", None),
+        ("phase_started", "execute", None), ("phase_finished", "execute", ""), ("transition", "execute", "execute>done>verified"), ("checkpoint_saved", "done", None), ("run_finished", "done", "verified"),
+    ]
+
+
+def test_symbol_references_are_whole_words(spark):
+    from marlspark.operators import symbols as Y
+
+    files = spark.createDataFrame([("a.py", "load(x)\r\nif reload(y):\n  load_x = load\n"), ("b.py", "nothing")], "path string, text string")
+    assert [(r["line"], r["text"]) for r in Y.references(files, "load").orderBy("line").collect()] == [(1, "load(x)"), (3, "load_x = load")]
+    assert Y.search(C.symbols(files), " ").count() == 0 and [r["name"] for r in Y.search(C.symbols(files), "LOAD_").collect()] == ["load_x"]
+
+
+def test_seeded_order_follows_the_generator():
+    want = ["a", "b", "c"]
+    random.Random(4).shuffle(want)
+    assert S.seeded_order(["c", "a", "b"], 4) == want
+
+
+def test_expansion_takes_streams_by_priority(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(2,), (0,)], "id int")
+    got = Q.expanded([(a, [F.col("id")]), (b, [F.col("id")])], "id", 3).orderBy("stream", "place").collect()
+    assert [(r["id"], r["stream"]) for r in got] == [(1, 0), (2, 0), (0, 1)]
+
+
 def test_bootstrap_uses_the_fixed_generator(spark):
     d = [0.0, 1.0, 0.5]
     rng = random.Random(7)
@@ -117,29 +202,61 @@ def test_sanitize_drops_unmatched_tool_blocks(spark):
     result = lambda i: ("tool_result", None, None, None, i, "out", False)
     rows = [(1, 1, "user", [_text("hi")]), (1, 2, "assistant", [use("a"), use("b")]), (1, 3, "user", [result("a")]), (1, 4, "assistant", [_text(" ")]), (1, 5, "user", [result("z"), _text("ok")])]
     got = V.sanitized(spark.createDataFrame(rows, BLOCKS), "conv", "turn").orderBy("turn").collect()
-    assert [(r["turn"], [b["id"] or b["tool_use_id"] or b["text"] for b in r["blocks"]]) for r in got] == [(1, ["hi"]), (2, ["a"]), (3, ["a"]), (5, ["ok"])]
+    # the use of b has no result: the whole turn goes, then the result of a, then the blank turn
+    assert [(r["turn"], [b["id"] or b["tool_use_id"] or b["text"] for b in r["blocks"]]) for r in got] == [(1, ["hi"]), (5, ["ok"])]
+    whole = [(1, 1, "user", []), (1, 2, "assistant", [use("a"), _text("x")]), (1, 3, "assistant", []), (1, 4, "user", [result("a"), result("q")]), (1, 5, "assistant", [use("c")])]
+    got = V.sanitized(spark.createDataFrame(whole, BLOCKS), "conv", "turn").orderBy("turn").collect()
+    assert [(r["turn"], len(r["blocks"])) for r in got] == [(1, 0), (2, 2), (4, 2)]  # an empty user turn stays
     joined = V.tool_results(spark.createDataFrame(rows, BLOCKS), "conv", "turn").orderBy("id").collect()
     assert [(r["id"], r["content"]) for r in joined] == [("a", "out"), ("b", None)]
 
 
-def test_split_keeps_tool_pairs():
-    assert V.split_point(["u", "a", "u", "a"], [set(), {"x"}, set(), set()], [set(), set(), {"x"}, set()], 2) == 1
+def test_split_keeps_tool_pairs(spark):
+    use = lambda i: ("tool_use", None, i, "grep", None, None, None)
+    result = lambda i: ("tool_result", None, None, None, i, "out", False)
+    rows = [(1, 1, "user", [_text("a")]), (1, 2, "assistant", [use("x")]), (1, 3, "user", [result("x")]), (1, 4, "assistant", [use("y")])]
+    messages = spark.createDataFrame(rows, BLOCKS)
+    older, newer = V.split_recent(messages, 2, "conv", "turn")
+    assert [r["turn"] for r in older.collect()] == [1]
+    assert sorted(r["turn"] for r in newer.collect()) == [2, 3]  # the pair stays together, the open use at the end goes
+    assert V.split_recent(messages, 9, "conv", "turn")[0].count() == 0
+
+
+def test_cascade_steps(spark):
+    text = "w" * 4000
+    long = [(1, k, "assistant" if k % 2 else "user", text, k % 2 == 1) for k in range(30)]
+    short = [(2, k, "user", "hi", False) for k in range(3)]
+    stubborn = [(3, k, "user", text, False) for k in range(10)]
+    rows = spark.createDataFrame(long + short + stubborn, "conv_id int, turn int, role string, text string, compactable boolean")
+    steps = lambda limit: {r["conv_id"]: r["step"] for r in V.cascade(rows, limit).collect()}
+    assert steps(10**9) == {1: "none", 2: "none", 3: "none"}
+    assert steps(30_000)[1] == "micro" and steps(21_000)[1] == "collapse"
+    assert steps(5000) == {1: "memory", 2: "none", 3: "summary"}
+    got = V.cascade(rows, 5000).filter("conv_id = 1").orderBy("turn").collect()
+    assert len(got) == 13 and got[0]["text"].startswith("user: www")
 
 
 def test_split_message():
     assert list(V.split_message("aaa bbb\nccc ddd", 9)) == ["aaa bbb", "ccc ddd"]
     assert list(V.split_message("abcdef", 4)) == ["abcd", "ef"] and list(V.split_message("", 4)) == []
+    assert list(V.split_message("     abcdefghij", 6)) == ["     a", "bcdefg", "hij"]  # a blank piece is cut at its limit
+    with pytest.raises(ValueError, match="character"):
+        list(V.split_message("abc", 0))
 
 
 def test_code_functions():
     src = "import os\n\n@deco\ndef f(x):\n    return x\n\nclass A:\n    def g(self):\n        pass\n"
     rows = list(C.chunk_file("a.py", src))
-    assert [(r[3], r[4]) for r in rows] == [("", "module"), ("f", "function"), ("A", "class")]
+    assert [(r[1], r[2], r[3], r[4]) for r in rows] == [(1, 3, "", "module"), (4, 5, "f", "functiondef"), (7, 9, "A", "classdef")]
+    assert rows[0][5] == "import os\n\n@deco\n" and list(C.chunk_file("c.py", "async def g():\n    pass"))[0][4:] == ("asyncfunctiondef", "async def g():\n    pass")
+    assert list(C.bounded(["aaa\n", "bb\n", "cccccccccc\n", "d"], 5, 7)) == [(5, 6, "aaa\nbb\n"), (7, 7, "ccccccc"), (8, 8, "d")]
+    assert [r[:4] for r in C.document_symbols(src + "x = y = 1\nz: int = 2\n")] == [("f", "function", 4, 1), ("A", "class", 7, 1), ("A.g", "function", 8, 5), ("x", "variable", 10, 1), ("y", "variable", 10, 5)]
     assert list(C.symbol_spans(src)) == [("f", 4, 5), ("A", 7, 9), ("A.g", 8, 9)]
     assert list(C.chunk_file("b.py", "def (:\n"))[0][4] == "text"
     patch = "--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@\n a\n-b\n+c\n+d\n--- a/y.py\n+++ /dev/null\n@@ -1 +0,0 @@\n-z\n"
     assert list(C.changed_lines(patch)) == [("x.py", "old", 2), ("x.py", "new", 2), ("x.py", "new", 3), ("y.py", "old", 1)]
-    assert C.symbol_at("foo = bar", 1, 6) == "bar"
+    assert [C.symbol_at("foo = bar", 1, k) for k in (1, 3, 4, 6, 7, 99, None)] == ["foo", "foo", "foo", "foo", "bar", "bar", "foo"]
+    assert C.symbol_at("", 1, 1) is None and C.symbol_at("+", 1, 1) is None and C.symbol_at("a", 2, 1) is None
 
 
 def test_next_run():

@@ -1,4 +1,5 @@
 from marlspark.functions import parsing as P
+from marlspark.operators.scan import plain_text
 
 
 def test_search_results():
@@ -7,12 +8,31 @@ def test_search_results():
 
 
 def test_entrypoint_limits():
-    assert P.entrypoint("\n".join("l%d" % k for k in range(300))).count("\n") == 199
-    cut = P.entrypoint("ä" * 20_000 + "\n" + "b" * 10)
-    assert len(cut.encode()) <= 25_000 and "\n" not in P.entrypoint("x" * 10 + "\n" + "y" * 30_000)
+    assert P.entrypoint("a\nb\n") == ("a\nb\n", False) and P.entrypoint("a\nb") == ("a\nb", False) and P.entrypoint("") == ("", False)
+    text, cut = P.entrypoint("\n".join("l%d" % k for k in range(300)))
+    assert cut and text.startswith("l0\n") and "\nl199\n\n> WARNING: MEMORY.md is 300 lines (limit: 200). " in text and "l200" not in text and text.endswith("topic notes.\n")
+    text, cut = P.entrypoint("x" * 10 + "\n" + "y" * 30_000 + "\n")
+    assert cut and text.startswith("x" * 10 + "\n\n> WARNING: MEMORY.md is 30012 bytes (limit: 25000). ")
+    text, _ = P.entrypoint("ä" * 20_000)  # no line end to cut at, and no half a character
+    assert text.startswith("ä" * 12_500 + "\n\n> WARNING")
 
 
-def test_names_mentions_and_text():
-    assert P.filename("a/b/../we?ird:name.txt ") == "we_ird_name.txt" and P.filename("...") == "file" and len(P.filename("n" * 300)) == 128
-    assert P.mentions('{"a": [{"tag": "at", "user_id": 1}, {"b": {"tag": "at", "user_id": 1}}]}') == ["1"] and P.mentions("{") == []
-    assert P.looks_like_text("plain\n") and not P.looks_like_text("\0\1\2a") and not P.looks_like_text("")
+def test_file_names():
+    cases = {"a/b/../we?ird:name.txt ": "we_ird_name.txt", "...": "", "": "", "a b/": "a_b", "é½x": "1_2x", "-_.a._-": "a", "日本": "", "n" * 300: "n" * 128}
+    assert {k: P.filename(k) for k in cases} == cases
+
+
+def test_mentions():
+    payload = '{"mentions": [{"key": "@1", "name": " Ann ", "id": {"open_id": "o", "union_id": "n"}}, 5], "c": [[{"tag": "at", "user_id": 1, "user_name": "B"}], {"d": {"tag": "at", "user_id": "1", "name": "B"}}, {"tag": "at"}]}'
+    assert P.mentions(payload) == [("@1", "Ann", "o", "", "n"), ("", "B", "", "1", "")]
+    assert P.mentions("{", '[{"open_id": "x"}]') == [("", "", "x", "", "")] and P.mentions("[]") == []
+
+
+def test_text_previews():
+    assert P.text_preview(b"plain  \n text") == "plain text" and P.text_preview(b"") == "" and P.text_preview(b"\0\1\2a") is None and P.text_preview(b"\xff") is None
+    assert P.text_preview(b"x" * 901) == "x" * 897 + "..." and P.text_preview(b"x" * 900) == "x" * 900
+
+
+def test_plain_text_of_a_page():
+    assert plain_text("<p>a <b>b</b>\tc</p><script>var x = '<p>';</script><style>p{}</style> &amp;lt; &copy;<br>d") == "a b c < © d"
+    assert plain_text("") == ""
