@@ -180,9 +180,9 @@ def summary(scores: np.ndarray) -> np.ndarray:
     return np.r_[np.clip(worst, -2, 2), np.log1p([over, hits, sure]), np.log(n), np.log1p([100 * over / n, 100 * sure / n])]
 
 
-def bag(text: str | None) -> list[str]:
-    """The distinct words of a text."""
-    return sorted({u for w in tokens(text) for u in units(w)})
+def bag(text: str | None) -> str:
+    """The distinct words of a text, a space between them."""
+    return " ".join(sorted({u for w in tokens(text) for u in units(w)}))
 
 
 class Scorer:
@@ -247,31 +247,50 @@ class Curve:
         return 1 / (1 + np.exp(-np.clip(self._plane(x) @ self.w, -30, 30)))
 
 
+def _runs(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of letters of each word, as numbers, and where each word's begin: runs of GRAM letters, and of up to twice
+    as many at its beginning."""
+    counts = np.array([len(u) - GRAM + 1 + max(0, min(len(u), 2 * GRAM) - GRAM) for u in vocabulary])
+    starts = np.r_[0, np.cumsum(counts)]
+    flat = np.zeros(starts[-1], dtype=np.int64)
+    for ks, codes in _by_length(vocabulary):
+        n = codes.shape[1]
+        for i in range(n - GRAM + 1):
+            flat[starts[ks] + i] = codes[:, i : i + GRAM] @ ALPHABET ** np.arange(GRAM)
+        for i, m in enumerate(range(GRAM + 1, min(n, 2 * GRAM) + 1), n - GRAM + 1):
+            flat[starts[ks] + i] = codes[:, :m] @ ALPHABET ** np.arange(m) + m * ALPHABET ** (2 * GRAM)
+    return np.unique(flat, return_inverse=True)[1].astype(np.int32), starts
+
+
 def _first_scores(vocabulary: list[str], toxic: list[np.ndarray], clean: list[np.ndarray]) -> np.ndarray:
-    """Where training starts, for words of toxic texts: by how many deviations the most telling run of letters in a word,
-    of GRAM letters or up to twice as many at its beginning, stands in more toxic texts than clean ones let expect."""
-    grams = [{u[k : k + GRAM] for k in range(len(u) - GRAM + 1)}.union(u[:k] for k in range(GRAM, min(len(u), 2 * GRAM) + 1)) for u in vocabulary]
-    seen = set(np.concatenate(toxic).tolist())
-    in_toxic: Counter = Counter()
-    for t in toxic:
-        in_toxic.update(set().union(*(grams[k] for k in t)))
-    in_clean: Counter = Counter()
-    for t in clean:
-        in_clean.update(set().union(*(grams[k] for k in t)).intersection(in_toxic))
-    share = len(toxic) / len(clean)
-    score = {g: (n - (in_clean[g] + 1) * share) / ((in_clean[g] + 1) * share + n + 1) ** 0.5 for g, n in in_toxic.items()}
-    return np.array([max(map(score.__getitem__, grams[k])) if k in seen else -np.inf for k in range(len(vocabulary))])
-
-
-def train(toxic: list[list[str]], clean: list[list[str]]) -> dict | None:
+    """Where training starts, for words of toxic texts: by how many deviations the most telling run of letters in a word
+    stands in more toxic texts than clean ones let expect."""
+    runs, starts = _runs(vocabulary)
+
+    def texts_with(bags: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(runs.max() + 1)
+        for t in bags:
+            out[np.concatenate([runs[starts[k] : starts[k + 1]] for k in t])] += 1  # once a text, however often
+        return out
+
+    in_toxic, expected = texts_with(toxic), (texts_with(clean) + 1) * len(toxic) / len(clean)
+    score = (in_toxic - expected) / np.sqrt(expected + in_toxic + 1)
+    best = np.maximum.reduceat(score[runs], starts[:-1])
+    seen = np.zeros(len(vocabulary), dtype=bool)
+    seen[np.concatenate(toxic)] = True
+    return np.where(seen, best, -np.inf)
+
+
+def train(toxic: list[str], clean: list[str]) -> dict | None:
     """The model from the bags of labelled texts: subsequence weights, bias and the curve; None without words of both
     classes to learn from."""
     toxic, clean = [b for b in toxic if b], [b for b in clean if b]
     if not toxic or not clean:
         return None
-    vocabulary = sorted({u for b in (*toxic, *clean) for u in b})
+    vocabulary = sorted({u for b in (*toxic, *clean) for u in b.split(" ")})
     place = {u: k for k, u in enumerate(vocabulary)}
-    toxic, clean = ([np.array([place[u] for u in b]) for b in x] for x in (toxic, clean))
+    toxic, clean = ([np.array([place[u] for u in b.split(" ")], dtype=np.int32) for b in x] for x in (toxic, clean))
+    del place
     in_clean = np.bincount(np.concatenate(clean), minlength=len(vocabulary))
     by_hash = sorted(np.flatnonzero(in_clean).tolist(), key=lambda k: zlib.crc32(vocabulary[k].encode()))
     usual = {*sorted(by_hash, key=lambda k: -in_clean[k])[: NEGATIVES // 2], *by_hash[: NEGATIVES // 2]}
@@ -297,12 +316,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == 0
 
 
-def training_bags(docs: DataFrame, labels: DataFrame) -> tuple[list[list[str]], list[list[str]]]:
+def training_bags(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
     """The words of at most TRAIN_TEXTS toxic and as many clean texts of labels(doc_id, toxic) outside the held-out fold;
     of several rows with one doc_id one trains."""
     rows = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("string")
     def words(texts: pd.Series) -> pd.Series:
         return texts.map(bag, na_action=None)
 
