@@ -64,7 +64,7 @@ def cut(docs: DataFrame, most: int = MAX_TOKENS, vocabulary: str = VOCABULARY, w
 
     # ids as strings: pandas has no long with nulls
     out = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(pieces, PIECES + (", ids array<long>" if with_ids else ""))
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def shortest_pack_first(histogram: dict[int, int], most: int = MAX_TOKENS) -> list[tuple[tuple[int, ...], int]]:
@@ -119,7 +119,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
     Every row of docs is packed, repeated rows and null ids included (their pieces stay apart by the row's number,
     the column row); a null text is empty; no rows give no pieces.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     pieces = staged(cut(rows, most, vocabulary, with_ids), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = docs.sparkSession.createDataFrame(intervals(shortest_pack_first(histogram, most)), "_l long, _lo long, _hi long, _sequence long, _count long, _offset long")
