@@ -205,6 +205,9 @@ def read_archives(spark: SparkSession, where: str) -> DataFrame:
     result = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(where).select("content")
     parsed = staged(files.mapInPandas(read, PARSED), "warc-records")
+    told = parsed.filter("record_type = 'revisit'").select("digest").distinct().join(parsed.filter("record_type = 'response'").select("digest").distinct(), "digest", "left_anti")
+    if lost := told.limit(3).collect():
+        raise ValueError(f"no response has the payload of the revisits with {[r['digest'] for r in lost]}")
     whole = parsed.filter("segment is null").select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("block").alias("payload"))
     parts = parsed.filter("segment is not null").groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("s"), F.max("digest").alias("digest"), F.max("total").alias("total"), F.max("url").alias("url"))
     parts = parts.select("origin", F.col("s.segment").alias("numbers"), F.col("s.block").alias("blocks"), "digest", "total", "url")
