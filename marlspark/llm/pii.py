@@ -2,7 +2,7 @@
 
 Candidate spans of four kinds get votes (1, -1, or 0 for none) from labelers: the strict regular expressions, a
 structure test (checksum, number of digits, range of parts), gazetteers (top-level domains, calling codes, card
-issuers) and the words before the span. Expectation-maximisation over the counts of vote patterns estimates each
+issuers) and the words before the span, the last four of the REACH characters before it. Expectation-maximisation over the counts of vote patterns estimates each
 labeler's reliability; its posteriors then train a logistic classifier on the votes and the span's shape, which decides
 about candidates that the strict expressions don't give. Strict matches always stay.
 
@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,7 @@ from .common import table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("regex", "structure", "gazetteer", "context")
-ADD_FROM = 0.9
+ADD_FROM, REACH = 0.9, 40
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -107,7 +109,7 @@ def _gazetteer(kind: str, s: str, digits: str) -> int:
 
 
 def _context(kind: str, text: str, start: int) -> int:
-    words = WORDS.findall(text[max(0, start - 40) : start].lower())[-4:]
+    words = WORDS.findall(text[max(0, start - REACH) : start].lower())[-4:]
     return -1 if AGAINST.intersection(words) else 1 if FOR[kind].intersection(words) else 0
 
 
@@ -120,11 +122,11 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, tuple, bool]]:
             continue
         spans += [(*m.span(), kind, False) for m in wide.finditer(text)]
     taken = sorted((a, b) for a, b, _ in base)
-    starts = [a for a, _ in taken]
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for start, end, kind, is_base in spans:
         if not is_base:
-            k = np.searchsorted(starts, end)
-            if any(b > start for _, b in taken[max(0, k - 8) : k]):
+            k = bisect_left(starts, end)
+            if k and ends[k - 1] > start:  # a base match reaches into it
                 continue
         s = text[start:end]
         digits = _digits(s)
@@ -223,9 +225,10 @@ def written(spans: list) -> str:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", add_from: float = ADD_FROM) -> DataFrame:
-    """One row per input row: id_col, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans.
+    """One row per input row: id_col, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans, n_spans.
 
-    A null or empty text has no spans; null ids and repeated rows stay as they are; an empty table gives none.
+    A null or empty text has no spans; null ids and repeated rows stay as they are; an empty table gives none; further
+    columns don't matter, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     scores = classifier(pattern_counts(rows))
@@ -236,10 +239,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for i, text in zip(batch["id"], batch["text"], strict=True):
                 base, spans = spans_of(text or "", scores, add_from)
                 n = Counter(kind for _, _, kind in base)
-                out.append((i, *(n[k] for k in KINDS), hashlib.sha256(written(base).encode()).hexdigest(), written(spans)))
-            yield pd.DataFrame(out, columns=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                out.append((i, *(n[k] for k in KINDS), hashlib.sha256(written(base).encode()).hexdigest(), written(spans), len(spans)))
+            yield pd.DataFrame(out, columns=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
-    found = rows.mapInPandas(find, "id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    found = rows.mapInPandas(find, "id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
     return found.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *found.columns[1:])
 
 
