@@ -74,7 +74,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 @tidy
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with their own columns."""
+    """The rows that stay, with their own columns, whatever their names: of equal texts the one with the largest id, where null counts
+    as the empty text and a null id is below all others; of rows equal in both, one. An empty table stays empty."""
     boxed = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_box"))
     return exact_dedup(boxed, "_own", "_text", carry=("_box",)).filter("kept").select("_box.*")
 

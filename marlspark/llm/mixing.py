@@ -138,7 +138,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", w
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, int] | None = None) -> DataFrame:
     """All documents in mixed order: their own columns, range-partitioned and sorted by position, so that reading the
     written files in order gives the mix. Documents with the same id share a set of places. Rows are told apart by their
-    place in docs, which is read twice; what isn't read from files as it is gets written first."""
+    place in docs, which is read twice; what isn't read from files as it is gets written first. Null sources, null ids and
+    repeated rows stay, an empty table stays empty, and further columns are carried along whatever their names."""
     docs = settled(docs, "mix-documents")
     places = mixed(docs, id_col, source_col, weights).select(F.col(id_col).alias("_id"), F.col("_row").alias("_place"), "position")
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_box"), F.col(id_col).alias("_own"), F.monotonically_increasing_id().alias("_row"))

@@ -424,8 +424,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 @tidy
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """The documents without those that link to one with a smaller id: all their columns, one per component. A document
-    whose id isn't in the filter of the dropped ids passes straight through; only the others shuffle with their texts."""
+    """The documents without those that link to one with a smaller id: all their columns, whatever their names, one id per
+    component. A document whose id isn't in the filter of the dropped ids passes straight through; only the others shuffle
+    with their texts. Texts without words link with nothing and stay; all rows of an id that stays do; a null id stays in a
+    component without any other; an empty table stays empty."""
     found = staged(components(docs, id_col, text_col, words).select(F.col(id_col).alias("_id"), F.col(id_col).eqNullSafe(F.col("component_id")).alias("_stays")), "verdicts")
     cell = F.pmod(F.xxhash64("_id"), F.lit(FILTER))
     blocks = found.filter("not _stays").select(cell.alias("_c")).groupBy(F.expr(f"_c div {BLOCK}").alias("_block")).agg(F.bitmap_construct_agg(F.col("_c") % BLOCK).alias("_bits"))
