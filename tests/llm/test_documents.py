@@ -378,6 +378,85 @@ def test_mix_schedules_every_one_of_many_sources(spark):
     assert len({(r["source"], r["block"]) for r in got}) == len({r["slot"] for r in got})
 
 
+def played(phases):
+    """slot -> (source, block), phase by phase: (first slot, cycle, {slot: (source, block, weight, block within the phase)})."""
+    out = {}
+    for s, lo, hi, slot0, _, cycle, w, at in phases:
+        for b in range(lo, hi):
+            k = b - lo
+            out.setdefault((slot0, cycle), {})[slot0 + k // w * cycle + at[k % w]] = (s, b, w, k)
+    return out
+
+
+@pytest.mark.parametrize("n_sources", [3, 40, 1500])
+def test_mix_holds_the_pfair_bounds_in_every_phase(n_sources):
+    """All slots of the whole schedule, followed one by one: each is filled once, within its block's window, a source's blocks come
+    in order, and none is a block or more away from its share; beyond RESOLUTION sources too."""
+    rng = random.Random(n_sources)
+    counts = {f"s{k}": rng.randrange(1, 60 if n_sources > 100 else 400) for k in range(n_sources)}
+    for weights in (mixing.target_weights(counts), {s: rng.randrange(1, 30) for s in counts}):
+        block_rows = 4
+        phases = played(mixing.schedule(counts, weights, block_rows))
+        blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+        done, next_slot = dict.fromkeys(counts, 0), 0
+        for (slot0, cycle), slots in sorted(phases.items()):
+            assert slot0 == next_slot and sorted(slots) == list(range(slot0, slot0 + len(slots)))
+            alive = [s for s in counts if done[s] < blocks[s]]
+            assert cycle == sum(weights[s] for s in alive)
+            have = dict.fromkeys(alive, 0)
+            check = alive if n_sources <= 40 else rng.sample(alive, min(8, len(alive)))
+            for t in range(slot0, slot0 + len(slots)):
+                s, b, w, k = slots[t]
+                assert b == done[s] + have[s] and k * cycle // w <= t - slot0 < -(-(k + 1) * cycle // w)
+                have[s] += 1
+                assert all(abs(have[x] - (t + 1 - slot0) * weights[x] / cycle) < 1 for x in check)
+            for s, n in have.items():
+                done[s] += n
+            next_slot += len(slots)
+        assert done == blocks
+
+
+def test_mix_reads_shuffled_input_once(spark):
+    docs = make(spark, [(i, f"t{i}", f"s{i % 3}") for i in range(200)]).repartition(7)
+    assert common.settled(make(spark, []), "x") is not docs and common.reads(common.settled(docs, "x"))
+    got = mixing.mix_documents(docs).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(200))
+
+
+def test_propagation_joins_small_groups_of_small_tables(spark, monkeypatch):
+    """Cut groups before and after, at a size where a shard holds 20 rows."""
+    rng = random.Random(9)
+    docs, k = [], 0
+    for g in range(150):
+        for _ in range(rng.randrange(1, 7)):
+            docs.append((k, f"text {g}", "s"))
+            k += 1
+    rng.shuffle(docs)
+    seen = {}
+    real = sharding.propagate
+
+    def counted(state, room):
+        out = real(state, room)
+        seen["before"], seen["after"] = (df.filter(F.size("at") > 1).count() for df in (state, out))
+        return out
+
+    monkeypatch.setattr(sharding, "propagate", counted)
+    got = sharding.sharded(make(spark, docs), shards=25).collect()
+    sizes = collections.Counter(r["shard"] for r in got)
+    assert len(got) == len(docs) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert seen["before"] > 80 and seen["after"] <= 0.25 * seen["before"] and cut_groups(got) == seen["after"]
+
+
+def test_ranks_with_more_buckets_than_a_task_adds_up(spark, monkeypatch):
+    monkeypatch.setattr(common, "BUCKETS", 4)
+    rows = common.staged(spark.range(5000).selectExpr("id", "if(id % 3 = 0, null, id % 5) g"), "t")
+    for group in ([], ["g"]):
+        got = collections.defaultdict(list)
+        for r in common.ranked(rows, group, ["id"], "k", 200_000).collect():
+            got[r["g"] if group else 0].append(r["k"])
+        assert all(sorted(x) == list(range(len(x))) for x in got.values()) and sum(map(len, got.values())) == 5000
+
+
 def test_mix_deviates_by_less_than_a_block_with_many_sources():
     rng = random.Random(3)
     counts = {f"s{k}": rng.randrange(200, 300) for k in range(400)}

@@ -149,6 +149,15 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_checks_that_revisits_have_a_response(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, "u", "x" * 200, 1, 2) for k in (1, 2)], "page_id long, url string, html string, payload int, segment int")
+    assert sorted(r["record_type"] for r in warc.round_trip(pages).collect()) == ["response", "revisit"]
+    real = warc.parse
+    monkeypatch.setattr(warc, "parse", lambda stream: ((f, b) for f, b in real(stream) if f["warc-type"] != "response"))
+    with pytest.raises(ValueError, match="no response"):
+        warc.round_trip(pages)
+
+
 def test_warc_detects_damage():
     with pytest.raises(ValueError, match="chunk"):
         warc.dechunked(b"3\r\nabcd\r\n0\r\n\r\n")
@@ -196,6 +205,35 @@ def test_personal_data_adds_what_strict_expressions_miss(spark):
     assert pii.personal_data(docs.filter(F.lit(False))).count() == 0
 
 
+def test_personal_data_of_long_texts_and_clashing_columns(spark):
+    text = "mail a@b.com or +1 (269) 555-0199 " + "x 12 " * 100_000 + " 10.0.0.1"
+    docs = spark.createDataFrame([(1, text, "s", 5, "k"), (1, text, "s", 5, "k")], "doc_id long, text string, spans string, n_ip int, kind string")
+    got = pii.personal_data(docs).collect()
+    assert len(got) == 2 and got[0] == got[1] and (got[0]["n_email"], got[0]["n_ip"], got[0]["n_phone"]) == (1, 1, 1) and got[0]["n_spans"] >= 3
+
+
+def test_base_matches_of_any_number_keep_added_spans_out():
+    text = "+1 " + " ".join("10.0.0.%d" % k for k in range(200)) + " 4532015112830366"
+    base = [x for x in pii.candidates(text) if x[4]]
+    for a, b, _, _, is_base in pii.candidates(text):
+        assert is_base or not any(x[0] < b and a < x[1] for x in base)
+
+
+def test_reliabilities_and_classifier_decide_what_is_added(spark):
+    """What labelers agree on is added, what they don't isn't; without the classifier nothing is."""
+    both = "+1 (269) 555-3296 4532015112830366"
+    texts = [f"call me at +1 (269) 555-01{k:02d} or a{k}@b.com, 4532 0151 1283 0366, 10.0.0.{k}" for k in range(50)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, f"phone {both}", "serial 1.2.3.4.5 and order 1234567890123456"]], "text string")
+    counts = pii.pattern_counts(docs)
+    accuracy, post = pii.reliabilities(counts)
+    assert accuracy["regex"] > accuracy["context"] and min(accuracy.values()) >= 0.55 and len(set(accuracy.values())) > 1
+    scores = pii.classifier(counts)
+    added = lambda t, s: len(pii.spans_of(t, s)[1]) - len(pii.spans_of(t, s)[0])
+    assert added(f"phone {both}", scores) == 2 and added(f"phone {both}", {}) == 0 and added("serial 1.2.3.4.5 and order 1234567890123456", scores) == 0
+    shape = {p[5:]: pii.classifier({**counts, p: 1})[p] for p in (("card", 0, 1, 1, 0, 0, 3), ("card", 0, 1, 1, 0, 2, 0))}
+    assert shape[(0, 3)] > shape[(2, 0)]
+
+
 def test_kernel_tolerates_gaps_and_insertions():
     k = toxicity.kernel(["^stupid", "^stupxid", "^st", "^flower"], ["^stupid"])[:, 0]
     assert k[0] == pytest.approx(1, abs=1e-5) and k[1] > 0.5 and k[3] < 0.1
@@ -278,9 +316,9 @@ def test_toxicity_on_the_held_out_fold_of_the_test_tables():
     for r in labels:
         (test if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 else train)[r["toxic"]].append(texts[r["doc_id"]])
     bags = [[toxicity.bag(t) for t in side] for side in train]
-    in_clean, in_toxic = (collections.Counter(u for b in side for u in b) for side in bags)
+    in_clean, in_toxic = (collections.Counter(u for b in side for u in b.split()) for side in bags)
     listed = {u for u, n in in_toxic.items() if n >= 4 and in_clean[u] <= 0.02 * n * len(bags[0]) / len(bags[1])}
-    by_list = [[len(listed.intersection(toxicity.bag(t))) for t in side] for side in test]
+    by_list = [[len(listed.intersection(toxicity.bag(t).split())) for t in side] for side in test]
     scorer = toxicity.Scorer(toxicity.train(bags[1], bags[0]))
     found = [scorer(side) for side in test]
     assert area(found[1], found[0]) > max(0.97, area(by_list[1], by_list[0]))
@@ -308,6 +346,41 @@ def test_components_of_chains_and_stars(spark):
     assert {got[f"n{k:04d}"] for k in range(61)} == {"n0000"} and {got[f"y{k}"] for k in range(50)} == {"x0"} and "z" not in got
 
 
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, _c0 string, _row string, kept boolean, n_words long, position long"
+
+
+def test_pipeline_stages_take_any_table(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing columns, and no rows at all, stage by stage."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    clean = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(3, 8))) for _ in range(n)) + "."
+    same = clean(90)
+    extra = ("a", "b", True, 7, 8)
+    rows = [(1, same, "en", "s", 3, *extra), (1, same, "en", "s", 3, *extra), (2, clean(60_000), "en", None, None, *extra), (3, None, None, None, None, *[None] * 5), (4, "", "en", "s", 0, *extra), (None, clean(80), None, "t", None, *extra), (5, same + " more", "en", "t", 1, *extra)]
+    want = {"quality rules": 5, "exact dedup": 5, "n-gram Jaccard join": 6, "mixing sources": 7}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(rows, CLASHES)
+        out = stage(spark, docs, str(tmp_path))
+        if name == "packing":
+            assert {r["doc_id"] for r in out.collect()} == {1, 2, 3, 4, 5, None}
+        else:
+            assert out.columns == docs.columns and out.count() == want[name], name
+        assert stage(spark, docs.filter(F.lit(False)), str(tmp_path)).count() == 0
+
+
+def test_pipeline_deletes_its_own_tables_only(spark, tmp_path):
+    import corpus_pipeline
+    from marlspark.llm import common
+
+    spark.createDataFrame([(k, "word " * 20 + " ".join(f"w{k}x{j}" for j in range(80)), "en", "s", 1) for k in range(5)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    other = common.staged(spark.range(3), "other")
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    beside = corpus_pipeline.STAGES[0][1](spark, docs, "another input")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert other.count() == 3 and beside.count() == 5 and out.count() == 5
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
 
