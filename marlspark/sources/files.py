@@ -20,6 +20,12 @@ MAX_FILE_BYTES = 200_000
 PREDICTION = ("instance_id", "model_name_or_path", "model_patch")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path where driver and executors both write: beside spark.checkpoint.dir's tables, else the warehouse's."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/marlspark-files/{name}-{uuid.uuid4().hex}"
+
+
 def source_files(spark: SparkSession, root: str, allowed: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """(path, text) of the UTF-8 files under root, paths relative to it. Size and name filters act before a file is
     read; files with NUL or invalid UTF-8 are left out."""
