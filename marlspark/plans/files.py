@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import code as C
+from ..functions import registry as G
 from ..sources import files as S
 from .registry import query, table
 
@@ -61,6 +62,18 @@ def x28(spark: SparkSession, sf: str) -> DataFrame:
     return C.flat(table(spark, sf, "events").select("event_id", "ts"), runs, ["ts"], "quarter string, daily string", ["event_id"])
 
 
+SCHEMA = {"type": "object", "properties": {"n": {"type": "integer"}, "word": {"type": "string"}}, "required": ["n"]}
+
+
+@query("r14_function_by_schema", "SELECT event_id, CASE WHEN event_id % 5 > 0 THEN 2 * user_id + CASE WHEN event_id % 3 = 0 THEN 0 ELSE length(event_type) END END AS called, CASE WHEN event_id % 5 > 0 THEN user_id END AS n FROM events")
+def r14(spark: SparkSession, sf: str) -> DataFrame:
+    """A function with a required and an optional argument; every fifth call lacks the required one."""
+    known = G.Functions(spark)
+    known.register("twice", lambda n, word="": 2 * n + len(word), SCHEMA, "long")
+    arguments = F.expr("case when event_id % 5 = 0 then '{\"word\":\"x\"}' when event_id % 3 = 0 then concat('{\"n\":', user_id, '}') else concat('{\"n\":', user_id, ',\"word\":\"', event_type, '\"}') end")
+    return table(spark, sf, "events").select("event_id", known.call("twice", arguments).alias("called"), known.arguments("twice", arguments)["n"].alias("n"))
+
+
 PATCH = "--- a/src/f#.py\n+++ b/src/f#.py\n@@ -1,3 +1,4 @@\n a\n-b\n+c\n+d\n e\n@@ -9 +10,0 @@\n-gone #\n--- /dev/null\n+++ b/new#.py\n@@ -0,0 +1 @@\n+x\n"
 
 

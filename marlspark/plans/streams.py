@@ -116,6 +116,14 @@ def g3b(spark: SparkSession, sf: str) -> DataFrame:
     return M.buffered(e, 1800).select("key", "start", "n", "was_mentioned", "body", "id")
 
 
+@query("g4_albums", "WITH RECURSIVE o AS (SELECT user_id AS key, ts, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR) AS k FROM events), r AS (SELECT key, k, ts AS start FROM o WHERE k = 1 UNION ALL SELECT o.key, o.k, CASE WHEN epoch_us(o.ts) - epoch_us(r.start) >= 86400000000 THEN o.ts ELSE r.start END FROM r JOIN o ON o.key = r.key AND o.k = r.k + 1), g AS (SELECT key, r.start, r.k, ts, event_type, event_id, min(r.k) OVER (PARTITION BY key, event_type, r.start) AS first FROM r JOIN o USING (key, k)) SELECT key, start, max(ts) AS \"end\", count(*) AS n, coalesce(string_agg(event_type, chr(10) ORDER BY k) FILTER (event_type <> 'view'), '[empty message]') AS body, array_to_string(list(event_type ORDER BY k) FILTER (k = first), ',') AS media, arg_min(event_id, k)::VARCHAR AS id FROM g GROUP BY key, start")
+def g4(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of a day from their first event on; views have no text."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").cast("string").alias("id"), F.lit("a").alias("author"), F.col("event_type").alias("label"), F.when(F.col("event_type") != "view", F.col("event_type")).otherwise("").alias("body"), F.lit(False).alias("mentioned"))
+    got = M.albums(e, 86_400)
+    return got.select("key", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", "body", F.array_join("media", ",").alias("media"), "id")
+
+
 @query("g6_warm_events", "WITH e AS (SELECT user_id AS session, event_id // 100 AS payload, event_id AS seq, event_type FROM events), t AS (SELECT session, payload, max(seq) AS top FROM e GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY payload) = 1 AND session % 2 = 0 AS skip FROM t), c AS (SELECT *, max(greatest(payload * 100 - 3, CASE WHEN NOT skip THEN top END)) OVER (PARTITION BY session ORDER BY payload) AS cursor FROM p) SELECT session, payload, cursor, seq FROM e JOIN c USING (session, payload) WHERE NOT skip AND event_type IN ('click', 'view')")
 def g6(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("event_type").isin("click", "view"), "message.add").otherwise(F.col("event_type"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -21,8 +22,12 @@ PREDICTION = ("instance_id", "model_name_or_path", "model_patch")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path where driver and executors both write: beside spark.checkpoint.dir's tables, else the warehouse's."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder's path where driver and executors both write: in spark.checkpoint.dir; unset, in the warehouse on a
+    cluster and in a temporary folder in local mode, where all tasks run in this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        base = f"file://{tempfile.gettempdir()}/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir")
     return f"{base}/marlspark-files/{name}-{uuid.uuid4().hex}"
 
 

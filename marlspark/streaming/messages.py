@@ -193,9 +193,26 @@ def buffered(messages: DataFrame, gap: float, delay: str = "0 seconds") -> DataF
 
 
 def albums(messages: DataFrame, gap: float = 0.6, delay: str = "0 seconds") -> DataFrame:
-    """Parts of media groups, a stream, merged from the first one on for a fixed time; the columns of `buffered`, and media, the
-    distinct paths."""
-    return _stateful(messages, Album(gap), delay, ", media array<string>")
+    """Parts of media groups, merged from the first one on for a fixed time; the columns of `buffered`, and media, the
+    distinct paths. Without a stream a group's parts, a few, are walked through in one go."""
+    if messages.isStreaming:
+        return _stateful(messages, Album(gap), delay, ", media array<string>")
+    album = Album(gap)
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        entries: list[Entry] = []
+        for row in pdf.sort_values(["at", "id"])[list(Entry._fields)].itertuples(index=False, name=None):
+            entry = Entry(*row)
+            if entries and (entry.at - entries[0].at).total_seconds() >= gap:
+                out.append(album._flush((pdf["key"].iloc[0],), entries, False))
+                entries = []
+            entries.append(entry)
+        out.append(album._flush((pdf["key"].iloc[0],), entries, False))
+        return pd.DataFrame(out, columns=album.columns)
+
+    kind = messages.schema["key"].dataType.simpleString()
+    return timed(messages, "at").groupBy("key").applyInPandas(merged, f"key {kind}, {MERGED}, media array<string>")
 
 
 def warm_events(payloads: DataFrame, session: str = "session") -> DataFrame:
