@@ -159,9 +159,10 @@ def propagate(state: DataFrame, room: list[int]) -> DataFrame:
     """state: key, at array<struct<n, shard>>; room: what each shard may take in all. Returns the last state."""
     loads = {r["shard"]: r["n"] for r in state.select(F.explode("at").alias("a")).groupBy("a.shard").agg(F.sum("a.n").alias("n")).collect()}
     free = [r - loads.get(k, 0) for k, r in enumerate(room)]
-    squares = F.sum(F.aggregate("at", F.lit(0).cast("long"), lambda s, a: s + a["n"] * a["n"]))
+    square = F.aggregate("at", F.lit(0).cast("long"), lambda s, a: s + a["n"] * a["n"])
+    told = lambda df: df.agg(F.count_if(F.size("at") > 1), F.coalesce(F.sum(F.when(F.size("at") > 1, square)), F.lit(0)), F.coalesce(F.sum(square), F.lit(0))).first()
     whole, cut, turn, quiet = [state.filter(F.size("at") < 2)], state.filter(F.size("at") > 1), 0, 0
-    n_cut, before = cut.agg(F.count(F.lit(1)), squares).first()
+    n_cut, before, _ = told(state)
     while n_cut and quiet < QUIET:
         classes = ["f", "t", "either"]
         asks = _proposals(cut, turn, quiet > 0).withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(turn), F.lit("order")), F.lit(BUCKETS)))
@@ -185,11 +186,10 @@ def propagate(state: DataFrame, room: list[int]) -> DataFrame:
         shifted = F.transform("at", lambda a: F.struct((a["n"] + F.when(a["shard"] == F.col("t"), F.col("net")).when(a["shard"] == F.col("f"), -F.col("net")).otherwise(F.lit(0).cast("long"))).alias("n"), a["shard"].alias("shard")))
         new = staged(lo.withColumn("net", net).select("key", F.filter(shifted, lambda a: a["n"] > 0).alias("at")), "labels")
         discard(counts)
-        now = new.agg(squares.alias("s")).first()["s"]
         whole.append(new.filter(F.size("at") < 2))
         cut = new.filter(F.size("at") > 1)
-        quiet = 0 if now > before else quiet + 1
-        n_cut, before = cut.agg(F.count(F.lit(1)), squares).first()
+        n_cut, left, now = told(new)
+        quiet, before = 0 if now > before else quiet + 1, left
     return reduce(DataFrame.unionByName, whole, cut)
 
 
