@@ -2,15 +2,13 @@
 
 A text node's tag path is the chain of elements from the root to it, with class names. Per path, text length and
 punctuation marks are added up over its nodes, links counting a fifth; their means are smoothed along the page over
-neighbouring nodes and multiplied (after Wu, Li, Hu, Wang: Web news extraction via path ratios, 2013). The ratios
-decide twice:
-* A subtree named as boilerplate by its tag, class, id or role stays in play only if its best path scores no less than
-  the best path outside of such a subtree (REMARKS_FACTOR times as much for comments). A layout's wrapper whose class
-  happens to hold such a word passes, a menu, notice, advert or footer doesn't. On pages of less than FEW characters,
-  where ratios tell little, names alone decide.
-* Of the nodes in play, those above a share of the length-weighted mean are content, and every block with one is in
-  the result. The smallest element with all of the selected text, or with nearly all if only the body has all, is the
-  article: it adds its other blocks, but for lists of links, and headings beside selected text are added anywhere.
+neighbouring nodes and multiplied (after Wu, Li, Hu, Wang: Web news extraction via path ratios, 2013). A path through an
+element named as boilerplate, by its tag, class, id or role, counts a thousandth, for each such element; the name of one that wraps the
+page's main, all its articles or most of its text doesn't count. So where all paths are named alike the names change nothing.
+
+Nodes above a share of the length-weighted mean are content, and every block with one is in the result. The smallest
+element with all of the selected text, or with nearly all if only the body has all, is the article: it adds its other
+blocks, but for lists of links and boilerplate by name, and headings beside selected text are added anywhere.
 Pages are independent of one another: no shuffle, and memory for one page at a time.
 """
 
@@ -43,7 +41,10 @@ NAMED = frozenset(
 #: Of these, what comments are named by, which may outweigh the article, and what heads an article inside of it.
 REMARKS = frozenset("comment comments commentlist disqus reply replies respond".split())
 HEADS = frozenset("header masthead".split())
-REMARKS_FACTOR, FEW, LINK_SHARE = 10.0, 600, 0.2
+#: A named element with more than such a share of the page's unlinked text is a layout's wrapper; for REMARKS, and on pages of
+#: less than FEW characters, the second. Elements that are boilerplate by their tag are none, but for forms.
+MOST, NEARLY, NEVER, FEW = 0.7, 0.9, 2.0, 600
+NAMED_SHARE, LINK_SHARE = 1e-3, 0.2
 TAG = re.compile(r"""<([a-zA-Z][^\s/>]*+)((?:[\s/]++[^\s=>/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++))?)*+)[\s/]*+>""")
 LOOSE = re.compile(r"<([a-zA-Z][^\s/>]*+)([^>]*+)>")
 END = re.compile(r"</([a-zA-Z][^\s/>]*+)[^>]*+>")
@@ -55,8 +56,8 @@ THRESHOLD, MASS, SPREAD = 0.3, 0.9, np.array([0.06, 0.24, 0.4, 0.24, 0.06])
 
 
 class Page:
-    """The text nodes of a page: elements (parent, tag, and 1 where it is named as boilerplate, REMARKS_FACTOR where as
-    comments, else 0), and per node its text, block, element, path and link flag."""
+    """The text nodes of a page: elements (parent, tag, the share of the text from which its boilerplate name is ignored, 0
+    without such a name), and per node its text, block, element, path and link flag."""
 
     def __init__(self, source: str):
         self.parent, self.tags, self.named, self.paths = [-1], ["#root"], [0.0], {}
@@ -109,7 +110,7 @@ class Page:
                     break
         _, element, path, dropped, link = self.open[-1]
         label, drop = tag, dropped or tag in DROPPED
-        named = float(tag in ASIDE or (tag == "header" and not self._in_article()))
+        named = MOST if tag == "form" else NEVER if tag in ASIDE or (tag == "header" and not self._in_article()) else 0.0
         if attributes and not drop:
             names = [m[1].strip("\"'") for m in LABELS.findall(attributes)]
             if names:
@@ -118,7 +119,7 @@ class Page:
                     found = NAMED.intersection(p.lower() for n in names for p in PARTS.findall(n))
                     if found & HEADS and self._in_article():
                         found -= HEADS
-                    named = REMARKS_FACTOR if found & REMARKS else 1.0 if found else named
+                    named = max(named, NEARLY if found & REMARKS else MOST if found else 0.0)
             drop = HIDDEN.search(attributes) is not None
         if tag in VOID:
             if tag == "br":
@@ -133,31 +134,24 @@ class Page:
     def _in_article(self) -> bool:
         return any(t in ("article", "main") for t, *_ in self.open)
 
-    def owners(self) -> tuple[list[int], list[int], list[float]]:
-        """Per element: the nearest element named as boilerplate it is in (0: none), how many it is in, and the largest
-        factor among these. The name of an element that wraps the page's main or all its articles doesn't count, if
-        those aren't named themselves."""
+    def priors(self, sizes: np.ndarray) -> np.ndarray:
+        """Per element NAMED_SHARE to the power of the number of named elements it is in."""
         n = len(self.tags)
-        mains, articles = [int(t == "main") for t in self.tags], [0] * n
-        remarks = [False] * n
+        size, mains, articles = [0.0] * n, [int(t == "main") for t in self.tags], [0] * n
+        for e, x, link in zip(self.element, sizes, self.linked, strict=True):
+            size[e] += 0 if link else x
+        remarks, out = [False] * n, [1.0] * n
         for e in range(1, n):
-            remarks[e] = remarks[self.parent[e]] or self.named[e] == REMARKS_FACTOR
+            remarks[e] = remarks[self.parent[e]] or self.named[e] == NEARLY
             articles[e] = int(self.tags[e] == "article" and not self.named[e] and not remarks[e])
         for e in range(n - 1, 0, -1):
-            for x in (mains, articles):
+            for x in (size, mains, articles):
                 x[self.parent[e]] += x[e]
-        owner, level, factor = [0] * n, [0] * n, [0.0] * n
         for e in range(1, n):
-            up = self.parent[e]
-            owner[e], level[e], factor[e] = owner[up], level[up], factor[up]
-            if self.named[e] and not mains[e] and not 0 < articles[0] == articles[e]:
-                owner[e], level[e], factor[e] = e, level[up] + 1, max(factor[up], self.named[e])
-        return owner, level, factor
-
-    def keep(self, nodes: list[int]) -> None:
-        for name in ("texts", "block", "element", "path", "linked"):
-            own = getattr(self, name)
-            setattr(self, name, [own[k] for k in nodes])
+            share = max(self.named[e], NEARLY) if size[0] < FEW else self.named[e]
+            wraps = mains[e] > 0 or 0 < articles[0] == articles[e] or size[e] > share * size[0]
+            out[e] = out[self.parent[e]] * (NAMED_SHARE if self.named[e] and not wraps else 1.0)
+        return np.array(out)
 
     def _read(self, s: str) -> None:
         at, n = 0, len(s)
@@ -194,47 +188,20 @@ class Page:
                 at = lt + 1
 
 
-def ratios(page: Page, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fused ratio of each node's tag path, the same smoothed along the page) of the nodes; 0 of those without text."""
+def ratios(page: Page, sizes: np.ndarray) -> np.ndarray:
+    """The smoothed and fused tag-path ratio of each node, 0 of those without text. Nodes are neighbours of those that are in as
+    many named elements."""
     marks = np.array([len(PUNCTUATION.findall(t)) for t in page.texts], dtype=float)
-    used = np.flatnonzero(sizes > 0)
-    length = sizes[used] * np.where(np.array(page.linked, dtype=bool)[used], LINK_SHARE, 1.0)
-    _, inverse, counts = np.unique(np.array(page.path)[used], return_inverse=True, return_counts=True)
-    total = np.bincount(inverse, length)
-    mean, punctuation = total / counts, np.bincount(inverse, marks[used]) / counts
-    whole, single = np.zeros(len(sizes)), np.zeros(len(sizes))
-    whole[used] = (np.cbrt(total**2 * mean) * (1 + np.sqrt(punctuation)))[inverse]
+    weight = sizes * np.where(np.array(page.linked, dtype=bool), LINK_SHARE, 1.0)
+    prior, paths, out = page.priors(sizes)[page.element], np.array(page.path), np.zeros(len(sizes))
     smooth = lambda x: np.sqrt(x * np.convolve(np.pad(x, 2, mode="edge"), SPREAD, mode="valid"))
-    single[used] = smooth(mean[inverse]) * (1 + smooth(punctuation[inverse]))
-    return whole, single
-
-
-def _in_play(page: Page, sizes: np.ndarray) -> list[int]:
-    """The nodes outside of boilerplate: those in no element named so, and those whose named element has a path that
-    scores no less than all in play with fewer such elements around them."""
-    owner, level, factor = page.owners()
-    if not any(factor):
-        return list(range(len(sizes)))
-    whole, _ = ratios(page, sizes)
-    best: dict[int, float] = {}
-    for e, x in zip(page.element, whole, strict=True):
-        best[owner[e]] = max(best.get(owner[e], 0.0), float(x))
-    free = sum(n for n, link in zip(sizes, page.linked, strict=True) if not link)
-
-    def around(e: int) -> int:
-        """The next named element around e that holds text of its own."""
-        up = owner[page.parent[e]]
-        while up and up not in best:
-            up = owner[page.parent[up]]
-        return up
-
-    admitted = {0}
-    for depth in range(1, max(level) + 1):
-        below = max(best.get(e, 0.0) for e in admitted)
-        for e in [e for e in best if e and level[e] == depth and around(e) in admitted]:
-            if below == 0 or (free >= FEW and best[e] >= factor[e] * below):
-                admitted.add(e)
-    return [k for k, e in enumerate(page.element) if owner[e] in admitted]
+    for share in np.unique(prior):
+        used = np.flatnonzero((sizes > 0) & (prior == share))
+        if len(used):
+            _, inverse, counts = np.unique(paths[used], return_inverse=True, return_counts=True)
+            length, punctuation = ((np.bincount(inverse, x[used]) / counts)[inverse] for x in (weight, marks))
+            out[used] = share * smooth(length) * (1 + smooth(punctuation))
+    return out
 
 
 def _holder(page: Page, mass: np.ndarray, share: float) -> int:
@@ -249,14 +216,12 @@ def _holder(page: Page, mass: np.ndarray, share: float) -> int:
 def main_text(source: str | None) -> str:
     """The article's blocks, one per line; empty if there is none."""
     page = Page(source or "")
-    sizes = np.array([len(" ".join(t.split())) for t in page.texts], dtype=float)
-    page.keep(_in_play(page, sizes))
     texts = [" ".join(t.split()) for t in page.texts]
     sizes = np.array([len(t) for t in texts], dtype=float)
     if not sizes.any():
         return ""
-    _, scores = ratios(page, sizes)
-    chosen = scores >= THRESHOLD * np.average(scores, weights=sizes)
+    scores, prior = ratios(page, sizes), page.priors(sizes)
+    chosen = scores >= THRESHOLD * np.average(scores, weights=sizes * prior[page.element])
 
     # the smallest element with all of the selected text, or with nearly all where only the body has all
     mass = np.zeros(len(page.tags))
@@ -281,8 +246,9 @@ def main_text(source: str | None) -> str:
             links = sum(sizes[i] for i in range(k, end) if page.linked[i])
             element = page.element[k]
             selected = any(chosen[k:end])
-            heading = page.tags[element] in HEADINGS and mass[page.parent[element]] > 0
-            short = inside[element] and (page.tags[element] in HEADINGS or (whole and links <= 0.6 * max(1.0, sizes[k:end].sum())))
+            plain = prior[element] >= prior[article]
+            heading = plain and page.tags[element] in HEADINGS and mass[page.parent[element]] > 0
+            short = plain and inside[element] and (page.tags[element] in HEADINGS or (whole and links <= 0.6 * max(1.0, sizes[k:end].sum())))
             if selected or heading or short:
                 lines.append(line)
         k = end
