@@ -27,6 +27,15 @@ def test_main_text():
     assert len(html_extract.main_text(long)) == 599_999
 
 
+def test_main_text_beside_long_boilerplate():
+    """A legal footer, a cookie notice, comments and a sidebar with about as much text as the article, or more."""
+    say = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n)) + ", and so on."
+    article = "<h1>The title</h1>" + "".join(f"<p>{say(k, 14)}</p>" for k in range(12))
+    remarks = "".join(f"<div class=comment><p>{say(700 + k, 25)} {say(750 + k, 25)}</p></div>" for k in range(14))
+    for page in (f"<div id=m>{article}</div><footer><p>{say(90, 70)} {say(91, 60)}</p></footer>", f"<div class=cookie-consent><p>{say(80, 40)} {say(81, 40)}</p></div><div>{article}</div>", f"<div>{article}</div><div id=comments>{remarks}</div>", f"<div class=sidebar><h3>About</h3>{''.join(f'<p>{say(600 + k, 30)}</p>' for k in range(5))}</div><div>{article}</div>"):
+        assert html_extract.main_text(f"<body>{page}</body>").split("\n") == ["The title", *(say(k, 14) for k in range(12))]
+
+
 def test_main_text_keeps_blocks_beside_the_longest():
     long = "".join(f"<p>Sentence {k}, which goes on for a while, and then some more of it.</p>" for k in range(40))
     for page in (f"<body><article><h1>Title</h1><p>Lead.</p><div class=body>{long}</div></article></body>", f"<body><div id=x><h1>Title</h1><p>Lead, with a few words, in one sentence.</p><div class=body>{long}</div></div></body>"):
@@ -60,8 +69,7 @@ def plain_ratios(nodes):
         at = lambda k: x[min(max(k, 0), len(x) - 1)]
         return [(x[k] * (0.06 * at(k - 2) + 0.24 * at(k - 1) + 0.4 * x[k] + 0.24 * at(k + 1) + 0.06 * at(k + 2))) ** 0.5 for k in range(len(x))]
 
-    whole = [(sums[p][1] ** 2 * m) ** (1 / 3) * (1 + q**0.5) for (p, *_), m, q in zip(nodes, mean, punctuation, strict=True)]
-    return whole, [a * (1 + b) for a, b in zip(smooth(mean), smooth(punctuation), strict=True)]
+    return [a * (1 + b) for a, b in zip(smooth(mean), smooth(punctuation), strict=True)]
 
 
 def test_ratios_equal_plain_sums():
@@ -76,9 +84,18 @@ def test_ratios_equal_plain_sums():
     page = html_extract.Page("".join(parts))
     sizes = np.array([len(" ".join(t.split())) for t in page.texts], dtype=float)
     assert sizes.tolist() == [n for _, n, *_ in nodes]
-    whole, single = html_extract.ratios(page, sizes)
-    want = plain_ratios(nodes)
-    assert np.allclose(whole, want[0]) and np.allclose(single, want[1])
+    assert np.allclose(html_extract.ratios(page, sizes), plain_ratios(nodes))
+
+
+def test_names_lower_ratios_but_alone_change_nothing():
+    def of(start, end):
+        page = html_extract.Page(f"<body>{start}<p>One, two.<p>Three.{end}<div>A much longer text than these, that isn't named.</div></body>")
+        return html_extract.ratios(page, np.array([len(t) for t in page.texts], dtype=float))
+
+    plain, named, twice, wrapped = of("<div>", "</div>"), of("<div class=promo>", "</div>"), of("<div class=promo><nav>", "</nav></div>"), of("<main class=x><div class=promo>", "</div></main>")
+    assert named[0] < 0.01 * plain[0] and twice[0] == pytest.approx(named[0] * html_extract.NAMED_SHARE) and named[2] > 0.2 * plain[2] and wrapped[0] < 0.01 * plain[0]
+    inside = "<p>One, two, and so on.<p>Three.<p>Four, and some more words."
+    assert html_extract.main_text(f"<body><div class=sidebar>{inside}</div></body>") == html_extract.main_text(f"<body><div>{inside}</div></body>") != ""
 
 
 def page_of(rng, names):
@@ -97,7 +114,7 @@ def test_ratios_decide(monkeypatch):
     rng = random.Random(13)
     pages = [page_of(rng, rng.choice([("zq1", "zq2", "zq3", "zq4"), ("menu", "notice", "zq3", "ad")])) for _ in range(60)]
     assert sum(html_extract.main_text(page) == text for page, text in pages) >= 58
-    ones = lambda page, sizes: (np.where(sizes > 0, 1.0, 0.0),) * 2
+    ones = lambda page, sizes: np.where(sizes > 0, 1.0, 0.0)
     monkeypatch.setattr(html_extract, "ratios", ones)
     assert sum(html_extract.main_text(page) == text for page, text in pages) <= 6
 
@@ -111,7 +128,7 @@ def test_main_text_of_the_test_pages(monkeypatch):
 
     pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
     right = lost = 0
-    ones = lambda page, sizes: (np.where(sizes > 0, 1.0, 0.0),) * 2
+    ones = lambda page, sizes: np.where(sizes > 0, 1.0, 0.0)
     for row in pages:
         inner = re.sub(r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->", "", re.search(r"(?s)<article>(.*)</article>", row["html"])[1])
         inner = re.sub(r"</?(?:p|h1|h2|h3|ul|ol|li|div|table|tr|td|th|blockquote|pre)\b[^>]*>", "\x00", re.sub(r"<br\b[^>]*>", " ", inner))
