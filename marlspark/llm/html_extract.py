@@ -188,12 +188,13 @@ class Page:
                 at = lt + 1
 
 
-def ratios(page: Page, sizes: np.ndarray) -> np.ndarray:
+def ratios(page: Page, sizes: np.ndarray, priors: np.ndarray | None = None) -> np.ndarray:
     """The smoothed and fused tag-path ratio of each node, 0 of those without text. Nodes are neighbours of those that are in as
     many named elements."""
     marks = np.array([len(PUNCTUATION.findall(t)) for t in page.texts], dtype=float)
     weight = sizes * np.where(np.array(page.linked, dtype=bool), LINK_SHARE, 1.0)
-    prior, paths, out = page.priors(sizes)[page.element], np.array(page.path), np.zeros(len(sizes))
+    prior = (page.priors(sizes) if priors is None else priors)[page.element]
+    paths, out = np.array(page.path), np.zeros(len(sizes))
     smooth = lambda x: np.sqrt(x * np.convolve(np.pad(x, 2, mode="edge"), SPREAD, mode="valid"))
     for share in np.unique(prior):
         used = np.flatnonzero((sizes > 0) & (prior == share))
@@ -220,7 +221,8 @@ def main_text(source: str | None) -> str:
     sizes = np.array([len(t) for t in texts], dtype=float)
     if not sizes.any():
         return ""
-    scores, prior = ratios(page, sizes), page.priors(sizes)
+    prior = page.priors(sizes)
+    scores = ratios(page, sizes, prior)
     chosen = scores >= THRESHOLD * np.average(scores, weights=sizes * prior[page.element])
 
     # the smallest element with all of the selected text, or with nearly all where only the body has all
