@@ -114,7 +114,7 @@ def test_ratios_decide(monkeypatch):
     rng = random.Random(13)
     pages = [page_of(rng, rng.choice([("zq1", "zq2", "zq3", "zq4"), ("menu", "notice", "zq3", "ad")])) for _ in range(60)]
     assert sum(html_extract.main_text(page) == text for page, text in pages) >= 58
-    ones = lambda page, sizes: np.where(sizes > 0, 1.0, 0.0)
+    ones = lambda page, sizes, priors=None: np.where(sizes > 0, 1.0, 0.0)
     monkeypatch.setattr(html_extract, "ratios", ones)
     assert sum(html_extract.main_text(page) == text for page, text in pages) <= 6
 
@@ -128,7 +128,7 @@ def test_main_text_of_the_test_pages(monkeypatch):
 
     pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
     right = lost = 0
-    ones = lambda page, sizes: np.where(sizes > 0, 1.0, 0.0)
+    ones = lambda page, sizes, priors=None: np.where(sizes > 0, 1.0, 0.0)
     for row in pages:
         inner = re.sub(r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->", "", re.search(r"(?s)<article>(.*)</article>", row["html"])[1])
         inner = re.sub(r"</?(?:p|h1|h2|h3|ul|ol|li|div|table|tr|td|th|blockquote|pre)\b[^>]*>", "\x00", re.sub(r"<br\b[^>]*>", " ", inner))
