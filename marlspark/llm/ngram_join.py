@@ -28,7 +28,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,6 +155,17 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def _arrays(batch: pa.RecordBatch, column: str) -> Iterator[np.ndarray]:
+    """The arrays of a column of lists of long."""
+    lists = batch.column(batch.schema.get_field_index(column))
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return (values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+
+
+def _numbers(batch: pa.RecordBatch, *columns: str) -> list[list[int]]:
+    return [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
+
+
 def signature(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
@@ -300,23 +310,20 @@ def _likely(pairs: DataFrame, prefixes: DataFrame, order: Broadcast) -> DataFram
     sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     some = _chosen(prefixes, sigs)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value
         for batch in batches:
-            keep = []
-            for na, nb, x, y in zip(batch["na"], batch["nb"], batch["x"], batch["y"], strict=True):
-                sides = []
-                for p in (x, y):
-                    t = np.asarray(p, dtype=np.int64).view(np.uint64)
-                    sides.append((t, rank[(t & np.uint64(SKETCH - 1)).astype(np.int64)]))
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for k, (na, nb, *both) in enumerate(zip(*_numbers(batch, "na", "nb"), _arrays(batch, "x"), _arrays(batch, "y"), strict=True)):
+                sides = [(t, rank[(t & np.uint64(SKETCH - 1)).astype(np.int64)]) for t in (p.view(np.uint64) for p in both)]
                 r, t = min((int(rs[-1]), int(ts[-1])) for ts, rs in sides)
                 known = [ts[(rs < r) | ((rs == r) & (ts <= np.uint64(t)))] for ts, rs in sides]
                 most = len(np.intersect1d(*known, assume_unique=True)) + min(na - len(known[0]), nb - len(known[1]))
-                keep.append(9 * most >= 4 * (na + nb))
-            yield batch.loc[np.array(keep, dtype=bool), ["a", "b", "na", "nb"]]
+                keep[k] = 9 * most >= 4 * (na + nb)
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep))
 
     both = pairs.join(some.select(F.col("sig").alias("a"), F.col("prefix").alias("x")), "a").join(some.select(F.col("sig").alias("b"), F.col("prefix").alias("y")), "b")
-    out = staged(both.select("a", "b", "na", "nb", "x", "y").mapInPandas(read, "a binary, b binary, na long, nb long"), "likely-pairs")
+    out = staged(both.select("a", "b", "na", "nb", "x", "y").mapInArrow(read, "a binary, b binary, na long, nb long"), "likely-pairs")
     discard(some)
     return out
 
@@ -337,13 +344,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, prefixes: DataFrame
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b, na, nb) with the exact size of the intersection, o."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            o = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(batch["x"], batch["y"], strict=True)]
-            yield batch[["a", "b", "na", "nb"]].assign(o=np.array(o, dtype=np.int64))
+            o = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(_arrays(batch, "x"), _arrays(batch, "y"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.select(["a", "b", "na", "nb"]).columns, pa.array(o, pa.int64())], names=["a", "b", "na", "nb", "o"])
 
     both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "na", "nb", "x", "y").mapInPandas(read, "a binary, b binary, na long, nb long, o long")
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(read, "a binary, b binary, na long, nb long, o long")
 
 
 def linked(o: Column, na: Column, nb: Column) -> Column:
