@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked, staged, table, tidy
+from .common import ranked, small_batches, staged, table, tidy
 
 MAX_TOKENS, END_ID = 2048, 1
 VOCABULARY = "byte_bpe_50k"
@@ -113,6 +113,7 @@ def intervals(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, in
 
 
 @tidy
+@small_batches
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TOKENS, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
 
