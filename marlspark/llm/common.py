@@ -69,7 +69,7 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     nodes = [plan]
     for node in nodes:
         nodes += [node.children().apply(k) for k in range(node.children().size())]
-    plain = {n.getClass().getSimpleName() for n in nodes} <= {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation", "LogicalRDD"}
+    plain = {n.getClass().getSimpleName() for n in nodes} <= {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation"}
     return df if plain and plan.deterministic() else staged(df, name)
 
 
