@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, staged, table, tidy
+from .common import discard, gives_back, small_batches, staged, table, tidy
 from .components import connected
 from .exact_dedup import in_bitmap
 
@@ -42,8 +42,8 @@ SKETCH, CHUNK, FILTER, BLOCK = 1 << 24, 1 << 16, 1 << 26, 32768
 #: Size blocks of the index: sizes within a factor of 1.05.
 STEP = 1.05
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
-#: So many bytes of text are hashed at once; a longer text is hashed alone.
-BYTES = 1 << 20
+#: So many bytes of text are hashed at once; a longer text in parts of about as many, cut between words.
+BYTES = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -87,10 +87,22 @@ class Shingler:
             h[w] = int.from_bytes(hashlib.blake2b(low[begin[w] : end[w]].tobytes(), digest_size=8).digest(), "little")
         return h
 
-    def _hashed(self, raw: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """The sets of the texts that begin at starts, the last of them ending with raw."""
-        if not len(raw):
-            return [np.empty(0, dtype=np.uint64)] * len(starts)
+    def _in_parts(self, raw: np.ndarray) -> np.ndarray:
+        """Hashes of the words of one long text."""
+        parts, at = [], 0
+        while at < len(raw):
+            stop = min(at + BYTES, len(raw))
+            gaps = np.flatnonzero(self.space[raw[at:stop]])
+            while stop < len(raw) and not len(gaps):  # a word longer than a part
+                gaps = np.flatnonzero(self.space[raw[stop : stop + BYTES]]) + stop - at
+                stop = min(stop + BYTES, len(raw))
+            stop = at + int(gaps[-1]) + 1 if stop < len(raw) else stop
+            parts.append(self._hash_words(raw[at:stop], np.zeros(1, dtype=np.int64))[0])
+            at = stop
+        return np.concatenate(parts)
+
+    def _hash_words(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the words of the texts that begin at starts, where the words begin)."""
         gap = self.space[raw]
         first = ~gap
         first[1:] &= gap[:-1]
@@ -102,8 +114,18 @@ class Shingler:
         at = at[at > 0] - 1
         last[at] = ~gap[at]
         end = np.flatnonzero(last) + 1
-        h = self._words(np.r_[self.lower[raw], np.zeros(8, dtype=np.uint8)], begin, end)
-        bounds = np.r_[np.searchsorted(begin, starts), len(begin)]
+        return self._words(np.r_[self.lower[raw], np.zeros(8, dtype=np.uint8)], begin, end), begin
+
+    def _hashed(self, raw: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        """The sets of the texts that begin at starts, the last of them ending with raw."""
+        if not len(raw):
+            return [np.empty(0, dtype=np.uint64)] * len(starts)
+        if len(starts) == 1:
+            h = self._in_parts(raw)
+            bounds = np.array([0, len(h)])
+        else:
+            h, begin = self._hash_words(raw, starts)
+            bounds = np.r_[np.searchsorted(begin, starts), len(begin)]
         grams = np.full(max(0, len(h) - self.words + 1), self.words, dtype=np.uint64)
         for i in range(self.words):
             grams += h[i : i + len(grams)] * self.odd[i]
@@ -177,6 +199,7 @@ def prefix_length(n: int) -> int:
 def _digests(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     """(id, n, sig) per document, and for each cell of the sketch the logarithm of its shingles' count, as bytes."""
 
+    @gives_back
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, cells = Shingler(words), np.zeros(SKETCH, dtype=np.uint8)
         for batch in batches:
@@ -237,6 +260,7 @@ def _sig_hash(sig: bytes) -> int:
 def _prefixes(docs: DataFrame, words: int, order: Broadcast) -> DataFrame:
     """(sig, n, prefix) per class: its first shingles in global order."""
 
+    @gives_back
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, rank = Shingler(words), order.value
         for batch in batches:
@@ -255,6 +279,7 @@ def _entries(prefixes: DataFrame) -> DataFrame:
     often = staged(often, "shared-tokens")
     bits = prefixes.sparkSession.sparkContext.broadcast(_filter(often.select(F.col("token").alias("h"))))
 
+    @gives_back
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
@@ -276,6 +301,7 @@ def _sets(docs: DataFrame, words: int, sigs: DataFrame) -> DataFrame:
     """(sig, shingles) of the classes in sigs, and of a few more; a table."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter(sigs.select(F.conv(F.hex(F.substring("sig", 1, 7)), 16, 10).cast("long").alias("h"))))
 
+    @gives_back
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
@@ -294,6 +320,7 @@ def _chosen(prefixes: DataFrame, sigs: DataFrame) -> DataFrame:
     """(sig, prefix) of the classes in sigs, and of a few more; nothing else leaves the scan. A table."""
     bits = prefixes.sparkSession.sparkContext.broadcast(_filter(sigs.select(F.conv(F.hex(F.substring("sig", 1, 7)), 16, 10).cast("long").alias("h"))))
 
+    @gives_back
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = np.array([_sig_hash(x) for x in batch.column(0).to_pylist()], dtype=np.uint64)
@@ -310,6 +337,7 @@ def _likely(pairs: DataFrame, prefixes: DataFrame, order: Broadcast) -> DataFram
     sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     some = _chosen(prefixes, sigs)
 
+    @gives_back
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value
         for batch in batches:
@@ -344,6 +372,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, prefixes: DataFrame
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b, na, nb) with the exact size of the intersection, o."""
 
+    @gives_back
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             o = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(_arrays(batch, "x"), _arrays(batch, "y"), strict=True)]
