@@ -158,6 +158,20 @@ def test_operators_leave_only_the_tables_that_their_results_read(spark, rows):
     assert out.count() == again.count() == len(rows)
 
 
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(15)
+    texts = [" ".join("".join(rng.choices("abcé", k=rng.choice([1, 3, 9, 40, 700]))) for _ in range(rng.randrange(1, 30))) + rng.choice(["", " ", "\n\n"]) for _ in range(60)] + ["x" * 300, " " * 100, ""]
+    whole = [ngram_join.Shingler()(t) for t in texts]
+    for size in (1, 7, 16, 100):
+        monkeypatch.setattr(ngram_join, "BYTES", size)
+        s = ngram_join.Shingler()
+        assert all(np.array_equal(s(t), x) for t, x in zip(texts, whole, strict=True))
+        assert all(np.array_equal(a, x) for a, x in zip(s.column(pa.array(texts)), whole, strict=True))
+
+
 def test_keep_one_keeps_columns_and_groups(spark, rows):
     got = ngram_join.keep_one(make(spark, rows))
     assert got.columns == make(spark, rows).columns
