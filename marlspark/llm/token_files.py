@@ -9,11 +9,12 @@ key's bit is its slot. A slot stores a 32-bit fingerprint of its key, the shard,
 there, its length and how many documents share the key. So a lookup costs a hash, on average fewer than two bits, one
 slot and one read of a shard, whatever the size of the corpus; a key that isn't there passes with a chance of 2^-32.
 
-Texts are encoded by the tokenizers library, piece by piece: its pieces never cross white space, so each distinct one
-is encoded once and kept (at most CACHE of them a worker); texts with a special token's string go to the library whole.
+Texts are encoded by the tokenizers library. It cuts a text into pieces that it encodes apart, so texts in Latin letters are
+cut by the vocabulary's own pattern, and each distinct piece is encoded once and kept, at most CACHE of them a worker; what
+has other letters, combining marks or a special token's string goes to the library as it is.
 
-Encoded documents are range-partitioned by id and row, written by their tasks under names of their own, and count once the
-manifest, a written table, names them: files of tasks that were lost or ran twice are never read. The driver holds one
+Documents are range-partitioned by id and row, encoded and written by their tasks under names of their own, and count once
+the manifest, a written table, names them: files of tasks that were lost or ran twice are never read. The driver holds one
 row per shard and per part of the index.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from bisect import bisect_right
@@ -42,18 +44,24 @@ VOCABULARY, END_ID = "word_bpe_49k.json", 2
 SHARD, SHARD_DOCS = 64 << 20, 1 << 18
 #: Keys of a part of the index, about, and parts at least.
 PART_KEYS, PARTS = 1 << 16, 16
-#: Encoded pieces that a worker keeps, and bytes of text that are cut into pieces at once.
-CACHE, BYTES = 1 << 18, 1 << 20
+#: Encoded pieces that a worker keeps, and characters of text that are cut into pieces at once.
+CACHE, BYTES = 1 << 19, 1 << 20
 MAGIC, INDEX_MAGIC = b"IDSHARD1", b"IDINDEX1"
 #: The bits of a level per key that is left, and levels at most; keys beyond them are listed.
 GAMMA, LEVELS = 2, 40
 SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("place", "<u4"), ("length", "<u4"), ("offset", "<u8"), ("copies", "<u8")])
-#: What one word without a letter beyond ASCII is cut into: the vocabulary's own pattern, for either case.
-PIECES = re.compile(rb"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+")
+#: Below LATIN there are no combining marks, and a letter in lower case is one letter below LATIN too, but for OTHER.
+LATIN, OTHER = 0x180, "\u0130"
+_KINDS = {k: "".join(re.escape(chr(c)) for c in range(128, LATIN) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+_SPACE = "\\t-\\r \\x85\\xa0"
+#: The vocabulary's own pattern, for lower-case text below LATIN.
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_KINDS['L']}]+|[0-9{_KINDS['N']}]|[^{_SPACE}a-z0-9{_KINDS['L']}{_KINDS['N']}]+")
+BEYOND = re.compile(f"[{OTHER}{chr(LATIN)}-\U0010ffff]")
+GAP = re.compile("[\\t-\\r ]")
 
 
 class Encoder:
-    """UTF-8 text -> the bytes of its ids, little-endian unsigned 32-bit, as the library's encode gives them."""
+    """Text -> the bytes of its ids, little-endian unsigned 32-bit, as the library's encode gives them."""
 
     def __init__(self, vocabulary: str = VOCABULARY, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,70 +69,87 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
         self.cache = cache
+        suffix = self.library.model.end_of_word_suffix  # of the last token of each piece
+        self.ending = np.zeros(max(self.library.get_vocab().values()) + 1, dtype=bool)
+        self.ending[[k for t, k in self.library.get_vocab().items() if t.endswith(suffix)]] = True
 
-    def _pieces(self, text: bytes) -> list[bytes]:
-        if text.isascii():
-            return PIECES.findall(text)
-        out: list[bytes] = []
-        for word in text.split():  # white space is what separates words, in ASCII
-            if word.isascii():
-                out += PIECES.findall(word)
-            else:
-                out.append(word)
-        return out
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _parts(self, text: bytes) -> Iterator[bytes]:
-        """About BYTES at a time, cut at white space."""
+    def _parts(self, text: str) -> Iterator[str]:
+        """About BYTES characters at a time, cut at white space."""
         at = 0
         while len(text) - at > BYTES:
-            gap = re.compile(rb"\s").search(text, at + BYTES)
+            gap = GAP.search(text, at + BYTES)
             if gap is None:
                 break
             yield text[at : gap.start()]
             at = gap.end()
         yield text[at:]
 
-    def __call__(self, text: bytes) -> bytes:
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes distinct pieces as words of one text; the vocabulary marks the last token of each."""
+        for k in range(0, len(pieces), 4096):
+            some = pieces[k : k + 4096]
+            got = self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
+            ids = np.array(got.ids, dtype="<u4")
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the library cuts these pieces otherwise")
+            raw, at = ids.tobytes(), 0
+            for piece, end in zip(some, (4 * ends).tolist(), strict=True):
+                self.known[piece] = raw[at:end]
+                at = end
+
+    def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return self._whole(text)
         out = []
         for part in self._parts(text):
-            pieces = self._pieces(part)
-            new = set(pieces).difference(self.known)
+            if BEYOND.search(part):
+                # a word stands for itself between white space: only those with other letters go to the library
+                out += [self._whole(w) if BEYOND.search(w) else self._pieces(w) for w in GAP.split(part)]
+            else:
+                out.append(self._pieces(part))
+        return b"".join(out)
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Short texts together, so that their new pieces are encoded in one go."""
+        plain = [len(t) <= BYTES and not BEYOND.search(t) and not any(s in t for s in self.special) for t in texts]
+        cut = [PIECES.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
+        self._know(set().union(*cut))
+        of = self.known.__getitem__
+        joined = [b"".join(map(of, pieces)) for pieces in cut]
+        return [done if p else self(t) for t, p, done in zip(texts, plain, joined, strict=True)]
+
+    def _know(self, pieces: set[str]) -> None:
+        if new := pieces.difference(self.known):
             if len(self.known) + len(new) > self.cache:
                 self.known.clear()
-                new = set(pieces)
-            named = list(new)
-            for k in range(0, len(named), 4096):
-                some = named[k : k + 4096]
-                for piece, e in zip(some, self.library.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
-                    self.known[piece] = np.array(e.ids, dtype="<u4").tobytes()
-            out.append(b"".join(map(self.known.__getitem__, pieces)))
-        return b"".join(out)
+                new = pieces
+            self._learn(list(new))
+
+    def _pieces(self, text: str) -> bytes:
+        pieces = PIECES.findall(text.lower())
+        self._know(set(pieces))
+        return b"".join(map(self.known.__getitem__, pieces))
 
     @property
     def width(self) -> int:
         return 2 if self.library.get_vocab_size() <= 1 << 16 else 4
 
 
-def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """docs(id, text, row) -> (id, row, ids): the ids of the whole text and the end id, in the vocabulary's width."""
+#: Of this Python worker, whose later tasks find the pieces known.
+_encoders: dict[str, Encoder] = {}
 
-    @gives_back
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
-        end, kind = np.array([end_id], dtype="<u4").tobytes(), f"<u{encoder.width}"
-        for batch in batches:
-            for k in range(0, batch.num_rows, 100):
-                part = batch.slice(k, 100)
-                ids = [np.frombuffer(encoder(t or b"") + end, dtype="<u4").astype(kind).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ids, pa.binary())], names=["id", "row", "ids"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text", "row").mapInArrow(encode, f"id {kind}, row long, ids binary")
+def encoder_of(vocabulary: str) -> Encoder:
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary)
+    return _encoders[vocabulary]
 
 
 def key_of(id_: Column) -> Column:
@@ -243,8 +268,8 @@ class Files(NamedTuple):
     width: int
 
 
-def _write_shards(rows: DataFrame, to: str, width: int, shard: int, shard_docs: int) -> DataFrame:
-    """rows(id, row, key, ids) in order, by partition -> a table of entries (key, part, file, place, offset, length, copies),
+def _write_shards(rows: DataFrame, to: str, vocabulary: str, end_id: int, width: int, shard: int, shard_docs: int) -> DataFrame:
+    """rows(key, text) in order, by partition -> a table of entries (key, part, file, place, offset, length, copies),
     one per key and shard, and one per shard with path, docs and ids instead of a key."""
     kind = pa.schema([("key", pa.string()), ("part", pa.int64()), ("file", pa.int64()), ("place", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("copies", pa.int64()), ("path", pa.string())])
 
@@ -265,27 +290,29 @@ def _write_shards(rows: DataFrame, to: str, width: int, shard: int, shard_docs:
             rows_ = [*entries, [None, part, file, None, ends[-1], None, len(ends), path]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows_, strict=True), kind, strict=True)], schema=kind)
 
-        for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if out is not None and (ends[-1] * width >= shard or len(ends) >= shard_docs):
-                    yield done()
-                    out = None
-                if out is None:
-                    file, ends, entries = file + 1, [], []
-                    path = f"{root}/shard-{part:06d}-{file:05d}-{uuid.uuid4().hex}.ids"
-                    out = store.open_output_stream(path, compression=None)
-                    out.write(MAGIC + width.to_bytes(8, "little"))
-                out.write(ids)
-                n = len(ids) // width
-                if entries and entries[-1][0] == key:
-                    entries[-1][6] += 1
-                else:
-                    entries.append([key, part, file, len(ends), ends[-1] if ends else 0, n, 1, None])
-                ends.append((ends[-1] if ends else 0) + n)
+        encoder, end = encoder_of(vocabulary), np.array([end_id], dtype=f"<u{width}").tobytes()
+        parts = (batch.slice(n, 100) for batch in batches for n in range(0, batch.num_rows, 100))
+        for key, found in ((k, f) for part in parts for k, f in zip(part.column(0).to_pylist(), encoder.many([t or "" for t in part.column(1).to_pylist()]), strict=True)):
+            ids = np.frombuffer(found, dtype="<u4").astype(f"<u{width}").tobytes() + end
+            if out is not None and (ends[-1] * width >= shard or len(ends) >= shard_docs):
+                yield done()
+                out = None
+            if out is None:
+                file, ends, entries = file + 1, [], []
+                path = f"{root}/shard-{part:06d}-{file:05d}-{uuid.uuid4().hex}.ids"
+                out = store.open_output_stream(path, compression=None)
+                out.write(MAGIC + width.to_bytes(8, "little"))
+            out.write(ids)
+            n = len(ids) // width
+            if entries and entries[-1][0] == key:
+                entries[-1][6] += 1
+            else:
+                entries.append([key, part, file, len(ends), ends[-1] if ends else 0, n, 1, None])
+            ends.append((ends[-1] if ends else 0) + n)
         if out is not None:
             yield done()
 
-    return staged(rows.select("key", "ids").mapInArrow(write, "key string, part long, file long, place long, offset long, length long, copies long, path string"), "token-entries")
+    return staged(rows.select("key", "text").mapInArrow(write, "key string, part long, file long, place long, offset long, length long, copies long, path string"), "token-entries")
 
 
 def _write_index(entries: DataFrame, shards: DataFrame, parts: int, to: str) -> DataFrame:
@@ -321,8 +348,8 @@ def write_files(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
     """Writes docs under the folder `to`: all rows, ascending by id, null ids first, rows of one id in the order of docs."""
     spark, width = docs.sparkSession, Encoder(vocabulary).width
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row"))
-    ready = staged(encoded(rows, vocabulary, end_id), "token-ids").withColumn("key", key_of(F.col("id")))
-    entries = _write_shards(ready.repartitionByRange("id", "row").sortWithinPartitions("id", "row"), to, width, shard, shard_docs)
+    ready = rows.withColumn("key", key_of(F.col("id"))).repartitionByRange("id", "row").sortWithinPartitions("id", "row")
+    entries = _write_shards(ready, to, vocabulary, end_id, width, shard, shard_docs)
     made = entries.filter("path is not null").select("part", "file", "path", F.col("copies").alias("docs"), F.col("offset").alias("ids")).collect()  # a row per shard
     made.sort(key=lambda r: (r["part"], r["file"]))
     docs_before, ids_before = ([0, *accumulate(r[c] for r in made)] for c in ("docs", "ids"))
