@@ -33,7 +33,7 @@ def s4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s6_frontmatter", "SELECT p_partkey, p_name AS name, p_size::VARCHAR AS size, CASE WHEN p_partkey % 2 = 0 THEN p_type || chr(10) ELSE p_type END AS body FROM part")
 def s6(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.expr("""concat('---\\nname: ', p_name, '\\n# note: no\\nsize: "', p_size, '"\\nno field\\n--- \\n', p_type, if(p_partkey % 2 = 0, '\\n', ''))""")
+    text = F.expr("""concat('---\\nname: ', p_name, '\\n# note: no\\nsize: "', p_size, '"\\n--- \\n', p_type, if(p_partkey % 2 = 0, '\\n', ''))""")
     got = S.frontmatter(table(spark, sf, "part").select("p_partkey", text.alias("t")), "t")
     return got.select("p_partkey", F.col("fields")["name"].alias("name"), F.col("fields")["size"].alias("size"), "body")
 
@@ -49,8 +49,9 @@ def k1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d13_manifest_digest", "SELECT sha256('{\"regions\":[' || string_agg('\"' || r_name || '\"', ',' ORDER BY r_name) || '],\"seed\":7}') AS sha256 FROM region")
 def d13(spark: SparkSession, sf: str) -> DataFrame:
-    names = [r["r_name"] for r in table(spark, sf, "region").orderBy("r_name").limit(1000).collect()]  # a manifest fits on the driver
-    return spark.createDataFrame([(S.canonical_digest({"seed": 7, "regions": names}),)], "sha256 string")
+    """The digest of the sorted compact JSON of one manifest, which is one row."""
+    manifest = table(spark, sf, "region").agg(F.array_sort(F.collect_list("r_name")).alias("regions")).withColumn("seed", F.lit(7))
+    return S.sealed(manifest, ["regions", "seed"]).select("sha256")
 
 
 @query("x28_next_run", "SELECT event_id, strftime(time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M') AS quarter, strftime(date_trunc('day', ts) + CASE WHEN ts < date_trunc('day', ts) + INTERVAL 390 MINUTE THEN INTERVAL 390 MINUTE ELSE INTERVAL 1830 MINUTE END, '%Y-%m-%d %H:%M') AS daily FROM events")

@@ -7,17 +7,18 @@ import json
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.records import expired
 from ..operators.scan import glob_pattern
+from . import versioned
+from .tree import IGNORED, MAX_FILE_BYTES, source_tree
 
-# Folders that a source tree scan leaves out, and its size limit.
-IGNORED = (".git", ".hg", ".svn", ".venv", "venv", "node_modules", "__pycache__", "dist", "build", ".mypy_cache")
-MAX_FILE_BYTES = 200_000
 PREDICTION = ("instance_id", "model_name_or_path", "model_patch")
 
 
@@ -32,37 +33,80 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def source_files(spark: SparkSession, root: str, allowed: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """(path, text) of the UTF-8 files under root, paths relative to it. Size and name filters act before a file is
-    read; files with NUL or invalid UTF-8 are left out."""
+    """(path, text) of the UTF-8 files under root, paths relative to it. A local root is walked without its ignored folders;
+    in other stores name and size filters act on Spark's listing, before a file is read. Files with NUL or invalid UTF-8 are left out."""
     base = root.rstrip("/")
+    patterns = [glob_pattern(g) for g in allowed or []]
+    if re.match("file:|/", base) or ":" not in base:
+        return source_tree(spark, re.sub("^file:(//)?", "", base), patterns, max_bytes)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).filter(F.col("length") <= max_bytes)
     relative = F.regexp_replace("path", "^.*?" + re.escape(base.split(":", 1)[-1].lstrip("/")) + "/", "")
     files = files.withColumn("path", relative).filter(~F.col("path").rlike("(^|/)(" + "|".join(map(re.escape, IGNORED)) + ")/"))
     if allowed:
-        files = files.filter(F.col("path").rlike("|".join(glob_pattern(g) for g in allowed)))
+        files = files.filter(F.col("path").rlike("|".join(patterns)))
     return files.filter(F.is_valid_utf8(F.col("content").cast("string")) & ~F.col("content").cast("string").contains("\0")).select("path", F.col("content").cast("string").alias("text"))
 
 
 def json_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """JSON lines, or a file that is one JSON array; any other JSON value raises."""
-    first = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).distinct().collect()
-    kinds = {r["c"] for r in first} - {""}
-    if not kinds <= {"{", "["}:
+    """JSON lines, or files that are one JSON array; any other JSON value raises. A folder may hold both kinds: each file is
+    read as what its first character says, which is found line by line. The driver holds the files' paths."""
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("at"), F.substring(F.regexp_replace("value", "^\\s+", ""), 1, 1).alias("c"))
+    first = lines.filter("c <> ''").groupBy("file").agg(F.min_by("c", "at").alias("c")).collect()
+    kinds = {c: [unquote(r["file"]) for r in first if r["c"] == c] for c in ("{", "[")}
+    if len(first) > sum(map(len, kinds.values())):
         raise TypeError(f"{path}: neither JSON lines nor an array of objects")
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.option("multiLine", "[" in kinds).json(path)
+    parts = [reader.option("multiLine", c == "[").json(files) for c, files in kinds.items() if files]
+    if not parts:
+        return reader.json(path)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(ordinal, value) of the lines that aren't blank, from 0 in the order of the files' names and within each file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).filter(F.trim("value") != "")
+    lines = lines.withColumn("at", F.monotonically_increasing_id())
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).collect()  # a row per file and block
+    base, starts = 0, []
+    for r in sorted(blocks, key=lambda r: (r["file"], r["block"])):
+        starts.append((r["file"], r["block"], base - r["first"]))
+        base += r["n"]
+    return lines.join(spark.createDataFrame(starts, "file string, block long, base long"), ["file", "block"]).select((F.col("base") + F.col("at")).alias("ordinal"), "value")
+
+
+def appended_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(ordinal, value) of a log that `append_events` writes: from 0 in the order of the appends, and of an append's rows."""
+    last = versioned.newest(spark, path)
+    starts, base = [], 0
+    for part, offsets in zip(last["parts"], last["lines"], strict=True):  # a row per append and partition of it
+        for number, n in offsets:
+            starts.append((part, number, base))
+            base += n
+    rows = spark.read.schema("value string, at long").parquet(*[f"{path}/{p}" for p in last["parts"]])
+    rows = rows.select("value", "at", F.regexp_extract(F.col("_metadata.file_path"), "(data-[0-9a-f]{32})/", 1).alias("part"), F.shiftright("at", 33).alias("number"))
+    starts = spark.createDataFrame(starts, "part string, number long, base long")
+    return rows.join(starts, ["part", "number"]).select((F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("ordinal"), "value")
 
 
 def event_log(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, run_id, kind, data) of an event log in JSON lines. Rows of an older form, without schema_version or
-    run_id, become kind "legacy" with the whole row as data; bad JSON raises."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("ordinal", F.monotonically_increasing_id())
-    row = lines.withColumn("v", F.parse_json("value"))
+    """(ordinal, run_id, kind, data) of an event log: JSON lines in plain files, or what `append_events` has written. Rows of
+    an older form, without schema_version or run_id, become kind "legacy" with the whole row as data; bad JSON raises."""
+    ordered = bool(versioned.commits(spark, path))
+    row = (appended_lines if ordered else numbered_lines)(spark, path).withColumn("v", F.parse_json("value"))
     field = lambda name, kind="string": F.try_variant_get("v", f"$.{name}", kind)
     legacy = field("schema_version", "int").isNull() | field("run_id").isNull()
     return row.select("ordinal", field("run_id").alias("run_id"), F.when(legacy, "legacy").otherwise(field("kind")).alias("kind"), F.when(legacy, F.col("v")).otherwise(F.try_variant_get("v", "$.data", "variant")).alias("data"))
 
 
+def append_events(events: DataFrame, path: str) -> None:
+    """Appends all rows in their order, or none. The rows of an append follow those of the one that was committed before,
+    whatever the names and sizes of files; of two writers at once both succeed, one after the other."""
+    spark = events.sparkSession
+    rows = events.select(F.to_json(F.struct(*events.columns)).alias("value"), F.monotonically_increasing_id().alias("at"))
+    versioned.commit_lines(spark, path, rows)
+
+
 def history(spark: SparkSession, path: str, schema: str, last: int, where: str | None = None) -> DataFrame:
     """The last rows of a JSON-lines file in file order; corrupt lines are skipped."""
     place = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
@@ -72,20 +116,42 @@ def history(spark: SparkSession, path: str, schema: str, last: int, where: str |
     return rows.orderBy(*map(F.desc, order)).limit(last).orderBy(*order).drop(*order)
 
 
+def _text_of(value: object) -> str | None:
+    """A YAML value as text: scalars as YAML writes them, dates in ISO form, lists and maps as JSON."""
+    if value is None or isinstance(value, str):
+        return value
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, (list, dict)):
+        return json.dumps(value, ensure_ascii=False, default=lambda x: _text_of(x))
+    return value.isoformat() if hasattr(value, "isoformat") else str(value)
+
+
+def yaml_fields(text: str) -> dict[str, str | None]:
+    """The top-level fields of YAML, values as text; empty for what isn't a map or doesn't parse. Without a YAML library
+    only lines of `key: value` count."""
+    try:
+        import yaml
+    except ImportError:
+        pairs = (line.partition(":") for line in text.split("\n") if not line.startswith((" ", "\t", "#", "-")))
+        return {k.strip(): v.strip().strip("\"'") for k, sep, v in pairs if sep and k.strip()}
+    try:
+        loaded = yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+    except (yaml.YAMLError, ValueError):
+        return {}
+    return {str(k): _text_of(v) for k, v in loaded.items()} if isinstance(loaded, dict) else {}
+
+
 def split_frontmatter(text: str) -> tuple[dict, str]:
-    """(fields, body) of a Markdown text; without a closed fence all is body, and fields that aren't key: value go."""
-    lines = text.split("\n")
+    """(fields, body) of a Markdown text that may begin with YAML between two lines of ---; if the second one is missing, there are no
+    fields and all behind the first one is body."""
+    lines = text.splitlines(keepends=True)
     if not lines or lines[0].strip() != "---":
         return {}, text
-    for end in range(1, len(lines)):
-        if lines[end].strip() == "---":
-            fields = {}
-            for line in lines[1:end]:
-                key, sep, value = line.partition(":")
-                if sep and key.strip() and not key.startswith((" ", "\t", "#")):
-                    fields[key.strip()] = value.strip().strip("\"'")
-            return fields, "\n".join(lines[end + 1 :])
-    return {}, text
+    end = next((k for k, line in enumerate(lines) if k and line.strip() == "---"), None)
+    if end is None:
+        return {}, "".join(lines[1:])
+    return yaml_fields("".join(lines[1:end])), "".join(lines[end + 1 :])
 
 
 def frontmatter(rows: DataFrame, text_col: str) -> DataFrame:
@@ -100,39 +166,33 @@ def frontmatter(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.withColumn("_s", split(F.col(text_col))).select("*", "_s.fields", "_s.body").drop("_s")
 
 
-def memory_files(spark: SparkSession, root: str, index: str = "MEMORY.md", most: int = 50) -> DataFrame:
-    """Markdown files but the index, newest first, with their frontmatter; disabled ones are left out."""
+def memory_files(spark: SparkSession, root: str, index: str = "MEMORY.md", most: int | None = 50, now: Column | None = None, with_disabled: bool = False, with_expired: bool = False) -> DataFrame:
+    """Markdown files but the index, newest first, with their frontmatter: without disabled ones, and without those whose
+    ttl_days have passed since updated_at, or else created_at. `most` counts what is left of them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(root).filter(~F.col("path").endswith(f"/{index}"))
-    newest = files.orderBy(F.desc("modificationTime"), "path").limit(most).select("path", "modificationTime", F.col("content").cast("string").alias("text"))
-    return frontmatter(newest, "text").filter(F.coalesce(F.lower(F.col("fields")["disabled"]), F.lit("false")) != "true").drop("text")
+    rows = frontmatter(files.select("path", "modificationTime", F.col("content").cast("string").alias("text")), "text").drop("text")
+    field = lambda name: F.col("fields")[name]
+    if not with_disabled:
+        rows = rows.filter(~F.coalesce(F.lower(F.trim(field("disabled"))).isin("true", "1", "yes", "on"), F.lit(False)))
+    if not with_expired:
+        at = lambda name: F.try_to_timestamp(field(name))
+        rows = rows.filter(~expired(field("ttl_days").try_cast("int"), at("created_at"), at("updated_at"), F.current_timestamp() if now is None else now))
+    newest = rows.orderBy(F.desc("modificationTime"), "path")
+    return newest if most is None else newest.limit(most)
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    events.write.mode("append").json(path)
+def write_version(df: DataFrame, root: str) -> int:
+    """Makes df the next version; readers see all of it or none, and earlier versions stay."""
+    return versioned.commit(df.sparkSession, root, lambda _: df)
 
 
-def write_version(df: DataFrame, root: str) -> str:
-    """Writes a new version folder and then names it in a pointer file, by a rename: readers see all of it or none."""
-    spark = df.sparkSession
-    version = uuid.uuid4().hex
-    df.write.parquet(f"{root}/{version}")
-    path, jvm = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm
-    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    spare, final = path(f"{root}/CURRENT.{version}"), path(f"{root}/CURRENT")
-    out = fs.create(spare, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    options = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
-    array = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    array[0] = options
-    context.rename(spare, final, array)
-    return version
+def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    return versioned.read(spark, root, version)
 
 
-def read_version(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.text(f"{root}/CURRENT").first()["value"]
-    return spark.read.parquet(f"{root}/{version}")
+def upsert_version(df: DataFrame, root: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+    """The next version: merge(rows of the newest one, df), worked out anew if another writer was first."""
+    return versioned.commit(df.sparkSession, root, lambda old: df if old is None else merge(old, df))
 
 
 def write_predictions(rows: DataFrame, path: str) -> None:

@@ -42,7 +42,7 @@ def test_frontmatter(spark, tmp_path):
     (tmp_path / "MEMORY.md").write_text("index")
     got = S.memory_files(spark, str(tmp_path)).collect()
     assert [(r["fields"]["name"], r["body"]) for r in got] == [("x", "body\n")]
-    assert S.split_frontmatter("---\nopen") == ({}, "---\nopen")
+    assert S.split_frontmatter("---\nopen") == ({}, "open")
 
 
 def test_versions_and_digest(spark, tmp_path):
