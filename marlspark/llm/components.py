@@ -18,11 +18,12 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 @tidy
-def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected(edges: DataFrame, rounds: int = 500) -> DataFrame:
     """edges(a, b) -> (node, label) for every node of an edge; label is the least node of its component.
 
     Every step is one aggregation and one join with salted keys, and its result a written table, so neither a node
-    with very many neighbours nor a long chain gathers in a task or in the lineage.
+    with very many neighbours nor a long chain gathers in a task or in the lineage. Rounds, about the logarithm of the
+    longest chain, go on until one changes nothing; if `rounds` of them don't suffice it raises.
     """
     now = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = _mark(now)
@@ -37,5 +38,7 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
         mark = _mark(now)
         if mark == before:
             break
+    else:
+        raise RuntimeError(f"the components aren't settled after {rounds} rounds")
     own = now.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(own)

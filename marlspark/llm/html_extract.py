@@ -153,6 +153,14 @@ class Page:
             out[e] = out[self.parent[e]] * (NAMED_SHARE if self.named[e] and not wraps else 1.0)
         return np.array(out)
 
+    @staticmethod
+    def _behind_comment(s: str, at: int) -> int:
+        """Where a comment ends whose text begins at `at`: browsers take <!--> and <!---> as empty and --!> as an end too."""
+        if empty := re.compile("-?>").match(s, at):
+            return empty.end()
+        end = re.compile("--!?>").search(s, at)
+        return end.end() if end else len(s)
+
     def _read(self, s: str) -> None:
         at, n = 0, len(s)
         while at < n:
@@ -165,8 +173,7 @@ class Page:
             after = s[lt + 1 : lt + 2]
             if after == "!" or after == "?":
                 if s.startswith("<!--", lt):
-                    end = s.find("-->", lt + 4)
-                    at = n if end < 0 else end + 3
+                    at = self._behind_comment(s, lt + 4)
                 else:
                     end = s.find(">", lt)
                     at = n if end < 0 else end + 1

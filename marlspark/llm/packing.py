@@ -9,6 +9,7 @@ at most MAX_TOKENS * 63 * 2 rows, which is broadcast. Pieces get their ranks fro
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,12 +22,14 @@ from .common import ranked, small_batches, staged, table, tidy
 
 MAX_TOKENS, END_ID = 2048, 1
 VOCABULARY = "byte_bpe_50k"
+LONG_GAP = re.compile(r"(?<!\s)\s{10000}")
 PIECES = "doc_id string, row long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def tokenizer(vocabulary: str = VOCABULARY):
     """text -> ids of the vocabulary's tokenizers file. Its tiktoken file has the same ranks and is several times
-    faster; texts with a special token's string go to tokenizers, which alone knows that."""
+    faster; texts with a special token's string go to tokenizers, which alone knows that, and so do those with white space
+    of LONG_GAP characters in a row, for which tiktoken's pattern needs a stack as deep as they are many."""
     import base64
 
     import public_tokenizers as files
@@ -40,7 +43,7 @@ def tokenizer(vocabulary: str = VOCABULARY):
     fast = tiktoken.Encoding(vocabulary, pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(text: str) -> list[int]:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or LONG_GAP.search(text):
             return slow.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 

@@ -488,3 +488,36 @@ def test_mix_deviates_by_less_than_a_block_with_many_sources():
         have[by_slot[t]] += 1
         if t % 97 == 0:
             assert all(abs(have[s] - (t + 1) * weights[s] / cycle) < 1 for s in counts)
+
+
+@pytest.mark.parametrize("unit", [" ", "\t", "\n", "a", "7", "́", " \n", "!"])
+def test_packing_takes_long_runs(unit):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "start " + unit * (1_000_000 // len(unit)) + " end"
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert packing.tokenizer()(text) == want
+
+
+def test_long_runs_go_through_the_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    words = lambda n: " ".join("w%d" % rng.randrange(5000) for _ in range(n))
+    rows = [(1, words(80) + " " * 1_000_000 + words(80), "a"), (2, words(120) + "\n" * 1_000_000 + "end", "b"), (3, words(300), "a")]
+    docs = make(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    kept = {r["doc_id"]: r["n"] for r in got.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    ids = packing.tokenizer()
+    assert kept == {i: len(ids(t)) + 1 for i, t, _ in rows if i in kept} and len(kept) >= 2
+
+
+def test_components_say_when_they_arent_settled(spark):
+    from marlspark.llm.components import connected
+
+    chain = spark.range(400).selectExpr("id a", "id + 1 b")
+    with pytest.raises(RuntimeError, match="settled"):
+        connected(chain, rounds=2)
+    assert {r["label"] for r in connected(chain).collect()} == {0}

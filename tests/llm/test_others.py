@@ -417,3 +417,12 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
         sizes.append(docs.select("doc_id").distinct().count())
     assert sizes == [42, 41, 40, 40, 40] or sizes == [43, 41, 40, 40, 40]
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 40
+
+
+def test_comments_end_as_in_a_browser():
+    from marlspark.llm.html_extract import main_text
+
+    article = "<html><body><article><h1>Title</h1><p>First long paragraph, with words and marks.</p>{}<p>Second long paragraph, with words and marks.</p></article></body></html>"
+    for comment in ("<!-->", "<!--->", "<!-- a --!>", "<!-- a > b -->", "<!---->", "<!--a--b-->"):
+        assert main_text(article.format(comment)).split("\n") == ["Title", "First long paragraph, with words and marks.", "Second long paragraph, with words and marks."]
+    assert main_text(article.format("<!-- never over")).split("\n") == ["Title", "First long paragraph, with words and marks."]
