@@ -4,10 +4,12 @@ they are Python, in Arrow batches of files."""
 from __future__ import annotations
 
 import ast
-import contextlib
 import re
+from bisect import bisect_right
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
+from itertools import accumulate
 from zoneinfo import ZoneInfo
 
 import pandas as pd
@@ -19,32 +21,50 @@ DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 CHUNKS = "path string, start_line int, end_line int, symbol string, kind string, text string"
 
 
+Node = namedtuple("Node", "name kind type top line end column head doc")
+
+
 def bounded(lines: list[str], first: int, most: int) -> Iterator[tuple[int, int, str]]:
-    """(start, end, text) of runs of lines, with their line ends: a run ends before the line that would bring it over
-    `most` characters; of a longer line the first `most` are kept."""
-    run: list[str] = []
-    size = 0
-    for n, line in enumerate(lines, first):
-        if run and size + len(line) > most:
-            yield n - len(run), n - 1, "".join(run)
-            run, size = [], 0
-        run.append(line[:most])
-        size += len(run[-1])
-    if run:
-        yield first + len(lines) - len(run), first + len(lines) - 1, "".join(run)
+    """(start, end, text) of runs of lines, with their line ends, as long as `most` characters allow and of one line at
+    least; of a longer line the first `most` are kept."""
+    kept = [line[:most] for line in lines]
+    ends = [0, *accumulate(map(len, kept))]
+    at = 0
+    while at < len(kept):
+        after = max(at + 1, bisect_right(ends, ends[at] + most) - 1)
+        yield first + at, first + after - 1, "".join(kept[at:after])
+        at = after
+
+
+def outline(text: str) -> list[Node]:
+    """What a Python text defines, in its order: functions and classes at any depth, and names that are assigned to; none of a
+    text that doesn't parse. Names are qualified by the definitions around them; top: whether it stands in the module itself."""
+    try:
+        module = ast.parse(text)
+    except (SyntaxError, ValueError):
+        return []
+    found, todo = [], [(module, "", None)]
+    while todo:
+        node, owner, parent = todo.pop()
+        if isinstance(node, DEFINITIONS):
+            is_class = isinstance(node, ast.ClassDef)
+            head = f"class {node.name}" if is_class else f"def {node.name}({', '.join(a.arg for a in node.args.args)})"
+            found.append(Node(owner + node.name, "class" if is_class else "function", type(node).__name__.lower(), parent is module, node.lineno, node.end_lineno, node.col_offset + 1, head, ast.get_docstring(node) or ""))
+            owner = f"{owner}{node.name}."
+        elif isinstance(node, ast.Assign):
+            names = (t for t in node.targets if isinstance(t, ast.Name))
+            found += [Node(owner + t.id, "variable", "name", parent is module, t.lineno, t.end_lineno, t.col_offset + 1, f"{t.id} = ...", "") for t in names]
+            continue
+        todo += [(child, owner, node) for child in reversed(list(ast.iter_child_nodes(node)))]
+    return found
 
 
 def chunk_file(path: str, text: str, most: int = MAX_CHUNK_CHARS) -> Iterator[tuple]:
     """Rows of CHUNKS: top-level definitions of a Python file, without their decorators, and the lines before the first
     one's; what lies between definitions isn't indexed. All other files, and those that don't parse, as bounded text."""
     lines = text.splitlines(keepends=True)
-    defs: list = []
-    if path.endswith(".py"):
-        with contextlib.suppress(SyntaxError, ValueError):
-            defs = [n for n in ast.parse(text).body if isinstance(n, DEFINITIONS)]
-    parts = [(1, len(lines), "", "text")]
-    if defs:
-        parts = [(1, defs[0].lineno - 1, "", "module"), *((d.lineno, d.end_lineno, d.name, type(d).__name__.lower()) for d in defs)]
+    parts = [(d.line, d.end, d.name, d.type) for d in (outline(text) if path.endswith(".py") else []) if d.top and d.kind != "variable"]
+    parts = [(1, parts[0][0] - 1, "", "module"), *parts] if parts else [(1, len(lines), "", "text")]
     for first, last, symbol, kind in parts:
         for a, b, t in bounded(lines[first - 1 : last], first, most):
             yield path, a, b, symbol, kind, t
@@ -52,45 +72,12 @@ def chunk_file(path: str, text: str, most: int = MAX_CHUNK_CHARS) -> Iterator[tu
 
 def symbol_spans(text: str) -> Iterator[tuple[str, int, int]]:
     """(qualified name, start, end) of all definitions, nested ones too."""
-
-    def walk(node: ast.AST, prefix: str) -> Iterator[tuple[str, int, int]]:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, DEFINITIONS):
-                name = f"{prefix}{child.name}"
-                yield name, child.lineno, child.end_lineno
-                yield from walk(child, f"{name}.")
-            else:
-                yield from walk(child, prefix)
-
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError):
-        return
-    yield from walk(tree, "")
+    return ((n.name, n.line, n.end) for n in outline(text) if n.kind != "variable")
 
 
 def document_symbols(text: str) -> Iterator[tuple[str, str, int, int, str, str]]:
     """(qualified name, kind, line, character from 1, signature, docstring) of functions, classes and assigned names."""
-
-    def walk(node: ast.AST, prefix: str) -> Iterator[tuple]:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, DEFINITIONS):
-                kind = "class" if isinstance(child, ast.ClassDef) else "function"
-                head = f"class {child.name}" if kind == "class" else f"def {child.name}({', '.join(a.arg for a in child.args.args)})"
-                yield prefix + child.name, kind, child.lineno, child.col_offset + 1, head, ast.get_docstring(child) or ""
-                yield from walk(child, f"{prefix}{child.name}.")
-            elif isinstance(child, ast.Assign):
-                for target in child.targets:
-                    if isinstance(target, ast.Name):
-                        yield prefix + target.id, "variable", target.lineno, target.col_offset + 1, f"{target.id} = ...", ""
-            else:
-                yield from walk(child, prefix)
-
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError):
-        return
-    yield from walk(tree, "")
+    return ((n.name, n.kind, n.line, n.column, n.head, n.doc) for n in outline(text))
 
 
 def symbol_at(text: str, line: int, character: int | None = 1) -> str | None:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 # Fixed values.
 ENTRY_LINES, ENTRY_BYTES, NAME_CHARS, PRINTABLE_SHARE, PREVIEW_CHARS = 200, 25_000, 128, 0.9, 900
 ENTRY_WARNING = "\n\n> WARNING: MEMORY.md is {}. Only part of it was loaded. Keep index entries one line and move detail into topic notes.\n"
+#: What ends a line.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 MENTION = ("key", "name", "open_id", "user_id", "union_id")
 ANCHOR = re.compile(r'<a[^>]*class="[^"]*result__a[^"]*"[^>]*href="([^"]*)"[^>]*>(.*?)</a>', re.DOTALL)
 SNIPPET = re.compile(r'class="[^"]*result__snippet[^"]*"[^>]*>(.*?)</(?:a|div|span)>', re.DOTALL)
@@ -38,22 +40,6 @@ def filename(name: str, most: int = NAME_CHARS) -> str:
     return re.sub("[^A-Za-z0-9._-]+", "_", plain).strip("._-")[:most]
 
 
-def entrypoint(text: str) -> tuple[str, bool]:
-    """(content, whether it was cut): at most ENTRY_LINES lines, then at most ENTRY_BYTES bytes of UTF-8, cut at a line
-    end where there is one; a cut text ends with a warning that names the limit it broke, a whole one keeps its line end."""
-    rows = text.splitlines()
-    head = "\n".join(rows[:ENTRY_LINES])
-    too_long, too_big = len(rows) > ENTRY_LINES, len(head.encode()) > ENTRY_BYTES
-    if too_big:
-        head = head.encode()[:ENTRY_BYTES].decode(errors="ignore")
-        if (end := head.rfind("\n")) > 0:
-            head = head[:end]
-    if not (too_long or too_big):
-        return head + "\n" * (text.endswith("\n") and not head.endswith("\n")), False
-    broken = f"{len(text.encode())} bytes (limit: {ENTRY_BYTES})" if too_big else f"{len(rows)} lines (limit: {ENTRY_LINES})"
-    return head.rstrip() + ENTRY_WARNING.format(broken), True
-
-
 def mentions(payload: str, given: str = "") -> list[tuple[str, ...]]:
     """MENTION records of a message: of a JSON list beside it, of its own list "mentions", and of every element with the
     tag "at" at any depth; distinct, in that order. An id may stand in the record itself or in its object "id"."""
@@ -112,13 +98,23 @@ def safe_filename(c: Column) -> Column:
 
 
 def truncated_entrypoint(c: Column) -> Column:
-    """struct(content, truncated)."""
-
-    @F.pandas_udf("content string, truncated boolean")
-    def cut(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([entrypoint(x or "") for x in s], columns=["content", "truncated"])
-
-    return cut(c)
+    """struct(content, truncated) of an index file: at most ENTRY_LINES lines, then at most ENTRY_BYTES bytes of UTF-8 that
+    end with a line where they can. A cut one ends with a warning that names the limit it broke; a whole one keeps its line end."""
+    text = F.coalesce(c, F.lit(""))
+    ended = F.split(text, LINE_END, -1)
+    lines = F.when(F.element_at(ended, -1) == "", F.slice(ended, 1, F.size(ended) - 1)).otherwise(ended)
+    head = F.array_join(F.slice(lines, 1, ENTRY_LINES), "\n")
+    big, long = F.octet_length(head) > ENTRY_BYTES, F.size(lines) > ENTRY_LINES
+    # the first byte that is cut off must begin a character: of four in a row one does
+    raw = F.encode(head, "UTF-8")
+    begins = lambda n: ~F.hex(F.substring(raw, n + 1, 1)).between("80", "BF")
+    fits = F.coalesce(*[F.when(begins(n), F.substring(raw, 1, n)) for n in range(ENTRY_BYTES, ENTRY_BYTES - 4, -1)])
+    kept = F.when(big, F.regexp_replace(F.decode(fits, "UTF-8"), r"(?s)\A(.+)\n[^\n]*\z", "$1")).otherwise(head)
+    broken = F.when(big, F.format_string(f"%d bytes (limit: {ENTRY_BYTES})", F.octet_length(text))).otherwise(F.format_string(f"%d lines (limit: {ENTRY_LINES})", F.size(lines)))
+    before, after = ENTRY_WARNING.split("{}")
+    cut = F.concat(F.regexp_replace(kept, r"(?U)[\s\x1c-\x1f]+\z", ""), F.lit(before), broken, F.lit(after))
+    whole = F.when(text.endswith("\n") & ~head.endswith("\n"), F.concat(head, F.lit("\n"))).otherwise(head)
+    return F.struct(F.when(big | long, cut).otherwise(whole).alias("content"), (big | long).alias("truncated"))
 
 
 def mention_records(payload: Column, given: Column | None = None) -> Column:

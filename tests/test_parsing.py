@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from marlspark.functions import parsing as P
 from marlspark.operators.scan import plain_text
 
@@ -7,14 +9,19 @@ def test_search_results():
     assert P.search_results(page) == [("A title", "https://x.org/a", "some & text"), ("B", "https://y.org", "")]
 
 
-def test_entrypoint_limits():
-    assert P.entrypoint("a\nb\n") == ("a\nb\n", False) and P.entrypoint("a\nb") == ("a\nb", False) and P.entrypoint("") == ("", False)
-    text, cut = P.entrypoint("\n".join("l%d" % k for k in range(300)))
+def test_entrypoint_limits(spark):
+    cases = ["a\nb\n", "a\nb", "", None, "a\r\nb\u2028c\n\n", "\n".join("l%d" % k for k in range(300)), "x" * 10 + "\n" + "y" * 30_000 + "\n", "ä" * 20_000, "z" + "€" * 9_000, "\n" + "y" * 30_000, "a \n" * 200 + "more"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "k int, t string").repartition(1)
+    got = {r["k"]: tuple(r["e"]) for r in rows.select("k", P.truncated_entrypoint(F.col("t")).alias("e")).collect()}
+    assert [got[k] for k in range(5)] == [("a\nb\n", False), ("a\nb", False), ("", False), ("", False), ("a\nb\nc\n", False)]
+    text, cut = got[5]
     assert cut and text.startswith("l0\n") and "\nl199\n\n> WARNING: MEMORY.md is 300 lines (limit: 200). " in text and "l200" not in text and text.endswith("topic notes.\n")
-    text, cut = P.entrypoint("x" * 10 + "\n" + "y" * 30_000 + "\n")
+    text, cut = got[6]
     assert cut and text.startswith("x" * 10 + "\n\n> WARNING: MEMORY.md is 30012 bytes (limit: 25000). ")
-    text, _ = P.entrypoint("ä" * 20_000)  # no line end to cut at, and no half a character
-    assert text.startswith("ä" * 12_500 + "\n\n> WARNING")
+    assert got[7][0].startswith("ä" * 12_500 + "\n\n> WARNING")  # no line end to cut at, and no half a character
+    assert got[8][0].startswith("z" + "€" * 8_333 + "\n\n> WARNING")  # 24,999 bytes and 1 more fit
+    assert got[9][0].startswith("\n" + "y" * 24_999 + "\n\n> WARNING")
+    assert got[10][0].startswith("a \n" * 199 + "a\n\n> WARNING: MEMORY.md is 201 lines")
 
 
 def test_file_names():
