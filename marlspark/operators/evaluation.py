@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import exact_quantiles
+from .stats import exact_quantiles, same_group
 
 RUNNING = ("QUEUED", "IN_PROGRESS", "PENDING", "WAITING")
 PASSING = ("SUCCESS", "SKIPPED", "NEUTRAL")
@@ -24,7 +24,7 @@ def by_strategy(cases: DataFrame, group: str, verified: Column, duration: str, t
         n.alias("runs"), F.sum(verified.cast("int")).alias("verified"), (F.sum(verified.cast("int")) / n).alias("success_rate"),
         F.sum(tokens).alias("tokens"), F.round(F.sum(cost), 4).alias("cost"), (F.sum(compliant.cast("int")) / n).alias("scope_rate"),
     )
-    return sums.join(exact_quantiles(cases, [group], duration, {"median_duration": 0.5}), group, "left")
+    return same_group(sums, exact_quantiles(cases, [group], duration, {"median_duration": 0.5}), [group], "left")
 
 
 def outcome_sets(rows: DataFrame, arm: str, difficulty: str) -> DataFrame:

@@ -15,10 +15,14 @@ def file_ranks(ranking: DataFrame, query: str, file: str, rank: str) -> DataFram
 
 
 def judged(ranks: DataFrame, gold: DataFrame, query: str, item: str) -> DataFrame:
-    """Adds rel (1 or 0) and the query's number of gold items, n_gold; queries without gold items are left out."""
-    marked = gold.select(query, item).distinct().withColumn("rel", F.lit(1))
-    sizes = marked.groupBy(query).agg(F.count(F.lit(1)).alias("n_gold"))
-    return ranks.join(marked, [query, item], "left").fillna(0, ["rel"]).join(sizes, query)
+    """Adds rel (1 or 0) and the query's number of gold items, n_gold; queries without gold items are left out. Gold without
+    a column `query` holds for all queries."""
+    by = [c for c in (query, item) if c in gold.columns]
+    marked = gold.select(*by).distinct().withColumn("rel", F.lit(1))
+    flagged = ranks.join(marked, by, "left").fillna(0, ["rel"])
+    if query in by:
+        return flagged.join(marked.groupBy(query).agg(F.count(F.lit(1)).alias("n_gold")), query)
+    return flagged.join(F.broadcast(marked.agg(F.count(F.lit(1)).alias("n_gold")))).filter("n_gold > 0")  # one row
 
 
 def ideal(k: int):

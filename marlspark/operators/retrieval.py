@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +17,10 @@ LEXICAL_SHARE, DENSE_SHARE = 0.45, 0.55
 MARKER = "\n...[truncated]"
 #: Up to so many terms of all queries are tested where texts are cut into terms; more meet them in a join.
 FEW_TERMS = 1000
-#: Query vectors are compared in blocks of BLOCK; up to BLOCKS of them go to every task, more are dealt out in a join.
-BLOCK, BLOCKS = 256, 64
+#: Bytes of query vectors, and entries of an inverted index, that are sent to all tasks at once.
+SENT_BYTES, INDEXED = 64 << 20, 1 << 20
+#: Characters by which symbols and queries meet, and parts in which an item's best documents are merged first.
+GRAM, PARTS = 3, 64
 
 
 def term_counts(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -54,18 +61,98 @@ def tfidf(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, pat
             hit = paths.join(terms, "term").select("query_id", id_col).distinct()
         else:
             named = chunks.filter(F.col(col) != "").select(id_col, F.lower(col).alias("symbol"))
-            if queries.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
-                hit = named.join(F.broadcast(queries), F.lower(F.col("query")).contains(F.col("symbol"))).select("query_id", id_col).distinct()
-            else:  # a query holds a symbol, an identifier, where one of its words does: the words' parts join on equality
-                word = F.explode(F.regexp_extract_all(F.lower(F.col("query")), F.lit(r"(?U)\w+"), F.lit(0)))
-                parts = F.explode(F.expr("flatten(transform(sequence(1, length(w)), i -> transform(sequence(1, length(w) - i + 1), n -> substring(w, i, n))))"))
-                said = queries.select("query_id", word.alias("w")).distinct().select("query_id", parts.alias("symbol")).distinct()
-                hit = named.join(said, "symbol").select("query_id", id_col).distinct()
+            hit = contained(named, queries.select("query_id", F.lower("query").alias("query"))).select("query_id", id_col).distinct()
         out = out.unionByName(hit.withColumn("score", F.lit(points)))
     out = out.groupBy("query_id", id_col).agg(F.sum("score").alias("score"))
     return out.filter("score > 0").withColumn("score", F.round("score", DIGITS))
 
 
+def grams(text: Column, n: Column | int) -> Column:
+    """The distinct runs of n characters of a text; none of a shorter one."""
+    n = F.lit(n) if isinstance(n, int) else n
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n)))
+
+
+def contained(named: DataFrame, queries: DataFrame) -> DataFrame:
+    """named(.., symbol) x queries(query_id, query) of which the query holds the symbol, whatever their numbers. They meet by that run of
+    GRAM characters of the symbol, or by the symbol itself if it is shorter, which the fewest queries have."""
+    said = queries.select("query_id", "query", F.explode(F.concat(*[grams(F.col("query"), n) for n in range(1, GRAM + 1)])).alias("gram"))
+    often = said.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    symbols = named.select("symbol").distinct()
+    parts = symbols.select("symbol", F.explode(grams(F.col("symbol"), F.least(F.length("symbol"), F.lit(GRAM)))).alias("gram"))
+    rarest = parts.join(often, "gram", "left").groupBy("symbol").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    met = rarest.join(said, "gram").filter(F.col("query").contains(F.col("symbol")))
+    return named.join(met.select("symbol", "query_id"), "symbol")
+
+
+def most_shared(docs: DataFrame, items: DataFrame, id_col: str, item_col: str, k: int) -> DataFrame:
+    """docs(id_col, terms), items(item_col, terms), arrays without repeats -> (item_col, id_col, n, rank): of each item the k
+    documents that share most of its terms, ties by id; those that share none don't count.
+
+    Items go to all tasks as inverted indices of at most INDEXED entries, a pass over the documents each; a document's counts
+    are taken in place, and a task hands on no more than k documents of an item.
+    """
+    spark = docs.sparkSession
+    kind = {c: df.select(c).schema[0].dataType.simpleString() for df, c in ((docs, id_col), (items, item_col))}
+    sizes = items.select(F.sum(F.size("terms")).alias("n")).first()["n"] or 0
+    passes = max(1, -(-sizes // INDEXED))
+    out = None
+    for p in range(passes):
+        rows = items.filter(F.pmod(F.xxhash64(item_col), F.lit(passes)) == p).select(item_col, "terms").toArrow()
+        places: dict[str, list[int]] = {}
+        for at, terms in enumerate(rows.column(1).to_pylist()):
+            for t in terms or ():
+                places.setdefault(t, []).append(at)
+        sent = spark.sparkContext.broadcast((rows.column(0), {t: np.array(x) for t, x in places.items()}))
+
+        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            named, index = sent.value
+            heaps: list[list[tuple]] = [[] for _ in range(len(named))]  # of (n, reversed id)
+            least = np.zeros(len(named), dtype=np.int64)  # what a document must share to be among the k
+            id_type = None
+            for batch in batches:
+                id_type = batch.schema.field(0).type
+                for id_, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    hits = [index[t] for t in terms or () if t in index]
+                    if not hits:
+                        continue
+                    counts = np.bincount(np.concatenate(hits), minlength=len(named))
+                    for at in np.flatnonzero((counts > 0) & (counts >= least)):
+                        heap, entry = heaps[at], (int(counts[at]), Reversed(id_))
+                        if len(heap) < k:
+                            heapq.heappush(heap, entry)
+                        else:
+                            heapq.heappushpop(heap, entry)
+                        least[at] = heap[0][0] if len(heap) == k else 0
+            found = [(at, entry[1].value, entry[0]) for at, heap in enumerate(heaps) for entry in heap]
+            if found:
+                at, ids, n = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([named.combine_chunks().take(pa.array(at)), pa.array(ids, id_type), pa.array(n, pa.int64())], names=[item_col, id_col, "n"])
+
+        part = docs.select(id_col, "terms").mapInArrow(best, f"`{item_col}` {kind[item_col]}, `{id_col}` {kind[id_col]}, n long")
+        out = part if out is None else out.unionByName(part)
+    order = [F.desc("n"), id_col]
+    # first within a few parts of an item's rows, as there are k of each task
+    some = top_k(out.withColumn("_part", F.pmod(F.xxhash64(id_col), F.lit(PARTS))), k, order, [item_col, "_part"]).drop("_part", "rank")
+    return top_k(some, k, order, [item_col])
+
+
+class Reversed:
+    """A value that is less than those it is greater than."""
+
+    __slots__ = ("value",)
+
+    def __init__(self, value: object):
+        self.value = value
+
+    def __lt__(self, other: Reversed) -> bool:
+        return other.value < self.value
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Reversed) and self.value == other.value
+
+
 def top_k(scores: DataFrame, k: int, order: list[Column], partition: list[str] | None = None) -> DataFrame:
     """The first k rows: over all as a bounded heap per task, or per partition by row number (column rank)."""
     if not partition:
@@ -84,22 +171,37 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+def dense_scores(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """Largest cosine of each vector over the planned queries(query_vector): every vector against every query, in blocks of
-    queries; a row's maximum over a block is taken in place, so no pair is a row. Few blocks go to every task; beyond
-    BLOCKS of them the vectors are dealt to the blocks."""
-    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    n = queries.count()
-    n_blocks = max(1, -(-n // BLOCK))
-    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_vector"), F.lit(n_blocks)).cast("int"))
-    blocks = dealt.groupBy("_block").agg(F.collect_list(F.struct(F.col("query_vector").alias("v"), norm("query_vector").alias("n"))).alias("_qs"))
-    cosines = F.transform("_qs", lambda q: F.when(q["n"] * F.col("_norm") == 0, 0.0).otherwise(dot(F.col(vector_col), q["v"]) / (F.col("_norm") * q["n"])))
-    rows = vectors.select(id_col, vector_col, norm(vector_col).alias("_norm"))
-    if n_blocks <= BLOCKS:
-        all_blocks = blocks.groupBy().agg(F.flatten(F.collect_list("_qs")).alias("_qs"))  # one row, at most BLOCK * BLOCKS vectors
-        return rows.join(F.broadcast(all_blocks)).select(id_col, F.array_max(cosines).alias("dense"))
-    met = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "_block")
-    return met.select(id_col, F.array_max(cosines).alias("dense")).groupBy(id_col).agg(F.max("dense").alias("dense"))
+    queries that are sent to all tasks one after another; a row's largest so far stays with it, so that vectors are neither
+    copied nor shuffled, however many queries there are. The driver holds one block, at most about sent_bytes. A vector without
+    length has 0, as has every vector without queries."""
+    spark = vectors.sparkSession
+    n, dims = queries.agg(F.count(F.lit(1)), F.max(F.size("query_vector"))).first()
+    blocks = max(1, -(-n * (dims or 0) * 8 // sent_bytes))
+    kind = vectors.select(id_col).schema[0].dataType.simpleString()
+    rows = vectors.select(id_col, F.col(vector_col).cast("array<double>").alias("_v"), F.lit(None).cast("double").alias("dense"))
+    for b in range(blocks if n else 0):
+        part = queries.filter(F.pmod(F.xxhash64("query_vector"), F.lit(blocks)) == b).select(F.col("query_vector").cast("array<double>").alias("q")).toArrow()
+        if not part.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast(_unit(np.array(part.column(0).to_pylist(), dtype=np.float64)))
+
+        def largest(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    some = batch.slice(at, 1024)
+                    found = (_unit(np.array(some.column(1).to_pylist(), dtype=np.float64)) @ sent.value.T).max(axis=1)
+                    before = some.column(2).to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(np.fmax(before, found))], names=[id_col, "_v", "dense"])
+
+        rows = rows.mapInArrow(largest, f"`{id_col}` {kind}, _v array<double>, dense double")
+    return rows.select(id_col, F.coalesce("dense", F.lit(0.0)).alias("dense"))
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
 def fused(lexical: DataFrame, dense: DataFrame, id_col: str) -> DataFrame:

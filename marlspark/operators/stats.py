@@ -31,8 +31,16 @@ def permutation_test(pairs: DataFrame, group: str, order: str, diff: str, iterat
     return exact.unionByName(permutation_sampled(large, group, order, diff, iterations, seed).withColumn("exact", F.lit(False)))
 
 
+def same_group(left: DataFrame, right: DataFrame, group: list[str], how: str = "inner") -> DataFrame:
+    """A join on group columns in which nulls are equal; the columns of left stay."""
+    named = right.withColumnsRenamed({c: f"_r_{c}" for c in group})
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in group]
+    return left.join(named, same, how).drop(*[f"_r_{c}" for c in group])
+
+
 def exact_quantiles(rows: DataFrame, group: list[str], value: str, at: dict[str, float], accuracy: int = 10_000) -> DataFrame:
-    """Per group one column for each of at: name -> p, the exact quantile, interpolated between neighbours; nulls don't count.
+    """Per group one column for each of at: name -> p, the exact quantile, interpolated between neighbours; null values don't
+    count, a null in a group column is a group of its own.
 
     No task gets a group: a sketch gives an interval around each quantile, the rows below and above it are only counted, and
     those inside, about 4 / accuracy of the group, are counted per distinct value before their running sum is taken.
@@ -42,7 +50,7 @@ def exact_quantiles(rows: DataFrame, group: list[str], value: str, at: dict[str,
     bounds = [max(0.0, min(1.0, at[n] + side * 2 / accuracy)) for n in names for side in (-1, 1)]
     sketch = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", bounds, accuracy).alias("_q"))
     spans = sketch.select(*group, "_n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(at[n])).alias("p"), F.element_at("_q", 2 * k + 1).alias("lo"), F.element_at("_q", 2 * k + 2).alias("hi")) for k, n in enumerate(names)])).alias("_s")).select(*group, "_n", "_s.*")
-    met = rows.join(F.broadcast(spans), group) if group else rows.join(F.broadcast(spans))  # a row per group and quantile
+    met = same_group(rows, spans, group) if group else rows.join(F.broadcast(spans))  # without groups a row per quantile
     side = F.when(F.col("_v") < F.col("lo"), -1).when(F.col("_v") > F.col("hi"), 1).otherwise(0)
     sided = met.withColumn("_side", side).withColumn("_in", F.when(F.col("_side") == 0, F.col("_v")))
     counts = sided.groupBy(*group, "k", "p", "_n", "_side", "_in").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))

@@ -117,13 +117,12 @@ jr AS (SELECT fr.*, CASE WHEN g.file IS NULL THEN 0 ELSE 1 END AS rel, ng.n_gold
 
 
 def _ranking(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    terms = lambda df, key: df.select(key, F.explode(F.array_distinct(T.code_tokens(F.col("text")))).alias("term"))
-    q = terms(table(spark, sf, "benchmark"), "item_id")
+    """(the 50 best documents of each item, the files that are good for all items)."""
+    terms = lambda df, key: df.select(key, F.array_distinct(T.code_tokens(F.col("text"))).alias("terms"))
     docs = table(spark, sf, "documents")
-    shared = terms(docs, "doc_id").join(q, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    top = R.top_k(shared, 50, [F.desc("n"), "doc_id"], ["item_id"]).join(docs.select("doc_id", F.col("source").alias("file"), "n_chars"), "doc_id")
-    good = docs.join(table(spark, sf, "labels").filter("quality = 1"), "doc_id").select(F.col("source").alias("file")).distinct()
-    return top, top.select("item_id").distinct().crossJoin(good)  # all gold files hold for every item
+    best = R.most_shared(terms(docs, "doc_id"), terms(table(spark, sf, "benchmark"), "item_id"), "doc_id", "item_id", 50)
+    top = best.join(docs.select("doc_id", F.col("source").alias("file"), "n_chars"), "doc_id")
+    return top, docs.join(table(spark, sf, "labels").filter("quality = 1"), "doc_id").select(F.col("source").alias("file")).distinct()
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:

@@ -111,16 +111,51 @@ def test_missing_gold_and_reranking(spark):
     assert [r["i"] for r in Q.reranked(c, "q", "s", "i", 3).orderBy("rank").collect()] == [1, 2, 0]
 
 
-def test_dense_scores_in_blocks(spark, monkeypatch):
+def test_dense_scores_in_blocks(spark):
     rng = random.Random(5)
     vectors = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(40)] + [(99, [0.0] * 4)]
     rows = spark.createDataFrame(vectors, "id int, v array<double>")
     queries = rows.filter("id < 7").select(F.col("v").alias("query_vector"))
     want = {r["id"]: r["dense"] for r in Q.dense_scores(rows, queries, "id", "v").collect()}
-    monkeypatch.setattr(Q, "BLOCK", 2)
-    monkeypatch.setattr(Q, "BLOCKS", 1)
-    got = {r["id"]: r["dense"] for r in Q.dense_scores(rows, queries, "id", "v").collect()}
+    got = {r["id"]: r["dense"] for r in Q.dense_scores(rows, queries, "id", "v", sent_bytes=64).collect()}
     assert got == pytest.approx(want) and want[3] == pytest.approx(1) and want[99] == 0
+    assert {r["dense"] for r in Q.dense_scores(rows, queries.limit(0), "id", "v").collect()} == {0.0}
+    unit = lambda v: [x / (math.sqrt(sum(y * y for y in v)) or 1) for x in v]
+    assert want == pytest.approx({k: max(sum(a * b for a, b in zip(unit(v), unit(q), strict=True)) for _, q in vectors[:7]) for k, v in vectors})
+
+
+def test_most_shared_terms(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = [(k, rng.sample("abcdefghijklmnop", rng.randrange(0, 9))) for k in range(300)] + [(900, None)]
+    items = [(k, rng.sample("abcdefghijklmnopqrst", 6)) for k in range(11)] + [(50, []), (51, ["z"])]
+    frames = spark.createDataFrame(docs, "d int, terms array<string>").repartition(5), spark.createDataFrame(items, "i int, terms array<string>")
+    want = []
+    for i, wanted in items:
+        found = sorted((-len(set(wanted) & set(terms or [])), d) for d, terms in docs)
+        want += [(i, d, -n, r) for r, (n, d) in enumerate(found[:7], 1) if n]
+    for entries in (1 << 20, 13):
+        monkeypatch.setattr(Q, "INDEXED", entries)
+        assert sorted((r["i"], r["d"], r["n"], r["rank"]) for r in Q.most_shared(*frames, "d", "i", 7).collect()) == sorted(want)
+
+
+def test_symbols_count_alike_for_any_number_of_queries(spark):
+    chunks = spark.createDataFrame([(1, "x", "Foo.bar"), (2, "y", "oo.b"), (3, "z", "é"), (4, "w", "none"), (5, "v", "")], "id int, text string, symbol string")
+    asked = [(0, "why does foo.bar2 fail"), (1, "É?")]
+    few = spark.createDataFrame(asked, "query_id int, query string")
+    many = few.unionByName(spark.range(2, 1200).selectExpr("cast(id as int) query_id", "concat('about q', id) query"))
+    for q in (few, many):
+        got = sorted((r["query_id"], r["id"], r["score"]) for r in Q.tfidf(chunks, q, "id", "text", symbol_col="symbol").collect())
+        assert got == [(0, 1, 4.0), (0, 2, 4.0), (1, 3, 4.0)]
+
+
+def test_null_groups_are_groups(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 6.0), (None, None)], "g string, x double")
+    assert {r["g"]: r["m"] for r in S.exact_quantiles(rows, ["g"], "x", {"m": 0.5}).collect()} == {"a": 2.0, None: 5.5}
+    one = F.lit(1)
+    got = E.by_strategy(rows, "g", F.col("x") > 1, "x", one, one, F.col("x") > 2)
+    assert {r["g"]: (r["runs"], r["median_duration"]) for r in got.collect()} == {"a": (2, 2.0), None: (3, 5.5)}
+    runs = spark.createDataFrame([(None, None, True, True, True, True, 1, 4.0), (None, "d", True, True, False, True, 1, 8.0)], "arm string, difficulty string, attempted boolean, completed boolean, resolved boolean, scope_compliant boolean, total_tokens long, duration_seconds double")
+    assert sorted((r["difficulty"] or "", r["attempted"], r["median_duration"]) for r in E.outcome_sets(runs, "arm", "difficulty").collect()) == [("", 1, 4.0), ("", 2, 6.0), ("d", 1, 8.0)]
 
 
 def test_terms_and_symbols_by_join_give_the_same(spark, monkeypatch):
