@@ -43,11 +43,11 @@ def j14(spark: SparkSession, sf: str) -> DataFrame:
     return R.with_usage(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), usage)
 
 
-@query("d1_memory_upsert", "WITH o AS (SELECT c_custkey AS k, c_name AS created, c_nationkey AS importance, 'old' AS body FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS k, 'new' AS created, 5 AS importance, 'n' || c_custkey AS body FROM customer WHERE c_custkey % 2 = 0) SELECT k, coalesce(o.created, n.created) AS created, CASE WHEN o.k IS NOT NULL AND n.k IS NOT NULL THEN greatest(o.importance, 1) ELSE coalesce(n.importance, o.importance) END AS importance, coalesce(n.body, o.body) AS body FROM o FULL JOIN n USING (k)")
+@query("d1_memory_upsert", "WITH o AS (SELECT c_custkey AS k, c_name AS created, c_nationkey AS importance, 'old' AS body FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS k, 'new' AS created, 5 AS importance, 'n' || c_custkey AS body FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0) SELECT k, coalesce(o.created, n.created) AS created, CASE WHEN o.k IS NOT NULL AND n.k IS NOT NULL THEN greatest(o.importance, 1) ELSE coalesce(n.importance, o.importance) END AS importance, coalesce(n.body, o.body) AS body FROM o FULL JOIN n USING (k)")
 def d1(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
     old = c.filter("c_custkey % 3 <> 0").selectExpr("c_custkey k", "c_name created", "c_nationkey importance", "'old' body")
-    new = c.filter("c_custkey % 2 = 0").selectExpr("c_custkey k", "'new' created", "5 importance", "concat('n', c_custkey) body")
+    new = c.filter("c_custkey % 2 = 0 or c_custkey % 3 = 0").selectExpr("c_custkey k", "'new' created", "5 importance", "concat('n', c_custkey) body")
     return R.upserted(old, new, "k", ["created"], ("importance", 1))
 
 
