@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import encoding
 from ..sources import files as S
 from ..sources import versioned
+from ..streaming import messages as M
 from ..streaming import scheduler
 from .registry import query, table
 
@@ -148,3 +149,72 @@ def d13g(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "region").join(table(spark, sf, "nation"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     manifests = rows.groupBy("r_regionkey", F.col("r_name").alias("region")).agg(F.array_sort(F.collect_list("n_name")).alias("nations"))
     return S.sealed(manifests, ["nations", "region"]).select("r_regionkey", "sha256")
+
+
+@query("s3_dataset_shard", "SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 10")
+def s3(spark: SparkSession, sf: str) -> DataFrame:
+    """The test split at one of two revisions of a data set."""
+    root, p = S.scratch(spark, "dataset"), table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
+    for revision, rows in (("a1", p.filter("p_size <= 10")), ("b2", p.filter("p_size > 10"))):
+        rows.write.parquet(f"{root}/{revision}/data/test-00000-of-00001.parquet")
+    return S.dataset_shard(spark, root, "test", "b2")
+
+
+DEFINED = "CASE WHEN s_suppkey % 3 = 0 THEN 'agent-' || s_suppkey ELSE s_name END AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'Does ' || s_suppkey || ': all' ELSE '' END AS description, 'Body of ' || s_suppkey || chr(10) AS body"
+
+
+@query("s18_definitions", f"SELECT {DEFINED} FROM supplier")
+def s18(spark: SparkSession, sf: str) -> DataFrame:
+    """A file per supplier, some with a name of their own in their frontmatter, some with a description."""
+    k = F.col("s_suppkey")
+    number = k.cast("string")
+    name = F.when(k % 3 == 0, F.concat(F.lit("name: agent-"), number, F.lit("\n"))).otherwise("")
+    told = F.when(k % 2 == 0, F.concat(F.lit('description: "Does '), number, F.lit(': all"\n'))).otherwise("")
+    text = F.concat(F.lit("---\nk: v\n"), name, told, F.lit("---\nBody of "), number, F.lit("\n"))
+    root = S.scratch(spark, "agents")
+    S.write_texts(table(spark, sf, "supplier").select(F.concat("s_name", F.lit(".md")).alias("name"), text.alias("text")), root)
+    return S.definitions(spark, root).select("name", "description", "body")
+
+
+@query("s5_memory_files", "SELECT s_suppkey, s_suppkey % 4 = 0 AS lasts FROM supplier WHERE s_suppkey % 5 <> 0 AND (s_suppkey % 4 = 0 OR DATE '2024-01-01' + to_days(CAST(s_suppkey % 40 AS INT)) + INTERVAL 20 DAY > TIMESTAMP '2024-02-01')")
+def s5(spark: SparkSession, sf: str) -> DataFrame:
+    """A memory per supplier: every fifth is disabled, every fourth lasts, the others expire after 20 days."""
+    k = F.col("s_suppkey")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (k % 40).cast("int")).cast("string")
+    text = F.concat(F.lit("---\nid: "), k.cast("string"), F.lit("\nttl_days: "), F.when(k % 4 == 0, "0").otherwise("20"), F.lit("\nupdated_at: "), day, F.lit("T00:00:00Z\ndisabled: "), F.when(k % 5 == 0, "yes").otherwise("no"), F.lit("\n---\nbody\n"))
+    root = S.scratch(spark, "memories")
+    S.write_texts(table(spark, sf, "supplier").select(F.concat(k.cast("string"), F.lit(".md")).alias("name"), text.alias("text")), root)
+    got = S.memory_files(spark, root, most=None, now=F.lit(datetime(2024, 2, 1, tzinfo=UTC)))
+    return got.select(F.col("fields")["id"].cast("long").alias("s_suppkey"), (F.col("fields")["ttl_days"] == "0").alias("lasts"))
+
+
+@query("k4_frozen_manifest", "SELECT sha256('{\"nations\":[' || string_agg('\"' || n_name || '\"', ',' ORDER BY n_name) || '],\"seed\":3}') AS sha256, true AS kept FROM nation")
+def k4(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest that is frozen, frozen again with the same content, and refused with another."""
+    path = f"{S.scratch(spark, 'manifest')}/manifest.json"
+    names = table(spark, sf, "nation").agg(F.array_sort(F.collect_list("n_name")).alias("names")).first()["names"]  # a manifest fits on the driver
+    first = S.prepare_manifest(spark, path, {"seed": 3, "nations": names})
+    try:
+        S.prepare_manifest(spark, path, {"seed": 4, "nations": names})
+        kept = False
+    except ValueError:
+        kept = S.prepare_manifest(spark, path, {"nations": names, "seed": 3}) == first
+    return spark.createDataFrame([(first["sha256"], kept)], "sha256 string, kept boolean")
+
+
+@query("f2_gold_fields", "SELECT event_id, CASE WHEN event_id % 15 = 0 THEN 'hints_text,patch' WHEN event_id % 5 = 0 THEN 'patch' WHEN event_id % 3 = 0 THEN 'hints_text' ELSE '' END AS gold FROM events")
+def f2(spark: SparkSession, sf: str) -> DataFrame:
+    """Which gold fields stand in public rows that came as JSON."""
+    n = F.col("event_id")
+    text = F.concat(F.lit('{"instance_id": "'), n.cast("string"), F.lit('", "repo": "patch"'), F.when(n % 5 == 0, ', "patch": null').otherwise(""), F.when(n % 3 == 0, ', "hints_text": {"x": 1}').otherwise(""), F.lit("}"))
+    return table(spark, sf, "events").select("event_id", F.array_join(S.gold_keys(text), ",").alias("gold"))
+
+
+@query("g1_queue", "SELECT event_id, event_type, event_id % 3 AS part FROM events")
+def g1(spark: SparkSession, sf: str) -> DataFrame:
+    """Events published in three parts; after each a consumer takes what is there, batch by batch."""
+    root, e = S.scratch(spark, "queue"), table(spark, sf, "events").select("event_id", "event_type", (F.col("event_id") % 3).alias("part"))
+    for k in range(3):
+        M.publish(e.filter(F.col("part") == k), f"{root}/queue")
+        M.consume(M.queued(spark, f"{root}/queue", "event_id long, event_type string, part long", 4), lambda batch: batch.write.mode("append").parquet(f"{root}/seen"), f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/seen")

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,6 +196,31 @@ def upsert_version(df: DataFrame, root: str, merge: Callable[[DataFrame, DataFra
     return versioned.commit(df.sparkSession, root, lambda old: df if old is None else merge(old, df))
 
 
+def write_texts(rows: DataFrame, root: str) -> int:
+    """Writes rows(name, text) as a file each under root, by way of a temporary name, so that readers see all of a file or
+    none; of rows with one name one stays. Names are paths below root. Returns how many were written."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        n = 0
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                folder, _, last = f"{base}/{name}".rpartition("/")
+                if ".." in name.split("/"):
+                    raise ValueError(f"{name} lies outside")
+                store.create_dir(folder, recursive=True)
+                spare = f"{folder}/.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(spare, compression=None) as f:
+                    f.write((text or "").encode())
+                store.move(spare, f"{folder}/{last}")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return rows.select("name", "text").mapInArrow(write, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+
+
 def write_predictions(rows: DataFrame, path: str) -> None:
     """(instance_id, model_name_or_path, model_patch) as one compact JSON object per line, nulls written out."""
     rows.select(*PREDICTION).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
@@ -255,6 +281,11 @@ PUBLIC = ("instance_id", "repo", "base_commit", "problem_statement", "difficulty
 GOLD = ("patch", "test_patch", "hints_text", "FAIL_TO_PASS", "PASS_TO_PASS", "environment_setup_commit")
 
 
+def gold_keys(row: Column) -> Column:
+    """The gold fields that a JSON object has; a row that has any is to be rejected. Null and what is no object have none."""
+    return F.array_sort(F.array_intersect(F.coalesce(F.json_object_keys(row), F.array().cast("array<string>")), F.array(*map(F.lit, GOLD))))
+
+
 def public_rows(rows: DataFrame, strict: bool = False) -> DataFrame:
     """The public columns only; strict raises if a gold column is there."""
     if strict and (bad := [c for c in rows.columns if c in GOLD]):
