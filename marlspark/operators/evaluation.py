@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .stats import exact_quantiles, same_group
 
+#: Sizes of buckets of lines.
+LEVELS = 12
 RUNNING = ("QUEUED", "IN_PROGRESS", "PENDING", "WAITING")
 PASSING = ("SUCCESS", "SKIPPED", "NEUTRAL")
 
@@ -131,11 +133,18 @@ def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def smallest_span(points: DataFrame, spans: DataFrame, file: str, line: str, start: str, end: str, bucket: int = 64) -> DataFrame:
-    """For each point the span of its file that holds it and is shortest, the latest start winning. Spans are dealt to
-    the buckets of lines that they touch, which makes the range join an equi join."""
-    s = spans.withColumn("_b", F.explode(F.sequence((F.col(start) / bucket).cast("int"), (F.col(end) / bucket).cast("int"))))
-    p = points.withColumn("_b", (F.col(line) / bucket).cast("int"))
-    hit = p.join(s, [file, "_b"]).filter(F.col(line).between(F.col(start), F.col(end)))
+    """For each point the span of its file that holds it and is shortest, the latest start winning. Buckets of lines make
+    the range join an equi join: of sizes bucket, 8 * bucket and so on, each span is dealt to those that it touches of the smallest size
+    that is at least its own, two at most, and a point meets one bucket of each size that any span has."""
+    length = F.col(end) - F.col(start) + 1
+    level = F.lit(LEVELS - 1)
+    for k in range(LEVELS - 2, -1, -1):
+        level = F.when(length <= bucket * 8**k, k).otherwise(level)
+    at = lambda c, k: F.floor(F.col(c) / (F.lit(bucket) * F.pow(F.lit(8.0), k))).cast("long")
+    s = spans.withColumn("_k", level).withColumn("_b", F.explode(F.array_distinct(F.array(at(start, F.col("_k")), at(end, F.col("_k"))))))
+    levels = [r["_k"] for r in s.select("_k").distinct().collect()]  # at most LEVELS
+    p = points.withColumn("_k", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_b", at(line, F.col("_k")))
+    hit = p.join(s, [file, "_k", "_b"]).filter(F.col(line).between(F.col(start), F.col(end)))
     cols = [c for c in spans.columns if c != file]
     best = F.min_by(F.struct(*cols), F.struct(F.col(end) - F.col(start), -F.col(start), F.to_json(F.struct(*cols))))
     return hit.groupBy(*points.columns).agg(best.alias("_s")).select(*points.columns, "_s.*")

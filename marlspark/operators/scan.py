@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import html
 import re
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_HITS = 2000
+#: Stands for what was between two text nodes. What is cut there: comments; scripts and styles, open ones to the end; tags, whose quoted
+#: values may hold any character, and declarations.
+NODE = "\x1e"
+COMMENT, UNREAD = r"(?s)<!--.*?(?:-->|\z)", r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\b[^>]*>|\z)"
+TAG = r"""</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[!?][^>]*>"""
 #: References that a page wrote twice over, decoded once more, in this order.
 LEFT_OVER = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 
@@ -58,39 +63,23 @@ def glob_paths(files: DataFrame, column: str, glob: str, limit: int, ties: list[
 
 
 def html_text(pages: DataFrame, html_col: str) -> DataFrame:
-    """Adds text: the text nodes, stripped and joined by a space, without script and style, runs of blanks squeezed."""
+    """Adds text: the text nodes, stripped and joined by a space, without script and style, runs of blanks squeezed. Markup is cut
+    away by column functions; only character references, for which there is a long table, are decoded in Python."""
 
     @F.pandas_udf("string")
-    def strip(s: pd.Series) -> pd.Series:
-        return s.map(lambda h: plain_text(h or ""), na_action=None)
-
-    return pages.withColumn("text", strip(html_col))
-
-
-def plain_text(source: str) -> str:
-    class Reader(HTMLParser):
-        def __init__(self) -> None:
-            super().__init__(convert_charrefs=True)
-            self.skip, self.parts = 0, []
-
-        def handle_starttag(self, tag: str, attrs: list) -> None:
-            self.skip += tag in ("script", "style")
-
-        def handle_endtag(self, tag: str) -> None:
-            if tag in ("script", "style") and self.skip:
-                self.skip -= 1
-
-        def handle_data(self, data: str) -> None:
-            if not self.skip and data.strip():
-                self.parts.append(data.strip())
-
-    reader = Reader()
-    reader.feed(source)
-    reader.close()
-    text = " ".join(reader.parts)
+    def decoded(s: pd.Series) -> pd.Series:
+        return s.map(html.unescape, na_action="ignore")
+
+    bare = F.translate(F.coalesce(html_col, F.lit("")), NODE, " ")
+    for cut in (COMMENT, UNREAD, TAG):
+        bare = F.regexp_replace(bare, cut, NODE)
+    stripped = lambda x: F.regexp_replace(x, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    rows = pages.withColumn("_nodes", decoded(bare))
+    text = F.array_join(F.filter(F.transform(F.split("_nodes", NODE), stripped), lambda x: x != ""), " ")
     for name, character in LEFT_OVER:
-        text = text.replace(name, character)
-    return re.sub(r"[ \t\r\f\v]+", " ", text).replace(" \n", "\n").strip()
+        text = F.replace(text, F.lit(name), F.lit(character))
+    text = F.replace(F.regexp_replace(text, r"[ \t\r\f\x0b]+", " "), F.lit(" \n"), F.lit("\n"))
+    return rows.withColumn("text", stripped(text)).drop("_nodes")
 
 
 def table_rows(rows: DataFrame, text_col: str) -> DataFrame:

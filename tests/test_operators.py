@@ -305,3 +305,16 @@ def test_glob_crosses_folders():
     import re
 
     assert re.match(scan.glob_pattern("src/*.py"), "src/a/b.py") and not re.match(scan.glob_pattern("src/?.py"), "src/ab.py")
+
+
+def test_smallest_span_of_any_length(spark):
+    rng = random.Random(5)
+    spans = [("f", a, a + rng.choice([0, 3, 63, 64, 65, 500, 5000, 10**6])) for a in (rng.randrange(0, 3000) for _ in range(60))] + [("g", 5, 4), ("g", 0, 10**9)]
+    points = [("f", rng.randrange(0, 9000)) for _ in range(150)] + [("g", 4), ("g", 10**9), ("h", 1)]
+    got = E.smallest_span(spark.createDataFrame(points, "f string, line long").distinct(), spark.createDataFrame(spans, "f string, lo long, hi long"), "f", "line", "lo", "hi").collect()
+    want = set()
+    for f, n in set(points):
+        held = [(hi - lo, -lo, hi) for g, lo, hi in spans if g == f and lo <= n <= hi]
+        if held:
+            want.add((f, n, -min(held)[1], min(held)[2]))
+    assert {(r["f"], r["line"], r["lo"], r["hi"]) for r in got} == want and len(got) == len(want)

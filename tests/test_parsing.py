@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from marlspark.functions import parsing as P
-from marlspark.operators.scan import plain_text
+from marlspark.operators.scan import html_text
 
 
 def test_search_results():
@@ -40,6 +40,16 @@ def test_text_previews():
     assert P.text_preview(b"x" * 901) == "x" * 897 + "..." and P.text_preview(b"x" * 900) == "x" * 900
 
 
-def test_plain_text_of_a_page():
-    assert plain_text("<p>a <b>b</b>\tc</p><script>var x = '<p>';</script><style>p{}</style> &amp;lt; &copy;<br>d") == "a b c < © d"
-    assert plain_text("") == ""
+def test_plain_text_of_pages(spark):
+    pages = {
+        "<p>a <b>b</b>\tc</p><script>var x = '<p>';</script><style>p{}</style> &amp;lt; &copy;<br>d": "a b c < © d",
+        "": "",
+        None: "",
+        "x<!-- <p>no</p> -->y <a title='1 > 0' href=\"?a>b\">link</a>&nbsp;<i> &nbsp; </i>2 < 3": "x y link 2 < 3",
+        "<SCRIPT type=a>if (a</b) {}</Script >t<script>never over": "t",
+        "<!doctype html><?pi?>one\r\n two \n\n three &#x41;&eacute;&notin;&unknown;": "one\n two\n\n three Aé∉&unknown;",
+        "a\x1eb": "a b",
+    }
+    rows = spark.createDataFrame([(k, h) for k, h in enumerate(pages)], "k int, html string")
+    got = {r["k"]: r["text"] for r in html_text(rows, "html").collect()}
+    assert [got[k] for k in range(len(pages))] == list(pages.values())
