@@ -106,6 +106,29 @@ def s15r(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", *[F.col("vector")[k].cast("long").alias(c) for k, c in enumerate("nes")]).join(F.broadcast(n))  # one row
 
 
+class _Counts:
+    """A model whose score is how often a query stands in a text."""
+
+    def rank_many(self, queries: list[str], texts: list[str], top_k: int) -> list[tuple[int, float]]:
+        scored = sorted(((float(max(t.count(q) for q in queries)), -k) for k, t in enumerate(texts)), reverse=True)
+        return [(-k, s) for s, k in scored[:top_k]]
+
+
+@query("a7_rank_many", "SELECT doc_id, CAST(greatest((length(text) - length(replace(text, 'en', ''))) // 2, (length(text) - length(replace(text, 'an', ''))) // 2) AS DOUBLE) AS score FROM documents ORDER BY score DESC, doc_id LIMIT 100")
+def a7r(spark: SparkSession, sf: str) -> DataFrame:
+    """The best 100 documents by a model that takes several queries at once, which are stripped."""
+    return encoding.ranked(table(spark, sf, "documents"), ["en", " an ", " "], "counts", _Counts, "doc_id")
+
+
+@query("s15_pair_scores", "SELECT event_id, CAST(length(event_type) * 10 + length(props) AS DOUBLE) AS score FROM events")
+def s15p(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of pairs of texts, of which most come again; half of the events fill the cache first."""
+    cache, pairs = S.scratch(spark, "scores"), table(spark, sf, "events").select("event_id", F.col("event_type").alias("query"), F.col("props").alias("text"))
+    make = lambda: lambda found: [10 * len(q) + len(t) for q, t in found]
+    encoding.pair_scores(pairs.filter("event_id % 2 = 0"), cache, "lengths", make)
+    return encoding.pair_scores(pairs, cache, "lengths", make).select("event_id", "score")
+
+
 @query("s1_source_tree", "SELECT source, doc_id FROM documents WHERE source <> (SELECT min(source) FROM documents)")
 def s1t(spark: SparkSession, sf: str) -> DataFrame:
     """Ids in a folder of files per source; the first source's folder lies in an ignored one."""

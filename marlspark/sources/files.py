@@ -24,12 +24,13 @@ PREDICTION = ("instance_id", "model_name_or_path", "model_patch")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path where driver and executors both write: in spark.checkpoint.dir; unset, in the warehouse on a
-    cluster and in a temporary folder in local mode, where all tasks run in this process."""
+    """A new folder's path where driver and executors both write: in spark.checkpoint.dir; unset, in a temporary folder in
+    local mode, where all tasks run in this process, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        base = f"file://{tempfile.gettempdir()}/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base}/marlspark-files/{name}-{uuid.uuid4().hex}"
 
 
