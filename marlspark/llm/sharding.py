@@ -7,7 +7,7 @@ The members of all other groups start on shards in proportion to the room; then,
 members are on several shards proposes to move those on the shard with fewest of them to the one with most (either way
 if both have as many). The driver adds the proposals up per pair of shards and accepts what keeps the quotas when all
 of it moves at once: exchanges between shards, full ones too, longer cycles, and chains that end where room is.
-Rounds go on until no accepted move is left. Documents without links fill the shards up to their quotas at the end.
+Rounds go on until QUIET of them in a row, each with other ties, have no accepted move. Documents without links fill the shards up to their quotas at the end.
 
 All members of a group are neighbours of one another, so what its members' neighbours hold is one count per shard: the
 joins along single links come down to an aggregation per group.
@@ -198,7 +198,8 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     """One row per input row: id_col, size (UTF-8 bytes plus 16), text_crc32, law ("rows"), shard, slot, grown_shard.
 
     Row counts of shards are at most one apart; slots are gapless from 0 in each. A null text is as an empty one;
-    null ids and repeated rows are rows like others; an empty table gives an empty result.
+    null ids and repeated rows are rows like others; an empty table gives an empty result. Of a text only its size and
+    digests go on, however long it is; columns that aren't named don't matter, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("key"), F.monotonically_increasing_id().alias("row"))

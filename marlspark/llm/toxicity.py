@@ -338,7 +338,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, score, predicted.
 
     A text without words, null and empty ones too, scores 0; repeated rows score alike; a null id is not held out and never a
-    training row; without labelled texts with words of both classes every score is 0. Only the text is read for a score;
+    training row; without labelled texts with words of both classes every score is 0. A long text is scored by all its
+    words. Only the text is read for a score;
     further columns of either table don't matter, whatever their names.
     """
     docs = docs.select("doc_id", "text")

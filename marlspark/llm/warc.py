@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged, table, tidy, with_group
+from .common import settled, shared_dir, staged, table, tidy, with_group
 
 LEAST_REVISIT, SEGMENT, CHUNK, ARCHIVE = 100, 8192, 4096, 8 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -102,6 +102,7 @@ def write_archives(pages: DataFrame, to: str) -> DataFrame:
     A null html is an empty payload, a null url is left out, null page ids come after all others; of rows with the same
     id and payload one is the response. No rows make no archive.
     """
+    pages = settled(pages.select("page_id", "url", "html"), "warc-pages")  # rows are told apart by their place, and read twice
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("row"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
     rows = rows.withColumn("key", F.when(F.col("n") >= LEAST_REVISIT, F.col("digest")).otherwise(F.concat_ws(":", "digest", "row"))).drop("n")
