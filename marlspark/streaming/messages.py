@@ -1,7 +1,7 @@
 """Operators on live message streams, with event-time watermarks where the semantics allow.
 
-A count-bounded set of seen ids isn't a stream operator: `deduplicated` bounds them by time instead, which differs for an
-id that comes again after the watermark has passed it. Sessions still open when a stream ends stay in its state.
+`deduplicated` bounds the ids that it knows by time, `seen.unseen` by count. Sessions still open when a stream ends stay in its
+state.
 """
 
 from __future__ import annotations
