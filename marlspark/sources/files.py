@@ -51,17 +51,20 @@ def source_files(spark: SparkSession, root: str, allowed: list[str] | None = Non
 
 def json_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """JSON lines, or files that are one JSON array; any other JSON value raises. A folder may hold both kinds: each file is
-    read as what its first character says, which is found line by line. The driver holds the files' paths."""
+    read as what its first character says, which is found line by line. The driver holds the files' paths if any is an array."""
     place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("at"), F.substring(F.regexp_replace("value", "^\\s+", ""), 1, 1).alias("c"))
-    first = lines.filter("c <> ''").groupBy("file").agg(F.min_by("c", "at").alias("c")).collect()
-    kinds = {c: [unquote(r["file"]) for r in first if r["c"] == c] for c in ("{", "[")}
-    if len(first) > sum(map(len, kinds.values())):
+    first = lines.filter("c <> ''").groupBy("file").agg(F.min_by("c", "at").alias("c"))
+    kinds = {r["c"] for r in first.select("c").distinct().collect()}
+    if not kinds <= {"{", "["}:
         raise TypeError(f"{path}: neither JSON lines nor an array of objects")
     reader = spark.read.schema(schema) if schema else spark.read
-    parts = [reader.option("multiLine", c == "[").json(files) for c, files in kinds.items() if files]
-    if not parts:
+    if "[" not in kinds:
         return reader.json(path)
+    files = {c: [] for c in kinds}
+    for r in first.collect():
+        files[r["c"]].append(unquote(r["file"]))
+    parts = [reader.option("multiLine", c == "[").json(own) for c, own in sorted(files.items())]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
