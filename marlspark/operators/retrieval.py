@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +17,10 @@ LEXICAL_SHARE, DENSE_SHARE = 0.45, 0.55
 MARKER = "\n...[truncated]"
 #: Up to so many terms of all queries are tested where texts are cut into terms; more meet them in a join.
 FEW_TERMS = 1000
-#: Bytes of query vectors, and entries of an inverted index, that are sent to all tasks at once.
-SENT_BYTES, INDEXED = 64 << 20, 1 << 20
+#: Bytes of query vectors, and entries and items of an inverted index, that are sent to all tasks at once.
+SENT_BYTES, INDEXED, ITEMS = 64 << 20, 1 << 20, 1 << 12
+#: Counts of documents and items that are held at once.
+CELLS = 1 << 18
 #: Characters by which symbols and queries meet, and parts in which an item's best documents are merged first.
 GRAM, PARTS = 3, 64
 
@@ -90,45 +92,47 @@ def most_shared(docs: DataFrame, items: DataFrame, id_col: str, item_col: str, k
     """docs(id_col, terms), items(item_col, terms), arrays without repeats -> (item_col, id_col, n, rank): of each item the k
     documents that share most of its terms, ties by id; those that share none don't count.
 
-    Items go to all tasks as inverted indices of at most INDEXED entries, a pass over the documents each; a document's counts
-    are taken in place, and a task hands on no more than k documents of an item.
+    Items go to all tasks as inverted indices of at most about INDEXED entries and ITEMS items, a pass over the documents each; a
+    document's counts are taken in place, and a task hands on no more than k documents of an item.
     """
     spark = docs.sparkSession
     kind = {c: df.select(c).schema[0].dataType.simpleString() for df, c in ((docs, id_col), (items, item_col))}
-    sizes = items.select(F.sum(F.size("terms")).alias("n")).first()["n"] or 0
-    passes = max(1, -(-sizes // INDEXED))
+    entries, n_items = items.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)), F.count(F.lit(1))).first()
+    passes = max(1, -(-entries // INDEXED), -(-n_items // ITEMS))
     out = None
     for p in range(passes):
-        rows = items.filter(F.pmod(F.xxhash64(item_col), F.lit(passes)) == p).select(item_col, "terms").toArrow()
-        places: dict[str, list[int]] = {}
-        for at, terms in enumerate(rows.column(1).to_pylist()):
-            for t in terms or ():
-                places.setdefault(t, []).append(at)
-        sent = spark.sparkContext.broadcast((rows.column(0), {t: np.array(x) for t, x in places.items()}))
+        rows = items.filter(F.pmod(F.xxhash64(item_col), F.lit(passes)) == p).select(item_col, "terms").toArrow().combine_chunks()
+        sizes = np.array([len(t or ()) for t in rows.column(1).to_pylist()], dtype=np.int64)
+        flat = pa.array([t for terms in rows.column(1).to_pylist() for t in terms or ()], pa.string())
+        words = flat.unique()
+        order = np.argsort(of := pc.index_in(flat, words).to_numpy(zero_copy_only=False), kind="stable")
+        held = np.repeat(np.arange(len(sizes)), sizes)[order]  # the items of each word, word by word
+        starts = np.searchsorted(of[order], np.arange(len(words) + 1))
+        sent = spark.sparkContext.broadcast((rows.column(0).combine_chunks(), words, held, starts))
 
         def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            named, index = sent.value
-            heaps: list[list[tuple]] = [[] for _ in range(len(named))]  # of (n, reversed id)
-            least = np.zeros(len(named), dtype=np.int64)  # what a document must share to be among the k
+            named, words, held, starts = sent.value
+            n = len(named)
+            found: list[list[tuple]] = [[] for _ in range(n)]  # of (- shared, id)
+            least = np.ones(n, dtype=np.int64)  # what a document must share to be among the k
             id_type = None
-            for batch in batches:
+            for batch in batches if n else ():
                 id_type = batch.schema.field(0).type
-                for id_, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    hits = [index[t] for t in terms or () if t in index]
-                    if not hits:
-                        continue
-                    counts = np.bincount(np.concatenate(hits), minlength=len(named))
-                    for at in np.flatnonzero((counts > 0) & (counts >= least)):
-                        heap, entry = heaps[at], (int(counts[at]), Reversed(id_))
-                        if len(heap) < k:
-                            heapq.heappush(heap, entry)
-                        else:
-                            heapq.heappushpop(heap, entry)
-                        least[at] = heap[0][0] if len(heap) == k else 0
-            found = [(at, entry[1].value, entry[0]) for at, heap in enumerate(heaps) for entry in heap]
-            if found:
-                at, ids, n = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([named.combine_chunks().take(pa.array(at)), pa.array(ids, id_type), pa.array(n, pa.int64())], names=[item_col, id_col, "n"])
+                for at in range(0, batch.num_rows, step := max(1, CELLS // n)):
+                    part = batch.slice(at, step)
+                    counts = _shared(part.column(1), words, held, starts, n)
+                    ids = part.column(0).to_pylist()
+                    for item in np.flatnonzero((counts >= least).any(axis=0)):
+                        own = found[item]
+                        own += [(-int(counts[r, item]), ids[r]) for r in np.flatnonzero(counts[:, item] >= least[item])]
+                        if len(own) >= 2 * k:
+                            own.sort()
+                            del own[k:]
+                            least[item] = -own[-1][0]
+            rows = [(item, x, -c) for item, own in enumerate(found) for c, x in sorted(own)[:k]]
+            if rows:
+                item, ids, shared = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([named.take(pa.array(item)), pa.array(ids, id_type), pa.array(shared, pa.int64())], names=[item_col, id_col, "n"])
 
         part = docs.select(id_col, "terms").mapInArrow(best, f"`{item_col}` {kind[item_col]}, `{id_col}` {kind[id_col]}, n long")
         out = part if out is None else out.unionByName(part)
@@ -138,19 +142,16 @@ def most_shared(docs: DataFrame, items: DataFrame, id_col: str, item_col: str, k
     return top_k(some, k, order, [item_col])
 
 
-class Reversed:
-    """A value that is less than those it is greater than."""
-
-    __slots__ = ("value",)
-
-    def __init__(self, value: object):
-        self.value = value
-
-    def __lt__(self, other: Reversed) -> bool:
-        return other.value < self.value
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, Reversed) and self.value == other.value
+def _shared(terms: pa.ListArray, words: pa.Array, held: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Documents by items: how many of a document's terms an item has."""
+    at = pc.index_in(terms.flatten(), words).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+    known = ~np.isnan(at) if at.dtype.kind == "f" else np.ones(len(at), dtype=bool)
+    row, word = np.repeat(np.arange(len(terms)), sizes)[known], at[known].astype(np.int64)
+    lengths = starts[word + 1] - starts[word]
+    ends = np.cumsum(lengths)
+    place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[word] - ends + lengths, lengths)
+    return np.bincount(np.repeat(row, lengths) * n + held[place], minlength=len(terms) * n).reshape(len(terms), n)
 
 
 def top_k(scores: DataFrame, k: int, order: list[Column], partition: list[str] | None = None) -> DataFrame:
