@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import html.entities
 import re
 
 import pandas as pd
@@ -15,6 +16,8 @@ MAX_HITS = 2000
 NODE = "\x1e"
 COMMENT, UNREAD = r"(?s)<!--.*?(?:-->|\z)", r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\b[^>]*>|\z)"
 TAG = r"""</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[!?][^>]*>"""
+#: References with their semicolons.
+CLOSED = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);|([A-Za-z][A-Za-z0-9]*;))")
 #: References that a page wrote twice over, decoded once more, in this order.
 LEFT_OVER = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 
@@ -62,13 +65,20 @@ def glob_paths(files: DataFrame, column: str, glob: str, limit: int, ties: list[
     return files.filter(F.col(column).rlike(glob_pattern(glob))).orderBy(column, *ties).limit(limit)
 
 
-def html_text(pages: DataFrame, html_col: str) -> DataFrame:
+def unescape_closed(text: str) -> str:
+    """Decodes character references that end in a semicolon; what lacks it, as where a text was cut, stays."""
+    return CLOSED.sub(lambda m: html.unescape(m[0]) if m[1] is None else html.entities.html5.get(m[1], m[0]), text)
+
+
+def html_text(pages: DataFrame, html_col: str, closed_only: bool = False) -> DataFrame:
     """Adds text: the text nodes, stripped and joined by a space, without script and style, runs of blanks squeezed. Markup is cut
-    away by column functions; only character references, for which there is a long table, are decoded in Python."""
+    away by column functions; only character references, for which there is a long table, are decoded in Python: as browsers do
+    also those old ones that lack their semicolon, or those that have it only."""
+    unescape = unescape_closed if closed_only else html.unescape
 
     @F.pandas_udf("string")
     def decoded(s: pd.Series) -> pd.Series:
-        return s.map(html.unescape, na_action="ignore")
+        return s.map(unescape, na_action="ignore")
 
     bare = F.translate(F.coalesce(html_col, F.lit("")), NODE, " ")
     for cut in (COMMENT, UNREAD, TAG):
