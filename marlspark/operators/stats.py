@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED, ITERATIONS, DRAWS, EXACT_LIMIT, TOLERANCE = 20260730, 10_000, 100_000, 20, 1e-12
+#: Rows of a group that may be dealt to one task.
+HEAVY = 500_000
 
 
 def permutation_exact(pairs: DataFrame, group: list[str], diff: str) -> DataFrame:
@@ -38,11 +40,21 @@ def same_group(left: DataFrame, right: DataFrame, group: list[str], how: str = "
     return left.join(named, same, how).drop(*[f"_r_{c}" for c in group])
 
 
+def with_group_rows(rows: DataFrame, few: DataFrame, group: list[str], n: str) -> DataFrame:
+    """rows joined with the rows of their groups in few, where the column n has each group's number of rows. Groups of more than
+    HEAVY rows, of which there are few, are sent to where their rows are; only rows of the others are dealt by group."""
+    named = few.withColumnsRenamed({c: f"_r_{c}" for c in group})
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in group]
+    heavy = F.broadcast(named.filter(F.col(n) > HEAVY))
+    there = rows.join(heavy, same).drop(*[f"_r_{c}" for c in group])
+    return there.unionByName(same_group(rows.join(heavy, same, "left_anti"), few.filter(F.col(n) <= HEAVY), group))
+
+
 def exact_quantiles(rows: DataFrame, group: list[str], value: str, at: dict[str, float], accuracy: int = 10_000) -> DataFrame:
     """Per group one column for each of at: name -> p, the exact quantile, interpolated between neighbours; null values don't
     count, a null in a group column is a group of its own.
 
-    No task gets a group: a sketch gives an interval around each quantile, the rows below and above it are only counted, and
+    No task gets a large group: a sketch gives an interval around each quantile, the rows below and above it are only counted, and
     those inside, about 4 / accuracy of the group, are counted per distinct value before their running sum is taken.
     """
     rows = rows.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
@@ -50,7 +62,7 @@ def exact_quantiles(rows: DataFrame, group: list[str], value: str, at: dict[str,
     bounds = [max(0.0, min(1.0, at[n] + side * 2 / accuracy)) for n in names for side in (-1, 1)]
     sketch = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", bounds, accuracy).alias("_q"))
     spans = sketch.select(*group, "_n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(at[n])).alias("p"), F.element_at("_q", 2 * k + 1).alias("lo"), F.element_at("_q", 2 * k + 2).alias("hi")) for k, n in enumerate(names)])).alias("_s")).select(*group, "_n", "_s.*")
-    met = same_group(rows, spans, group) if group else rows.join(F.broadcast(spans))  # without groups a row per quantile
+    met = with_group_rows(rows, spans, group, "_n") if group else rows.join(F.broadcast(spans))  # without groups a row per quantile
     side = F.when(F.col("_v") < F.col("lo"), -1).when(F.col("_v") > F.col("hi"), 1).otherwise(0)
     sided = met.withColumn("_side", side).withColumn("_in", F.when(F.col("_side") == 0, F.col("_v")))
     counts = sided.groupBy(*group, "k", "p", "_n", "_side", "_in").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))

@@ -101,6 +101,25 @@ def test_exact_quantiles_of_few_and_many_rows(spark):
             assert [got[g][n] for n in at] == pytest.approx([float(np.quantile(xs, p)) for p in at.values()])
 
 
+def test_rows_of_large_groups_stay_where_they_are(spark, monkeypatch):
+    """Groups over the bound meet their intervals by broadcast, even where Spark would not choose it; others and null groups by shuffle."""
+    monkeypatch.setattr(S, "HEAVY", 200, raising=False)
+    rng = random.Random(8)
+    groups = {"large": [rng.gauss(0, 1) for _ in range(3001)], "few": [2.0, 4.0, 7.0], None: [float(k) for k in range(500)], "bound": [float(k % 7) for k in range(200)]}
+    rows = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "g string, x double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = S.exact_quantiles(rows, ["g"], "x", {"low": 0.1, "half": 0.5}, 50)
+        got = {r["g"]: (r["low"], r["half"]) for r in df.collect()}
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    quantile = lambda xs, p: S._quantile(sorted(xs), p)
+    assert got == {g: pytest.approx((quantile(xs, 0.1), quantile(xs, 0.5))) for g, xs in groups.items()}
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+
+
 def test_missing_gold_and_reranking(spark):
     instances = spark.createDataFrame([("a",), ("b",)], "instance_id string")
     patches = spark.createDataFrame([("a", "p"), ("b", None)], "instance_id string, patch string")
