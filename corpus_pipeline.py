@@ -67,9 +67,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences: every row's, repeated ones included; a null or empty text has
-    its end id alone, a very long one many pieces; no rows give no pieces; further columns are left behind."""
-    return packing.packed(docs).drop("row")
+    """Pieces of documents with their places in sequences, which follow the mixed order of the documents: every row's, repeated
+    ones included; a null or empty text has its end id alone, a very long one many pieces; no rows give no pieces; further
+    columns are left behind."""
+    return packing.packed(docs, keep_order=True).drop("row")
 
 
 STAGES = [

@@ -12,6 +12,7 @@ from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 from functools import wraps
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,12 +67,31 @@ def tables_of() -> Iterator[list[str]]:
 def settled(df: DataFrame, name: str) -> DataFrame:
     """A table that gives the same rows in the same order and partitions when it is read twice: df itself where it only
     picks, filters and computes on files or local rows, else a copy of it made by `staged`."""
-    plan = df._jdf.queryExecution().analyzed()
-    nodes = [plan]
+    plain = {*_nodes(df)} <= {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation"}
+    return df if plain and df._jdf.queryExecution().analyzed().deterministic() else staged(df, name)
+
+
+def _nodes(df: DataFrame) -> list[str]:
+    """The kinds of node in df's plan."""
+    nodes = [df._jdf.queryExecution().analyzed()]
     for node in nodes:
         nodes += [node.children().apply(k) for k in range(node.children().size())]
-    plain = {n.getClass().getSimpleName() for n in nodes} <= {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation"}
-    return df if plain and plan.deterministic() else staged(df, name)
+    return [n.getClass().getSimpleName() for n in nodes]
+
+
+def in_order(df: DataFrame, columns: list[Column], name: str) -> DataFrame:
+    """columns of df and, as `name`, each row's place in it: of a table of Parquet files, from 0 without gaps, by the names of the
+    files and by the rows in each, which is the order they were written in; a reader takes files and parts of them in another
+    one. Of other tables the place is by partition."""
+    if {*_nodes(df)} <= {"Project", "SubqueryAlias", "LogicalRelation"}:
+        with suppress(AnalysisException):  # no files, or files without numbered rows
+            file = df.metadataColumn("_metadata")
+            rows = df.select(*columns, file["file_path"].alias("_file"), file["row_index"].alias("_at"))
+            before = F.sum(F.col("_last") + 1).over(Window.orderBy(F.length("_of"), "_of").rowsBetween(Window.unboundedPreceding, -1))
+            files = rows.groupBy(F.col("_file").alias("_of")).agg(F.max("_at").alias("_last"))  # a row per file
+            files = files.select("_of", F.coalesce(before, F.lit(0)).alias("_before"))
+            return rows.join(F.broadcast(files), F.col("_file") == F.col("_of")).withColumn(name, F.col("_before") + F.col("_at")).drop("_file", "_of", "_before", "_at")
+    return df.select(*columns, F.monotonically_increasing_id().alias(name))
 
 
 def delete(spark: SparkSession, paths: Iterable[str]) -> None:

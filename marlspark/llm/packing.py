@@ -5,6 +5,9 @@ goes to the driver. There lengths are placed longest first, each time into the p
 those with room (the shortest pack), and only pattern counts change, so the work does not depend on the corpus. The
 result is a table of intervals - of the pieces of a length, ranks lo to hi go to these sequences at this offset - of
 at most MAX_TOKENS * 63 * 2 rows, which is broadcast. Pieces get their ranks from bucket counts, without a global sort.
+
+Where the order of the documents is to stay, windows of WINDOW documents are packed like that one by one, each in a task's
+memory, and a window's sequences are numbered by their earliest pieces, after those of the windows before.
 """
 
 from __future__ import annotations
@@ -15,12 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, small_batches, staged, table, tidy
+from .common import in_order, ranked, small_batches, staged, table, tidy
 
 MAX_TOKENS, END_ID = 2048, 1
+#: Documents that are packed together where their order is to stay.
+WINDOW = 1024
 VOCABULARY = "byte_bpe_50k"
 LONG_GAP = re.compile(r"(?<!\s)\s{10000}")
 PIECES = "doc_id string, row long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -115,14 +120,44 @@ def intervals(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, in
     return out
 
 
+def pack_window(pieces: pd.DataFrame, most: int = MAX_TOKENS) -> pd.DataFrame:
+    """Adds sequence_id, from 0 in the order of the sequences' earliest pieces, and offset; of a length earlier pieces go first."""
+    pieces = pieces.sort_values(["row", "start"], ignore_index=True)
+    of_length = pieces.groupby("length").indices
+    sequence, offset = np.zeros(len(pieces), dtype="int64"), np.zeros(len(pieces), dtype="int64")
+    for length, lo, hi, first, count, at in intervals(shortest_pack_first({k: len(v) for k, v in of_length.items()}, most)):
+        own, k = of_length[length][lo:hi], np.arange(hi - lo)
+        sequence[own], offset[own] = first + k % count, at + k // count * length
+    _, earliest, sequence = np.unique(sequence, return_index=True, return_inverse=True)
+    number = np.empty(len(earliest), dtype="int64")
+    number[np.argsort(earliest)] = np.arange(len(earliest))
+    return pieces.assign(sequence_id=number[sequence], offset=offset)
+
+
+def packed_in_order(pieces: DataFrame, most: int) -> DataFrame:
+    """pieces with sequence_id and offset: sequences follow the order of row, by windows of WINDOW rows."""
+    kind = pieces.schema["doc_id"].dataType
+    windows = pieces.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("_window", F.expr(f"row div {WINDOW}"))
+    schema = ", ".join(f"{c} {t}" for c, t in [*windows.dtypes, ("sequence_id", "bigint"), ("offset", "bigint")])
+    placed = staged(windows.groupBy("_window").applyInPandas(lambda w: pack_window(w, most), schema), "windows")
+    before = F.sum("_n").over(Window.orderBy("_w").rowsBetween(Window.unboundedPreceding, -1))
+    starts = placed.groupBy(F.col("_window").alias("_w")).agg((F.max("sequence_id") + 1).alias("_n"))  # a row per window
+    starts = starts.select("_w", F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = placed.join(F.broadcast(starts), F.col("_window") == F.col("_w")).withColumn("sequence_id", F.col("_before") + F.col("sequence_id"))
+    return numbered.withColumn("doc_id", F.col("doc_id").cast(kind)).select(*pieces.columns, "sequence_id", "offset")
+
+
 @tidy
 @small_batches
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TOKENS, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TOKENS, vocabulary: str = VOCABULARY, with_ids: bool = False, keep_order: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
 
     Every row of docs is packed, repeated rows and null ids included (their pieces stay apart by the row's number,
-    the column row); a null text is empty; no rows give no pieces.
+    the column row); a null text is empty; no rows give no pieces. With keep_order sequences follow the order of docs
+    as it was written, to within WINDOW documents; else pieces of all docs share sequences, with less padding.
     """
+    if keep_order:
+        return packed_in_order(cut(in_order(docs, [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")], "row"), most, vocabulary, with_ids), most)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     pieces = staged(cut(rows, most, vocabulary, with_ids), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -500,6 +500,58 @@ def test_packing_takes_long_runs(unit):
     assert packing.tokenizer()(text) == want
 
 
+def test_sequences_follow_the_mix(spark, tmp_path, monkeypatch):
+    """Sources written one after another and mixed: their shares of what the first sequences hold are the mix's, not those of the files
+    or of lengths; no id is lost, and a file that is larger is not read first."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    monkeypatch.setattr(packing, "WINDOW", 64, raising=False)
+    rng = random.Random(12)
+    counts, rows = {"a": 500, "b": 300, "c": 100}, []
+    for s, n in counts.items():  # the rare sources' texts are longer
+        rows += [(len(rows) + k, " ".join("w%d" % rng.randrange(5000) for _ in range(rng.randrange(40, 400) * (1 + (s == "c")))), s) for k in range(n)]
+    make(spark, rows).coalesce(2).write.parquet(str(tmp_path / "docs"))
+    mixed = stages["mixing sources"](spark, spark.read.parquet(str(tmp_path / "docs")), str(tmp_path))
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    position = {r["doc_id"]: r["position"] for r in mixing.mixed(spark.read.parquet(str(tmp_path / "docs"))).collect()}
+    got = stages["packing"](spark, spark.read.parquet(str(tmp_path / "mixed")), str(tmp_path)).collect()
+    assert {r["doc_id"]: r["n"] for r in spark.createDataFrame(got).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == {r["doc_id"]: r["doc_tokens"] for r in got} and len(position) == 900
+    sequences = collections.defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append(r)
+    assert sorted(sequences) == list(range(len(sequences)))
+    for k, pieces in sequences.items():
+        pieces.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in pieces] == [sum(q["length"] for q in pieces[:j]) for j in range(len(pieces))] and sum(r["length"] for r in pieces) <= 2048
+    first = [min(position[r["doc_id"]] for r in sequences[k]) for k in range(len(sequences))]
+    assert first == sorted(first) and all(position[r["doc_id"]] // 64 == first[k] // 64 for k in sequences for r in sequences[k])
+    order = sorted(position, key=position.get)
+    source = {d: s for d, _, s in rows}
+    for k in range(20, len(sequences), 20):  # a prefix of the sequences has the sources of a prefix of the mix, to within a window
+        seen = {r["doc_id"] for j in range(k) for r in sequences[j] if r["start"] == 0}
+        want = collections.Counter(source[d] for d in order[: len(seen)])
+        assert all(abs(n - want[s]) < 64 for s, n in collections.Counter(source[d] for d in seen).items())
+
+
+def test_places_in_files(spark, tmp_path):
+    """Larger files are read first and files are cut; places go by names and rows all the same. Tables without files go by partition."""
+    for k, (lo, hi) in enumerate([(0, 10), (10, 5000), (5000, 5001), (5001, 20000)]):
+        spark.range(lo, hi, 1, 1).selectExpr("id", "id _file", "'x' _metadata").write.parquet(str(tmp_path / f"t/part={k}"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        docs = spark.read.parquet(str(tmp_path / "t"))
+        got = common.in_order(docs, [F.col("id")], "place").collect()
+        assert docs.withColumn("read", F.monotonically_increasing_id()).orderBy("read").first()["id"] != 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 20000 and all(r["id"] == r["place"] for r in got)
+    for df in (spark.range(50), docs.limit(50), docs.union(docs)):
+        got = common.in_order(df, [F.col("id")], "place").collect()
+        assert len({r["place"] for r in got}) == len(got) == df.count()
+
+
 def test_long_runs_go_through_the_pipeline(spark, tmp_path):
     import corpus_pipeline
 
