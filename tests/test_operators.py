@@ -290,6 +290,27 @@ def test_cascade_steps(spark):
     assert len(got) == 13 and got[0]["text"].startswith("user: www")
 
 
+def test_message_parts_by_column_functions(spark):
+    """The same pieces as split_message's, without a Python worker that holds texts."""
+    rng = random.Random(21)
+    texts = ["", None, " ", "\n" * 40, " \n x" + "y" * 30, "\n\n  " + "a" * 25, "a" * 10, "a" * 11, "a" * 10 + "\n", "a b" * 9 + "  ", "a" * 10 + " " * 30, "\x1c\x85" * 9 + "é" * 9, "\U0001f600a" * 30, "x \u3000\u2028" * 9]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for alphabet in ("ab \n", "abcdefg \n", "a \t\n\xa0", "a\U0001f600 \x1d\n", " \nx") for _ in range(120)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for most in (1, 3, 10):
+        df = V.message_parts(rows, "t", most)
+        got = {}
+        for r in sorted(df.collect(), key=lambda r: r["part"]):
+            got.setdefault(r["k"], []).append(r["piece"])
+            assert r["part"] == len(got[r["k"]]) - 1
+        assert all(got.get(k, []) == list(V.split_message(t or "", most)) for k, t in enumerate(texts))
+        assert "EvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+    long = "".join(rng.choice(("\U0001f600", "a")) for _ in range(200_000)) + " " + "word\n" * 50_000
+    got = [r["piece"] for r in V.message_parts(spark.createDataFrame([(1, long)], "k int, t string"), "t", 2000).orderBy("part").collect()]
+    assert got == list(V.split_message(long, 2000))
+    with pytest.raises(ValueError):
+        V.message_parts(rows, "t", 0)
+
+
 def test_split_message():
     assert list(V.split_message("aaa bbb\nccc ddd", 9)) == ["aaa bbb", "ccc ddd"]
     assert list(V.split_message("abcdef", 4)) == ["abcd", "ef"] and list(V.split_message("", 4)) == []
